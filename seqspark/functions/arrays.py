@@ -7,6 +7,15 @@ from pyspark.sql import Column, functions as F
 from seqspark.consts import EOS, PAD, UNK
 
 
+def let(value: Column, body) -> Column:
+    """Bind a row-level value to a lambda variable, so that it is computed once per row.
+
+    A plain expression inside ``transform`` or ``filter`` would be evaluated again for each
+    element, and the optimizer may inline a helper column back into the lambda.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def ints(*values: int) -> Column:
     return F.array(*[F.lit(v).cast("int") for v in values])
 
@@ -62,9 +71,12 @@ def position_ids(t: Column, pad: int = PAD) -> Column:
     Padding sits on one side, so the offset of the first real token is the number of
     leading pads.
     """
-    lead = F.size(t) - F.size(_drop_leading(t, pad))
-    return F.transform(
-        t, lambda x, i: F.when(x == pad, F.lit(pad)).otherwise(i - lead + pad + 1).cast("int")
+    lead = F.greatest(_first_other(t, pad), F.lit(1)).cast("int") - 1
+    return let(
+        lead,
+        lambda n: F.transform(
+            t, lambda x, i: F.when(x == pad, F.lit(pad)).otherwise(i - n + pad + 1).cast("int")
+        ),
     )
 
 
@@ -73,24 +85,21 @@ def _first_other(t: Column, pad: int) -> Column:
     return F.array_position(flags, F.lit(1))
 
 
-def _drop_leading(t: Column, pad: int) -> Column:
-    first = _first_other(t, pad).cast("int")
-    return F.when(first > 0, F.slice(t, first, F.size(t))).otherwise(F.slice(t, 1, 0))
-
-
 def truncate_vocab(t: Column, size: int, unk: int = UNK) -> Column:
     return F.transform(t, lambda x: F.when(x >= size, F.lit(unk)).otherwise(x).cast("int"))
 
 
 def trim_for_scoring(t: Column, pad: str, eos: str) -> Column:
     """Drop leading pads, then trailing pads and EOS, keeping at least one element."""
-    real = F.transform(t, lambda x: F.when(x == pad, F.lit(0)).otherwise(F.lit(1)))
-    first = F.array_position(real, F.lit(1)).cast("int")
-    head = F.when(first > 0, F.slice(t, first, F.size(t))).otherwise(F.slice(t, F.size(t), 1))
-    head = F.when(F.size(t) == 0, t).otherwise(head)
-    body = F.transform(
-        F.reverse(head), lambda x: F.when((x == pad) | (x == eos), F.lit(0)).otherwise(F.lit(1))
-    )
-    cut = F.array_position(body, F.lit(1)).cast("int")
-    keep = F.when(cut > 0, F.size(head) - cut + 1).otherwise(F.lit(1))
-    return F.slice(head, 1, keep)
+
+    def first(a: Column, skip) -> Column:
+        flags = F.transform(a, lambda x: F.when(skip(x), F.lit(0)).otherwise(F.lit(1)))
+        return F.array_position(flags, F.lit(1)).cast("int")
+
+    def tail(head: Column) -> Column:
+        cut = first(F.reverse(head), lambda x: (x == pad) | (x == eos))
+        return F.slice(head, 1, F.when(cut > 0, F.size(head) - cut + 1).otherwise(F.lit(1)))
+
+    lead = first(t, lambda x: x == pad)
+    head = F.when(F.size(t) == 0, t).when(lead > 0, F.slice(t, lead, F.size(t))).otherwise(F.slice(t, -1, 1))
+    return let(head, tail)

@@ -251,22 +251,22 @@ def collate(
     packed = F.array_sort(F.collect_list(F.struct((-F.size(source)).alias("neg"), "id", *cols)))
     out = df.groupBy("batch_id").agg(packed.alias("_p"))
 
-    def matrix(col: str, left: bool) -> Column:
-        width = F.array_max(F.transform(F.col(f"_p.{col}"), lambda t: F.size(t)))
-        return F.transform(F.col(f"_p.{col}"), lambda t: ar.pad_to(t, width, left, pad))
+    def padded(rows: Column, left: bool) -> Column:
+        width = F.array_max(F.transform(rows, lambda t: F.size(t)))
+        return ar.let(width, lambda n: F.transform(rows, lambda t: ar.pad_to(t, n, left, pad)))
 
     lengths = F.transform("_p.neg", lambda n: -n)
     counted = F.col(f"_p.{target or source}")
     result = [
-        F.col("batch_id"), F.col("_p.id").alias("ids"), matrix(source, left_pad_source).alias("src_tokens"),
+        F.col("batch_id"), F.col("_p.id").alias("ids"), padded(F.col(f"_p.{source}"), left_pad_source).alias("src_tokens"),
         lengths.alias("src_lengths"), F.size("_p").cast("bigint").alias("nsentences"),
         F.aggregate(F.transform(counted, lambda t: F.size(t).cast("bigint")), F.lit(0).cast("bigint"), lambda a, x: a + x).alias("ntokens"),
     ]
     if target:
-        result.append(matrix(target, left_pad_target).alias("target"))
-        shifted = F.transform(F.col(f"_p.{target}"), lambda t: ar.eos_to_front(t))
-        width = F.array_max(F.transform(F.col(f"_p.{target}"), lambda t: F.size(t)))
-        result.append(F.transform(shifted, lambda t: ar.pad_to(t, width, left_pad_target, pad)).alias("prev_output_tokens"))
+        rows = F.col(f"_p.{target}")
+        shifted = F.transform(rows, lambda t: ar.eos_to_front(t))
+        result.append(padded(rows, left_pad_target).alias("target"))
+        result.append(padded(shifted, left_pad_target).alias("prev_output_tokens"))
     return out.select(*result)
 
 

@@ -4,7 +4,7 @@ import importlib
 
 from seqspark.plans import base
 
-FAMILIES = ["sources", "texts", "vocabs"]
+FAMILIES = ["sources", "texts", "vocabs", "examples", "batches", "metrics"]
 
 
 def _load() -> None:

@@ -84,3 +84,30 @@ def pair_words(spark, d) -> DataFrame:
 def joined(col: str):
     """Array as one text column: engines agree on text more easily than on arrays."""
     return F.array_join(F.col(col).cast("array<string>"), " ")
+
+
+def doc_stream(spark, d) -> DataFrame:
+    """One row per document: ``ids`` of all its lines with end marks, and per token the
+    line number (``line``) and the position inside the line (``off``)."""
+    lines = F.transform(tx.lines(F.col("text")), lambda t: F.concat(tx.words(t), F.array(F.lit("</s>"))))
+    rows = documents(spark, d).select("doc_id", lines.alias("l"))
+    rows = rows.select(
+        "doc_id",
+        F.flatten("l").alias("tokens"),
+        F.flatten(F.transform("l", lambda w, i: F.array_repeat(i, F.size(w)))).alias("line"),
+        F.flatten(F.transform("l", lambda w: F.sequence(F.lit(0), F.size(w) - 1))).alias("off"),
+    )
+    return vb.encode(rows, "tokens", doc_vocab(spark, d)).drop("tokens")
+
+
+def pieces(spark, d) -> DataFrame:
+    """Lines cut into marked pieces of at most two per word, with the end mark."""
+    cut = F.transform(
+        "words",
+        lambda w: F.when(
+            F.char_length(w) > 3,
+            F.array(F.concat(F.substring(w, 1, 3), F.lit("@@")), F.substring(w, F.lit(4), F.char_length(w))),
+        ).otherwise(F.array(w)),
+    )
+    rows = doc_words(spark, d)
+    return rows.select("doc_id", "line_no", F.concat(F.flatten(cut), F.array(F.lit("</s>"))).alias("pieces"))

@@ -36,23 +36,22 @@ words AS (SELECT doc_id, lang, source, line_no, line, {words('line')} AS words F
 TOKENS = f"""{WORDS},
 tok AS (SELECT doc_id, lang, source, line_no, unnest(words) AS token, unnest(range(len(words))) AS pos FROM words)"""
 
-SPECIAL_ROWS = ", ".join(f"({i}::BIGINT, '{t}')" for i, t in enumerate(PLAIN_SPECIALS))
-SPECIAL_LIST = ", ".join(f"'{t}'" for t in PLAIN_SPECIALS)
-
-
-def finalize(counts: str, threshold: int, nwords: int, pad: int = 8) -> str:
+def finalize(counts: str, threshold: int, nwords: int, pad: int = 8, names: list[str] = PLAIN_SPECIALS) -> str:
     """``vocab`` from a table of ``(token, cnt, first)``."""
-    keep = f"AND rn <= {nwords - 4}" if nwords > 0 else ""
+    k = len(names)
+    rows = ", ".join(f"({i}::BIGINT, '{t}')" for i, t in enumerate(names))
+    listed = ", ".join(f"'{t}'" for t in names)
+    keep = f"AND rn <= {nwords - k}" if nwords > 0 else ""
     return f"""ranked AS (
   SELECT token, cnt, row_number() OVER (ORDER BY cnt DESC, first) AS rn
-  FROM {counts} WHERE token NOT IN ({SPECIAL_LIST})),
-kept AS (SELECT 3 + rn AS token_id, token, cnt FROM ranked WHERE cnt >= {threshold} {keep}),
+  FROM {counts} WHERE token NOT IN ({listed})),
+kept AS (SELECT {k - 1} + rn AS token_id, token, cnt FROM ranked WHERE cnt >= {threshold} {keep}),
 vocab AS (
   SELECT s.token_id, s.token, coalesce(c.cnt, 0) AS cnt, true AS is_special
-  FROM (VALUES {SPECIAL_ROWS}) s(token_id, token) LEFT JOIN {counts} c USING (token)
+  FROM (VALUES {rows}) s(token_id, token) LEFT JOIN {counts} c USING (token)
   UNION ALL SELECT token_id, token, cnt, false FROM kept
   UNION ALL SELECT n + i, printf('madeupword%04d', i), 0, false
-  FROM (SELECT count(*) + 4 AS n FROM kept), range({pad}) r(i) WHERE i < ({pad} - n % {pad}) % {pad})"""
+  FROM (SELECT count(*) + {k} AS n FROM kept), range({pad}) r(i) WHERE i < ({pad} - n % {pad}) % {pad})"""
 
 
 COUNTS = f"""{TOKENS},
@@ -83,3 +82,13 @@ PAIRS = """pairs AS (
 
 PAIR_WORDS = f"""{PAIRS},
 pw AS (SELECT id, conv_id, turn, {words('source')} AS sw, {words('target')} AS tw FROM pairs)"""
+
+# Words longer than three characters are cut into two marked pieces; `wi` is found again by
+# counting the pieces before that end a word.
+PIECES = f"""{WORDS},
+raw AS (SELECT doc_id, line_no, flatten(list_transform(words, lambda w: CASE WHEN length(w) > 3
+  THEN [substr(w, 1, 3) || '@@', substr(w, 4)] ELSE [w] END)) || ['</s>'] AS p FROM words),
+exploded AS (SELECT doc_id, line_no, unnest(p) AS piece, unnest(range(len(p))) AS pos FROM raw),
+pieces AS (SELECT *, coalesce(sum(CASE WHEN piece LIKE '%@@' THEN 0 ELSE 1 END) OVER (
+  PARTITION BY doc_id, line_no ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS wi,
+  max(pos) OVER (PARTITION BY doc_id, line_no) AS last_pos FROM exploded)"""

@@ -79,7 +79,7 @@ def sample_candidates(cand: DataFrame, beam: int, step: int, seed: int, topk: in
         rows = _top(rows, ["sample", "beam"], [F.desc("lprob"), "token"], topk, "_k").drop("_k")
     rows = rows.withColumn("scaled", F.col("lprob") / temperature)
     draws = F.sequence(F.lit(0), F.lit(beam - 1 if step == 0 else 0))
-    rows = rows.withColumn("draw", F.explode(draws).cast("bigint"))
+    rows = rows.withColumn("draw", F.explode(draws.cast("array<bigint>")))
     u = (hash_base(seed, F.col("sample"), F.col("beam"), F.col("token"), F.col("draw")) + 0.5) / F.lit(float(P))
     rows = rows.withColumn("_g", F.col("scaled") - F.log(-F.log(u)))
     best = _top(rows, ["sample", "beam", "draw"], [F.desc("_g"), "token"], 1, "_r").drop("_r", "_g")

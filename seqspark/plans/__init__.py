@@ -4,7 +4,7 @@ import importlib
 
 from seqspark.plans import base
 
-FAMILIES = ["sources", "texts", "vocabs", "examples", "batches", "metrics"]
+FAMILIES = ["sources", "texts", "vocabs", "examples", "batches", "metrics", "rankings", "streams"]
 
 
 def _load() -> None:

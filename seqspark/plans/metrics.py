@@ -195,13 +195,15 @@ def per_corpus_metrics(spark, d):
     return out.withColumn("value", r6("value"))
 
 
-@query("a10_running_average", """SELECT event_id, event_type, value AS val, round(sum(value) OVER w, 4) AS sum, count(*) OVER w AS count,
-  round(sum(value) OVER w / count(*) OVER w, 4) AS avg FROM events
+# Values in cents, so that sums are exact in every order of addition.
+@query("a10_running_average", """WITH e AS (SELECT event_id, event_type, ts, round(value * 100)::BIGINT AS val FROM events)
+SELECT event_id, event_type, val, (sum(val) OVER w)::BIGINT AS sum, count(*) OVER w AS count,
+  (sum(val) OVER w)::DOUBLE / count(*) OVER w AS avg FROM e
 WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
 def running_average(spark, d):
-    e = base.table(spark, d, "events").select("event_id", "event_type", "ts", F.col("value").alias("val"))
-    out = mt.running_average(e, ["event_type"], ["ts", "event_id"], "val")
-    return out.select("event_id", "event_type", "val", F.round("sum", 4).alias("sum"), "count", F.round("avg", 4).alias("avg"))
+    cents = F.round(F.col("value") * 100).cast("bigint")
+    e = base.table(spark, d, "events").select("event_id", "event_type", "ts", cents.alias("val"))
+    return mt.running_average(e, ["event_type"], ["ts", "event_id"], "val").drop("ts")
 
 
 @query("a11_rate_meters", """SELECT event_type, count(*) AS n, round((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6, 6) AS elapsed,
@@ -211,19 +213,20 @@ def rate_meters(spark, d):
     return out.select("event_type", "n", r6("elapsed").alias("elapsed"), F.round("rate", 9).alias("rate"))
 
 
-@query("a11_stopwatch_meters", """SELECT user_id, round(sum(value), 4) AS sum, count(*) AS n, round(sum(value) / count(*), 4) AS avg FROM events GROUP BY user_id""")
+@query("a11_stopwatch_meters", """SELECT user_id, sum(round(value * 100)::BIGINT)::BIGINT AS sum, count(*) AS n,
+  sum(round(value * 100)::BIGINT)::DOUBLE / count(*) AS avg FROM events GROUP BY user_id""")
 def stopwatch_meters(spark, d):
-    out = mt.stopwatch(base.table(spark, d, "events"), ["user_id"], "value")
-    return out.select("user_id", F.round("sum", 4).alias("sum"), "n", F.round("avg", 4).alias("avg"))
+    e = base.table(spark, d, "events").withColumn("cents", F.round(F.col("value") * 100).cast("bigint"))
+    return mt.stopwatch(e, ["user_id"], "cents")
 
 
 @query("a12_histogram", """WITH s AS (SELECT min(value) AS lo, max(value) AS hi, count(value) AS num, sum(value) AS total, sum(value * value) AS sq, (max(value) - min(value)) / 1000 AS w FROM events),
 c AS (SELECT least(floor((value - lo) / w), 999)::BIGINT AS bin, count(*) AS cnt FROM events, s GROUP BY 1)
-SELECT i AS bin, round(lo + (i + 1) * w, 6) AS edge, coalesce(cnt, 0) AS cnt, lo AS "min", hi AS "max", num, round(total, 4) AS "sum", round(sq, 2) AS sum_squares
+SELECT i AS bin, round(lo + (i + 1) * w, 6) AS edge, coalesce(cnt, 0) AS cnt, lo AS "min", hi AS "max", num, round(total, 4) AS "sum", round(sq, 3) AS sum_squares
 FROM s, range(1000) r(i) LEFT JOIN c ON c.bin = i""")
 def histogram(spark, d):
     h = mt.histogram(base.table(spark, d, "events"), "value", 1000)
-    return h.select("bin", r6("edge").alias("edge"), "cnt", "min", "max", "num", F.round("sum", 4).alias("sum"), F.round("sum_squares", 2).alias("sum_squares"))
+    return h.select("bin", r6("edge").alias("edge"), "cnt", "min", "max", "num", F.round("sum", 4).alias("sum"), F.round("sum_squares", 3).alias("sum_squares"))
 
 
 @query("a13_sequence_score", f"""WITH {_UNIGRAM}

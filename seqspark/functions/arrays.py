@@ -87,19 +87,3 @@ def _first_other(t: Column, pad: int) -> Column:
 
 def truncate_vocab(t: Column, size: int, unk: int = UNK) -> Column:
     return F.transform(t, lambda x: F.when(x >= size, F.lit(unk)).otherwise(x).cast("int"))
-
-
-def trim_for_scoring(t: Column, pad: str, eos: str) -> Column:
-    """Drop leading pads, then trailing pads and EOS, keeping at least one element."""
-
-    def first(a: Column, skip) -> Column:
-        flags = F.transform(a, lambda x: F.when(skip(x), F.lit(0)).otherwise(F.lit(1)))
-        return F.array_position(flags, F.lit(1)).cast("int")
-
-    def tail(head: Column) -> Column:
-        cut = first(F.reverse(head), lambda x: (x == pad) | (x == eos))
-        return F.slice(head, 1, F.when(cut > 0, F.size(head) - cut + 1).otherwise(F.lit(1)))
-
-    lead = first(t, lambda x: x == pad)
-    head = F.when(F.size(t) == 0, t).when(lead > 0, F.slice(t, lead, F.size(t))).otherwise(F.slice(t, -1, 1))
-    return let(head, tail)

@@ -11,28 +11,28 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from seqspark.functions.arrays import let
+
 P = 2147483647
 MUL = 16807
 ADD = 12345
 
 
 def _fifth(y: Column) -> Column:
-    square = F.pmod(y * y, F.lit(P))
-    return F.pmod(F.pmod(square * square, F.lit(P)) * y, F.lit(P))
+    return let(y, lambda v: let(v * v % P, lambda square: square * square % P * v % P))
 
 
 def fold(acc, value) -> Column:
-    """Mix one more value into a running hash."""
+    """Mix one more value (in [0, p): an index or a salt) into a running hash."""
     acc = F.lit(acc).cast("bigint") if isinstance(acc, int) else acc
-    value = F.lit(value) if isinstance(value, int) else value
-    return _fifth(F.pmod(acc * MUL + F.pmod(value.cast("bigint"), F.lit(P)) + ADD, F.lit(P)))
+    return _fifth((acc * MUL + ADD + value) % P)
 
 
 def base(seed: int, *values: Column) -> Column:
     """Hash of a seed and columns in [0, p); computed once per row for ``fold`` in lambdas."""
     acc = pow((seed * MUL + ADD) % P, 5, P)
     for value in values:
-        acc = fold(acc, value)
+        acc = fold(acc, F.pmod(value.cast("bigint"), F.lit(P)))
     return acc if isinstance(acc, Column) else F.lit(acc).cast("bigint")
 
 

@@ -11,6 +11,7 @@ from seqspark.consts import PAD
 from seqspark.functions import arrays as ar
 from seqspark.functions.hashing import base as hash_base
 from seqspark.operators.ordering import ranked
+from seqspark.session import local_table
 
 
 def filter_pairs(df: DataFrame, source: str, target: str, low: int, high: int, ratio: float) -> DataFrame:
@@ -69,7 +70,7 @@ def filter_by_size(df: DataFrame, size, limit, raise_exception: bool = False) ->
 def ignored_report(ignored: DataFrame, id_col: str) -> DataFrame:
     """How many samples were ignored and the ten smallest of their ids."""
     first = ignored.select(id_col).orderBy(id_col).limit(10).agg(
-        F.array_join(F.array_sort(F.collect_list(id_col)).cast("array<string>"), " ").alias("first_ids")
+        F.array_join(F.sort_array(F.collect_list(id_col)).cast("array<string>"), " ").alias("first_ids")
     )
     return ignored.agg(F.count(F.lit(1)).alias("n_ignored")).crossJoin(first)
 
@@ -183,13 +184,13 @@ def batch_by_size(
             i += 1
         j, part = i, []
         while j < len(runs) and runs[j][0] < high:
-            part.append((runs[j][0], runs[j][1], runs[j][3]))
+            part.append({"first": runs[j][0], "len": runs[j][1], "batch": runs[j][3]})
             j += 1
         table.append((*key, part))
         low = high
     types = {f.name: f.dataType.simpleString() for f in df.schema}
     schema = ", ".join(f"{c} {types[c]}" for c in size_cols)
-    lookup = spark.createDataFrame(table, f"{schema}, _runs array<struct<first:bigint,len:bigint,batch:bigint>>")
+    lookup = local_table(spark, table, f"{schema}, _runs array<struct<first:bigint,len:bigint,batch:bigint>>")
     if len(table) <= broadcast_rows:
         lookup = F.broadcast(lookup)
     rows = rows.join(lookup, size_cols)
@@ -225,7 +226,7 @@ def shard(ordered: DataFrame, num_shards: int) -> DataFrame:
 def grouped_steps(sharded: DataFrame, chunk: int) -> DataFrame:
     """Consecutive batches of a shard in groups of ``chunk`` (gradient accumulation)."""
     group = F.floor(F.col("step") / chunk).cast("bigint").alias("group")
-    packed = F.array_sort(F.collect_list(F.struct("step", "batch_id")))
+    packed = F.sort_array(F.collect_list(F.struct("step", "batch_id")))
     return sharded.groupBy("shard", group).agg(packed.alias("_p")).select("shard", "group", F.col("_p.batch_id").alias("batches"))
 
 
@@ -248,7 +249,7 @@ def collate(
     A batch is bounded by the batching limits, so collecting it into a row is safe.
     """
     cols = [source] + ([target] if target else [])
-    packed = F.array_sort(F.collect_list(F.struct((-F.size(source)).alias("neg"), "id", *cols)))
+    packed = F.sort_array(F.collect_list(F.struct((-F.size(source)).alias("neg"), "id", *cols)))
     out = df.groupBy("batch_id").agg(packed.alias("_p"))
 
     def padded(rows: Column, left: bool) -> Column:

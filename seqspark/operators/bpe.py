@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from seqspark.consts import BPE_MARK
-from seqspark.session import pin
+from seqspark.session import fenced, local_table, pin
 
 END = "</w>"
 
@@ -47,7 +47,7 @@ def learn(
         rounds += 1
         if rounds % checkpoint_every == 0:
             state = pin(state)
-    return spark.createDataFrame(learned, "rank bigint, left string, right string, cnt bigint")
+    return local_table(spark, learned, "rank bigint, left string, right string, cnt bigint")
 
 
 def _quoted(symbol: str) -> str:
@@ -123,4 +123,4 @@ def apply(df: DataFrame, words: str, merges: DataFrame, out: str = "pieces", lim
         rows_at = np.concatenate([[0], sizes.cumsum()])
         return pa.ListArray.from_arrays(pa.array(ends[rows_at].astype("int32")), spread.flatten())
 
-    return df.withColumn(out, split_words(F.col(words)))
+    return fenced(df, words).withColumn(out, split_words(F.col(words)))

@@ -35,15 +35,17 @@ def block_pieces(rows: DataFrame, order: list[str], size: Column, block_size: in
     )
 
 
-def token_blocks(rows: DataFrame, order: list[str], ids: str, block_size: int) -> DataFrame:
+def token_blocks(rows: DataFrame, order: list[str], ids: str, block_size: int, size: str | None = None) -> DataFrame:
     """Mode *none*: the concatenated stream cut every ``block_size`` tokens.
 
-    A group is one block, so what is collected per key is bounded by ``block_size``.
+    A group is one block, so what is collected per key is bounded by ``block_size``. A
+    stored ``size`` column spares the prefix sum from reading the tokens.
     """
-    pieces = block_pieces(rows.select(*order, ids), order, F.size(ids), block_size)
+    length = F.col(size) if size else F.size(ids)
+    pieces = block_pieces(rows.select(*order, ids, *([size] if size else [])), order, length, block_size)
     part = F.struct("at", F.slice(ids, F.col("lo") + 1, F.col("n")).alias("t"))
     return pieces.select("block_id", part.alias("p")).groupBy("block_id").agg(
-        F.flatten(F.array_sort(F.collect_list("p"))["t"]).alias("item")
+        F.flatten(F.sort_array(F.collect_list("p"))["t"]).alias("item")
     )
 
 
@@ -62,20 +64,21 @@ def block_index(rows: DataFrame, order: list[str], line: str, offset: str, block
     return out.groupBy("block_id").agg(F.min_by("f", "at").alias("start"), F.max_by("l", "at").alias("end"))
 
 
-def block_targets(rows: DataFrame, order: list[str], ids: str, offset: str, block_size: int) -> DataFrame:
+def block_targets(rows: DataFrame, order: list[str], ids: str, offset: str, block_size: int, size: str | None = None) -> DataFrame:
     """Blocks with ``source`` (stream shifted by one) and ``past`` (shifted by two).
 
     Shifts cross block borders, except where a block starts at the first or second token
     of a sentence: those look-backs are EOS and pad. ``rows`` end with EOS, so only the
     two tokens before the block inside the same row are ever needed.
     """
-    pieces = block_pieces(rows.select(*order, ids, offset), order, F.size(ids), block_size)
+    length = F.col(size) if size else F.size(ids)
+    pieces = block_pieces(rows.select(*order, ids, offset, *([size] if size else [])), order, length, block_size)
     lo = F.col("lo")
     within = F.get(offset, lo)
     before = F.when(within == 0, F.lit(EOS)).otherwise(F.get(ids, lo - 1))
     second = F.when(within == 0, F.lit(PAD)).when(within == 1, F.lit(EOS)).otherwise(F.get(ids, lo - 2))
     part = F.struct("at", F.slice(ids, lo + 1, F.col("n")).alias("t"), before.alias("b1"), second.alias("b2"))
-    packed = F.array_sort(F.collect_list("p"))
+    packed = F.sort_array(F.collect_list("p"))
     out = pieces.select("block_id", part.alias("p")).groupBy("block_id").agg(packed.alias("_p"))
     out = out.select("block_id", F.flatten("_p.t").alias("item"), F.col("_p")[0].alias("h"))
     size = F.size("item")
@@ -259,11 +262,11 @@ def masked_example(
 
     def draws(x: Column, acc: Column) -> Column:
         open_ = (lambda t: (t != eos) & (t != go)) if go is not None else (lambda t: t != eos)
-        return F.transform(x, lambda t, i: F.when(open_(t), F.struct(fold(acc, i).alias("h"), i.alias("i"))))
+        return F.transform(x, lambda t, i: F.when(open_(t), fold(acc, i) * 2147483648 + i))
 
     def threshold(draw: Column) -> Column:
         count = F.greatest(F.lit(1), F.rint(F.size(draw) * F.lit(p)).cast("int"))
-        ordered = F.array_sort(F.filter(draw, lambda s: s.isNotNull()))
+        ordered = F.sort_array(F.filter(draw, lambda s: s.isNotNull()))
         return F.when(F.size(ordered) > 0, F.get(ordered, F.least(count, F.size(ordered)) - 1))
 
     def choose(draw: Column) -> Column:
@@ -338,7 +341,7 @@ def back_translate(samples: DataFrame, best: DataFrame, key: str = "id") -> Data
 
 def canonical_pair(pair: Column) -> Column:
     """``de-en`` for both directions of a language pair."""
-    return F.array_join(F.array_sort(F.split(pair, "-")), "-")
+    return F.array_join(F.sort_array(F.split(pair, "-")), "-")
 
 
 def swap_direction(df: DataFrame, reverse: Column) -> DataFrame:

@@ -4,10 +4,16 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, functions as F
 
-from seqspark.consts import EOS, PAD, UNK
+from seqspark.consts import BPE_MARK, EOS, PAD, UNK
 from seqspark.functions import arrays as ar
+from seqspark.functions.arrays import let
+from seqspark.operators.noise import words_of
+from seqspark.session import fenced
 from seqspark.operators.ordering import running
 
 LN2 = math.log(2)
@@ -15,51 +21,89 @@ LN2 = math.log(2)
 # ---------------------------------------------------------------- BLEU
 
 
-def _grams(tokens: Column, n: int, hyp: int) -> Column:
-    """All n-grams of a row as ``(n, gram, in hypothesis, in reference)``."""
-    starts = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - n + 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(
-        starts,
-        lambda i: F.struct(
-            F.lit(n).alias("n"), F.slice(tokens, i, n).alias("gram"),
-            F.lit(hyp).cast("bigint").alias("h"), F.lit(1 - hyp).cast("bigint").alias("r"),
-        ),
-    )
-
-
-def ngram_counts(df: DataFrame, key: list[str], ref: str, hyp: str, order: int = 4, unk: int = UNK) -> DataFrame:
-    """Counts of every n-gram on both sides of a pair; ``n = 0`` carries the two lengths.
+def clipped_matches(ref: np.ndarray, hyp: np.ndarray, ref_row: np.ndarray, hyp_row: np.ndarray, rows: int, order: int, unk: int) -> np.ndarray:
+    """Clipped n-gram matches ``(rows, order)`` of flat id arrays with their row numbers.
 
-    Rows are placed by ``key`` while they are compact, so that the aggregation of the
-    exploded n-grams needs no further exchange. A group is one n-gram of one pair.
+    N-grams get exact dense numbers by numbering (number of the (n-1)-gram, next token).
     """
-    rows = df.select(*key, ar.trim_for_scoring(F.col(ref), PAD, EOS).alias("_r"), ar.trim_for_scoring(F.col(hyp), PAD, EOS).alias("_h"))
-    rows = rows.repartition(*key)
-    r, h = F.col("_r"), F.col("_h")
-    sizes = F.array(
-        F.struct(
-            F.lit(0).alias("n"), F.slice(h, 1, 0).alias("gram"),
-            F.size(h).cast("bigint").alias("h"), F.size(r).cast("bigint").alias("r"),
-        )
-    )
-    parts = [sizes]
+    out = np.zeros((rows, order), np.int64)
+    row = np.concatenate([ref_row, hyp_row + rows])
+    _, token = np.unique(np.concatenate([ref, hyp]), return_inverse=True)
+    known = np.concatenate([ref != unk, np.ones(len(hyp), bool)])
+    gram, at, ok = token, np.arange(len(token)), known
     for n in range(1, order + 1):
-        parts.append(_grams(h, n, 1))
-        # An n-gram of the reference with an unknown token can never be matched.
-        parts.append(F.filter(_grams(r, n, 0), lambda g: ~F.array_contains(g["gram"], unk)))
-    flat = rows.select(*key, F.inline(F.flatten(F.array(*parts))))
-    return flat.groupBy(*key, "n", "gram").agg(F.sum("h").alias("h"), F.sum("r").alias("r"))
-
-
-def bleu_stats(df: DataFrame, key: list[str], ref: str, hyp: str, order: int = 4, by: list[str] | None = None) -> DataFrame:
-    """``ref_len, hyp_len, count1.., match1..`` per pair, or summed over ``by``."""
-    counted = ngram_counts(df, key, ref, hyp, order)
-    n, h = F.col("n"), F.col("h")
-    out = [F.sum(F.when(n == 0, F.col("r")).otherwise(0)).alias("ref_len"), F.sum(F.when(n == 0, h).otherwise(0)).alias("hyp_len")]
+        if n > 1:
+            inside = at + n - 1 < len(row)
+            inside[inside] &= row[at[inside] + n - 1] == row[at[inside]]
+            at, gram, ok = at[inside], gram[inside], ok[inside]
+            ok = ok & known[at + n - 1]
+            _, gram = np.unique(gram * (token.max(initial=0) + 1) + token[at + n - 1], return_inverse=True)
+        pair = row[at] % rows * (gram.max(initial=0) + 1) + gram
+        side = row[at] >= rows
+        hyp_grams, hyp_n = np.unique(pair[side], return_counts=True)
+        ref_grams, ref_n = np.unique(pair[~side & ok], return_counts=True)
+        both, i, j = np.intersect1d(hyp_grams, ref_grams, assume_unique=True, return_indices=True)
+        hits = np.minimum(hyp_n[i], ref_n[j])
+        out[:, n - 1] = np.bincount(both // (gram.max(initial=0) + 1), hits, rows)[:rows]
+    return out
+
+
+def trim(ids: np.ndarray) -> np.ndarray:
+    """Drop leading pads, then trailing pads and EOS, keeping at least one element."""
+    start, stop = 0, len(ids)
+    while start < stop - 1 and ids[start] == PAD:
+        start += 1
+    while stop > start + 1 and ids[stop - 1] in (PAD, EOS):
+        stop -= 1
+    return ids[start:stop]
+
+
+TOKENS_PER_CHUNK = 1 << 20
+
+
+def _match_udf(order: int, unk: int):
+    @F.arrow_udf("array<bigint>")
+    def matches(ref: pa.Array, hyp: pa.Array) -> pa.Array:
+        parts, start = [np.zeros((0, order + 2), np.int64)], 0
+        sizes = [pc.fill_null(pc.list_value_length(a), 0).to_numpy(zero_copy_only=False) for a in (ref, hyp)]
+        ends = np.cumsum(sizes[0] + sizes[1])
+        while start < len(ref):
+            # A chunk of rows with a bounded number of tokens (at least one row).
+            limit = (ends[start - 1] if start else 0) + TOKENS_PER_CHUNK
+            stop = max(start + 1, int(np.searchsorted(ends, limit, side="right")))
+            flat, row, length = [], [], []
+            for side, size in zip((ref, hyp), sizes):
+                values = side.slice(start, stop - start).flatten().to_numpy(zero_copy_only=False)
+                cut = [trim(v) for v in np.split(values, np.cumsum(size[start:stop])[:-1])]
+                length.append(np.array([len(v) for v in cut], np.int64))
+                flat.append(np.concatenate(cut))
+                row.append(np.repeat(np.arange(stop - start), length[-1]))
+            found = clipped_matches(*flat, *row, stop - start, order, unk)
+            parts.append(np.column_stack([*length, found]))
+            start = stop
+        table = np.concatenate(parts)
+        offsets = pa.array(np.arange(0, table.size + 1, order + 2, dtype="int32"))
+        return pa.ListArray.from_arrays(offsets, pa.array(table.ravel()))
+
+    return matches
+
+
+def bleu_stats(df: DataFrame, key: list[str], ref: str, hyp: str, order: int = 4, by: list[str] | None = None, unk: int = UNK) -> DataFrame:
+    """``ref_len, hyp_len, count1.., match1..`` per pair of id arrays, or summed over ``by``.
+
+    Matching is local to a row, so pairs are not shuffled and n-grams never leave their
+    task; an n-gram of the reference with an unknown token is never matched.
+    """
+    keep = list(dict.fromkeys([*key, *(by or [])]))
+    rows = fenced(df.select(*keep, F.col(ref).alias("_r"), F.col(hyp).alias("_h")), "_r", "_h")
+    rows = rows.select(*keep, _match_udf(order, unk)("_r", "_h").alias("_m"))
+    parts = {"ref_len": F.get("_m", F.lit(0)), "hyp_len": F.get("_m", F.lit(1))}
     for k in range(1, order + 1):
-        out.append(F.sum(F.when((n == 0) & (h >= k), h - k + 1).otherwise(0)).alias(f"count{k}"))
-        out.append(F.sum(F.when(n == k, F.least("h", "r")).otherwise(0)).alias(f"match{k}"))
-    return counted.groupBy(*(key if by is None else by)).agg(*out)
+        parts[f"count{k}"] = F.greatest(F.get("_m", F.lit(1)) - (k - 1), F.lit(0).cast("bigint"))
+        parts[f"match{k}"] = F.get("_m", F.lit(k + 1))
+    if by is None:
+        return rows.select(*key, *[c.alias(n) for n, c in parts.items()])
+    return rows.groupBy(*by).agg(*[F.sum(c).alias(n) for n, c in parts.items()])
 
 
 def bleu(stats: DataFrame, order: int = 4, smooth: bool = False) -> DataFrame:
@@ -225,13 +269,13 @@ def sequence_score(rows: DataFrame, sample: list[str], pos: str = "pos", logp: s
     """Mean log-probability of the non-pad targets, with the scores by position."""
     kept = rows.filter(F.col(target) != pad)
     return kept.groupBy(*sample).agg(
-        F.avg(logp).alias("score"), F.array_sort(F.collect_list(F.struct(pos, logp)))[logp].alias("positional")
+        F.avg(logp).alias("score"), F.sort_array(F.collect_list(F.struct(pos, logp)))[logp].alias("positional")
     )
 
 
 def ensemble(rows: DataFrame, key: list[str], lprob: str = "lprob") -> DataFrame:
     """Log of the mean probability over models (one row per model and key)."""
-    packed = rows.groupBy(*key).agg(F.array_sort(F.collect_list(lprob)).alias("_l"))
+    packed = rows.groupBy(*key).agg(F.sort_array(F.collect_list(lprob)).alias("_l"))
     mean = ar.let(
         F.array_max("_l"),
         lambda m: m + F.log(F.aggregate("_l", F.lit(0.0), lambda a, x: a + F.exp(x - m)) / F.size("_l")),
@@ -239,20 +283,43 @@ def ensemble(rows: DataFrame, key: list[str], lprob: str = "lprob") -> DataFrame
     return packed.select(*key, mean.alias("lprob"))
 
 
-def word_scores(pieces: DataFrame, sample: list[str], mark: str = "@@") -> DataFrame:
-    """Scores of whole words from ``(sample, word_idx, pos, piece, logp)``.
+def word_scores(df: DataFrame, pieces: str, scores: str, keep: list[str], mark: str = BPE_MARK) -> DataFrame:
+    """Whole words ``(keep, word_idx, word, logp, is_bpe, next)`` of rows with pieces and scores.
 
     Continuation pieces hand their score on, infinite words are skipped, ``next`` is the
-    first later score that is not zero. Windows run inside one sentence.
+    first later score that is not zero. All inside the row.
     """
-    packed = F.array_sort(F.collect_list(F.struct("pos", F.replace("piece", F.lit(mark), F.lit("")).alias("p"))))
-    words = pieces.groupBy(*sample, "word_idx").agg(
-        F.sum("logp").alias("logp"), F.array_join(packed["p"], "").alias("word"), (F.count(F.lit(1)) > 1).alias("is_bpe")
-    )
-    words = words.filter(~F.col("logp").isin(float("inf"), float("-inf")))
-    later = Window.partitionBy(*sample).orderBy("word_idx").rowsBetween(1, Window.unboundedFollowing)
-    following = F.first(F.when(F.col("logp") != 0, F.col("logp")), ignorenulls=True).over(later)
-    return words.withColumn("next", following)
+    inf = float("inf")
+
+    def words(x: Column) -> Column:
+        index = F.transform(words_of(x["p"], mark), lambda w, i: F.struct(F.size(w).alias("n"), i.alias("i"), w.alias("w")))
+        ends = F.filter(F.sequence(F.lit(1), F.size(x["p"])), lambda i: ~F.get(x["p"], i - 1).endswith(mark) | (i == F.size(x["p"])))
+
+        def score(s: Column, k: Column, ends: Column) -> Column:
+            part = F.slice(x["s"], F.get(ends, k) - s["n"] + 1, s["n"])
+            return F.struct(
+                s["i"].alias("word_idx"),
+                F.array_join(F.transform(s["w"], lambda p: F.replace(p, F.lit(mark), F.lit(""))), "").alias("word"),
+                F.aggregate(part, F.lit(0.0), lambda a, v: a + v).alias("logp"),
+                (s["n"] > 1).alias("is_bpe"),
+            )
+
+        return let(ends, lambda e: F.transform(index, lambda s, k: score(s, k, e)))
+
+    def follow(w: Column) -> Column:
+        def later(e: Column, i: Column) -> Column:
+            after = F.get(w, i + 1)["logp"]
+            # Only a zero score, which no real word has, makes the search look further.
+            far = F.get(F.filter(F.slice(w, i + 2, F.size(w)), lambda v: v["logp"] != 0), F.lit(0))["logp"]
+            return F.when(after != 0, after).otherwise(far)
+
+        return F.transform(
+            w, lambda e, i: F.struct(e["word_idx"].alias("word_idx"), e["word"].alias("word"), e["logp"].alias("logp"), e["is_bpe"].alias("is_bpe"), later(e, i).alias("next"))
+        )
+
+    finite = F.filter(let(F.struct(F.col(pieces).alias("p"), F.col(scores).alias("s")), words), lambda e: ~e["logp"].isin(inf, -inf))
+    rows = df.filter(F.size(pieces) > 0)
+    return rows.select(*keep, F.inline(let(finite, follow)))
 
 
 def lm_loss(words: DataFrame, by: list[str]) -> DataFrame:

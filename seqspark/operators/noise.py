@@ -6,8 +6,6 @@ act on whole words and stay inside the row. ``acc`` is the row's hash (seed and
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, functions as F
 
 from seqspark.consts import BPE_MARK
@@ -19,16 +17,22 @@ UNKNOWN = "<unk>"
 
 
 def words_of(pieces: Column, mark: str | None = BPE_MARK, end_mark: str | None = None) -> Column:
-    """``[how, y@@, ou]`` to ``[[how], [y@@, ou]]``; pieces contain no spaces."""
-    if mark:
-        border = f"(?<!{re.escape(mark)}) "
-    elif end_mark:
-        border = f"(?<={re.escape(end_mark)}) "
-    else:
-        border = " "
-    grouped = F.split(F.array_join(pieces, " "), border)
-    nested = F.transform(grouped, lambda w: F.split(w, " "))
-    return F.when(F.size(pieces) == 0, F.array().cast("array<array<string>>")).otherwise(nested)
+    """``[how, y@@, ou]`` to ``[[how], [y@@, ou]]``."""
+    if not mark and not end_mark:
+        return F.transform(pieces, lambda p: F.array(p))
+
+    def closed(p: Column) -> Column:
+        return ~p.endswith(mark) if mark else p.endswith(end_mark)
+
+    def cut(p: Column) -> Column:
+        places = F.when(F.size(p) > 0, F.sequence(F.lit(0), F.size(p) - 1)).otherwise(F.array().cast("array<int>"))
+        starts = F.filter(places, lambda i: (i == 0) | closed(F.get(p, i - 1)))
+        return let(
+            starts,
+            lambda s: F.transform(s, lambda a, i: F.slice(p, a + 1, F.coalesce(F.get(s, i + 1), F.size(p)) - a)),
+        )
+
+    return let(pieces, cut)
 
 
 def word_index(pieces: Column, mark: str | None = BPE_MARK, end_mark: str | None = None) -> Column:
@@ -36,8 +40,38 @@ def word_index(pieces: Column, mark: str | None = BPE_MARK, end_mark: str | None
     return F.flatten(F.transform(words_of(pieces, mark, end_mark), lambda w, i: F.array_repeat(i, F.size(w))))
 
 
-def _has_end(pieces: Column) -> Column:
-    return F.coalesce(F.get(pieces, F.size(pieces) - 1) == END, F.lit(False))
+def _ended(words: Column) -> Column:
+    """Does the last word carry the end mark?"""
+    last = F.get(words, F.size(words) - 1)
+    return F.coalesce(F.get(last, F.size(last) - 1) == END, F.lit(False))
+
+
+def _drop_words(words: Column, p: float, acc: Column, blank: str | None, regroup) -> Column:
+    def thin(n: Column) -> Column:
+        if blank is None:
+            return F.filter(words, lambda w, i: (i == n) | (fold_unit(acc, i) >= p))
+        return F.transform(
+            words, lambda w, i: F.when((i == n) | (fold_unit(acc, i) >= p), w).otherwise(F.array_repeat(F.lit(blank), F.size(w)))
+        )
+
+    def guard(out: Column) -> Column:
+        few = (F.size(out) <= 1) & (F.size(F.flatten(out)) <= 1) & (F.size(words) > 0)
+        all_ = F.flatten(words)
+        spare = F.get(all_, F.floor(fold_unit(acc, 1_000_000_007) * F.size(all_)).cast("int"))
+        return F.when(few, regroup(F.concat(F.array(spare), F.flatten(out)))).otherwise(out)
+
+    pinned = F.when(_ended(words), F.size(words) - 1).otherwise(F.lit(-1))
+    return let(let(pinned, thin), guard)
+
+
+def _shuffle_words(words: Column, k: int, acc: Column) -> Column:
+    keyed = F.transform(
+        words,
+        lambda w, i: F.struct(
+            (i + F.when(i == 0, F.lit(-1.0)).otherwise(fold_unit(acc, i) * k)).alias("key"), i.alias("i"), w.alias("w")
+        ),
+    )
+    return F.transform(F.sort_array(keyed), lambda s: s["w"])
 
 
 def word_dropout(
@@ -50,27 +84,11 @@ def word_dropout(
     if p == 0:
         return pieces
 
-    def thin(words: Column, acc: Column, pinned: Column) -> Column:
-        def kept(i: Column) -> Column:
-            return (fold_unit(acc, i) >= p) | (i == pinned)
+    def regroup(x: Column) -> Column:
+        return words_of(x, mark, end_mark)
 
-        if blank is None:
-            return F.flatten(F.filter(words, lambda w, i: kept(i)))
-        return F.flatten(F.transform(words, lambda w, i: F.when(kept(i), w).otherwise(F.array_repeat(F.lit(blank), F.size(w)))))
-
-    def guarded(x: Column) -> Column:
-        spare = F.get(x["p"], F.floor(fold_unit(x["acc"], 1_000_000_007) * F.size(x["p"])).cast("int"))
-        few = (F.size(x["out"]) <= 1) & (F.size(x["p"]) > 0)
-        return F.when(few, F.concat(F.array(spare), x["out"])).otherwise(x["out"])
-
-    def run(x: Column) -> Column:
-        pinned = F.when(_has_end(x["p"]), F.size(x["w"]) - 1).otherwise(F.lit(-1))
-        return let(
-            pinned,
-            lambda n: let(F.struct(x["p"].alias("p"), x["acc"].alias("acc"), thin(x["w"], x["acc"], n).alias("out")), guarded),
-        )
-
-    return let(F.struct(pieces.alias("p"), words_of(pieces, mark, end_mark).alias("w"), acc.alias("acc")), run)
+    nested = F.struct(regroup(pieces).alias("w"), acc.alias("acc"))
+    return F.flatten(let(nested, lambda x: _drop_words(x["w"], p, x["acc"], blank, regroup)))
 
 
 def word_shuffle(pieces: Column, k: int, acc: Column, mark: str | None = BPE_MARK, end_mark: str | None = None) -> Column:
@@ -79,20 +97,16 @@ def word_shuffle(pieces: Column, k: int, acc: Column, mark: str | None = BPE_MAR
         return pieces
     if k <= 1:
         raise ValueError("the shuffle distance is 0 or greater than 1")
-    ended = _has_end(pieces)
-    body = F.when(ended, F.slice(pieces, 1, F.size(pieces) - 1)).otherwise(pieces)
-    tail = F.when(ended, F.array(F.lit(END))).otherwise(F.array().cast("array<string>"))
-
-    def moved(acc: Column) -> Column:
-        keyed = F.transform(
-            words_of(body, mark, end_mark),
-            lambda w, i: F.struct(
-                (i + F.when(i == 0, F.lit(-1.0)).otherwise(fold_unit(acc, i) * k)).alias("key"), i.alias("i"), w.alias("w")
-            ),
-        )
-        return F.flatten(F.transform(F.array_sort(keyed), lambda s: s["w"]))
 
-    return F.concat(let(acc, moved), tail)
+    def run(x: Column) -> Column:
+        p = x["p"]
+        ended = F.coalesce(F.get(p, F.size(p) - 1) == END, F.lit(False))
+        body = F.when(ended, F.slice(p, 1, F.size(p) - 1)).otherwise(p)
+        tail = F.when(ended, F.array(F.lit(END))).otherwise(F.array().cast("array<string>"))
+        moved = let(words_of(body, mark, end_mark), lambda w: _shuffle_words(w, k, x["acc"]))
+        return F.concat(F.flatten(moved), tail)
+
+    return let(F.struct(pieces.alias("p"), acc.alias("acc")), run)
 
 
 def noise(pieces: str, acc: str, distance: int, dropout: float, blanking: float, mark: str | None = BPE_MARK):

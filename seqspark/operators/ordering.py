@@ -126,6 +126,6 @@ def ranked(df: DataFrame, order: list, out: str = "rank", group: list[str] | Non
 
 def regroup(df: DataFrame, key: list[str], pos: str, cols: list[str]) -> DataFrame:
     """Rebuild arrays in ``pos`` order; groups are the bounded rows of one sequence."""
-    packed = F.array_sort(F.collect_list(F.struct(pos, *cols)))
+    packed = F.sort_array(F.collect_list(F.struct(pos, *cols)))
     out = df.groupBy(*key).agg(packed.alias("_p"))
     return out.select(*key, *[F.col(f"_p.{c}").alias(c) for c in cols])

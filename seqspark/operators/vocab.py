@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from seqspark.consts import BPE_MARK, EOS, PLAIN_SPECIALS, UNK
 from seqspark.functions import text as tx
 from seqspark.operators.ordering import ranked
+from seqspark.session import fenced, local_table, pin
 
 # Rows of a lookup table that may be shipped to every task (about 30 MB of tokens).
 BROADCAST_ROWS = 1_000_000
@@ -37,26 +38,20 @@ def count_tokens(tokens: DataFrame, token: str = "token", first: str = "first")
 def count_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Token counts of whole texts plus one end mark per line."""
     base = first_key((F.col(id_col), 0), (F.lit(0), 31))
-    tokens = docs.select(base.alias("base"), F.posexplode(tx.words(F.col(text_col))).alias("pos", "token"))
-    counted = count_tokens(tokens.select("token", (F.col("base") + F.col("pos")).cast("decimal(38,0)").alias("first")))
-    ends = docs.agg(
-        F.lit(PLAIN_SPECIALS[EOS]).alias("token"),
-        F.sum(F.size(tx.lines(F.col(text_col)))).alias("cnt"),
-        F.lit(None).cast("decimal(38,0)").alias("first"),
-    )
-    return counted.unionByName(ends).groupBy("token").agg(
-        F.sum("cnt").alias("cnt"), F.min("first").alias("first")
-    )
+    ends = F.array_repeat(F.lit(PLAIN_SPECIALS[EOS]), F.size(tx.lines(F.col(text_col))))
+    marked = F.concat(tx.words(F.col(text_col)), ends)
+    tokens = docs.select(base.alias("base"), F.posexplode(marked).alias("pos", "token"))
+    return count_tokens(tokens.select("token", (F.col("base") + F.col("pos")).cast("decimal(38,0)").alias("first")))
 
 
 def specials(spark: SparkSession, names: list[str] = PLAIN_SPECIALS) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(names)), "token_id bigint, token string")
+    return local_table(spark, list(enumerate(names)), "token_id bigint, token string")
 
 
 def fixed_vocab(spark: SparkSession, names: list[str], tokens: list[str]) -> DataFrame:
     """A vocabulary given as a list (the molecule vocabularies)."""
     rows = [(i, t, i < len(names)) for i, t in enumerate(names + tokens)]
-    return spark.createDataFrame(rows, "token_id bigint, token string, is_special boolean")
+    return local_table(spark, rows, "token_id bigint, token string, is_special boolean")
 
 
 def finalize(
@@ -74,38 +69,51 @@ def finalize(
     """
     spark = counts.sparkSession
     nspecial = len(names)
-    words = counts.filter(~F.col("token").isin(names))
-    if threshold > 0:
-        words = words.filter(F.col("cnt") >= threshold)
+    special = F.col("token").isin(names)
+    found = counts.filter(special | (F.col("cnt") >= threshold)).select("token", "cnt", "first", special.alias("is_special"))
     order = [-F.col("cnt"), F.col("first")]
+    reserved = specials(spark, names).select("token", F.col("token_id").alias("sid"), F.lit(0).cast("bigint").alias("cnt"))
     if nwords > 0:
-        top = words.orderBy(*order).limit(max(nwords - nspecial, 0))
-        one = Window.partitionBy(F.lit(0)).orderBy(*order)
-        kept = top.withColumn("rank", (F.row_number().over(one) - 1).cast("bigint"))
+        # Reserved symbols and the best words, in one pass over the counts.
+        top = found.orderBy(F.desc("is_special"), *order).limit(nwords + nspecial)
+        listed = top.select("token", F.lit(None).cast("bigint").alias("sid"), "cnt", "first").unionByName(
+            reserved, allowMissingColumns=True
+        )
+        listed = listed.groupBy("token").agg(F.max("sid").alias("sid"), F.sum("cnt").alias("cnt"), F.min("first").alias("first"))
+        one = Window.partitionBy(F.lit(0)).orderBy(F.col("sid").asc_nulls_last(), *order)
+        rows = listed.withColumn("token_id", (F.row_number().over(one) - 1).cast("bigint")).filter(F.col("token_id") < nwords)
+        rows = rows.withColumn("is_special", F.col("sid").isNotNull())
     else:
-        kept = ranked(words, order, "rank")
-    kept = kept.select(
-        (F.col("rank") + nspecial).alias("token_id"), "token", "cnt", F.lit(False).alias("is_special")
-    )
-    reserved = (
-        specials(spark, names)
-        .join(counts.filter(F.col("token").isin(names)).select("token", "cnt"), "token", "left")
-        .select("token_id", "token", F.coalesce("cnt", F.lit(0)).cast("bigint").alias("cnt"), F.lit(True).alias("is_special"))
-    )
-    out = reserved.unionByName(kept)
-    if padding_factor > 1:
-        size = kept.agg((F.count(F.lit(1)) + nspecial).alias("n"))
-        missing = F.pmod(-F.col("n"), F.lit(padding_factor)).cast("int")
-        fill = size.select("n", F.explode(F.filter(F.sequence(F.lit(0), F.lit(padding_factor - 1)), lambda i: i < missing)).alias("i"))
-        out = out.unionByName(
-            fill.select(
-                (F.col("n") + F.col("i")).alias("token_id"),
-                F.format_string("madeupword%04d", "i").alias("token"),
-                F.lit(0).cast("bigint").alias("cnt"),
-                F.lit(False).alias("is_special"),
-            )
+        # Every word is ranked; the counts are written once instead of being made three times.
+        found = pin(found)
+        words = ranked(found.filter("not is_special"), order, "token_id")
+        rows = words.withColumn("token_id", F.col("token_id") + nspecial)
+        seen = found.filter("is_special").select("token", F.col("cnt").alias("c"))
+        rows = rows.unionByName(
+            reserved.join(F.broadcast(seen), "token", "left").select(
+                F.col("sid").alias("token_id"), "token", F.coalesce("c", "cnt").alias("cnt"), F.lit(True).alias("is_special")
+            ),
+            allowMissingColumns=True,
         )
-    return out
+    out = rows.select("token_id", "token", "cnt", "is_special")
+    if padding_factor <= 1:
+        return out
+    # The last id is followed by the filling words.
+    last = rows.agg(F.max("token_id").alias("m")) if nwords <= 0 else None
+    if last is not None:
+        out = out.crossJoin(F.broadcast(last))
+    else:
+        out = out.withColumn("m", F.max("token_id").over(Window.partitionBy(F.lit(0))))
+    numbers = F.filter(F.sequence(F.lit(0), F.lit(padding_factor - 1)), lambda i: i < F.pmod(-F.col("m") - 1, F.lit(padding_factor)))
+    fill = F.transform(
+        numbers,
+        lambda i: F.struct(
+            (F.col("m") + 1 + i).alias("token_id"), F.format_string("madeupword%04d", i).alias("token"),
+            F.lit(0).cast("bigint").alias("cnt"), F.lit(False).alias("is_special"),
+        ),
+    )
+    own = F.array(F.struct("token_id", "token", "cnt", "is_special"))
+    return out.select(F.inline(F.when(F.col("token_id") == F.col("m"), F.concat(own, fill)).otherwise(own)))
 
 
 def first_seen_vocab(tokens: DataFrame, names: list[str] = PLAIN_SPECIALS) -> DataFrame:
@@ -167,7 +175,28 @@ def encode(
         found = pc.take(ids, pc.index_in(flat, value_set=names))
         return pa.ListArray.from_arrays(_offsets(batch), pc.fill_null(found, unk))
 
-    return df.withColumn(out, lookup(F.col(tokens)))
+    return fenced(df, tokens).withColumn(out, lookup(F.col(tokens)))
+
+
+def attach_values(df: DataFrame, tokens: str, table: DataFrame, value: str, out: str, limit: int = BROADCAST_ROWS, key: list[str] | None = None) -> DataFrame:
+    """Array of doubles looked up for an array of tokens (``table``: ``(token, value)``)."""
+    rows = table.select("token", F.col(value).cast("double").alias("v")).limit(limit + 1).toArrow()
+    if rows.num_rows > limit:
+        if not key:
+            raise ValueError("a table beyond the broadcast limit needs key columns")
+        long = df.select(*key, F.posexplode(tokens).alias("pos", "token"))
+        found = long.join(table.select("token", F.col(value).alias("v")), "token", "left")
+        packed = F.sort_array(F.collect_list(F.struct("pos", "v")))
+        return df.join(found.groupBy(*key).agg(packed["v"].alias(out)), key, "left")
+    shipped = df.sparkSession.sparkContext.broadcast((rows["token"].combine_chunks(), rows["v"].combine_chunks()))
+
+    @F.arrow_udf("array<double>")
+    def lookup(batch: pa.Array) -> pa.Array:
+        names, values = shipped.value
+        found = pc.take(values, pc.index_in(batch.flatten(), value_set=names))
+        return pa.ListArray.from_arrays(_offsets(batch), found)
+
+    return fenced(df, tokens).withColumn(out, lookup(F.col(tokens)))
 
 
 def lookup_ids(tokens: DataFrame, vocab: DataFrame, unk: int = UNK) -> DataFrame:
@@ -184,7 +213,7 @@ def _encode_by_join(df, tokens, vocab, out, key, unk):
     if not key:
         raise ValueError("a vocabulary beyond the broadcast limit needs key columns")
     long = df.select(*key, F.posexplode(tokens).alias("pos", "token"))
-    packed = F.array_sort(F.collect_list(F.struct("pos", F.col("token_id").cast("int").alias("i"))))
+    packed = F.sort_array(F.collect_list(F.struct("pos", F.col("token_id").cast("int").alias("i"))))
     ids = lookup_ids(long, vocab, unk).groupBy(*key).agg(packed.alias("_p")).select(*key, F.col("_p.i").alias(out))
     empty = F.array().cast("array<int>")
     return df.join(ids, key, "left").withColumn(out, F.coalesce(out, empty))
@@ -195,7 +224,7 @@ def decode(long: DataFrame, vocab: DataFrame, key: list[str], escape_unk: bool =
     unk = f"<{PLAIN_SPECIALS[UNK]}>" if escape_unk else PLAIN_SPECIALS[UNK]
     named = long.filter(F.col("token_id") != EOS).join(vocab.select("token_id", "token"), "token_id", "left")
     token = F.when(F.col("token_id") == UNK, F.lit(unk)).otherwise(F.coalesce("token", F.lit(unk)))
-    packed = F.array_sort(F.collect_list(F.struct("pos", token.alias("t"))))
+    packed = F.sort_array(F.collect_list(F.struct("pos", token.alias("t"))))
     sent = F.array_join(packed["t"], " ")
     return named.groupBy(*key).agg((tx.remove_bpe(sent) if bpe else sent).alias("text"))
 
@@ -222,9 +251,10 @@ def decode_rows(
         found = pc.if_else(pc.equal(flat, UNK), unk, found)
         return pa.ListArray.from_arrays(_offsets(batch), found)
 
-    shown = F.filter(F.col(ids), lambda i: i != EOS)
-    sentence = F.array_join(lookup(shown), " ")
-    return df.withColumn("text", tx.remove_bpe(sentence) if bpe else sentence)
+    shown = df.withColumn("_shown", F.filter(F.col(ids), lambda i: i != EOS))
+    named = fenced(shown, "_shown").withColumn("_names", lookup(F.col("_shown")))
+    sentence = F.array_join("_names", " ")
+    return named.withColumn("text", tx.remove_bpe(sentence) if bpe else sentence).drop("_shown", "_names")
 
 
 def encode_report(encoded: DataFrame, by: list[str]) -> DataFrame:
@@ -282,7 +312,7 @@ def replace_unk(hyp: DataFrame, source: DataFrame, align: DataFrame, unk: str =
     joined = hyp.join(src, "id").withColumn("src", F.get("_src", F.col("src_pos").cast("int")))
     joined = joined.join(align, "src", "left")
     token = F.when(F.col("token") == unk, F.coalesce("tgt", "src")).otherwise(F.col("token"))
-    packed = F.array_sort(F.collect_list(F.struct("pos", token.alias("t"))))
+    packed = F.sort_array(F.collect_list(F.struct("pos", token.alias("t"))))
     return joined.groupBy("id").agg(F.array_join(packed["t"], " ").alias("text"))
 
 

@@ -96,6 +96,7 @@ def doc_stream(spark, d) -> DataFrame:
         F.flatten("l").alias("tokens"),
         F.flatten(F.transform("l", lambda w, i: F.array_repeat(i, F.size(w)))).alias("line"),
         F.flatten(F.transform("l", lambda w: F.sequence(F.lit(0), F.size(w) - 1))).alias("off"),
+        F.aggregate("l", F.lit(0), lambda a, w: a + F.size(w)).alias("size"),
     )
     return vb.encode(rows, "tokens", doc_vocab(spark, d)).drop("tokens")
 

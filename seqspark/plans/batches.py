@@ -175,7 +175,7 @@ pm AS (SELECT id, batch_id, ns, nt, repeat('1 ', (ws - ns)::INT) || source AS so
 def matrices(spark, d):
     p = pair_ids(spark, d)
     p = p.withColumns({c: ar.append_eos(F.col(c)) for c in ("source", "target")})
-    p = p.withColumns({"ns": F.size("source"), "nt": F.size("target"), "h": bt.length_key(SEED, "id")})
+    p = p.withColumns({"ns": F.col("ns") + 1, "nt": F.col("nt") + 1, "h": bt.length_key(SEED, "id")})
     b = bt.batch_by_size(p, ["ns", "nt"], ["h", "id"], F.greatest("ns", "nt"), max_sentences=4)
     return bt.collate(b, "source", "target")
 

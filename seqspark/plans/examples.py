@@ -19,7 +19,7 @@ SEED = 17
 @query("e01_token_blocks", f"""WITH {sql.STREAM}
 SELECT g // {BLOCK} AS block_id, count(*) AS n, string_agg(token_id::VARCHAR, ' ' ORDER BY g) AS item FROM stream GROUP BY 1""")
 def token_blocks(spark, d):
-    b = ex.token_blocks(base.doc_stream(spark, d), ["doc_id"], "ids", BLOCK)
+    b = ex.token_blocks(base.doc_stream(spark, d), ["doc_id"], "ids", BLOCK, "size")
     return b.select("block_id", F.size("item").cast("bigint").alias("n"), joined("item").alias("item"))
 
 
@@ -67,7 +67,7 @@ blocks AS (SELECT block_id, string_agg(token_id::VARCHAR, ' ' ORDER BY i) AS ite
 
 @query("e05_block_targets", f"WITH {_TARGETS} SELECT block_id, item, source, past FROM blocks")
 def block_targets(spark, d):
-    b = ex.block_targets(base.doc_stream(spark, d), ["doc_id"], "ids", "off", BLOCK)
+    b = ex.block_targets(base.doc_stream(spark, d), ["doc_id"], "ids", "off", BLOCK, "size")
     return b.select("block_id", *[joined(c).alias(c) for c in ("item", "source", "past")])
 
 
@@ -79,7 +79,7 @@ SELECT block_id, source || CASE WHEN done THEN '' ELSE ' 2' END AS source,
   CASE WHEN done THEN past ELSE '1 ' || array_to_string(list_slice(string_split(past, ' '), 2, len(string_split(past, ' '))) || [string_split(source, ' ')[-1]], ' ') END AS target_past
 FROM b""")
 def select_targets(spark, d):
-    b = ex.block_targets(base.doc_stream(spark, d), ["doc_id"], "ids", "off", BLOCK)
+    b = ex.block_targets(base.doc_stream(spark, d), ["doc_id"], "ids", "off", BLOCK, "size")
     t = ex.select_targets(b.withColumnRenamed("item", "future"), ["self", "future", "past"], add_eos=True)
     return t.select("block_id", *[joined(c).alias(c) for c in ("source", "target_self", "target_future", "target_past")])
 
@@ -138,7 +138,7 @@ def pair_ids(spark, d):
     vocab = joint_vocab(spark, d)
     p = base.pair_words(spark, d)
     p = vb.encode(vb.encode(p, "sw", vocab, "source"), "tw", vocab, "target")
-    return p.select("id", "conv_id", "turn", "source", "target")
+    return p.select("id", "conv_id", "turn", "source", "target", F.size("sw").alias("ns"), F.size("tw").alias("nt"))
 
 
 @query("e09_pair_example", f"""WITH {PAIR_IDS}

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from seqspark.functions import arrays as ar
 from seqspark.functions.hashing import base as hash_base, fold_unit, unit
-from seqspark.operators import metrics as mt, noise as nz
+from seqspark.operators import metrics as mt, vocab as vb
 from seqspark.plans import base, sql
 from seqspark.plans.base import query
 
@@ -257,13 +257,12 @@ wn AS (SELECT *, lead(logp) OVER (PARTITION BY doc_id, line_no ORDER BY wi) AS n
 
 def piece_words(spark, d):
     p = base.pieces(spark, d)
-    z = F.arrays_zip(F.col("pieces").alias("piece"), nz.word_index(F.col("pieces")).alias("word_idx"))
-    rows = p.select("doc_id", "line_no", F.posexplode(z).alias("pos", "z")).select("doc_id", "line_no", "pos", "z.*")
-    counts = rows.groupBy("piece").agg(F.count(F.lit(1)).alias("c"))
+    counts = p.select(F.explode("pieces").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("c"))
     total = counts.agg(F.sum("c").alias("n"))
     logp = F.when(F.col("c") == 1, F.lit(float("-inf"))).otherwise(F.log(F.col("c") / F.col("n")))
-    model = counts.crossJoin(F.broadcast(total)).select("piece", logp.alias("logp"))
-    return mt.word_scores(rows.join(model, "piece"), ["doc_id", "line_no"])
+    model = counts.crossJoin(F.broadcast(total)).select("token", logp.alias("logp"))
+    scored = vb.attach_values(p, "pieces", model, "logp", "scores", key=["doc_id", "line_no"])
+    return mt.word_scores(scored, "pieces", "scores", ["doc_id", "line_no"])
 
 
 @query("a15_lm_loss", f"""WITH {_WORD_SCORES}

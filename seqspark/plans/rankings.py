@@ -152,12 +152,12 @@ _LINES = f"""{_UNIGRAM}, sc AS (SELECT doc_id AS sample, line_no AS hyp, sum(log
 
 
 @query("d07_n_best", f"""WITH {_LINES}
-SELECT sample, hyp, round(score, 6) AS score, row_number() OVER (PARTITION BY sample ORDER BY round(score, 9) DESC, hyp) - 1 AS hyp_rank FROM sc
+SELECT sample, hyp, round(score, 9) AS score, row_number() OVER (PARTITION BY sample ORDER BY round(score, 9) DESC, hyp) - 1 AS hyp_rank FROM sc
 QUALIFY hyp_rank < 3""")
 def n_best(spark, d):
     # Rounded, so that equal lines tie in every order of addition.
     out = rk.n_best(scored_lines(spark, d).withColumn("score", F.round("score", 9)), ["sample"], 3)
-    return out.select("sample", "hyp", r6("score").alias("score"), "hyp_rank")
+    return out.select("sample", "hyp", "score", "hyp_rank")
 
 
 @query("d08_prefix_constraint", f"""WITH {_CAND},

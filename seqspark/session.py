@@ -6,7 +6,10 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 
 def get_session(app: str = "seqspark", master: str | None = None, **conf) -> SparkSession:
@@ -42,6 +45,25 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def local_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A DataFrame of rows the driver already holds, shipped as one Arrow batch."""
+    names = StructType.fromDDL(schema).fieldNames()
+    columns = list(zip(*rows)) if rows else [()] * len(names)
+    types = to_arrow_schema(StructType.fromDDL(schema))
+    table = pa.table([pa.array(list(c), t.type) for c, t in zip(columns, types)], schema=types)
+    return spark.createDataFrame(table, schema=StructType.fromDDL(schema))
+
+
+def fenced(df: DataFrame, *columns: str) -> DataFrame:
+    """Compute columns below a one-row generator.
+
+    The optimizer inlines column expressions into a Python function's arguments; behind
+    the generator they are plain columns, made once per row.
+    """
+    rest = [c for c in df.columns if c not in columns]
+    return df.select(*rest, F.inline(F.array(F.struct(*columns))))
+
+
 def pin(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: cuts lineage and survives the loss of executors."""
     spark = df.sparkSession

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from seqspark.functions import text as tx
+from seqspark.session import local_table
 
 
 def read_lines(spark: SparkSession, path) -> DataFrame:
@@ -33,7 +34,7 @@ def read_numbered(spark: SparkSession, path) -> DataFrame:
     for s in sorted(splits, key=lambda r: (r["_file"], r["_start"])):
         rows.append((s["_file"], s["_start"], s["_m0"], offset))
         offset += s["n"]
-    table = spark.createDataFrame(rows, "_file string, _start bigint, _m0 bigint, _offset bigint")
+    table = local_table(spark, rows, "_file string, _start bigint, _m0 bigint, _offset bigint")
     ordinal = F.col("_offset") + F.col("_m") - F.col("_m0")
     checked = F.when(ordinal.isNotNull(), ordinal).otherwise(F.raise_error("input splits changed between scans").cast("bigint"))
     return raw.join(table, ["_file", "_start"], "left").select(checked.alias("line_no"), "line")

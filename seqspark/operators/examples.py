@@ -10,7 +10,7 @@ from seqspark.consts import EOS, GO, MASK, PAD
 from seqspark.functions import arrays as ar
 from seqspark.functions.arrays import let
 from seqspark.functions.hashing import fold, fold_unit
-from seqspark.operators.ordering import bucket_of, parallelism, ranked, running, split_points
+from seqspark.operators.ordering import SAMPLES_PER_BUCKET, bucket_of, parallelism, ranked, running, split_points
 
 # ---------------------------------------------------------------- blocks
 
@@ -162,7 +162,9 @@ class _Transfer:
         return out
 
 
-def pack_sentences(rows: DataFrame, order: list[str], size: str, block_size: int, buckets: int | None = None) -> DataFrame:
+def pack_sentences(
+    rows: DataFrame, order: list[str], size: str, block_size: int, buckets: int | None = None, samples: int = SAMPLES_PER_BUCKET
+) -> DataFrame:
     """Mode *complete*: whole sentences, greedily; a longer one gets its own block.
 
     Exact over the global order. Returns ``order`` columns and ``block_id``; tasks stream
@@ -170,7 +172,7 @@ def pack_sentences(rows: DataFrame, order: list[str], size: str, block_size: int
     """
     spark = rows.sparkSession
     buckets = buckets or parallelism(rows)
-    points = split_points(rows, order, buckets)
+    points = split_points(rows, order, buckets, samples)
     keyed = rows.select(*order, F.col(size).cast("bigint").alias("_size")).withColumn("_bucket", bucket_of(rows, order, points).cast("int"))
     placed = keyed.repartition(buckets, "_bucket").sortWithinPartitions("_bucket", *order)
 

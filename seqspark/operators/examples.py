@@ -10,7 +10,7 @@ from seqspark.consts import EOS, GO, MASK, PAD
 from seqspark.functions import arrays as ar
 from seqspark.functions.arrays import let
 from seqspark.functions.hashing import fold, fold_unit
-from seqspark.operators.ordering import SAMPLES_PER_BUCKET, bucket_of, parallelism, ranked, running, split_points
+from seqspark.operators.ordering import BUCKETS_PER_PARTITION, SAMPLES_PER_BUCKET, bucket_of, parallelism, ranked, running, split_points
 
 # ---------------------------------------------------------------- blocks
 
@@ -171,10 +171,10 @@ def pack_sentences(
     sizes only, batch by batch.
     """
     spark = rows.sparkSession
-    buckets = buckets or parallelism(rows)
+    buckets = buckets or BUCKETS_PER_PARTITION * parallelism(rows)
     points = split_points(rows, order, buckets, samples)
     keyed = rows.select(*order, F.col(size).cast("bigint").alias("_size")).withColumn("_bucket", bucket_of(rows, order, points).cast("int"))
-    placed = keyed.repartition(buckets, "_bucket").sortWithinPartitions("_bucket", *order)
+    placed = keyed.repartition("_bucket").sortWithinPartitions("_bucket", *order)
 
     def summarise(batches):
         bucket, transfer = None, None

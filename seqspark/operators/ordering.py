@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 SAMPLES_PER_BUCKET = 32
+# Several buckets per shuffle partition even out what hashing puts together.
+BUCKETS_PER_PARTITION = 4
 
 
 def parallelism(df: DataFrame) -> int:
@@ -75,7 +77,7 @@ def running(
     new column name to the summed expression. Groups may be of any size and skew.
     """
     group = list(group or [])
-    buckets = buckets or parallelism(df)
+    buckets = buckets or BUCKETS_PER_PARTITION * parallelism(df)
     full = [F.col(g) for g in group] + [_col(c) for c in order]
     points = split_points(df, full, buckets, samples)
     rows = df.withColumn("_bucket", bucket_of(df, full, points))
@@ -99,7 +101,8 @@ def running(
             offsets = totals.select(
                 *group, "_bucket", *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in sums]
             )
-            rows = rows.join(offsets, group + ["_bucket"])
+            # Every bucket has an offset; a left join spares the test of the computed key.
+            rows = rows.join(offsets, group + ["_bucket"], "left")
         else:
             # One row per bucket: its number is fixed by ``buckets``, not by the data.
             seen = {r["_bucket"]: r for r in totals.collect()}

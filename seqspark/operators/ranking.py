@@ -16,9 +16,10 @@ MINUS_INF = float("-inf")
 
 
 def _top(df: DataFrame, key: list[str], order: list, n, out: str = "rank") -> DataFrame:
+    # The bare comparison is what lets Spark cut each partition to its best rows first.
     by = Window.partitionBy(*key).orderBy(*order)
-    ranked = df.withColumn(out, F.row_number().over(by).cast("bigint") - 1)
-    return ranked.filter(F.col(out) < n)
+    best = df.withColumn(out, F.row_number().over(by)).filter(F.col(out) <= n)
+    return best.withColumn(out, F.col(out).cast("bigint") - 1)
 
 
 def n_best(hyps: DataFrame, key: list[str], n: int, score: str = "score", tie: str = "hyp") -> DataFrame:

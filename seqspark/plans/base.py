@@ -36,7 +36,8 @@ def spread(df: DataFrame) -> DataFrame:
     at scale.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    # Only the number of files is asked for; a long listing stays in the JVM.
+    return df.repartition(cores) if len(df._jdf.inputFiles()) < cores else df
 
 
 def documents(spark, d) -> DataFrame:

@@ -121,11 +121,18 @@ _LPROBS = """lp AS (SELECT vec_id, label, list_transform(embedding, lambda x: x:
   SELECT *, ln(list_sum(list_transform(embedding, lambda x: exp(x::DOUBLE)))) AS norm FROM embeddings))"""
 
 
+def lprobs(vector: str = "embedding"):
+    """Log-softmax of a vector, inside the row."""
+    return ar.let(
+        F.col(vector).cast("array<double>"),
+        lambda e: ar.let(
+            F.log(F.aggregate(e, F.lit(0.0), lambda a, x: a + F.exp(x))), lambda n: F.transform(e, lambda x: x - n)
+        ),
+    )
+
+
 def log_softmax(spark, d):
-    v = base.table(spark, d, "embeddings").withColumn("e", F.col("embedding").cast("array<double>"))
-    norm = F.log(F.aggregate("e", F.lit(0.0), lambda a, x: a + F.exp(x)))
-    lprobs = ar.let(norm, lambda n: F.transform("e", lambda x: x - n))
-    return v.withColumn("lprobs", lprobs)
+    return base.table(spark, d, "embeddings").withColumn("lprobs", lprobs())
 
 
 @query("a05_label_smoothing", f"""WITH {_LPROBS}
@@ -242,7 +249,8 @@ def sequence_score(spark, d):
 t AS (SELECT vec_id // 4 AS sample, unnest(range(64)) AS token, unnest(l) AS lprob FROM lp)
 SELECT sample, token, round(ln(avg(exp(lprob))), 6) AS lprob FROM t GROUP BY sample, token""")
 def ensemble(spark, d):
-    rows = log_softmax(spark, d).select(F.floor(F.col("vec_id") / 4).alias("sample"), F.posexplode("lprobs").alias("token", "lprob"))
+    v = base.table(spark, d, "embeddings")
+    rows = v.select(F.floor(F.col("vec_id") / 4).alias("sample"), F.posexplode(lprobs()).alias("token", "lprob"))
     out = mt.ensemble(rows, ["sample", "token"])
     return out.select("sample", F.col("token").cast("bigint").alias("token"), r6("lprob").alias("lprob"))
 

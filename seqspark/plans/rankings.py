@@ -12,7 +12,7 @@ from seqspark.functions.hashing import P
 from seqspark.operators import ranking as rk
 from seqspark.plans import base, sql
 from seqspark.plans.base import query
-from seqspark.plans.metrics import _LPROBS, _UNIGRAM, log_softmax, r6, unigram_scores
+from seqspark.plans.metrics import _LPROBS, _UNIGRAM, lprobs, r6, unigram_scores
 
 BEAM, TOKENS, STEP, SEED = 4, 64, 3, 41
 
@@ -23,21 +23,19 @@ prefix AS (SELECT vec_id // 4 AS sample, vec_id % 4 AS beam, label, list_transfo
 
 
 def _vectors(spark, d):
-    v = log_softmax(spark, d)
+    v = base.table(spark, d, "embeddings").select("vec_id", "label", "embedding")
     return v.withColumn("sample", F.floor(F.col("vec_id") / 4)).withColumn("beam", F.col("vec_id") % 4)
 
 
 def candidates(spark, d):
-    v = _vectors(spark, d)
-    cum = -1 - F.abs(F.get("e", F.lit(0)))
-    rows = v.select("sample", "beam", cum.alias("cum"), "label", F.posexplode("lprobs").alias("token", "lprob"))
+    cum = -1 - F.abs(F.get("embedding", F.lit(0)).cast("double"))
+    rows = _vectors(spark, d).select("sample", "beam", cum.alias("cum"), "label", F.posexplode(lprobs()).alias("token", "lprob"))
     return rows.withColumn("token", F.col("token").cast("bigint"))
 
 
 def prefixes(spark, d):
-    return _vectors(spark, d).select(
-        "sample", "beam", "label", F.transform("e", lambda x: F.floor(F.abs(x) * 100) % 16).alias("tokens")
-    )
+    tokens = F.transform("embedding", lambda x: F.floor(F.abs(x.cast("double")) * 100) % 16)
+    return _vectors(spark, d).select("sample", "beam", "label", tokens.alias("tokens"))
 
 
 def _top_sql(rows: str, score: str, n: int, key: str = "sample", extra: str = "") -> str:
@@ -191,7 +189,7 @@ def attention_alignment(spark, d):
 @query("d11_top_labels", f"""WITH {_LPROBS}, t AS (SELECT vec_id, unnest(range(64)) AS token, unnest(l) AS lprob FROM lp)
 SELECT vec_id, 'label' || token AS label, round(lprob, 6) AS lprob, row_number() OVER (PARTITION BY vec_id ORDER BY lprob DESC, token) - 1 AS rank FROM t QUALIFY rank < 3""")
 def top_labels(spark, d):
-    rows = log_softmax(spark, d).select("vec_id", F.posexplode("lprobs").alias("token", "lprob"))
+    rows = base.table(spark, d, "embeddings").select("vec_id", F.posexplode(lprobs()).alias("token", "lprob"))
     out = rk.top_labels(rows, ["vec_id"], 3)
     return out.select("vec_id", F.concat(F.lit("label"), F.col("token").cast("string")).alias("label"), r6("lprob").alias("lprob"), "rank")
 

@@ -31,7 +31,7 @@ w AS (SELECT token AS line, count(*) AS cnt FROM tok GROUP BY token),
 m AS (SELECT line, cnt, regexp_extract_all(line, '{GENERAL_MOLECULE_PATTERN}') AS t FROM w)
 SELECT line AS molecule, cnt, array_to_string(t, ' ') AS tokens, array_to_string(t, '') = line AS valid FROM m""")
 def general_molecule_tokens(spark, d):
-    words = base.doc_words(spark, d).select(F.explode("words").alias("molecule"))
+    words = base.documents(spark, d).select(F.explode(tx.words(F.col("text"))).alias("molecule"))
     found = words.groupBy("molecule").agg(F.count(F.lit(1)).alias("cnt"))
     found = found.withColumn("t", tx.general_molecule(F.col("molecule")))
     return found.select("molecule", "cnt", joined("t").alias("tokens"), tx.is_lossless(F.col("molecule"), F.col("t")).alias("valid"))

@@ -102,7 +102,7 @@ def encode_lines(spark, d):
 
 @query("v05_encode_by_join", f"WITH {sql.ENCODED} SELECT doc_id, line_no, pos, token, token_id FROM enc")
 def encode_by_join(spark, d):
-    tok = base.doc_words(spark, d).select("doc_id", "line_no", F.posexplode("words").alias("pos", "token"))
+    tok = base.doc_lines(spark, d).select("doc_id", "line_no", F.posexplode(tx.words(F.col("line"))).alias("pos", "token"))
     out = vb.lookup_ids(tok, base.doc_vocab(spark, d))
     return out.withColumn("pos", F.col("pos").cast("bigint"))
 

@@ -72,7 +72,7 @@ def ignored_report(ignored: DataFrame, id_col: str) -> DataFrame:
     first = ignored.select(id_col).orderBy(id_col).limit(10).agg(
         F.array_join(F.sort_array(F.collect_list(id_col)).cast("array<string>"), " ").alias("first_ids")
     )
-    return ignored.agg(F.count(F.lit(1)).alias("n_ignored")).crossJoin(first)
+    return ignored.agg(F.count(F.lit(1)).alias("n_ignored")).withColumn("first_ids", first.scalar())
 
 
 def resolve_limits(*limits):

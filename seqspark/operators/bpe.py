@@ -10,6 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from seqspark.consts import BPE_MARK
+from seqspark.operators.ordering import parallelism
 from seqspark.session import fenced, local_table, pin
 
 END = "</w>"
@@ -26,7 +27,9 @@ def learn(
     """
     spark = words.sparkSession
     spelled = F.array_join(F.filter(F.split("token", ""), lambda c: c != ""), " ")
-    state = pin(words.groupBy(F.concat(spelled, F.lit(END)).alias("symbols")).agg(F.sum("cnt").alias("cnt")))
+    state = words.groupBy(F.concat(spelled, F.lit(END)).alias("symbols")).agg(F.sum("cnt").alias("cnt"))
+    # Few bytes but much work: keep the rows over all shuffle partitions.
+    state = pin(state.repartition(parallelism(words), "symbols"))
     learned, rounds = [], 0
     while len(learned) < merges:
         s = F.split("symbols", " ")

@@ -13,7 +13,7 @@ from seqspark.consts import BPE_MARK, EOS, PAD, UNK
 from seqspark.functions import arrays as ar
 from seqspark.functions.arrays import let
 from seqspark.operators.noise import words_of
-from seqspark.session import fenced
+from seqspark.session import fenced, one_row
 from seqspark.operators.ordering import running
 
 LN2 = math.log(2)
@@ -254,7 +254,7 @@ def histogram(df: DataFrame, value: str, bins: int = 1000) -> DataFrame:
     low, high = F.col("min"), F.col("max")
     width = F.when(high > low, (high - low) / bins).otherwise(F.lit(1.0 / bins))
     start = F.when(high > low, low).otherwise(low - 0.5)
-    placed = df.select(v.alias("v")).filter("v is not null").crossJoin(F.broadcast(stats))
+    placed = df.select(v.alias("v"), one_row(stats.select("min", "max")).alias("s")).filter("v is not null").select("v", "s.*")
     bin_ = F.least(F.floor((F.col("v") - start) / width), F.lit(bins - 1)).cast("bigint")
     counts = placed.groupBy(bin_.alias("bin")).agg(F.count(F.lit(1)).alias("cnt"))
     grid = stats.withColumn("bin", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(bins - 1).cast("bigint"))))
@@ -371,6 +371,6 @@ def average_snapshots(df: DataFrame, snapshot: str = "snapshot") -> DataFrame:
     mean = df.groupBy("key", "pos").agg(
         F.avg("value").alias("value"), F.bool_and("is_int").alias("is_int"), F.count(F.lit(1)).alias("_n")
     )
-    mean = mean.crossJoin(F.broadcast(total))
+    mean = mean.withColumn("_s", total.scalar())
     value = F.when(F.col("is_int"), F.col("value").cast("bigint").cast("double")).otherwise(F.col("value"))
     return mean.select("key", "pos", value.alias("value"), (F.col("_n") == F.col("_s")).alias("complete"))

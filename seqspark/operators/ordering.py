@@ -11,6 +11,7 @@ split points compare the whole composite order key.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import DataType, StructType
 
 SAMPLES_PER_BUCKET = 32
 # Several buckets per shuffle partition even out what hashing puts together.
@@ -37,32 +38,48 @@ def split_points(df: DataFrame, order: list, buckets: int, samples: int = SAMPLE
     """
     want = buckets * samples
     keys = df.select(*[_col(c).alias(f"k{i}") for i, c in enumerate(order)])
-    rows = keys.orderBy(F.xxhash64(*keys.columns)).limit(want).collect()
+    rows = keys.orderBy(F.xxhash64(*keys.columns)).limit(want).toArrow().to_pylist()
     if len(rows) < want:
         return []
-    rows.sort()
-    return [tuple(rows[i * samples]) for i in range(1, buckets)]
+    rows.sort(key=lambda r: tuple(r.values()))
+    return [rows[i * samples] for i in range(1, buckets)]
 
 
-def bucket_of(df: DataFrame, order: list, points: list) -> Column:
+def bucket_of(df: DataFrame, order: list, points: list[dict]) -> Column:
     """Number of cut points at or below the row's key, found in two short scans."""
     if not points:
         return F.lit(0)
-    types = [df.select(_col(c).alias("c")).schema[0].dataType for c in order]
-
-    def literal(point):
-        return F.struct(*[F.lit(v).cast(t).alias(f"k{i}") for i, (v, t) in enumerate(zip(point, types))])
-
     key = _key(order)
+    kinds = df.select(key.alias("k")).schema[0].dataType
     step = max(1, int(len(points) ** 0.5))
     blocks = [points[i : i + step] for i in range(0, len(points), step)]
-    heads = F.array(*[literal(b[0]) for b in blocks])
-    bodies = F.array(*[F.array(*[literal(p) for p in b]) for b in blocks])
+    heads = F.expr(_array(_struct(b[0], kinds) for b in blocks))
+    bodies = F.expr(_array(_array(_struct(p, kinds) for p in b) for b in blocks))
     block = F.size(F.filter(heads, lambda p: p <= key))
     inside = F.size(F.filter(F.get(bodies, F.greatest(block - 1, F.lit(0))), lambda p: p <= key))
     return F.when(block == 0, F.lit(0)).otherwise((block - 1) * step + inside)
 
 
+# Constant tables as SQL text: one call to the JVM instead of several per value; the
+# optimizer folds them to literals.
+
+
+def _value(value, kind: DataType) -> str:
+    if value is None:
+        return f"cast(null as {kind.simpleString()})"
+    text = repr(value) if isinstance(value, float) else str(value)
+    quoted = text.replace("\\", "\\\\").replace("'", "\\'")
+    return f"cast('{quoted}' as {kind.simpleString()})"
+
+
+def _struct(point: dict, kinds: StructType) -> str:
+    return "named_struct(" + ", ".join(f"'{f.name}', {_value(point[f.name], f.dataType)}" for f in kinds) + ")"
+
+
+def _array(items) -> str:
+    return f"array({', '.join(items)})"
+
+
 def running(
     df: DataFrame,
     order: list,
@@ -107,12 +124,13 @@ def running(
             # One row per bucket: its number is fixed by ``buckets``, not by the data.
             seen = {r["_bucket"]: r for r in totals.collect()}
             for name in sums:
-                acc, offsets = 0, []
+                kind = totals.schema[f"_t_{name}"].dataType
+                acc, offsets = None, []
                 for b in range(len(points) + 1):
-                    offsets.append(acc)
-                    acc += seen[b][f"_t_{name}"] if b in seen else 0
-                table = F.array(*[F.lit(o) for o in offsets])
-                rows = rows.withColumn(f"_o_{name}", F.get(table, F.col("_bucket")))
+                    offsets.append(_value(acc if acc is not None else 0, kind))
+                    if b in seen:
+                        acc = seen[b][f"_t_{name}"] + (acc or 0)
+                rows = rows.withColumn(f"_o_{name}", F.get(F.expr(_array(offsets)), F.col("_bucket")))
     for name in sums:
         local = F.sum(name).over(window)
         rows = rows.withColumn(f"_r_{name}", local + F.col(f"_o_{name}") if points else local)

@@ -101,7 +101,7 @@ def finalize(
     # The last id is followed by the filling words.
     last = rows.agg(F.max("token_id").alias("m")) if nwords <= 0 else None
     if last is not None:
-        out = out.crossJoin(F.broadcast(last))
+        out = out.withColumn("m", last.scalar())
     else:
         out = out.withColumn("m", F.max("token_id").over(Window.partitionBy(F.lit(0))))
     numbers = F.filter(F.sequence(F.lit(0), F.lit(padding_factor - 1)), lambda i: i < F.pmod(-F.col("m") - 1, F.lit(padding_factor)))
@@ -133,7 +133,7 @@ def merge_vocabs(left: DataFrame, right: DataFrame) -> DataFrame:
     known = both.filter("token_id is not null").select("token_id", "token", total.alias("cnt"))
     new = ranked(both.filter("token_id is null"), ["right_id"], "rank")
     size = left.agg((F.max("token_id") + 1).alias("n"))
-    new = new.crossJoin(F.broadcast(size)).select((F.col("n") + F.col("rank")).alias("token_id"), "token", total.alias("cnt"))
+    new = new.select((size.scalar() + F.col("rank")).alias("token_id"), "token", total.alias("cnt"))
     return known.unionByName(new)
 
 
@@ -284,7 +284,7 @@ def replaced_tokens(encoded: DataFrame) -> DataFrame:
 def coverage(vocab: DataFrame, vectors: DataFrame) -> DataFrame:
     """How many vocabulary words have a vector."""
     hit = vocab.join(vectors.select("token").distinct(), "token", "left_semi").agg(F.count(F.lit(1)).alias("covered"))
-    return hit.crossJoin(F.broadcast(vocab.agg(F.count(F.lit(1)).alias("total"))))
+    return hit.withColumn("total", vocab.agg(F.count(F.lit(1))).scalar())
 
 
 def attach_vectors(vocab: DataFrame, vectors: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from seqspark.operators import batching as bt
 from seqspark.plans import base, sql
 from seqspark.plans.base import joined, query
 from seqspark.plans.examples import PAIR_IDS, pair_ids
+from seqspark.session import one_row
 
 SEED = 23
 MAX_TOKENS, MAX_SENTENCES, MULTIPLE = 3000, 16, 8
@@ -66,11 +67,12 @@ def resolve_limits(spark, d):
     per = pair_sizes(spark, d).groupBy("conv_id").agg(
         F.max(F.when(F.col("conv_id") % 3 != 0, F.col("src_size"))).alias("max_src"), F.max("tgt_size").alias("max_tgt")
     )
-    least = per.agg(F.min("max_src").alias("all_src"), F.min("max_tgt").alias("all_tgt"))
+    least = one_row(per.agg(F.min("max_src").alias("all_src"), F.min("max_tgt").alias("all_tgt")))
     own = bt.resolve_limits((120, None), (None, 300), 500)
     return per.select(
-        "conv_id", F.least("max_src", F.lit(own[0])).alias("max_src"), F.least("max_tgt", F.lit(own[1])).alias("max_tgt")
-    ).crossJoin(F.broadcast(least))
+        "conv_id", F.least("max_src", F.lit(own[0])).alias("max_src"), F.least("max_tgt", F.lit(own[1])).alias("max_tgt"),
+        least["all_src"].alias("all_src"), least["all_tgt"].alias("all_tgt"),
+    )
 
 
 def _greedy_sql(multiple: int) -> str:

@@ -88,7 +88,7 @@ def unigram_scores(spark, d, *keep):
     ids = base.encoded_lines(spark, d, *keep).select("doc_id", "line_no", *keep, F.posexplode("ids").alias("pos", "token_id"))
     counts = ids.groupBy("token_id").agg(F.count(F.lit(1)).alias("c"))
     total = counts.agg(F.sum("c").alias("n"))
-    model = counts.crossJoin(F.broadcast(total)).select("token_id", F.log(F.col("c") / F.col("n")).alias("logp"))
+    model = counts.select("token_id", F.log(F.col("c") / total.scalar()).alias("logp"))
     # The model has one row per vocabulary id, at most the configured vocabulary size.
     return ids.join(F.broadcast(model), "token_id")
 
@@ -267,8 +267,8 @@ def piece_words(spark, d):
     p = base.pieces(spark, d)
     counts = p.select(F.explode("pieces").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("c"))
     total = counts.agg(F.sum("c").alias("n"))
-    logp = F.when(F.col("c") == 1, F.lit(float("-inf"))).otherwise(F.log(F.col("c") / F.col("n")))
-    model = counts.crossJoin(F.broadcast(total)).select("token", logp.alias("logp"))
+    logp = F.when(F.col("c") == 1, F.lit(float("-inf"))).otherwise(F.log(F.col("c") / total.scalar()))
+    model = counts.select("token", logp.alias("logp"))
     scored = vb.attach_values(p, "pieces", model, "logp", "scores", key=["doc_id", "line_no"])
     return mt.word_scores(scored, "pieces", "scores", ["doc_id", "line_no"])
 

@@ -7,7 +7,7 @@ import tempfile
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
@@ -33,11 +33,7 @@ def shared_root(spark: SparkSession) -> str:
 
     Only where the session names none (tests, a single machine) is one chosen here.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = os.path.join(tempfile.gettempdir(), "seqspark-scratch")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    return spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "seqspark-scratch")
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
@@ -45,13 +41,18 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def local_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+def local_table(spark: SparkSession, rows: list[tuple], schema: str | StructType) -> DataFrame:
     """A DataFrame of rows the driver already holds, shipped as one Arrow batch."""
-    names = StructType.fromDDL(schema).fieldNames()
-    columns = list(zip(*rows)) if rows else [()] * len(names)
-    types = to_arrow_schema(StructType.fromDDL(schema))
+    struct = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    columns = list(zip(*rows)) if rows else [()] * len(struct)
+    types = to_arrow_schema(struct)
     table = pa.table([pa.array(list(c), t.type) for c, t in zip(columns, types)], schema=types)
-    return spark.createDataFrame(table, schema=StructType.fromDDL(schema))
+    return spark.createDataFrame(table, schema=struct)
+
+
+def one_row(df: DataFrame) -> Column:
+    """The columns of a one-row DataFrame as a struct value inside another query."""
+    return df.select(F.struct(*df.columns)).scalar()
 
 
 def fenced(df: DataFrame, *columns: str) -> DataFrame:

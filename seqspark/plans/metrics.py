@@ -9,6 +9,7 @@ from seqspark.functions.hashing import base as hash_base, fold_unit, unit
 from seqspark.operators import metrics as mt, vocab as vb
 from seqspark.plans import base, sql
 from seqspark.plans.base import query
+from seqspark.session import fenced
 
 SEED = 31
 
@@ -265,7 +266,7 @@ wn AS (SELECT *, lead(logp) OVER (PARTITION BY doc_id, line_no ORDER BY wi) AS n
 
 def piece_words(spark, d):
     p = base.pieces(spark, d)
-    counts = p.select(F.explode("pieces").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("c"))
+    counts = fenced(p, "pieces").select(F.explode("pieces").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("c"))
     total = counts.agg(F.sum("c").alias("n"))
     logp = F.when(F.col("c") == 1, F.lit(float("-inf"))).otherwise(F.log(F.col("c") / total.scalar()))
     model = counts.select("token", logp.alias("logp"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -31,9 +32,16 @@ def get_session(app: str = "seqspark", master: str | None = None, **conf) -> Spa
 def shared_root(spark: SparkSession) -> str:
     """The folder all executors see: ``spark.checkpoint.dir`` of the session.
 
-    Only where the session names none (tests, a single machine) is one chosen here.
+    Only where the session names none and runs on one machine (tests) is one chosen here:
+    on a cluster a local folder would hold a part of each table on each machine.
     """
-    return spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "seqspark-scratch")
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root:
+        return root
+    master = spark.conf.get("spark.master", "")
+    if not re.fullmatch(r"local(\[.*\])?", master):
+        raise ValueError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
+    return os.path.join(tempfile.gettempdir(), "seqspark-scratch")
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:

@@ -41,13 +41,21 @@ def test_running_sums_with_hot_group_and_any_partitioning(spark):
         want[i] = acc[g]
     df = spark.createDataFrame(rows, "g string, i bigint, v bigint")
     for parts, buckets in ((1, 1), (4, 5), (16, 8)):
-        out = running(df.repartition(parts), ["i"], {"s": F.col("v")}, ["g"], buckets, 3)
+        out = running(df.repartition(parts), ["i"], {"s": F.col("v")}, ["g"], buckets)
         assert {r["i"]: r["s"] for r in out.collect()} == want
-        order = ranked(df.repartition(parts), ["g", "i"], buckets=buckets, samples=3).orderBy("rank").collect()
+        order = ranked(df.repartition(parts), ["g", "i"], buckets=buckets).orderBy("rank").collect()
         assert [(r["g"], r["i"]) for r in order] == sorted((g, i) for g, i, _ in rows)
         assert [r["rank"] for r in order] == list(range(500))
 
 
+def test_null_keys_come_first(spark):
+    df = spark.createDataFrame([(2, 5), (None, 7), (1, 1), (None, 7)], "k bigint, v bigint").repartition(3)
+    out = running(df, ["k"], {"s": F.col("v")}, buckets=3).orderBy("k", "s").collect()
+    assert [(r["k"], r["s"]) for r in out] == [(None, 7), (None, 14), (1, 15), (2, 20)]
+    per = running(df, ["v"], {"s": F.col("v")}, ["k"], buckets=3).collect()
+    assert sorted((r["k"] or 0, r["s"]) for r in per) == [(0, 7), (0, 14), (1, 1), (2, 5)]
+
+
 def test_token_blocks_and_targets(spark):
     sents = [[10, 11, 2], [2], [12, 2], [13, 14, 15, 16, 17, 18, 2]]
     rows = [(i, s, list(range(len(s)))) for i, s in enumerate(sents)]

@@ -7,6 +7,7 @@ import pytest
 
 import __spark_entry__ as entry
 import check
+from seqspark import plans
 
 SF = "/root/testdata/sf0.001"
 SAMPLE = [
@@ -36,7 +37,7 @@ def test_query_equals_sql(spark, db, name):
 
 
 def test_every_query_is_registered_with_sql_but_bpe():
-    missing = set(entry.queries()) - set(entry.oracle_sql())
+    missing = set(plans.queries()) - set(plans.oracle_sql())
     assert missing == {"t13_learn_bpe", "t14_apply_bpe"}
 
 

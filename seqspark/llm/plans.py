@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
-from seqspark.llm import langid, packing, sharding, simhash
+from seqspark.llm import chat, decontam, htmltext, langid, packing, pii, sharding, simhash, sketches, toxicity
 
 QUERIES = {f.__name__: f for f in (
     sharding.op1_byte_shards,
     langid.op2_language_mixture,
     packing.op3_best_two_fit,
     simhash.op4_simhash_anchors,
+    htmltext.op5_boosted_dom,
+    pii.op6_skip_chain,
+    sketches.op7_paragraph_sketches,
+    decontam.op8_containment_search,
+    toxicity.op9_subword_toxicity,
+    chat.op10_quotation_linking,
 )}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op8_containment_search": decontam.SQL,
+    "op10_quotation_linking": chat.SQL,
+}

@@ -10,6 +10,7 @@ place in the plan, so all pieces take part in one packing and none goes through
 
 from __future__ import annotations
 
+import functools
 import os
 import re
 import zlib
@@ -25,7 +26,7 @@ from seqspark.operators.ordering import running
 CAPACITY = 4096
 END_ID = 1
 CHUNK = 1 << 20
-CACHE = 300_000
+CACHE = 600_000
 #: Words longer than this are encoded each time.
 CACHED_WORD = 64
 
@@ -43,31 +44,71 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {"": b""}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
     def _ids(self, words: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
+    def _letters(self, words: list[str]) -> list[bytes]:
+        """Words of letters only, as one text: each ends with the only end-of-word id it has."""
+        if not words:
+            return []
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        ends = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
+        if len(ends) != len(words):
+            return self._ids(words)
+        data = ids.tobytes()
+        return [data[s:e] for s, e in zip([0, *ends], ends)]
+
+    def _learn(self, fresh: set[str]) -> None:
+        """Ids of new words: those of a word of Latin letters and of the punctuation after
+        it stand side by side, so most new words are known ones in another spelling."""
+        known, made, odd, needed = self.known, [], [], set()
+        for w in fresh:
+            core = w.rstrip(".,;:!?")
+            low = core.lower()
+            if low.isalpha() and len(low) <= CACHED_WORD and max(low) < "\u0250":
+                tail = w[len(core) :]
+                made.append((w, low, tail))
+                needed.add(low)
+                needed.add(tail)
+            else:
+                odd.append(w)
+        needed = [w for w in needed if w not in known]
+        letters = [w for w in needed if w.isalpha()]
+        known.update(zip(letters, self._letters(letters)))
+        odd += [w for w in needed if not w.isalpha()]
+        known.update(zip(odd, self._ids(odd)))
+        for w, low, tail in made:
+            known[w] = known[low] + known[tail]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         out = [[] for _ in texts]
         for part in _parts(texts):
             words = [re.sub(r"[\n\t\r]", " ", t).split(" ") for _, t in part]
-            fresh = list(set().union(*words).difference(self.known))
             if len(self.known) > CACHE:
                 self.known = {"": b""}
-                fresh = list(set().union(*words))
-            coded = dict(zip(fresh, self._ids(fresh)))
+            fresh = set().union(*words).difference(self.known)
+            self._learn(fresh)
             known = self.known
-            known.update(coded)
             for (i, _), w in zip(part, words):
                 out[i].append(b"".join(map(known.__getitem__, w)))
-            for w in coded:
+            for w in fresh:
                 if len(w) > CACHED_WORD:
                     del known[w]
         return [b"".join(o) for o in out]
 
 
+@functools.cache
+def encoder(path: str) -> WordEncoder:
+    """One encoder per worker process, so that words stay known from task to task."""
+    return WordEncoder(path)
+
+
 def _parts(texts: list[str]) -> Iterator[list[tuple[int, str]]]:
     """Texts in groups of about a million characters; longer ones are cut at blanks."""
     group, size = [], 0
@@ -99,10 +140,10 @@ def token_pieces(df: DataFrame, key: str, text: str, tokenizer: str, capacity: i
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        encoder = WordEncoder(tokenizer)
+        words = encoder(tokenizer)
         for batch in batches:
             for part in slices(batch, "_text"):
-                keys, coded = part.column("_key"), encoder.encode([t or "" for t in part.column("_text").to_pylist()])
+                keys, coded = part.column("_key"), words.encode([t or "" for t in part.column("_text").to_pylist()])
                 rows, cols = [], ([], [], [], [], [])
                 for r, data in enumerate(coded):
                     data += end

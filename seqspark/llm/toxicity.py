@@ -21,15 +21,15 @@ from pyspark.sql import DataFrame, functions as F
 
 from seqspark.llm.common import fold, slices, stored, table
 
-BITS, DIM, WINDOW = 15, 8, 10
-SIZES = (3, 4, 5)
+BITS, DIM, WINDOW = 17, 8, 5
+SIZES = (3, 4, 5, 6, 7)
 CHUNK = 1 << 20
 CACHE = 300_000
 #: Bounds of the training sample: labelled documents, and windows taken from one of them
 #: (evenly spread; fewer from a clean one).
-MAX_LABELLED, MAX_WINDOWS, CLEAN_WINDOWS = 5000, 400, 16
+MAX_LABELLED, MAX_WINDOWS, CLEAN_WINDOWS = 6000, 400, 32
 EDGE = "\"'`.,;:!?()[]{}<>|*%#$&-_~^/\\=+"
-EPOCHS, BATCH, RATE = 6, 256, 0.5
+EPOCHS, BATCH, RATE = 4, 256, 0.2
 THRESHOLD = 0.7
 
 
@@ -52,19 +52,20 @@ def _chunks(text: str) -> Iterator[str]:
         at = end
 
 
-def _bags(words: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Windows as flat (bucket, weight, window); weights of a window sum to 1."""
-    cache: dict[str, list[int]] = {}
-    bucket, weight, owner = [], [], []
-    for i, window in enumerate(words):
-        for w in window:
-            grams = cache.get(w)
-            if grams is None:
-                grams = cache[w] = ngrams(w)
-            bucket += grams
-            weight += [1 / (len(grams) * len(window))] * len(grams)
-            owner += [i] * len(grams)
-    return np.array(bucket, np.int32), np.array(weight, np.float32), np.array(owner, np.int32)
+def _bags(windows: list[list[str]]) -> tuple[np.ndarray, ...]:
+    """Buckets of the distinct words with their starts; words of the windows with theirs."""
+    number: dict[str, int] = {}
+    words = np.array([number.setdefault(w, len(number)) for window in windows for w in window], np.int32)
+    grams = [np.array(ngrams(w), np.int32) for w in number]
+    return (
+        np.concatenate(grams), np.cumsum([0, *map(len, grams)]), words, np.cumsum([0, *map(len, windows)]),
+    )
+
+
+def _runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """``starts[i] .. starts[i] + sizes[i] - 1`` for each i, in one array."""
+    before = np.cumsum(sizes) - sizes
+    return np.repeat(starts - before, sizes) + np.arange(sizes.sum())
 
 
 def train(words: list[list[str]], labels: np.ndarray, seed: int = 7) -> np.ndarray:
@@ -77,16 +78,20 @@ def train(words: list[list[str]], labels: np.ndarray, seed: int = 7) -> np.ndarr
     output = rng.normal(0, 0.3, (DIM, 2)).astype(np.float32)
     bias = np.zeros(2, np.float32)
     seen = [np.full_like(vectors, 1e-6), np.full_like(output, 1e-6), np.full_like(bias, 1e-6)]
-    bucket, weight, owner = _bags(words)
-    start = np.searchsorted(owner, np.arange(len(words) + 1))
+    grams, first, numbers, start = _bags(words)
     for _ in range(EPOCHS):
         order = rng.permutation(len(words))
         for at in range(0, len(order), BATCH):
             pick = order[at : at + BATCH]
             size = start[pick + 1] - start[pick]
-            rows = np.repeat(start[pick] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-            ids, w, local = bucket[rows], weight[rows][:, None], np.repeat(np.arange(len(pick)), size)
-            mean = np.add.reduceat(vectors[ids] * w, np.concatenate([[0], np.cumsum(size)[:-1]]), axis=0)
+            number = numbers[_runs(start[pick], size)]
+            each = first[number + 1] - first[number]
+            ids = grams[_runs(first[number], each)]
+            w = np.repeat(1 / (each * np.repeat(size, size)), each).astype(np.float32)[:, None]
+            owner = np.repeat(np.arange(len(pick)), size)
+            local = np.repeat(owner, each)
+            heads = np.searchsorted(local, np.arange(len(pick)))
+            mean = np.add.reduceat(vectors[ids] * w, heads, axis=0)
             logit = mean @ output + bias
             p = np.exp(logit - logit.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)

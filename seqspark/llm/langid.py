@@ -150,13 +150,13 @@ def predict(df: DataFrame, key: list[str], text: str, model: MixtureModel) -> Da
     its share. A null text, an empty one or one without letters is ``und`` with score 0,
     and so is every text under an empty model. Equal texts get equal predictions.
     """
-    source = df.select(*key, F.col(text).alias("_text"))
+    source = df.select(*key) if text in key else df.select(*key, F.col(text))
     kinds = [source.schema[k] for k in key]
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "_text"):
-                found = [model.mixture(t) if t else {} for t in part.column("_text").to_pylist()]
+            for part in slices(batch, text):
+                found = [model.mixture(t) if t else {} for t in part.column(text).to_pylist()]
                 best = [max(m.items(), key=lambda x: (x[1], x[0])) if m else ("und", 0.0) for m in found]
                 yield pa.RecordBatch.from_arrays(
                     [

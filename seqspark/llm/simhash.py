@@ -163,24 +163,34 @@ def _close_pairs(group: np.ndarray, fp: np.ndarray, distance: int):
     return a, b
 
 
-def links(prints: DataFrame, distance: int = DISTANCE, blocks: int = 3, r: int = 4, tile: int = TILE) -> DataFrame:
-    """``(a, b)``: a forest over the distinct fingerprints within ``distance``.
+def tiled(rows: DataFrame, tile: int) -> DataFrame:
+    """Rows dealt and sorted by ``anchor`` and ``cell``; the others follow.
 
-    Its components are those of all links. ``blocks`` and ``r`` set the code: 3 blocks of
-    21 or 22 bits with 2**17 anchors or more each and about 45 copies a fingerprint; more
-    anchors (2 blocks, r = 5) cost more copies and fewer comparisons.
+    An anchor with at most ``tile`` rows is one cell; a crowded one is cut into chunks by
+    hash, and each pair of chunks is a cell of at most about twice ``tile`` rows.
     """
-    rows = anchors(prints, distance, blocks, r)
     crowded = stored(rows.groupBy("anchor").count().filter(F.col("count") > tile), "crowded")
     small = crowded.count() <= BROADCAST_ROWS
     rows = rows.join(F.broadcast(crowded) if small else crowded, "anchor", "left")
+    rest = [c for c in rows.columns if c not in ("anchor", "count")]
     chunks = F.coalesce(F.ceil(F.col("count") / tile), F.lit(1)).cast("int")
-    own = F.pmod(F.xxhash64("fp"), F.col("_n")).cast("int")
+    own = F.pmod(F.xxhash64(*rest), F.col("_n")).cast("int")
     rows = rows.withColumn("_n", chunks).withColumn("_c", own)
     rows = rows.withColumn("_d", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
     cell = (F.least("_c", "_d") * F.col("_n") + F.greatest("_c", "_d")).cast("bigint")
-    rows = rows.select("anchor", cell.alias("cell"), "fp")
-    rows = rows.repartition(parallelism(rows), "anchor", "cell").sortWithinPartitions("anchor", "cell")
+    rows = rows.select("anchor", cell.alias("cell"), *rest)
+    return rows.repartition(parallelism(rows), "anchor", "cell").sortWithinPartitions("anchor", "cell")
+
+
+def links(prints: DataFrame, distance: int = DISTANCE, blocks: int = 3, r: int = 4, tile: int = TILE) -> DataFrame:
+    """``(a, b)``: a forest over the distinct fingerprints within ``distance``.
+
+    Its components are those of all links. ``blocks`` and ``r`` set the code: 3 blocks of
+    21 or 22 bits with 2**17 anchors or more each and about 45 copies a fingerprint; more
+    anchors (2 blocks, r = 5) cost more copies and fewer comparisons.
+    """
+    rows = anchors(prints, distance, blocks, r)
+    rows = tiled(rows, tile)
 
     def run(batches):
         rest = [np.zeros(0, np.int64)] * 3
@@ -221,3 +231,158 @@ def near_duplicates(df: DataFrame, key: str, text: str, k: int = WORDS, distance
 
 def op4_simhash_anchors(spark, sf_dir) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+# Near-duplicates by exact shingle similarity. Texts that share 80 % of their five-word
+# shingles still differ in many bits of a shingle fingerprint, so candidates come from several
+# fingerprints over distinct words, each searched by anchors with a small distance, and are
+# verified by the shingles.
+
+TABLES = 8
+#: Of the pairs that meet at an anchor, the links each row reports besides the forest.
+NEIGHBOURS = 8
+
+
+def word_prints(text: str, tables: int = TABLES) -> np.ndarray:
+    """``tables`` SimHash fingerprints of the distinct lower-cased words (no words: zeros)."""
+    words = set(text.lower().split())
+    if not words:
+        return np.zeros(tables, np.int64)
+    base = np.fromiter((xxhash.xxh64_intdigest(w) for w in words), np.uint64, len(words))
+    out = np.zeros((tables, 8), np.uint8)
+    for t in range(tables):
+        x = (base ^ np.uint64(0x9E3779B97F4A7C15 * (t + 1) & (2**64 - 1))) * np.uint64(0xFF51AFD7ED558CCD)
+        x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+        bits = np.unpackbits((x ^ (x >> np.uint64(33))).view(np.uint8).reshape(-1, 8), axis=1)
+        out[t] = np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(words))
+    return out.view(np.int64).ravel()
+
+
+def shingle_set(text: str, k: int) -> np.ndarray:
+    """Sorted hashes of the distinct ``k``-word shingles; a shorter text is one shingle."""
+    words = text.lower().split()
+    parts = [" ".join(words[i : i + k]) for i in range(max(1, len(words) - k + 1))]
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(p) for p in parts), np.uint64, len(parts))).view(np.int64)
+
+
+def similar_groups(df: DataFrame, key: str, text: str, k: int = 5, similarity: float = 0.8, tables: int = TABLES, distance: int = 3, blocks: int = 4, r: int = 4, tile: int = TILE) -> DataFrame:
+    """``(key, group)``: documents linked by ``similarity`` of their ``k``-word shingle sets.
+
+    ``group`` is the smallest key of the component. Equal texts are one node. Rows without a
+    key are left out; rows that share a key share a group. A null text counts as empty; texts
+    without words are equal to each other only. Words are lower-cased and split at white space.
+    """
+    source = df.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text")).filter(F.col("_key").isNotNull())
+    kind = source.schema["_key"].dataType.simpleString()
+
+    def prints(batches):
+        for batch in batches:
+            for part in slices(batch, "_text"):
+                texts = part.column("_text").to_pylist()
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column("_key"),
+                        pa.array([xxhash.xxh3_128_digest(" ".join(t.lower().split())) for t in texts], pa.binary()),
+                        pa.array([word_prints(t, tables) for t in texts], pa.list_(pa.int64())),
+                    ],
+                    names=["key", "same", "prints"],
+                )
+
+    docs = stored(source.mapInArrow(prints, f"key {kind}, same binary, prints array<bigint>"), "word_prints")
+    nodes = stored(docs.groupBy("same").agg(F.min("key").alias("id"), F.first("prints").alias("prints")), "nodes")
+    edges = stored(candidates(nodes, kind, distance, blocks, r, tile), "candidate_links")
+    ends = edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct()
+    ends = stored(ends, "candidate_ends")
+    ends = F.broadcast(ends) if ends.count() <= BROADCAST_ROWS else ends
+
+    def sets(batches):
+        for batch in batches:
+            for part in slices(batch, "_text"):
+                found = [shingle_set(t, k) for t in part.column("_text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("_key"), pa.array(found, pa.list_(pa.int64()))], names=["id", "set"])
+
+    chosen = source.join(ends, source["_key"] == ends["id"], "left_semi")
+    shingled = stored(chosen.mapInArrow(sets, f"id {kind}, set array<bigint>").groupBy("id").agg(F.first("set").alias("set")), "shingle_sets")
+    left, right = (shingled.select(F.col("id").alias(e), F.col("set").alias(f"_{e}")) for e in "ab")
+    both = edges.join(left, "a").join(right, "b").withColumn("_n", F.size(F.array_intersect("_a", "_b")))
+    linked = both.filter(F.col("_n") >= F.lit(similarity) * (F.size("_a") + F.size("_b") - F.col("_n")) - 1e-9).select("a", "b")
+    roots = components(linked).select(F.col("node").alias("id"), F.col("root").alias("group"))
+    named = nodes.select("same", "id").join(roots, "id", "left").select("same", F.coalesce("group", "id").alias("group"))
+    return docs.join(named, "same").groupBy("key").agg(F.min("group").alias("group")).withColumnRenamed("key", key)
+
+
+def candidates(nodes: DataFrame, kind: str, distance: int, blocks: int, r: int, tile: int = TILE) -> DataFrame:
+    """``(a, b)`` with a < b: nodes with a fingerprint within ``distance`` in some table.
+
+    Each row of an anchor's group is linked to the smallest member of its component there
+    and to up to ``NEIGHBOURS`` other close members: links stay linear in rows.
+    """
+    reach = 1 + distance // blocks
+    codes = [(lo, c, c.patterns(reach)) for lo, c in block_codes(blocks, r)]
+
+    def spread(batches):
+        for batch in batches:
+            fps = np.stack(batch.column("prints").to_numpy(zero_copy_only=False)).view(np.uint64) if batch.num_rows else np.zeros((0, 0), np.uint64)
+            for t in range(fps.shape[1]):
+                fp = fps[:, t]
+                for number, (lo, code, patterns) in enumerate(codes):
+                    value = (fp >> np.uint64(lo)) & np.uint64((1 << code.bits) - 1)
+                    syndrome = code.syndromes(value)
+                    for s in np.unique(syndrome):
+                        pick = np.flatnonzero(syndrome == s)
+                        at = (value[pick][:, None] ^ patterns[s][None, :]) | np.uint64((t * len(codes) + number) << 40)
+                        rows = np.repeat(pick, len(patterns[s]))
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(at.ravel().view(np.int64)), pa.array(fp[rows].view(np.int64)), batch.column("id").take(pa.array(rows))], names=["anchor", "fp", "id"]
+                        )
+
+    rows = nodes.select("id", "prints").mapInArrow(spread, f"anchor bigint, fp bigint, id {kind}")
+    rows = tiled(rows, tile)
+
+    def close(batches):
+        for cols, ids in _groups(batches):
+            group = np.concatenate([[0], np.cumsum((cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1]))])
+            a, b = _neighbours(group, cols[2].view(np.uint64), distance)
+            if len(a):
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(a)), ids.take(pa.array(b))], names=["a", "b"])
+
+    found = rows.mapInArrow(close, f"a {kind}, b {kind}").filter("a <> b")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _groups(batches):
+    """Whole groups of rows sorted by (anchor, cell), as arrays with their ids."""
+    rest, held = None, None
+    for batch in batches:
+        cols = [batch.column(i).to_numpy() for i in range(3)]
+        ids = batch.column(3)
+        if rest is not None:
+            cols, ids = [np.concatenate([x, y]) for x, y in zip(rest, cols)], pa.concat_arrays([held, ids])
+        change = np.flatnonzero((cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])) + 1
+        cut = int(change[-1]) if len(change) else 0
+        if cut > 1:
+            yield [c[:cut] for c in cols], ids.slice(0, cut)
+        rest, held = [c[cut:] for c in cols], ids.slice(cut)
+    if rest is not None and len(rest[0]) > 1:
+        yield rest, held
+
+
+def _neighbours(group: np.ndarray, fp: np.ndarray, distance: int):
+    """Positions of close pairs of equal group: some of each row's, and a forest of all."""
+    a, b = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    kept, found, first, step, waiting = [], [], np.arange(len(fp)), 0, 0
+    taken = np.zeros(len(fp), np.int64)
+    while len(first):
+        step += 1
+        first = first[first + step < len(fp)]
+        first = first[group[first] == group[first + step]]
+        near = first[np.bitwise_count(fp[first] ^ fp[first + step]) <= distance]
+        found.append((near, near + step))
+        some = near[taken[near] < NEIGHBOURS]
+        taken[some] += 1
+        kept.append((some, some + step))
+        waiting += len(near)
+        if waiting > PENDING or not len(first):
+            a, b = forest(np.concatenate([a, *[i for i, _ in found]]), np.concatenate([b, *[j for _, j in found]]))
+            found, waiting = [], 0
+    return np.concatenate([a, *[i for i, _ in kept]]), np.concatenate([b, *[j for _, j in kept]])

@@ -11,7 +11,7 @@ At scoring time the softmax is linear in the words: each distinct word has one n
 
 from __future__ import annotations
 
-import zlib
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -24,20 +24,41 @@ from seqspark.llm.common import fold, slices, stored, table
 BITS, DIM, WINDOW = 17, 8, 5
 SIZES = (3, 4, 5, 6, 7)
 CHUNK = 1 << 20
-CACHE = 300_000
+CACHE = 600_000
 #: Bounds of the training sample: labelled documents, and windows taken from one of them
 #: (evenly spread; fewer from a clean one).
 MAX_LABELLED, MAX_WINDOWS, CLEAN_WINDOWS = 6000, 400, 32
+PRIME = np.uint64(0x9E3779B97F4A7C15)
+#: Word values of the last model this process used.
+WORDS: dict[str, dict[str, float]] = {}
 EDGE = "\"'`.,;:!?()[]{}<>|*%#$&-_~^/\\=+"
 EPOCHS, BATCH, RATE = 4, 256, 0.2
 THRESHOLD = 0.7
 
 
-def ngrams(word: str) -> list[int]:
-    """Buckets of a word and its character n-grams; punctuation at its ends is dropped."""
-    w = f"<{word.strip(EDGE)}>"
-    parts = [w, *(w[i : i + n] for n in SIZES for i in range(len(w) - n + 1))]
-    return [zlib.crc32(p.encode()) >> (32 - BITS) for p in parts]
+def ngrams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the words and their character n-grams, word after word, with the start of
+    each word's. Punctuation at the ends of a word is dropped; ``<`` and ``>`` mark them."""
+    cores = [f"<{w.strip(EDGE)}>" for w in words]
+    code = np.frombuffer("".join(cores).encode("utf-32-le"), "<u4").astype(np.uint64)
+    size = np.fromiter(map(len, cores), np.int64, len(cores))
+    owner, first = np.repeat(np.arange(len(cores)), size), np.cumsum(size) - size
+    power = np.cumprod(np.full(int(size.max()), PRIME, np.uint64))
+    whole = np.add.reduceat(code * power[np.arange(len(code)) - first[owner]], first)
+    hashes, owners = [whole], [np.arange(len(cores))]
+    for n in SIZES:
+        if n <= len(code):
+            h = np.zeros(len(code) - n + 1, np.uint64)
+            for i in range(n):
+                h = h * PRIME + code[i : len(code) - n + 1 + i]
+            inside = owner[: len(h)] == owner[n - 1 :]
+            hashes.append(h[inside] + np.uint64(n))
+            owners.append(owner[: len(h)][inside])
+    h, owner = np.concatenate(hashes), np.concatenate(owners)
+    h = (h ^ (h >> np.uint64(31))) * PRIME
+    order = np.argsort(owner, kind="stable")
+    buckets = (h >> np.uint64(64 - BITS)).astype(np.int32)[order]
+    return buckets, np.searchsorted(owner[order], np.arange(len(cores)))
 
 
 def _chunks(text: str) -> Iterator[str]:
@@ -56,10 +77,8 @@ def _bags(windows: list[list[str]]) -> tuple[np.ndarray, ...]:
     """Buckets of the distinct words with their starts; words of the windows with theirs."""
     number: dict[str, int] = {}
     words = np.array([number.setdefault(w, len(number)) for window in windows for w in window], np.int32)
-    grams = [np.array(ngrams(w), np.int32) for w in number]
-    return (
-        np.concatenate(grams), np.cumsum([0, *map(len, grams)]), words, np.cumsum([0, *map(len, windows)]),
-    )
+    grams, first = ngrams(list(number))
+    return grams, np.append(first, len(grams)), words, np.cumsum([0, *map(len, windows)])
 
 
 def _runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -115,18 +134,28 @@ class ToxicityModel:
     weights: np.ndarray
     slope: float = 1.0
     shift: float = 0.0
-    known: dict = field(default_factory=dict, repr=False)
+    name: str = field(default_factory=lambda: uuid.uuid4().hex)
+
+    def values(self, words: list[str]) -> dict[str, float]:
+        """One number per word; those met before by this process are remembered."""
+        known = WORDS.setdefault(self.name, {})
+        if len(known) > CACHE or len(WORDS) > 1 and not known:
+            WORDS.clear()
+            known = WORDS.setdefault(self.name, {})
+        fresh = list(set(words).difference(known))
+        if fresh:
+            buckets, first = ngrams(fresh)
+            total = np.add.reduceat(self.weights[buckets], first)
+            known.update(zip(fresh, (total / np.diff(np.append(first, len(buckets)))).tolist()))
+        return known
 
     def logit(self, text: str) -> float:
         """Largest mean over ``WINDOW`` neighbouring words (all words of a shorter text)."""
         top, rest, any_ = -np.inf, np.zeros(0), False
         for part in _chunks(text.lower()):
             words = part.split()
-            if len(self.known) > CACHE:
-                self.known.clear()
-            for w in set(words).difference(self.known):
-                self.known[w] = self.weights[ngrams(w)].mean()
-            value = np.concatenate([rest, np.fromiter(map(self.known.__getitem__, words), float, len(words))])
+            known = self.values(words)
+            value = np.concatenate([rest, np.fromiter(map(known.__getitem__, words), float, len(words))])
             if not len(value):
                 continue
             any_ = True
@@ -141,9 +170,6 @@ class ToxicityModel:
     def score(self, text: str) -> float:
         return float(1 / (1 + np.exp(-np.clip(self.slope * self.logit(text) + self.shift, -30, 30))))
 
-    def __getstate__(self):
-        return {"weights": self.weights, "slope": self.slope, "shift": self.shift, "known": {}}
-
 
 def calibration(logits: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
     """Slope and shift of a logistic fit, by Newton steps with a small ridge."""

@@ -8,8 +8,9 @@ consistent labelling of the tree: below a dropped node nothing is kept.
 
 Labels come from the pages themselves: nodes inside ``article`` or ``main`` are article, nodes
 inside navigation, headers, footers, asides, forms or blocks named so are not, others teach
-nothing. Every example is also shown without tags and names, so that the trees learn density
-and structure for pages that do not name their parts.
+nothing. Every example is also shown with the density and structure of another node, so that
+names decide where there are any, and without names, so that density and structure decide on
+pages that do not name their parts.
 """
 
 from __future__ import annotations
@@ -165,9 +166,9 @@ def parse(source: str) -> Page:
     return page
 
 
-FEATURES = 24
-#: Features that name a node's part; hidden in half of the examples.
-NAMES = slice(0, 8)
+FEATURES = 20
+#: Features that name a node's part (its own and its ancestors' tags and attribute words).
+NAMES = slice(0, 4)
 
 
 def features(page: Page) -> tuple[np.ndarray, np.ndarray]:
@@ -194,29 +195,29 @@ def features(page: Page) -> tuple[np.ndarray, np.ndarray]:
     for i in range(n):
         p = parent[i]
         tag = page.tag[i]
-        x[i, 0:4] = tag in OUTSIDE_TAGS, tag in INSIDE_TAGS, min(hits[i, 0], 2), min(hits[i, 1], 2)
+        x[i, 0:2] = tag in OUTSIDE_TAGS or hits[i, 0] > 0, tag in INSIDE_TAGS or hits[i, 1] > hits[i, 0]
         heads[i], items[i], paragraphs[i] = len(tag) == 2 and tag[0] == "h" and tag[1].isdigit(), tag in ("li", "dt", "dd"), tag in ("p", "blockquote", "pre")
         if p >= 0:
             depth[i] = depth[p] + 1
             nth[i] = children[p]
             children[p] += 1
-            x[i, 4:8] = np.maximum(x[p, 4:8], x[p, 0:4])
+            x[i, 2:4] = np.maximum(x[p, 2:4], x[p, 0:2])
     order = np.cumsum(own) - own
-    x[:, 8], x[:, 9], x[:, 10] = heads, items, paragraphs
-    x[:, 11] = np.log1p(total[:, 0])
-    x[:, 12] = total[:, 0] / (total[:, 2] + 1)
-    x[:, 13] = total[:, 1] / np.maximum(total[:, 0], 1)
-    x[:, 14] = total[:, 3] / np.maximum(total[:, 5], 1)
-    x[:, 15] = total[:, 4] / np.maximum(total[:, 5], 1)
-    x[:, 16] = np.log1p(direct[:, 5])
-    x[:, 17] = depth
+    x[:, 4], x[:, 5], x[:, 6] = heads, items, paragraphs
+    x[:, 7] = np.log1p(total[:, 0])
+    x[:, 8] = total[:, 0] / (total[:, 2] + 1)
+    x[:, 9] = total[:, 1] / np.maximum(total[:, 0], 1)
+    x[:, 10] = total[:, 3] / np.maximum(total[:, 5], 1)
+    x[:, 11] = total[:, 4] / np.maximum(total[:, 5], 1)
+    x[:, 12] = np.log1p(direct[:, 5])
+    x[:, 13] = depth
     up = np.maximum(parent, 0)
-    x[:, 18] = nth / np.maximum(children[up], 1)
-    x[:, 19] = np.log1p(children[up])
-    x[:, 20] = total[:, 0] / np.maximum(total[up, 0], 1)
-    x[:, 21] = total[:, 0] / max(total[0, 0], 1)
-    x[:, 22] = (order + own / 2) / max(own.sum(), 1)
-    x[:, 23] = np.log1p(children)
+    x[:, 14] = nth / np.maximum(children[up], 1)
+    x[:, 15] = np.log1p(children[up])
+    x[:, 16] = total[:, 0] / np.maximum(total[up, 0], 1)
+    x[:, 17] = total[:, 0] / max(total[0, 0], 1)
+    x[:, 18] = (order + own / 2) / max(own.sum(), 1)
+    x[:, 19] = np.log1p(children)
     return x, own
 
 
@@ -341,9 +342,10 @@ def fit(pages: DataFrame, key: str, source: str, bound: int = MAX_PAGES, seed: i
         xs.append(x[known])
         ys.append(label[known].astype(float))
     x, y = np.concatenate(xs), np.concatenate(ys)
-    hidden = x.copy()
+    hidden, mixed = x.copy(), x.copy()
     hidden[:, NAMES] = 0
-    return boost(np.concatenate([x, hidden]), np.concatenate([y, y]))
+    mixed[:, NAMES.stop :] = x[np.random.default_rng(seed).permutation(len(x)), NAMES.stop :]
+    return boost(np.concatenate([x, mixed, hidden]), np.concatenate([y, y, y]))
 
 
 def extract(pages: DataFrame, keep: list[str], source: str, model: Trees) -> DataFrame:

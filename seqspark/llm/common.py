@@ -30,6 +30,17 @@ def fold(key: str) -> Column:
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 3, F.lit(0))
 
 
+def sampled(df: DataFrame, columns: list[str], bound: int, salt: int) -> DataFrame:
+    """At most ``bound`` distinct rows, those with the smallest hashes of ``columns``.
+
+    Hashes alone are sorted (``bound`` from each partition); the rows are then picked by
+    a broadcast of at most ``bound`` numbers.
+    """
+    hashed = df.withColumn("_hash", F.xxhash64(*columns, F.lit(salt)))
+    picked = stored(hashed.select("_hash").orderBy("_hash").limit(bound), "sample")
+    return hashed.join(F.broadcast(picked), "_hash", "left_semi").dropDuplicates(["_hash"]).drop("_hash")
+
+
 def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
     """Row ranges of a batch bounded by rows and by bytes of ``column``."""
     at, rows = 0, batch.num_rows

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from seqspark.llm.common import slices, table
+from seqspark.llm.common import sampled, slices, table
 
 TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -330,12 +330,12 @@ MAX_PAGES = 400
 
 
 def fit(pages: DataFrame, key: str, source: str, bound: int = MAX_PAGES, seed: int = 3) -> Trees:
-    """Trees learned from weak labels of at most ``bound`` pages of up to 200 000 characters."""
-    rows = pages.filter(F.length(source) <= 200_000).select(F.xxhash64(F.col(key), F.lit(4)).alias("_h"), F.col(source).alias("_s"))
-    picked = rows.orderBy("_h", "_s").limit(bound).select("_s")
+    """Trees learned from weak labels of at most ``bound`` pages of up to 50 000 characters."""
+    rows = pages.select(key, source).filter(F.length(source) <= 50_000)
+    picked = sampled(rows, [key, source], bound, 4).select(source).toArrow().column(0).to_pylist()
     xs, ys = [np.zeros((0, FEATURES))], [np.zeros(0)]
-    for r in picked.toLocalIterator():
-        page = parse(r["_s"])
+    for text in sorted(picked):
+        page = parse(text)
         x, own = features(page)
         label = weak_labels(page)
         known = (label >= 0) & ~np.array(page.never)

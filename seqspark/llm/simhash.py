@@ -240,7 +240,7 @@ def op4_simhash_anchors(spark, sf_dir) -> DataFrame:
 
 TABLES = 8
 #: Of the pairs that meet at an anchor, the links each row reports besides the forest.
-NEIGHBOURS = 8
+NEIGHBOURS = 1
 
 
 def word_prints(text: str, tables: int = TABLES) -> np.ndarray:

@@ -188,13 +188,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, key: str, text: str, lab
     """``(key, text, label)`` of at most ``bound`` labelled documents, picked by hash.
 
     A document with several labels is toxic if one of them says so; null labels, keys and
-    texts are left out.
+    texts are left out; of rows that share a key one is taken.
     """
     known = labels.dropna(subset=[key, label]).groupBy(key).agg(F.max(label).cast("int").alias("_label"))
     picked = known.orderBy(F.xxhash64(F.col(key), F.lit(1)), key).limit(bound)
     rows = docs.select(key, F.col(text).alias("_text")).dropna()
     # At most ``bound`` short rows.
-    return stored(rows.join(F.broadcast(stored(picked, "picked")), key), "labelled")
+    return stored(rows.join(F.broadcast(stored(picked, "picked")), key).dropDuplicates([key]), "labelled")
 
 
 def fit(sample: DataFrame, key: str) -> ToxicityModel:

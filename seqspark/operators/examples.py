@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructField, StructType
 
 from seqspark.consts import EOS, GO, MASK, PAD
 from seqspark.functions import arrays as ar
 from seqspark.functions.arrays import let
 from seqspark.functions.hashing import fold, fold_unit
-from seqspark.operators.ordering import BUCKETS_PER_PARTITION, SAMPLES_PER_BUCKET, bucket_of, parallelism, ranked, running, split_points
+from seqspark.operators.ordering import parallelism, ranked, running
+from seqspark.session import scratch_dir
 
 # ---------------------------------------------------------------- blocks
 
@@ -162,47 +166,49 @@ class _Transfer:
         return out
 
 
-def pack_sentences(
-    rows: DataFrame, order: list[str], size: str, block_size: int, buckets: int | None = None, samples: int = SAMPLES_PER_BUCKET
-) -> DataFrame:
+def pack_sentences(rows: DataFrame, order: list[str], size: str, block_size: int, buckets: int | None = None) -> DataFrame:
     """Mode *complete*: whole sentences, greedily; a longer one gets its own block.
 
     Exact over the global order. Returns ``order`` columns and ``block_id``; tasks stream
-    sizes only, batch by batch.
+    sizes only, batch by batch. One pass lays the sizes out by range, summarises each bucket
+    and writes both; the other replays the buckets from their start states.
     """
     spark = rows.sparkSession
-    buckets = buckets or BUCKETS_PER_PARTITION * parallelism(rows)
-    points = split_points(rows, order, buckets, samples)
-    keyed = rows.select(*order, F.col(size).cast("bigint").alias("_size")).withColumn("_bucket", bucket_of(rows, order, points).cast("int"))
-    placed = keyed.repartition("_bucket").sortWithinPartitions("_bucket", *order)
+    keyed = rows.select(*order, F.col(size).cast("bigint").alias("_size"))
+    keyed = keyed.repartitionByRange(buckets or parallelism(rows), *order).sortWithinPartitions(*order)
+    keyed = keyed.withColumn("_bucket", F.spark_partition_id()).withColumn("_pos", F.monotonically_increasing_id())
+    schema = StructType([StructField(f.name, f.dataType) for f in keyed.schema])
+    for name, kind in (("low", "long"), ("high", "long"), ("fill", "long"), ("closed", "long"), ("rising", "boolean")):
+        schema = schema.add(name, kind)
+    target = to_arrow_schema(schema)
 
     def summarise(batches):
-        bucket, transfer = None, None
-        for pdf in batches:
-            for b, part in pdf.groupby("_bucket", sort=True):
-                if b != bucket:
-                    if transfer is not None:
-                        yield _intervals(bucket, transfer)
-                    bucket, transfer = b, _Transfer(block_size)
-                transfer.feed(part["_size"].to_numpy())
-        if transfer is not None:
-            yield _intervals(bucket, transfer)
-
-    starts = {0: (0, 0)}
-    if points:
-        schema = "_bucket int, low bigint, high bigint, fill bigint, closed bigint, rising boolean"
-        found: dict[int, list] = {}
-        for r in placed.select("_bucket", "_size").mapInPandas(summarise, schema).collect():
-            found.setdefault(r["_bucket"], []).append(r)
-        fill = block = 0
-        for b in range(len(points) + 1):
-            starts[b] = (fill, block)
-            state = min(fill, block_size)
-            for r in found.get(b, []):
-                if r["low"] <= state <= r["high"]:
-                    # A fill above the block size (one long sentence) acts like a full block.
-                    fill, block = r["fill"] + ((state - r["low"]) if r["rising"] else 0), block + r["closed"]
-                    break
+        bucket, transfer = None, _Transfer(block_size)
+        for batch in batches:
+            if batch.num_rows:
+                bucket = batch.column("_bucket")[0].as_py()
+                transfer.feed(batch.column("_size").to_numpy())
+            kept = [*batch.columns, *[pa.nulls(batch.num_rows, f.type) for f in list(target)[batch.num_columns :]]]
+            yield pa.RecordBatch.from_arrays(kept, names=target.names)
+        if bucket is not None:
+            found = [dict(zip(("low", "high", "fill", "closed", "rising"), r)) | {"_bucket": bucket} for r in transfer.intervals()]
+            last = pa.Table.from_pylist(found, schema=pa.schema([f.with_nullable(True) for f in target])).combine_chunks()
+            yield pa.RecordBatch.from_arrays([c.chunk(0) for c in last.columns], names=target.names)
+
+    path = scratch_dir(spark, "packed")
+    keyed.mapInArrow(summarise, schema).write.parquet(path)
+    placed = spark.read.schema(schema).parquet(path)
+    # A few intervals per bucket, one start state per bucket.
+    found: dict[int, list] = {}
+    for r in placed.filter("low is not null").select("_bucket", "low", "high", "fill", "closed", "rising").collect():
+        found.setdefault(r["_bucket"], []).append(r)
+    starts, fill, block = {}, 0, 0
+    for b in sorted(found):
+        starts[b] = (fill, block)
+        state = min(fill, block_size)
+        r = next(r for r in found[b] if r["low"] <= state <= r["high"])
+        # A fill above the block size (one long sentence) acts like a full block.
+        fill, block = r["fill"] + ((state - r["low"]) if r["rising"] else 0), block + r["closed"]
     columns = [*order, "block_id"]
     types = {f.name: f.dataType.simpleString() for f in rows.schema}
 
@@ -218,13 +224,8 @@ def pack_sentences(
             if done:
                 yield pd.concat(done)
 
-    return placed.mapInPandas(replay, ", ".join(f"{c} {types[c]}" for c in order) + ", block_id bigint")
-
-
-def _intervals(bucket: int, transfer: _Transfer) -> pd.DataFrame:
-    frame = pd.DataFrame(transfer.intervals(), columns=["low", "high", "fill", "closed", "rising"])
-    frame.insert(0, "_bucket", np.int32(bucket))
-    return frame
+    again = placed.filter("low is null").select(*order, "_size", "_bucket", "_pos").repartition("_bucket").sortWithinPartitions("_bucket", "_pos")
+    return again.mapInPandas(replay, ", ".join(f"{c} {types[c]}" for c in order) + ", block_id bigint")
 
 
 def select_targets(df: DataFrame, targets: list[str] | None, add_eos: bool = False) -> DataFrame:

@@ -2,10 +2,10 @@
 
 File positions are identities in sequence corpora: ids, ranks and token offsets all
 are running sums over one total order. ``running`` computes them with one shuffle of
-the rows: a fixed-size sample of keys gives split points, rows fall into balanced
-ordered buckets, bucket totals (one row per bucket) become offsets, and an ordinary
-window finishes inside each bucket. A hot key is split like any other range, because
-split points compare the whole composite order key.
+the rows: they are range-partitioned by the whole composite key (Spark bounds the sample
+per input partition), summed inside their bucket while they are written, and bucket totals
+(one row per bucket) become offsets. A hot key is split like any other range, because the
+bounds compare the whole key.
 """
 
 from __future__ import annotations
@@ -15,77 +15,18 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import DataType, StructField, StructType
+from pyspark.sql.types import StructField, StructType
 
 from seqspark.session import scratch_dir
 
-SAMPLES_PER_BUCKET = 32
-# Several buckets per shuffle partition even out what hashing puts together.
-BUCKETS_PER_PARTITION = 4
-
-
 def parallelism(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def _key(order: list) -> Column:
-    return F.struct(*[_col(c).alias(f"k{i}") for i, c in enumerate(order)])
-
-
 def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def split_points(df: DataFrame, order: list, buckets: int, samples: int = SAMPLES_PER_BUCKET):
-    """Cut points of roughly equal ranges; ``[]`` when the table is small.
-
-    The keys with the smallest hashes are a uniform sample of fixed size, whatever the
-    size of the table. It only places the cuts: every row is still bucketed exactly.
-    """
-    want = buckets * samples
-    keys = df.select(*[_col(c).alias(f"k{i}") for i, c in enumerate(order)])
-    rows = keys.orderBy(F.xxhash64(*keys.columns)).limit(want).toArrow().to_pylist()
-    if len(rows) < want:
-        return []
-    rows.sort(key=lambda r: tuple(r.values()))
-    return [rows[i * samples] for i in range(1, buckets)]
-
-
-def bucket_of(df: DataFrame, order: list, points: list[dict]) -> Column:
-    """Number of cut points at or below the row's key, found in two short scans."""
-    if not points:
-        return F.lit(0)
-    key = _key(order)
-    kinds = df.select(key.alias("k")).schema[0].dataType
-    step = max(1, int(len(points) ** 0.5))
-    blocks = [points[i : i + step] for i in range(0, len(points), step)]
-    heads = F.expr(_array(_struct(b[0], kinds) for b in blocks))
-    bodies = F.expr(_array(_array(_struct(p, kinds) for p in b) for b in blocks))
-    block = F.size(F.filter(heads, lambda p: p <= key))
-    inside = F.size(F.filter(F.get(bodies, F.greatest(block - 1, F.lit(0))), lambda p: p <= key))
-    return F.when(block == 0, F.lit(0)).otherwise((block - 1) * step + inside)
-
-
-# Constant tables as SQL text: one call to the JVM instead of several per value; the
-# optimizer folds them to literals.
-
-
-def _value(value, kind: DataType) -> str:
-    if value is None:
-        return f"cast(null as {kind.simpleString()})"
-    text = repr(value) if isinstance(value, float) else str(value)
-    quoted = text.replace("\\", "\\\\").replace("'", "\\'")
-    return f"cast('{quoted}' as {kind.simpleString()})"
-
-
-def _struct(point: dict, kinds: StructType) -> str:
-    return "named_struct(" + ", ".join(f"'{f.name}', {_value(point[f.name], f.dataType)}" for f in kinds) + ")"
-
-
-def _array(items) -> str:
-    return f"array({', '.join(items)})"
-
-
 def placed(df: DataFrame, order: list, sums: dict[str, Column], group: list[str], buckets: int) -> DataFrame:
     """Rows range-partitioned and sorted by ``group`` and ``order``, with the bucket and, per
     sum, the value (``_v*``) and the running sum inside the bucket and group (``_l*``).

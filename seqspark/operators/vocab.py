@@ -7,13 +7,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from seqspark.consts import BPE_MARK, EOS, PLAIN_SPECIALS, UNK
+from seqspark.consts import EOS, PLAIN_SPECIALS, UNK
 from seqspark.functions import text as tx
 from seqspark.operators.ordering import ranked
-from seqspark.session import fenced, local_table, pin
+from seqspark.session import fenced, local_table, pin, scratch_dir
 
-# Rows of a lookup table that may be shipped to every task (about 30 MB of tokens).
-BROADCAST_ROWS = 1_000_000
+# Lookup tables that may be shipped to every task: rows, and bytes of the longest token. So
+# they are at most 250 MB, and about 10 MB for ordinary words.
+BROADCAST_ROWS, TOKEN_BYTES = 250_000, 1024
 
 
 def first_key(*parts: tuple[Column, int]) -> Column:
@@ -137,10 +138,21 @@ def merge_vocabs(left: DataFrame, right: DataFrame) -> DataFrame:
     return known.unionByName(new)
 
 
-def _small(vocab: DataFrame, limit: int):
-    """The lookup rows when the table provably fits, else None."""
-    rows = vocab.select("token", "token_id").limit(limit + 1).toArrow()
-    return rows if rows.num_rows <= limit else None
+def _small(table: DataFrame, limit: int, value: str = "token_id"):
+    """``(token, value)`` rows when the table provably fits, else None."""
+    long = F.octet_length("token") > TOKEN_BYTES
+    cut = table.select(F.when(~long, F.col("token")).alias("token"), value, F.coalesce(long, F.lit(False)).alias("long"))
+    rows = cut.limit(limit + 1).toArrow()
+    return rows.select(["token", value]) if rows.num_rows <= limit and not pc.any(rows["long"]).as_py() else None
+
+
+def _keyed(df: DataFrame, key: list[str] | None) -> tuple[DataFrame, list[str]]:
+    """Rows with a key; without one they are numbered and written, so numbers stay."""
+    if key:
+        return df, key
+    path = scratch_dir(df.sparkSession, "numbered")
+    df.withColumn("_rid", F.monotonically_increasing_id()).write.parquet(path)
+    return df.sparkSession.read.parquet(path), ["_rid"]
 
 
 def _offsets(batch: pa.Array) -> pa.Array:
@@ -160,8 +172,8 @@ def encode(
     """Replace a column of token arrays by a column of id arrays, unknown -> ``unk``.
 
     Up to ``limit`` vocabulary rows (counted first) the lookup is row-local: no shuffle of
-    the corpus, one vectorised dictionary probe per Arrow batch. Beyond that ``key`` must
-    identify a row and the lookup becomes a join.
+    the corpus, one vectorised dictionary probe per Arrow batch. Beyond that the lookup is a
+    join, by ``key`` if it identifies a row, else by a number given to each.
     """
     table = _small(vocab, limit)
     if table is None:
@@ -180,14 +192,13 @@ def encode(
 
 def attach_values(df: DataFrame, tokens: str, table: DataFrame, value: str, out: str, limit: int = BROADCAST_ROWS, key: list[str] | None = None) -> DataFrame:
     """Array of doubles looked up for an array of tokens (``table``: ``(token, value)``)."""
-    rows = table.select("token", F.col(value).cast("double").alias("v")).limit(limit + 1).toArrow()
-    if rows.num_rows > limit:
-        if not key:
-            raise ValueError("a table beyond the broadcast limit needs key columns")
+    rows = _small(table.select("token", F.col(value).cast("double").alias("v")), limit, "v")
+    if rows is None:
+        df, key = _keyed(df, key)
         long = df.select(*key, F.posexplode(tokens).alias("pos", "token"))
         found = long.join(table.select("token", F.col(value).alias("v")), "token", "left")
         packed = F.sort_array(F.collect_list(F.struct("pos", "v")))
-        return df.join(found.groupBy(*key).agg(packed["v"].alias(out)), key, "left")
+        return df.join(found.groupBy(*key).agg(packed["v"].alias(out)), key, "left").drop("_rid")
     shipped = df.sparkSession.sparkContext.broadcast((rows["token"].combine_chunks(), rows["v"].combine_chunks()))
 
     @F.arrow_udf("array<double>")
@@ -210,13 +221,12 @@ def lookup_ids(tokens: DataFrame, vocab: DataFrame, unk: int = UNK) -> DataFrame
 
 
 def _encode_by_join(df, tokens, vocab, out, key, unk):
-    if not key:
-        raise ValueError("a vocabulary beyond the broadcast limit needs key columns")
+    df, key = _keyed(df, key)
     long = df.select(*key, F.posexplode(tokens).alias("pos", "token"))
     packed = F.sort_array(F.collect_list(F.struct("pos", F.col("token_id").cast("int").alias("i"))))
     ids = lookup_ids(long, vocab, unk).groupBy(*key).agg(packed.alias("_p")).select(*key, F.col("_p.i").alias(out))
     empty = F.array().cast("array<int>")
-    return df.join(ids, key, "left").withColumn(out, F.coalesce(out, empty))
+    return df.join(ids, key, "left").withColumn(out, F.coalesce(out, empty)).drop("_rid")
 
 
 def decode(long: DataFrame, vocab: DataFrame, key: list[str], escape_unk: bool = False, bpe: bool = False) -> DataFrame:
@@ -237,10 +247,9 @@ def decode_rows(
     unk = f"<{PLAIN_SPECIALS[UNK]}>" if escape_unk else PLAIN_SPECIALS[UNK]
     table = _small(vocab, limit)
     if table is None:
-        if not key:
-            raise ValueError("a vocabulary beyond the broadcast limit needs key columns")
+        df, key = _keyed(df, key)
         long = df.select(*key, F.posexplode(ids).alias("pos", "token_id"))
-        return df.join(decode(long, vocab, key, escape_unk, bpe), key, "left").withColumn("text", F.coalesce("text", F.lit("")))
+        return df.join(decode(long, vocab, key, escape_unk, bpe), key, "left").withColumn("text", F.coalesce("text", F.lit(""))).drop("_rid")
     shipped = df.sparkSession.sparkContext.broadcast((table["token_id"].combine_chunks().cast(pa.int32()), table["token"].combine_chunks()))
 
     @F.arrow_udf("array<string>")
@@ -309,8 +318,12 @@ def replace_unk(hyp: DataFrame, source: DataFrame, align: DataFrame, unk: str =
     ``(src, tgt)``. The source is followed by one ``<eos>``.
     """
     src = source.select("id", F.concat("words", F.array(F.lit("<eos>"))).alias("_src"))
-    joined = hyp.join(src, "id").withColumn("src", F.get("_src", F.col("src_pos").cast("int")))
-    joined = joined.join(align, "src", "left")
+    word = F.when(F.col("token") == unk, F.get("_src", F.col("src_pos").cast("int")))
+    joined = hyp.join(src, "id").withColumn("src", word).drop("_src")
+    # Only unknown words are looked up; the others carry a null and skip the join.
+    asked = joined.filter("src is not null").select("src").distinct()
+    found = align.join(asked, "src", "left_semi")
+    joined = joined.join(found, "src", "left")
     token = F.when(F.col("token") == unk, F.coalesce("tgt", "src")).otherwise(F.col("token"))
     packed = F.sort_array(F.collect_list(F.struct("pos", token.alias("t"))))
     return joined.groupBy("id").agg(F.array_join(packed["t"], " ").alias("text"))
@@ -332,7 +345,3 @@ def incompatible(left: DataFrame, right: DataFrame) -> DataFrame:
     a = left.filter(F.col("token").isin(names)).select("token", F.col("token_id").alias("left_id"))
     b = right.filter(F.col("token").isin(names)).select("token", F.col("token_id").alias("right_id"))
     return a.join(b, "token", "full").filter(~F.col("left_id").eqNullSafe(F.col("right_id")))
-
-
-def continues(token: Column, mark: str = BPE_MARK) -> Column:
-    return token.endswith(mark)

@@ -11,6 +11,8 @@ QUERIES: dict = {}
 ORACLES: dict = {}
 
 NWORDS, THRESHOLD = 4000, 2
+# Pair ids hold the whole turn number; an id too large for this fails instead of colliding.
+PAIR_ID = 2**32
 
 
 def query(name: str, sql: str | None = None):
@@ -74,7 +76,7 @@ def pairs(spark, d) -> DataFrame:
     user = turns.filter("role = 'user'").select("conv_id", "turn", F.col("text").alias("source"))
     reply = turns.filter("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("target"))
     both = user.join(reply, ["conv_id", "turn"])
-    return both.withColumn("id", F.col("conv_id") * 4096 + F.col("turn"))
+    return both.withColumn("id", F.col("conv_id") * PAIR_ID + F.col("turn"))
 
 
 def pair_words(spark, d) -> DataFrame:

@@ -76,7 +76,7 @@ stream AS (
   SELECT *, row_number() OVER (ORDER BY doc_id, line_no, pos) - 1 AS g FROM marked)"""
 
 PAIRS = """pairs AS (
-  SELECT u.conv_id, u.turn, u.conv_id * 4096 + u.turn AS id, u.text AS source, a.text AS target
+  SELECT u.conv_id, u.turn, u.conv_id * 4294967296 + u.turn AS id, u.text AS source, a.text AS target
   FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
   WHERE u.role = 'user' AND a.role = 'assistant')"""
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from seqspark.consts import PLAIN_SPECIALS
@@ -46,11 +44,11 @@ def load_vocab(spark: SparkSession, path: str, names: list[str] = PLAIN_SPECIALS
 
 
 def read_vectors(spark: SparkSession, path: str) -> DataFrame:
-    """``word f1 ... fd`` lines after a ``rows dims`` header line."""
-    parts = read_lines(spark, path).withColumn("_f", F.split(F.rtrim("line"), " "))
-    parts = parts.filter(F.size("_f") > 2)
+    """``word f1 ... fd`` lines after a header line; of a word's several vectors the last."""
+    parts = read_numbered(spark, path).filter("line_no > 0").withColumn("_f", F.split(F.rtrim("line"), " "))
     vector = F.slice("_f", 2, F.size("_f") - 1).cast("array<float>")
-    return parts.select(F.get("_f", F.lit(0)).alias("token"), vector.alias("vector"))
+    rows = parts.select(F.get("_f", F.lit(0)).alias("token"), vector.alias("vector"), "line_no")
+    return rows.groupBy("token").agg(F.max_by("vector", "line_no").alias("vector"))
 
 
 def parse_alignment(df: DataFrame, line: str, keep: list[str]) -> DataFrame:
@@ -83,7 +81,3 @@ def result_records(results: DataFrame, key: list[str], fields: dict[str, list[st
         ]
     )
     return results.select(*key, F.inline(record))
-
-
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from seqspark.functions import text as tx
@@ -13,16 +15,22 @@ def read_lines(spark: SparkSession, path) -> DataFrame:
     return spark.read.text(path).withColumnRenamed("value", "line")
 
 
+def _file_order(path: str) -> tuple:
+    """Name order, but Spark's part files by number: names get longer beyond 99 999 parts."""
+    folder, _, name = path.rpartition("/")
+    part = re.match(r"part-(\d+)", name)
+    return folder, (0, int(part[1]), name) if part else (1, 0, name)
+
+
 def read_numbered(spark: SparkSession, path) -> DataFrame:
     """Lines with their 0-based ordinal over all files in name order.
 
     Two scans, no shuffle of the text: the first counts lines per input split (one row
     per split, which the scheduler holds as tasks anyway), the second adds the split's
-    offset to the position inside the split.
+    offset to the position inside the split. Scans that pack splits differently are told
+    by positions outside the counted range and fail; set ``spark.sql.files.minPartitionNum``
+    where executors come and go.
     """
-    if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
-        # Keeps the cut into splits the same for both scans when executors come or go.
-        spark.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
     raw = spark.read.text(path).select(
         F.col("value").alias("line"),
         F.col("_metadata.file_path").alias("_file"),
@@ -31,12 +39,13 @@ def read_numbered(spark: SparkSession, path) -> DataFrame:
     )
     splits = raw.groupBy("_file", "_start").agg(F.count(F.lit(1)).alias("n"), F.min("_m").alias("_m0")).collect()
     offset, rows = 0, []
-    for s in sorted(splits, key=lambda r: (r["_file"], r["_start"])):
-        rows.append((s["_file"], s["_start"], s["_m0"], offset))
+    for s in sorted(splits, key=lambda r: (_file_order(r["_file"]), r["_start"])):
+        rows.append((s["_file"], s["_start"], s["_m0"], s["n"], offset))
         offset += s["n"]
-    table = local_table(spark, rows, "_file string, _start bigint, _m0 bigint, _offset bigint")
+    table = local_table(spark, rows, "_file string, _start bigint, _m0 bigint, _n bigint, _offset bigint")
     ordinal = F.col("_offset") + F.col("_m") - F.col("_m0")
-    checked = F.when(ordinal.isNotNull(), ordinal).otherwise(F.raise_error("input splits changed between scans").cast("bigint"))
+    inside = F.col("_m").between(F.col("_m0"), F.col("_m0") + F.col("_n") - 1)
+    checked = F.when(inside, ordinal).otherwise(F.raise_error("input splits changed between scans").cast("bigint"))
     return raw.join(table, ["_file", "_start"], "left").select(checked.alias("line_no"), "line")
 
 
@@ -73,11 +82,6 @@ def corpus_splits(files: DataFrame, path: str = "path") -> DataFrame:
     return parts.withColumn("used", F.dense_rank().over(by) - 1 == F.col("part"))
 
 
-def list_files(spark: SparkSession, root: str) -> DataFrame:
-    """Paths below a folder; file contents are not read."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path")
-
-
 def write_lines(df: DataFrame, path: str, line: Column, order: list | None = None) -> None:
     """Text sink; with ``order`` the part files in name order hold the sorted lines."""
     rows = df.orderBy(*order) if order else df

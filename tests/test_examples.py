@@ -28,7 +28,7 @@ def test_complete_blocks_equal_the_sequential_greedy(spark, buckets):
     rng = random.Random(buckets)
     for limit in (4, 13):
         sizes = [3, 1, 2, 7] + [rng.choice([1, 1, 2, 3, 5, 9, 20]) for _ in range(400)]
-        got = ex.pack_sentences(sizes_table(spark, sizes).repartition(5), ["i"], "size", limit, buckets, 4)
+        got = ex.pack_sentences(sizes_table(spark, sizes).repartition(5), ["i"], "size", limit, buckets)
         assert [r["block_id"] for r in got.orderBy("i").collect()] == greedy(sizes, limit)
 
 

@@ -14,7 +14,7 @@ from seqspark.functions import arrays as ar
 from seqspark.functions.arrays import let
 from seqspark.functions.hashing import fold, fold_unit
 from seqspark.operators.ordering import parallelism, ranked, running
-from seqspark.session import scratch_dir
+from seqspark.session import local_table, scratch_dir
 
 # ---------------------------------------------------------------- blocks
 
@@ -360,19 +360,22 @@ def swap_direction(df: DataFrame, reverse: Column) -> DataFrame:
 REPEATS_PER_ROW = 1 << 16
 
 
-def corpus_sizes(df: DataFrame, key: str, limit: int = 10_000) -> dict:
-    """Rows per corpus; the number of corpora is a configuration, not data."""
-    rows = df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} corpora")
-    return {r[key]: r["n"] for r in sorted(rows, key=lambda r: r[key])}
-
-
-def _literal_map(key: str, values: dict, kind: str = "bigint") -> Column:
-    out = F.lit(None).cast(kind)
-    for k, v in values.items():
-        out = F.when(F.col(key) == k, F.lit(v).cast(kind)).otherwise(out)
-    return out
+def corpus_table(df: DataFrame, key: str, ratios: dict | int = 1, corpora: list | None = None) -> DataFrame:
+    """``(_key, n, ratio, place)`` per corpus: rows, repetitions, position (listed ones first,
+    the others by name). Written once; as many rows as corpora, whose number is not bounded."""
+    spark = df.sparkSession
+    rows = df.groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("n"))
+    kind = df.schema[key].dataType.simpleString()
+    named = ratios if isinstance(ratios, dict) else {}
+    default = 1 if isinstance(ratios, dict) else ratios
+    listed = [(k, int(named.get(k, default)), i) for i, k in enumerate(corpora or [])]
+    listed += [(k, int(r), None) for k, r in named.items() if k not in (corpora or [])]
+    known = local_table(spark, listed, f"_key {kind}, ratio bigint, place bigint")
+    rows = rows.join(known, "_key", "left")
+    rows = rows.select("_key", "n", F.coalesce("ratio", F.lit(default)).cast("bigint").alias("ratio"), F.coalesce("place", F.lit(len(corpora or []))).alias("place"))
+    path = scratch_dir(spark, "corpora")
+    rows.write.parquet(path)
+    return spark.read.parquet(path)
 
 
 def _repeat(df: DataFrame, times: Column, most: int, out: str) -> DataFrame:
@@ -388,31 +391,31 @@ def _repeat(df: DataFrame, times: Column, most: int, out: str) -> DataFrame:
     return rows.drop("_times")
 
 
-def concat_corpora(df: DataFrame, key: str, order: list[str], ratios: dict | int = 1) -> DataFrame:
-    """Corpora one after the other, each repeated ``ratio`` times; adds ``new_id``."""
-    sizes = corpus_sizes(df, key)
-    ratio = {k: ratios if isinstance(ratios, int) else ratios.get(k, 1) for k in sizes}
-    offsets, start = {}, 0
-    for k, n in sizes.items():
-        offsets[k] = start
-        start += ratio[k] * n
-    rows = ranked(df, order, "_rank", group=[key])
-    rows = _repeat(rows, _literal_map(key, ratio), max(ratio.values()), "_rep")
-    new_id = _literal_map(key, offsets) + F.col("_rep") * _literal_map(key, sizes) + F.col("_rank")
-    return rows.withColumn("new_id", new_id).drop("_rep", "_rank")
+def concat_corpora(df: DataFrame, key: str, order: list[str], ratios: dict | int = 1, corpora: list | None = None) -> DataFrame:
+    """Corpora one after the other, each repeated ``ratio`` times; adds ``new_id``.
+
+    ``corpora`` names those that come first, in order; the others follow by name.
+    """
+    sizes = corpus_table(df, key, ratios, corpora)
+    laid = running(sizes, ["place", "_key"], {"_end": F.col("n") * F.col("ratio")})
+    most = sizes.agg(F.max("ratio")).first()[0] or 1
+    rows = ranked(df, order, "_rank", group=[key]).join(laid, F.col(key) == F.col("_key"))
+    rows = rows.withColumn("_first", F.col("_end") - F.col("n") * F.col("ratio")).withColumnRenamed("n", "_n")
+    rows = _repeat(rows.select(*df.columns, "_rank", "_first", "_n", F.col("ratio").alias("_ratio")), F.col("_ratio"), most, "_rep")
+    new_id = F.col("_first") + F.col("_rep") * F.col("_n") + F.col("_rank")
+    return rows.withColumn("new_id", new_id).drop("_rep", "_rank", "_first", "_n", "_ratio")
 
 
 def round_robin(df: DataFrame, key: str, order: list[str], eval_key=None) -> DataFrame:
     """One row per ``(step, corpus)``; shorter corpora start over until the longest ends."""
     if eval_key is not None:
         return ranked(df.filter(F.col(key) == eval_key), order, "step")
-    sizes = corpus_sizes(df, key)
-    longest = max(sizes.values())
-    rows = ranked(df, order, "_rank", group=[key])
-    n = _literal_map(key, sizes)
-    times = F.floor((F.lit(longest) - F.col("_rank") - 1) / n) + 1
-    rows = _repeat(rows, times, longest // min(sizes.values()) + 1, "_rep")
-    return rows.withColumn("step", F.col("_rank") + F.col("_rep") * n).drop("_rank", "_rep")
+    sizes = corpus_table(df, key).select("_key", F.col("n").alias("_n"))
+    longest, least = sizes.agg(F.max("_n"), F.min("_n")).first()
+    rows = ranked(df, order, "_rank", group=[key]).join(sizes, F.col(key) == F.col("_key")).drop("_key")
+    times = F.floor((F.lit(longest) - F.col("_rank") - 1) / F.col("_n")) + 1
+    rows = _repeat(rows, times, (longest or 0) // (least or 1) + 1, "_rep")
+    return rows.withColumn("step", F.col("_rank") + F.col("_rep") * F.col("_n")).drop("_rank", "_rep", "_n")
 
 
 def classification_pairs(texts: DataFrame, labels: DataFrame, key: list[str]) -> DataFrame:

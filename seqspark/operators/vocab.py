@@ -160,6 +160,15 @@ def _offsets(batch: pa.Array) -> pa.Array:
     return pa.array(np.concatenate([[0], sizes.cumsum()]).astype("int32"))
 
 
+def shipped(vocab: DataFrame, limit: int = BROADCAST_ROWS):
+    """A broadcast ``(tokens, ids)`` of a vocabulary that fits, else None."""
+    table = _small(vocab, limit)
+    if table is None:
+        return None
+    columns = table["token"].combine_chunks(), table["token_id"].combine_chunks().cast(pa.int32())
+    return vocab.sparkSession.sparkContext.broadcast(columns)
+
+
 def encode(
     df: DataFrame,
     tokens: str,
@@ -168,26 +177,28 @@ def encode(
     key: list[str] | None = None,
     limit: int = BROADCAST_ROWS,
     unk: int = UNK,
+    lookup=None,
 ) -> DataFrame:
     """Replace a column of token arrays by a column of id arrays, unknown -> ``unk``.
 
     Up to ``limit`` vocabulary rows (counted first) the lookup is row-local: no shuffle of
     the corpus, one vectorised dictionary probe per Arrow batch. Beyond that the lookup is a
-    join, by ``key`` if it identifies a row, else by a number given to each.
+    join, by ``key`` if it identifies a row, else by a number given to each. A stream passes
+    the ``lookup`` it made once with ``shipped``.
     """
-    table = _small(vocab, limit)
+    table = lookup or shipped(vocab, limit)
     if table is None:
         return _encode_by_join(df, tokens, vocab, out, key, unk)
-    shipped = df.sparkSession.sparkContext.broadcast((table["token"].combine_chunks(), table["token_id"].combine_chunks().cast(pa.int32())))
 
     @F.arrow_udf("array<int>")
-    def lookup(batch: pa.Array) -> pa.Array:
-        names, ids = shipped.value
-        flat = batch.flatten()
-        found = pc.take(ids, pc.index_in(flat, value_set=names))
-        return pa.ListArray.from_arrays(_offsets(batch), pc.fill_null(found, unk))
+    def probe(batch: pa.Array) -> pa.Array:
+        names, ids = table.value
+        # Each distinct token of the batch is looked up once.
+        coded = batch.flatten().dictionary_encode()
+        found = pc.fill_null(pc.take(ids, pc.index_in(coded.dictionary, value_set=names)), unk)
+        return pa.ListArray.from_arrays(_offsets(batch), pc.fill_null(pc.take(found, coded.indices), unk))
 
-    return fenced(df, tokens).withColumn(out, lookup(F.col(tokens)))
+    return fenced(df, tokens).withColumn(out, probe(F.col(tokens)))
 
 
 def attach_values(df: DataFrame, tokens: str, table: DataFrame, value: str, out: str, limit: int = BROADCAST_ROWS, key: list[str] | None = None) -> DataFrame:
@@ -300,15 +311,19 @@ def attach_vectors(vocab: DataFrame, vectors: DataFrame) -> DataFrame:
     return vocab.join(vectors, "token", "left")
 
 
-def alignment_counts(links: DataFrame) -> DataFrame:
-    """``(src, tgt, first)`` per aligned known pair, counted."""
+def alignment_counts(links: DataFrame, source: DataFrame | None = None, target: DataFrame | None = None) -> DataFrame:
+    """``(src, tgt, first)`` per aligned pair, counted; with vocabularies, only known words."""
+    for vocab, side in ((source, "src"), (target, "tgt")):
+        if vocab is not None:
+            known = vocab.filter(F.col("token") != PLAIN_SPECIALS[UNK]).select(F.col("token").alias(side))
+            links = links.join(known, side, "left_semi")
     return links.groupBy("src", "tgt").agg(F.count(F.lit(1)).alias("cnt"), F.min("first").alias("first"))
 
 
-def alignment_dict(links: DataFrame) -> DataFrame:
-    """Most frequent target per source, ties to the pair seen first."""
+def alignment_dict(links: DataFrame, source: DataFrame | None = None, target: DataFrame | None = None) -> DataFrame:
+    """Most frequent target per source, ties to the pair seen first; see ``alignment_counts``."""
     best = F.max_by("tgt", F.struct("cnt", (-F.col("first")).alias("f")))
-    return alignment_counts(links).groupBy("src").agg(best.alias("tgt"))
+    return alignment_counts(links, source, target).groupBy("src").agg(best.alias("tgt"))
 
 
 def replace_unk(hyp: DataFrame, source: DataFrame, align: DataFrame, unk: str = PLAIN_SPECIALS[UNK]) -> DataFrame:

@@ -100,14 +100,14 @@ r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, line_no ORDER BY t IN (2
 c AS (SELECT *, t NOT IN (2, 4) AND rk <= greatest(1, round_even(size * 0.15::DOUBLE, 0)) AS chosen FROM r),
 u AS (SELECT *, CASE WHEN chosen THEN {_U} / {float(sql.P)}::DOUBLE END AS u, CASE WHEN chosen THEN {_V} / {float(sql.P)}::DOUBLE END AS v FROM c)
 SELECT doc_id, line_no, string_agg((CASE WHEN NOT chosen THEN t WHEN u < 0.8 THEN 0 WHEN u < 0.9 THEN t
-    ELSE floor(v * {NWORDS})::BIGINT END)::VARCHAR, ' ' ORDER BY i) AS source,
+    ELSE floor(v * (SELECT count(*) FROM vocab))::BIGINT END)::VARCHAR, ' ' ORDER BY i) AS source,
   string_agg((CASE WHEN chosen THEN t ELSE 1 END)::VARCHAR, ' ' ORDER BY i) AS target
 FROM u GROUP BY doc_id, line_no""")
 def masked_example(spark, d):
     vocab = vb.finalize(base.doc_counts(spark, d), THRESHOLD, NWORDS, names=MOLECULE_SPECIALS)
     rows = vb.encode(base.doc_words(spark, d), "words", vocab).withColumn("ids", ar.append_eos(F.col("ids")))
     acc = hash_base(SEED, F.col("doc_id"), F.col("line_no"))
-    out = ex.masked_example(rows, "ids", acc, vocab_size=NWORDS)
+    out = ex.masked_example(rows, "ids", acc, vocab_size=vocab.count())
     return out.select("doc_id", "line_no", joined("source").alias("source"), joined("target").alias("target"))
 
 
@@ -213,9 +213,9 @@ def language_pairs(spark, d):
     return ex.swap_direction(p, F.col("pair") != F.col("canonical")).select("pair", "canonical", "source", "target")
 
 
-# Candidates for a pair: the replies of the same conversation, scored by closeness in length.
+# Candidates for a pair: the replies at most eight turns away, scored by closeness in length.
 @query("e14_back_translation", f"""WITH {PAIR_IDS},
-h AS (SELECT p.id, q.turn AS hyp, q.target AS tokens, -abs(p.ns - q.nt)::DOUBLE AS score FROM pe p JOIN pe q USING (conv_id)),
+h AS (SELECT p.id, q.turn AS hyp, q.target AS tokens, -abs(p.ns - q.nt)::DOUBLE AS score FROM pe p JOIN pe q ON p.conv_id = q.conv_id AND abs(p.turn - q.turn) <= 8),
 b AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, hyp) = 1)
 SELECT p.id, b.tokens AS source, p.source AS target FROM pe p JOIN b USING (id)""")
 def back_translation(spark, d):
@@ -224,7 +224,8 @@ def back_translation(spark, d):
     p = pair_ids(spark, d)
     q = p.select("conv_id", F.col("turn").alias("hyp"), F.col("target").alias("tokens"))
     score = -F.abs(F.size("source") - F.size("tokens")).cast("double")
-    hyps = p.select("id", "conv_id", "source").join(q, "conv_id").select("id", "hyp", "tokens", score.alias("score"))
+    near = F.explode(F.sequence(F.col("turn") - 8, F.col("turn") + 8)).alias("hyp")
+    hyps = p.select("id", "conv_id", "source", near).join(q, ["conv_id", "hyp"]).select("id", "hyp", "tokens", score.alias("score"))
     out = ex.back_translate(p.select("id", "source"), n_best(hyps, ["id"], 1))
     return out.select("id", joined("source").alias("source"), joined("target").alias("target"))
 
@@ -308,9 +309,9 @@ l AS (SELECT lang, 3 + row_number() OVER (ORDER BY min(doc_id)) AS label_id FROM
 SELECT d.doc_id, e.ids AS source, l.label_id AS target FROM documents d JOIN e USING (doc_id) JOIN l ON l.lang = d.lang""")
 def classification_pairs(spark, d):
     docs = base.documents(spark, d)
-    texts = vb.encode(docs.select("doc_id", tx.words(F.col("text")).alias("words")), "words", base.doc_vocab(spark, d))
+    texts = vb.encode(docs.select("doc_id", F.col("lang").alias("token"), tx.words(F.col("text")).alias("words")), "words", base.doc_vocab(spark, d))
     seen = docs.select(F.col("lang").alias("token"), F.col("doc_id").alias("first"))
-    labels = vb.lookup_ids(docs.select("doc_id", F.col("lang").alias("token")), vb.first_seen_vocab(seen))
-    labels = labels.select("doc_id", F.col("token_id").alias("label_id"))
-    out = ex.classification_pairs(texts, labels, ["doc_id"])
+    # The label stands in the row; only its id is looked up, in the table of labels.
+    labels = vb.first_seen_vocab(seen).select("token", F.col("token_id").alias("label_id"))
+    out = ex.classification_pairs(texts, labels, ["token"])
     return out.select("doc_id", joined("ids").alias("source"), F.get("target", F.lit(0)).cast("bigint").alias("target"))

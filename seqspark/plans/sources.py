@@ -8,7 +8,7 @@ from seqspark.functions import text as tx
 from seqspark.operators import vocab as vb
 from seqspark.plans import base, sql
 from seqspark.plans.base import query
-from seqspark.session import scratch_dir
+from seqspark.session import local_table, scratch_dir
 from seqspark.sources import corpus, molecules, text as src
 
 
@@ -61,34 +61,38 @@ def _property_lines(spark, d):
 
 
 @query("s04_property_source", f"""WITH {_PROPERTY_SQL}
-SELECT doc_id, 'doc' || doc_id AS smiles, len(string_split(line, ',')) = 3 AS ok,
+SELECT row_number() OVER (ORDER BY doc_id) AS line_no, 'doc' || doc_id AS smiles, len(string_split(line, ',')) = 3 AS ok,
   CASE WHEN string_split(line, ',')[2] = 'NaN' THEN 0 ELSE string_split(line, ',')[2]::DOUBLE END AS prop0,
   CASE WHEN string_split(line, ',')[3] = 'NaN' THEN 0 ELSE string_split(line, ',')[3]::DOUBLE END AS prop1,
   string_split(line, ',')[2] <> 'NaN' AS present0, string_split(line, ',')[3] <> 'NaN' AS present1
 FROM plines""")
 def property_source(spark, d):
-    parsed = molecules.parse_properties(_property_lines(spark, d), num_props=2)
+    path = scratch_dir(spark, "properties")
+    header = local_table(spark, [(-1, "smiles,quality,toxic")], "doc_id bigint, line string")
+    src.write_lines(header.unionByName(_property_lines(spark, d)), path, F.col("line"), ["doc_id"])
+    parsed = molecules.read_properties(spark, path, num_props=2)
     return parsed.select(
-        "doc_id", "smiles", "ok",
+        "line_no", "smiles", "ok",
         *[F.get("props", F.lit(i)).alias(f"prop{i}") for i in (0, 1)],
         *[F.get("present", F.lit(i)).alias(f"present{i}") for i in (0, 1)],
     )
 
 
 @query("s05_unlabelled_source", f"""WITH {sql.LINES}
-SELECT doc_id, line_no, string_split(regexp_replace(line, '^{sql.WHITE}+|{sql.WHITE}+$', '', 'g'), ',')[1] AS smiles
-FROM lines WHERE regexp_replace(line, '{sql.WHITE}+', '', 'g') <> ''""")
+SELECT line_no, string_split(regexp_replace(line, '^{sql.WHITE}+|{sql.WHITE}+$', '', 'g'), ',')[1] AS smiles
+FROM (SELECT row_number() OVER (ORDER BY doc_id, line_no) - 1 AS line_no, line FROM lines)
+WHERE line_no > 0 AND regexp_replace(line, '{sql.WHITE}+', '', 'g') <> ''""")
 def unlabelled_source(spark, d):
-    return molecules.first_field(base.doc_lines(spark, d)).select("doc_id", "line_no", "smiles")
+    return molecules.read_unlabelled(spark, _written_lines(spark, d)).select("line_no", "smiles")
 
 
 @query("s06_encoded_round_trip", f"""WITH {sql.ENCODED}
-SELECT doc_id, line_no, count(*) AS size, string_agg(token_id::VARCHAR, ' ' ORDER BY pos) AS ids
-FROM enc GROUP BY doc_id, line_no HAVING count(*) >= 5""")
+SELECT w.doc_id, w.line_no, count(token_id) AS size, coalesce(string_agg(token_id::VARCHAR, ' ' ORDER BY pos), '') AS ids
+{sql.BY_LINE}""")
 def encoded_round_trip(spark, d):
     path = scratch_dir(spark, "encoded")
     corpus.write_encoded(base.encoded_lines(spark, d).select("doc_id", "line_no", "ids"), path)
-    kept = corpus.read_encoded(spark, path).filter("size >= 5")
+    kept = corpus.read_encoded(spark, path)
     return kept.select("doc_id", "line_no", F.col("size").cast("bigint").alias("size"), base.joined("ids").alias("ids"))
 
 
@@ -212,12 +216,12 @@ def aligner_input(spark, d):
 
 
 @query("s15_decode_corpus", f"""WITH {sql.ENCODED}
-SELECT doc_id, line_no, string_agg(CASE WHEN token_id = 3 THEN '<unk>' ELSE token END, ' ' ORDER BY pos) AS text
-FROM enc GROUP BY doc_id, line_no""")
+SELECT w.doc_id, w.line_no, coalesce(string_agg(CASE WHEN token_id = 3 THEN '<unk>' ELSE token END, ' ' ORDER BY pos), '') AS text
+{sql.BY_LINE}""")
 def decode_corpus(spark, d):
     path = scratch_dir(spark, "encoded")
     vocab = base.doc_vocab(spark, d)
     lines = vb.encode(base.doc_words(spark, d), "words", vocab)
     corpus.write_encoded(lines.select("doc_id", "line_no", "ids"), path)
     stored = corpus.read_encoded(spark, path)
-    return vb.decode_rows(stored, "ids", vocab).filter(F.size("ids") > 0).select("doc_id", "line_no", "text")
+    return vb.decode_rows(stored, "ids", vocab).select("doc_id", "line_no", "text")

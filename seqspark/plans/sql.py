@@ -67,6 +67,9 @@ VOCAB = f"{COUNTS},\n{finalize('counts', THRESHOLD, NWORDS)}"
 ENCODED = f"""{VOCAB},
 enc AS (SELECT t.*, coalesce(v.token_id, 3) AS token_id FROM tok t LEFT JOIN vocab v USING (token))"""
 
+# Ends a query over lines: a blank line has no token and one row.
+BY_LINE = "FROM words w LEFT JOIN enc e ON e.doc_id = w.doc_id AND e.line_no = w.line_no GROUP BY w.doc_id, w.line_no"
+
 # One row per token and end mark, numbered inside its document.
 STREAM = f"""{ENCODED},
 marked AS (

@@ -13,20 +13,23 @@ from seqspark.streaming import stream as st
 
 
 @query("r01_buffered_lines", f"""WITH {sql.ENCODED}
-SELECT doc_id, line_no, count(*) + 1 AS size, string_agg(token_id::VARCHAR, ' ' ORDER BY pos) || ' 2' AS ids
-FROM enc GROUP BY doc_id, line_no HAVING count(*) + 1 <= 100""")
+SELECT w.doc_id, w.line_no, count(token_id) + 1 AS size, concat_ws(' ', string_agg(token_id::VARCHAR, ' ' ORDER BY pos), '2') AS ids
+{sql.BY_LINE} HAVING count(token_id) + 1 <= 100""")
 def buffered_lines(spark, d):
     vocab = base.doc_vocab(spark, d).select("token_id", "token")
     path = scratch_dir(spark, "vocab")
     vocab.write.parquet(path)
     inbox, out = scratch_dir(spark, "inbox"), scratch_dir(spark, "replies")
-    base.doc_lines(spark, d).repartition(4).write.parquet(inbox)
+    base.doc_lines(spark, d).write.parquet(inbox)
+    table = spark.read.parquet(path)
+
+    lookup = vb.shipped(table)  # one broadcast for all micro-batches
 
     def process(batch):
         words = batch.withColumn("words", tx.words(F.col("line")))
-        ids = vb.encode(words, "words", batch.sparkSession.read.parquet(path)).withColumn("ids", ar.append_eos(F.col("ids")))
+        ids = vb.encode(words, "words", table, lookup=lookup).withColumn("ids", ar.append_eos(F.col("ids")))
         kept, _ = bt.filter_by_size(ids.withColumn("size", F.size("ids").cast("bigint")), F.col("size"), 100)
-        return kept.select("doc_id", "line_no", "size", joined("ids").alias("ids")).filter("size > 1")
+        return kept.select("doc_id", "line_no", "size", joined("ids").alias("ids"))
 
     lines = st.line_stream(spark, inbox, "doc_id bigint, line_no bigint, line string")
     st.process_in_order(lines, process, ["doc_id", "line_no"], out, scratch_dir(spark, "progress")).awaitTermination()

@@ -94,9 +94,9 @@ def merge_vocabs(spark, d):
 
 
 @query("v05_encode_lines", f"""WITH {sql.ENCODED}
-SELECT doc_id, line_no, string_agg(token_id::VARCHAR, ' ' ORDER BY pos) AS ids FROM enc GROUP BY doc_id, line_no""")
+SELECT w.doc_id, w.line_no, coalesce(string_agg(token_id::VARCHAR, ' ' ORDER BY pos), '') AS ids {sql.BY_LINE}""")
 def encode_lines(spark, d):
-    e = base.encoded_lines(spark, d).filter(F.size("ids") > 0)
+    e = base.encoded_lines(spark, d)
     return e.select("doc_id", "line_no", joined("ids").alias("ids"))
 
 
@@ -120,13 +120,13 @@ def growing_vocab(spark, d):
 
 
 @query("v07_decode_lines", f"""WITH {sql.ENCODED}
-SELECT doc_id, line_no, string_agg(CASE WHEN token_id = 3 THEN '<<unk>>' ELSE token END, ' ' ORDER BY pos) AS text
-FROM enc GROUP BY doc_id, line_no""")
+SELECT w.doc_id, w.line_no, coalesce(string_agg(CASE WHEN token_id = 3 THEN '<<unk>>' ELSE token END, ' ' ORDER BY pos), '') AS text
+{sql.BY_LINE}""")
 def decode_lines(spark, d):
     vocab = base.doc_vocab(spark, d)
     rows = vb.encode(base.doc_words(spark, d), "words", vocab).withColumn("ids", ar.append_eos(F.col("ids")))
     out = vb.decode_rows(rows, "ids", vocab, escape_unk=True)
-    return out.filter(F.size("ids") > 1).select("doc_id", "line_no", "text")
+    return out.select("doc_id", "line_no", "text")
 
 
 @query("v07_decode_by_join", f"""WITH {sql.ENCODED}
@@ -153,10 +153,10 @@ def replaced_tokens(spark, d):
 
 
 @query("v09_truncated_vocab", f"""WITH {sql.ENCODED}
-SELECT doc_id, line_no, string_agg((CASE WHEN token_id >= 500 THEN 3 ELSE token_id END)::VARCHAR, ' ' ORDER BY pos) AS ids
-FROM enc GROUP BY doc_id, line_no""")
+SELECT w.doc_id, w.line_no, coalesce(string_agg((CASE WHEN token_id >= 500 THEN 3 ELSE token_id END)::VARCHAR, ' ' ORDER BY pos), '') AS ids
+{sql.BY_LINE}""")
 def truncated_vocab(spark, d):
-    e = base.encoded_lines(spark, d).filter(F.size("ids") > 0)
+    e = base.encoded_lines(spark, d)
     return e.select("doc_id", "line_no", F.array_join(ar.truncate_vocab(F.col("ids"), 500).cast("array<string>"), " ").alias("ids"))
 
 

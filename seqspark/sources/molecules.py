@@ -2,9 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from seqspark.functions import text as tx
+from seqspark.sources.text import read_numbered
+
+
+def read_properties(spark: SparkSession, path, num_props: int, header: bool = True, **options) -> DataFrame:
+    """``parse_properties`` of a file, with ``line_no``; the first line is a header by default."""
+    rows = read_numbered(spark, path)
+    return parse_properties(rows.filter("line_no > 0") if header else rows, num_props, **options)
+
+
+def read_unlabelled(spark: SparkSession, path, header: bool = True, **options) -> DataFrame:
+    """``first_field`` of a file, with ``line_no``; the first line is a header by default."""
+    rows = read_numbered(spark, path)
+    return first_field(rows.filter("line_no > 0") if header else rows, **options)
 
 
 def parse_properties(

@@ -220,7 +220,8 @@ def revisions(df: DataFrame, key: str, text: str) -> DataFrame:
     parts = sorted(r["part"] for r in edges.filter("edge = 'first'").select("part").collect())  # one number per partition
     follow = local_table(spark, list(zip(parts, parts[1:] + parts[:1])), "part int, following int")
     firsts = edges.filter("edge = 'first'").select(F.col("part").alias("following"), F.col("text").alias("next"))
-    pairs = edges.filter("edge = 'last'").join(follow, "part").join(firsts, "following").select("key", "text", "next")
+    # One text per partition on each side: joined by shuffle, never broadcast.
+    pairs = edges.filter("edge = 'last'").join(F.broadcast(follow), "part").join(firsts.hint("merge"), "following").select("key", "text", "next")
 
     def match(batches):
         for batch in batches:

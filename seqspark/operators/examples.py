@@ -25,6 +25,10 @@ def block_pieces(rows: DataFrame, order: list[str], size: Column, block_size: in
     Adds ``block_id``, ``at`` (position inside the block), ``lo`` (position inside the row)
     and ``n``. Only the row sizes take part in the global prefix sum; a row is cut locally.
     """
+    # Laying out by range samples the rows first: what makes them should not run twice.
+    path = scratch_dir(rows.sparkSession, "stream")
+    rows.write.parquet(path)
+    rows = rows.sparkSession.read.schema(rows.schema).parquet(path)
     sized = running(rows, order, {"_end": size.cast("bigint")})
     sized = sized.filter(F.col("_end") > 0).withColumn("_begin", F.col("_end") - size.cast("bigint"))
     block = F.explode(F.sequence(F.floor(F.col("_begin") / block_size), F.floor((F.col("_end") - 1) / block_size)))

@@ -183,13 +183,15 @@ def revisions(df: DataFrame, key: str, text: str) -> DataFrame:
     The texts are range-partitioned by key once; rows are compared with their successors in
     the stream of a partition, and the first and last row of each partition (two rows per
     partition) are matched afterwards; the last row of all is followed by the first. A null
-    text is empty; null keys come first; equal keys follow each other by text. An empty
+    text is empty; null keys come first; rows of equal key follow each other by a hash of the text. An empty
     table gives no rows.
     """
     spark = df.sparkSession
     kind = df.schema[key].dataType.simpleString()
     source = df.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = source.repartitionByRange(parallelism(df), "key", "text").sortWithinPartitions("key", "text")
+    # Bounds are sampled from keys and hashes, not from texts.
+    hashed = source.withColumn("hash", F.xxhash64("text"))
+    rows = hashed.repartitionByRange(parallelism(df), "key", "hash").sortWithinPartitions("key", "hash", "text").select("key", "text")
     names = ["key", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "part", "edge", "text"]
 
     def run(batches):

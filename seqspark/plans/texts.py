@@ -121,11 +121,35 @@ def plain_characters(spark, d):
     return base.doc_lines(spark, d).withColumn("line", line)
 
 
-@query("t13_learn_bpe")
+MERGES = 60
+
+
+def _bpe_sql(merges: int) -> str:
+    """``w{merges}(token, cnt, s)`` and ``m1 .. m{merges}(a, b, cnt)``: one merge after the other.
+
+    Every symbol of ``s`` has a blank on both sides, so a literal replacement of two
+    neighbours goes from left to right and takes no symbol twice.
+    """
+    steps = [f"""{sql.PAIR_WORDS},
+bt AS (SELECT id, 0 AS side, unnest(sw) AS token, unnest(range(len(sw))) AS pos FROM pw
+  UNION ALL SELECT id, 1, unnest(tw), unnest(range(len(tw))) FROM pw),
+w0 AS MATERIALIZED (SELECT token, count(*) AS cnt, ' ' || array_to_string(regexp_extract_all(token, '(?s).'), '  ') || '</w> ' AS s
+  FROM bt GROUP BY token)"""]
+    for k in range(1, merges + 1):
+        steps.append(f"""m{k} AS MATERIALIZED (SELECT a, b, sum(cnt)::BIGINT AS cnt FROM (
+  SELECT cnt, unnest(l[:-2]) AS a, unnest(l[2:]) AS b FROM (SELECT cnt, string_split(trim(s), '  ') AS l FROM w{k - 1}))
+  GROUP BY a, b HAVING sum(cnt) >= 2 ORDER BY 3 DESC, a DESC, b DESC LIMIT 1),
+w{k} AS MATERIALIZED (SELECT token, w{k - 1}.cnt, coalesce(replace(s, ' ' || a || '  ' || b || ' ', ' ' || a || b || ' '), s) AS s
+  FROM w{k - 1} LEFT JOIN m{k} ON true)""")
+    return ",\n".join(steps)
+
+
+@query("t13_learn_bpe", f"WITH {_bpe_sql(MERGES)}\n" + "\nUNION ALL ".join(
+    f"SELECT {k - 1}::BIGINT AS rank, a AS left, b AS right, cnt FROM m{k}" for k in range(1, MERGES + 1)))
 def learn_bpe(spark, d):
     from seqspark.operators import bpe
 
-    return bpe.learn(bpe_words(spark, d), merges=60)
+    return bpe.learn(bpe_words(spark, d), merges=MERGES)
 
 
 def bpe_words(spark, d):
@@ -135,14 +159,19 @@ def bpe_words(spark, d):
     return both.groupBy("token").agg(F.count(F.lit(1)).alias("cnt"))
 
 
-@query("t14_apply_bpe")
+# Merging in learnt order is what segmenting a word does.
+@query("t14_apply_bpe", f"""WITH {_bpe_sql(MERGES)},
+cut AS (SELECT token, regexp_replace(replace(trim(s), '  ', '@@ '), '</w>$', '') AS pieces FROM w{MERGES}),
+side AS (SELECT id, side, string_agg(pieces, ' ' ORDER BY pos) AS pieces FROM bt JOIN cut USING (token) GROUP BY id, side)
+SELECT pw.id, coalesce(a.pieces, '') AS source, coalesce(b.pieces, '') AS target FROM pw
+LEFT JOIN side a ON a.id = pw.id AND a.side = 0 LEFT JOIN side b ON b.id = pw.id AND b.side = 1""")
 def apply_bpe(spark, d):
     from seqspark.operators import bpe
 
-    merges = bpe.learn(bpe_words(spark, d), merges=60)
-    return bpe.apply(base.pair_words(spark, d).select("id", F.col("sw").alias("words")), "words", merges).select(
-        "id", joined("pieces").alias("pieces")
-    )
+    merges = bpe.learn(bpe_words(spark, d), merges=MERGES)
+    p = bpe.apply(base.pair_words(spark, d).select("id", "sw", "tw"), "sw", merges, "source")
+    p = bpe.apply(p, "tw", merges, "target")
+    return p.select("id", joined("source").alias("source"), joined("target").alias("target"))
 
 
 @query("t15_remove_bpe", f"""WITH {sql.WORDS},

@@ -302,8 +302,17 @@ def masked_example(
 # ---------------------------------------------------------------- pairs
 
 
-def property_example(df: DataFrame, ids: str, reverse: bool = True, go: int | None = GO) -> DataFrame:
-    """``source`` is the target without EOS, optionally reversed; GO opens both."""
+def property_example(df: DataFrame, ids: str, reverse: bool = True, go: int | None = GO, props: list[str] | None = None) -> DataFrame:
+    """``source`` is the target without EOS, optionally reversed; GO opens both.
+
+    With ``props`` the row also gets ``prop``, all property values (0 where missing), and
+    ``miss``, true where the value is present.
+    """
+    if props:
+        df = df.withColumns({
+            "prop": F.array(*[F.coalesce(F.col(p).cast("double"), F.lit(0.0)) for p in props]),
+            "miss": F.array(*[F.col(p).isNotNull() for p in props]),
+        })
     body = ar.drop_last(F.col(ids))
     source = F.reverse(body) if reverse else body
     target = F.col(ids)

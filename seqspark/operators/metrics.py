@@ -255,7 +255,12 @@ def histogram(df: DataFrame, value: str, bins: int = 1000) -> DataFrame:
     width = F.when(high > low, (high - low) / bins).otherwise(F.lit(1.0 / bins))
     start = F.when(high > low, low).otherwise(low - 0.5)
     placed = df.select(v.alias("v"), one_row(stats.select("min", "max")).alias("s")).filter("v is not null").select("v", "s.*")
-    bin_ = F.least(F.floor((F.col("v") - start) / width), F.lit(bins - 1)).cast("bigint")
+    guess = F.least(F.floor((F.col("v") - start) / width), F.lit(bins - 1)).cast("bigint")
+    placed = placed.withColumn("_at", guess)
+    # Division may round over an edge: the edges decide.
+    below = F.col("v") < start + F.col("_at") * width
+    above = (F.col("v") >= start + (F.col("_at") + 1) * width) & (F.col("_at") < bins - 1)
+    bin_ = F.col("_at") - below.cast("bigint") + above.cast("bigint")
     counts = placed.groupBy(bin_.alias("bin")).agg(F.count(F.lit(1)).alias("cnt"))
     grid = stats.withColumn("bin", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(bins - 1).cast("bigint"))))
     out = grid.join(counts, "bin", "left").withColumn("cnt", F.coalesce("cnt", F.lit(0)).cast("bigint"))

@@ -49,6 +49,11 @@ def constrain_length(cand: DataFrame, step: int, src_len: Column, min_a: float,
     return cand.withColumn("lprob", F.when(F.col("token") == EOS, lprob).otherwise(F.col("lprob")))
 
 
+def match_source_length(finished: DataFrame, step: Column, src_len: Column, score: str = "score") -> DataFrame:
+    """Hypotheses that end after the source's length can never win."""
+    return finished.withColumn(score, F.when(step > src_len, F.lit(MINUS_INF)).otherwise(F.col(score)))
+
+
 def diverse_candidates(cand: DataFrame, beam: int, groups: int, strength: float, step: int, vocab_size: int) -> DataFrame:
     """Groups choose in turn; a token costs ``strength`` per pick of an earlier group."""
     if beam % groups:

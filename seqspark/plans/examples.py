@@ -114,16 +114,18 @@ def masked_example(spark, d):
 @query("e08_property_example", f"""WITH {_MASK_VOCAB},
 x AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY line_no, pos) AS i, coalesce(token_id, 3) AS t FROM tok LEFT JOIN vocab USING (token)),
 g AS (SELECT doc_id, string_agg(t::VARCHAR, ' ' ORDER BY i DESC) AS s, string_agg(t::VARCHAR, ' ' ORDER BY i) AS t FROM x GROUP BY doc_id)
-SELECT g.doc_id, '4 ' || s AS source, '4 ' || t || ' 2' AS target, coalesce(quality, 0)::DOUBLE AS prop, (quality IS NOT NULL)::BIGINT AS miss
+SELECT g.doc_id, '4 ' || s AS source, '4 ' || t || ' 2' AS target, coalesce(quality, 0)::DOUBLE AS prop0, coalesce(toxic, 0)::DOUBLE AS prop1,
+  quality IS NOT NULL AS miss0, toxic IS NOT NULL AS miss1
 FROM g LEFT JOIN labels USING (doc_id)""")
 def property_example(spark, d):
     vocab = vb.finalize(base.doc_counts(spark, d), THRESHOLD, NWORDS, names=MOLECULE_SPECIALS)
     docs = base.documents(spark, d).select("doc_id", tx.words(F.col("text")).alias("words"))
     rows = vb.encode(docs, "words", vocab).withColumn("ids", ar.append_eos(F.col("ids")))
-    out = ex.property_example(rows, "ids").join(base.table(spark, d, "labels"), "doc_id", "left")
+    rows = rows.join(base.table(spark, d, "labels"), "doc_id", "left")
+    out = ex.property_example(rows, "ids", props=["quality", "toxic"])
     return out.select(
         "doc_id", joined("source").alias("source"), joined("target").alias("target"),
-        F.coalesce("quality", F.lit(0)).cast("double").alias("prop"), F.col("quality").isNotNull().cast("bigint").alias("miss"),
+        *[F.get("prop", F.lit(i)).alias(f"prop{i}") for i in (0, 1)], *[F.get("miss", F.lit(i)).alias(f"miss{i}") for i in (0, 1)],
     )
 
 

@@ -229,7 +229,8 @@ def stopwatch_meters(spark, d):
 
 
 @query("a12_histogram", """WITH s AS (SELECT min(value) AS lo, max(value) AS hi, count(value) AS num, sum(value) AS total, sum(value * value) AS sq, (max(value) - min(value)) / 1000 AS w FROM events),
-c AS (SELECT least(floor((value - lo) / w), 999)::BIGINT AS bin, count(*) AS cnt FROM events, s GROUP BY 1)
+g AS (SELECT value, lo, w, least(floor((value - lo) / w), 999)::BIGINT AS b FROM events, s WHERE value IS NOT NULL),
+c AS (SELECT b - (value < lo + b * w)::BIGINT + (value >= lo + (b + 1) * w AND b < 999)::BIGINT AS bin, count(*) AS cnt FROM g GROUP BY 1)
 SELECT i AS bin, round(lo + (i + 1) * w, 6) AS edge, coalesce(cnt, 0) AS cnt, lo AS "min", hi AS "max", num, round(total, 4) AS "sum", round(sq, 3) AS sum_squares
 FROM s, range(1000) r(i) LEFT JOIN c ON c.bin = i""")
 def histogram(spark, d):

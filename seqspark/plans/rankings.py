@@ -69,6 +69,14 @@ def length_constraint(spark, d):
     return _show(rk.beam_candidates(c, BEAM, STEP, TOKENS))
 
 
+# Every candidate as a hypothesis that ends at the step of its beam; the label is the length.
+@query("d02_match_source_length", f"""WITH {_CAND}
+SELECT sample, beam, token, CASE WHEN beam + 3 > label THEN '-inf'::DOUBLE ELSE round(lprob + cum, 6) END AS score FROM cand""")
+def match_source_length(spark, d):
+    c = candidates(spark, d).withColumn("score", F.round(F.col("lprob") + F.col("cum"), 6))
+    return rk.match_source_length(c, F.col("beam") + 3, F.col("label")).select("sample", "beam", "token", "score")
+
+
 @query("d03_diverse_beams", f"""WITH {_CAND},
 g0 AS ({_top_sql('(SELECT * FROM cand WHERE beam % 2 = 0)', '(lprob + cum)', 4)}),
 n AS (SELECT sample, token, count(*) AS n FROM g0 GROUP BY ALL),

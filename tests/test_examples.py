@@ -207,3 +207,12 @@ def test_padding_functions(spark):
     got = pos.select(ar.position_ids(F.col("l")).alias("l"), ar.position_ids(F.col("r")).alias("r")).collect()
     assert [x["l"] for x in got] == [[2, 3, 4, 5, 6], [1, 2, 3, 4, 5], [1, 1, 1, 2, 3]]
     assert [x["r"] for x in got] == [[2, 3, 4, 5, 6], [2, 3, 4, 5, 1], [2, 3, 1, 1, 1]]
+
+
+def test_any_number_of_corpora_in_a_chosen_order(spark):
+    df = spark.range(6000).select(F.col("id").alias("i"), F.concat(F.lit("c"), F.col("id") % 3000).alias("name"))
+    rows = ex.concat_corpora(df, "name", ["i"], {"c7": 2}, ["c9", "c7"]).collect()
+    assert sorted(r["new_id"] for r in rows) == list(range(6002))
+    first = sorted((r["new_id"], r["i"]) for r in rows)[:6]
+    assert [i for _, i in first] == [9, 3009, 7, 3007, 7, 3007]
+    assert ex.round_robin(df.filter("name in ('c1', 'c2')"), "name", ["i"]).count() == 4

@@ -11,9 +11,9 @@ from seqspark import plans
 
 SF = "/root/testdata/sf0.001"
 SAMPLE = [
-    "s02_line_ordinals", "s04_property_source", "s06_encoded_round_trip", "t07_clean_markup_lines", "v03_joined_vocab",
-    "v08_encode_report", "e02_complete_blocks", "e07_masked_example", "e19_noise_pipeline", "b05_batch_multiple",
-    "b10_collate", "a02_corpus_bleu", "a10_running_average", "a16_word_stats", "d03_diverse_beams", "d04_sampling",
+    "s02_line_ordinals", "s04_property_source", "s05_unlabelled_source", "s15_decode_corpus", "t14_apply_bpe", "v05_encode_lines", "s06_encoded_round_trip", "t07_clean_markup_lines", "v03_joined_vocab",
+    "v08_encode_report", "e01_token_blocks", "e02_complete_blocks", "e05_block_targets", "e08_property_example", "e11_concat_corpora", "e07_masked_example", "e19_noise_pipeline", "b05_batch_multiple",
+    "b10_collate", "a02_corpus_bleu", "a10_running_average", "a16_word_stats", "d02_match_source_length", "d03_diverse_beams", "a12_histogram", "d04_sampling",
     "r01_buffered_lines", "r02_running_meters",
 ]
 

@@ -145,3 +145,54 @@ def test_replace_unknown_and_alignment(spark):
     hyp = spark.createDataFrame([(0, 0, "<unk>", 0), (0, 1, "k", 0), (0, 2, "<unk>", 1), (0, 3, "<unk>", 2)], "id bigint, pos int, token string, src_pos bigint")
     source = spark.createDataFrame([(0, ["x", "z"])], "id bigint, words array<string>")
     assert vb.replace_unk(hyp, source, align).collect()[0]["text"] == "B k z <eos>"
+
+
+def test_part_files_beyond_99999_are_in_number_order(spark):
+    from seqspark.sources.text import _file_order
+
+    names = [f"file:/x/part-{n:05d}-a.txt" for n in (0, 9, 99998, 99999, 100000, 1000000)]
+    assert sorted(names, key=_file_order) == names
+    assert sorted(["f:/b.txt", "f:/a.txt"], key=_file_order) == ["f:/a.txt", "f:/b.txt"]
+
+
+def test_lookups_without_key_beyond_the_limit(spark):
+    df = spark.createDataFrame([(["a", "b", "zz"],), ([],), (["b"],)], "words array<string>")
+    vocab = spark.createDataFrame([(4, "a"), (5, "b"), (6, "x" * 2000)], "token_id bigint, token string")
+    for limit in (1, 10):  # too many rows, and a token too long to ship
+        ids = vb.encode(df, "words", vocab, limit=limit)
+        assert sorted(r["ids"] for r in ids.collect()) == [[], [4, 5, 3], [5]]
+        assert sorted(r["text"] for r in vb.decode_rows(ids, "ids", vocab, limit=limit).collect()) == ["", "a b <unk>", "b"]
+
+
+def test_vectors_skip_the_header_and_keep_the_last(spark):
+    from seqspark.sources.corpus import read_vectors
+
+    path = scratch_dir(spark, "vectors")
+    spark.createDataFrame([("3 1",), ("a 1.5",), ("b 2.5",), ("a 3.5",)], "v string").coalesce(1).write.text(path)
+    assert {r["token"]: r["vector"] for r in read_vectors(spark, path).collect()} == {"a": [3.5], "b": [2.5]}
+
+
+def test_property_files_have_a_header_by_default(spark):
+    from seqspark.sources import molecules as mol
+
+    path = scratch_dir(spark, "molecules")
+    spark.createDataFrame([("smiles,p",), ("CCO,1",), ("",), ("C,NaN",), ("bad",)], "v string").coalesce(1).write.text(path)
+    got = mol.read_properties(spark, path, 1).orderBy("line_no").collect()
+    assert [(r["smiles"], r["ok"]) for r in got] == [("CCO", True), ("C", True), ("bad", False)]
+    assert mol.read_unlabelled(spark, path).count() == 3 and mol.read_unlabelled(spark, path, header=False).count() == 4
+
+
+def test_alignment_dictionary_of_known_words(spark):
+    links = spark.createDataFrame([("a", "x", 1), ("a", "x", 2), ("a", "y", 3), ("b", "x", 4)], "src string, tgt string, first bigint")
+    source = spark.createDataFrame([(3, "<unk>"), (4, "a")], "token_id bigint, token string")
+    target = spark.createDataFrame([(4, "y")], "token_id bigint, token string")
+    assert [tuple(r) for r in vb.alignment_dict(links, source, target).collect()] == [("a", "y")]
+    assert {tuple(r) for r in vb.alignment_dict(links).collect()} == {("a", "x"), ("b", "x")}
+
+
+def test_blank_lines_are_encoded_as_empty(spark):
+    df = spark.createDataFrame([(0, "a b"), (1, ""), (2, "  ")], "i bigint, line string").withColumn("words", tx.words(F.col("line")))
+    vocab = spark.createDataFrame([(4, "a"), (5, "b")], "token_id bigint, token string")
+    ids = vb.encode(df, "words", vocab)
+    assert {r["i"]: r["ids"] for r in ids.collect()} == {0: [4, 5], 1: [], 2: []}
+    assert {r["i"]: r["text"] for r in vb.decode_rows(ids, "ids", vocab).collect()} == {0: "a b", 1: "", 2: ""}

@@ -55,7 +55,7 @@ OUTSIDE_WORDS = frozenset(
     "ad ads advert advertisement adsense banner sponsor sponsored promo promotion nav navigation navbar menu breadcrumb breadcrumbs "
     "header masthead footer sidebar aside widget related recommended share social sharing follow comment comments reply replies disqus "
     "respond cookie cookies consent gdpr notice popup modal overlay newsletter subscribe subscription signup login search form toolbar "
-    "pagination pager copyright legal disclaimer skip toc tags tag meta".split()
+    "pagination pager copyright legal disclaimer skip toc tags tag meta complementary contentinfo".split()
 )
 INSIDE_WORDS = frozenset("article content main post entry story body text maincontent articlebody prose".split())
 
@@ -195,13 +195,17 @@ def features(page: Page) -> tuple[np.ndarray, np.ndarray]:
     for i in range(n):
         p = parent[i]
         tag = page.tag[i]
-        x[i, 0:2] = tag in OUTSIDE_TAGS or hits[i, 0] > 0, tag in INSIDE_TAGS or hits[i, 1] > hits[i, 0]
+        outside = tag in OUTSIDE_TAGS or hits[i, 0] > 0
+        part = -1 if outside else int(tag in INSIDE_TAGS or hits[i, 1] > 0)
+        x[i, 0], x[i, 1], x[i, 2] = outside, part > 0, part
         heads[i], items[i], paragraphs[i] = len(tag) == 2 and tag[0] == "h" and tag[1].isdigit(), tag in ("li", "dt", "dd"), tag in ("p", "blockquote", "pre")
         if p >= 0:
             depth[i] = depth[p] + 1
             nth[i] = children[p]
             children[p] += 1
-            x[i, 2:4] = np.maximum(x[p, 2:4], x[p, 0:2])
+            # The part the node lies in: nothing below another part is article again.
+            x[i, 2] = -1 if x[p, 2] < 0 else part or x[p, 2]
+            x[i, 3] = x[p, 2]
     order = np.cumsum(own) - own
     x[:, 4], x[:, 5], x[:, 6] = heads, items, paragraphs
     x[:, 7] = np.log1p(total[:, 0])

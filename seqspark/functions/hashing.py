@@ -9,6 +9,7 @@ same values.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, functions as F
 
 from seqspark.functions.arrays import let
@@ -43,3 +44,16 @@ def unit(seed: int, *values: Column) -> Column:
 
 def fold_unit(acc: Column, value) -> Column:
     return fold(acc, value) / F.lit(float(P))
+
+
+# The same on NumPy arrays of whole numbers, for functions over Arrow batches.
+
+
+def folds(acc: np.ndarray, value) -> np.ndarray:
+    y = (acc * np.int64(MUL) + ADD + value) % P
+    square = y * y % P
+    return square * square % P * y % P
+
+
+def units(acc: np.ndarray, value) -> np.ndarray:
+    return folds(acc, value) / float(P)

@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from seqspark.consts import BPE_MARK, EOS, PAD, UNK
 from seqspark.functions import arrays as ar
 from seqspark.functions.arrays import let
-from seqspark.operators.noise import words_of
 from seqspark.session import fenced, one_row
 from seqspark.operators.ordering import running
 
@@ -292,39 +291,46 @@ def word_scores(df: DataFrame, pieces: str, scores: str, keep: list[str], mark:
     """Whole words ``(keep, word_idx, word, logp, is_bpe, next)`` of rows with pieces and scores.
 
     Continuation pieces hand their score on, infinite words are skipped, ``next`` is the
-    first later score that is not zero. All inside the row.
+    first later score that is not zero. One pass over the flat pieces of an Arrow batch.
     """
-    inf = float("inf")
-
-    def words(x: Column) -> Column:
-        index = F.transform(words_of(x["p"], mark), lambda w, i: F.struct(F.size(w).alias("n"), i.alias("i"), w.alias("w")))
-        ends = F.filter(F.sequence(F.lit(1), F.size(x["p"])), lambda i: ~F.get(x["p"], i - 1).endswith(mark) | (i == F.size(x["p"])))
-
-        def score(s: Column, k: Column, ends: Column) -> Column:
-            part = F.slice(x["s"], F.get(ends, k) - s["n"] + 1, s["n"])
-            return F.struct(
-                s["i"].alias("word_idx"),
-                F.array_join(F.transform(s["w"], lambda p: F.replace(p, F.lit(mark), F.lit(""))), "").alias("word"),
-                F.aggregate(part, F.lit(0.0), lambda a, v: a + v).alias("logp"),
-                (s["n"] > 1).alias("is_bpe"),
-            )
-
-        return let(ends, lambda e: F.transform(index, lambda s, k: score(s, k, e)))
-
-    def follow(w: Column) -> Column:
-        def later(e: Column, i: Column) -> Column:
-            after = F.get(w, i + 1)["logp"]
-            # Only a zero score, which no real word has, makes the search look further.
-            far = F.get(F.filter(F.slice(w, i + 2, F.size(w)), lambda v: v["logp"] != 0), F.lit(0))["logp"]
-            return F.when(after != 0, after).otherwise(far)
-
-        return F.transform(
-            w, lambda e, i: F.struct(e["word_idx"].alias("word_idx"), e["word"].alias("word"), e["logp"].alias("logp"), e["is_bpe"].alias("is_bpe"), later(e, i).alias("next"))
-        )
-
-    finite = F.filter(let(F.struct(F.col(pieces).alias("p"), F.col(scores).alias("s")), words), lambda e: ~e["logp"].isin(inf, -inf))
-    rows = df.filter(F.size(pieces) > 0)
-    return rows.select(*keep, F.inline(let(finite, follow)))
+
+    @F.arrow_udf("array<struct<word_idx:int,word:string,logp:double,is_bpe:boolean,next:double>>")
+    def words(batch: pa.Array, values: pa.Array) -> pa.Array:
+        return _word_scores(batch, values, mark)
+
+    rows = fenced(df.filter(F.size(pieces) > 0).select(*keep, pieces, scores), pieces, scores)
+    return rows.select(*keep, F.inline(words(F.col(pieces), F.col(scores))))
+
+
+def _word_scores(batch: pa.Array, values: pa.Array, mark: str) -> pa.Array:
+    sizes = pc.fill_null(pc.list_value_length(batch), 0).to_numpy(zero_copy_only=False)
+    flat, rows = batch.flatten(), len(batch)
+    score = values.flatten().to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(rows), sizes)
+    opens = np.ones(len(row), bool)
+    opens[1:] = (row[1:] != row[:-1]) | ~pc.ends_with(flat, mark).to_numpy(zero_copy_only=False)[:-1]
+    start = np.flatnonzero(opens)
+    size = np.diff(np.append(start, len(row)))
+    plain = pc.replace_substring(flat, mark, "")
+    ends = pa.array(np.append(start, len(row)).astype(np.int32))
+    word = pc.binary_join(pa.ListArray.from_arrays(ends, plain), "")
+    with np.errstate(invalid="ignore"):
+        total = np.add.reduceat(score, start) if len(start) else np.zeros(0)
+    of = row[start]
+    first = np.searchsorted(of, np.arange(rows))
+    number = np.arange(len(start)) - first[of]
+    good = np.flatnonzero(~np.isinf(total))
+    total, of = total[good], of[good]
+    real = np.flatnonzero(total != 0)
+    later = np.append(real, -1)[np.searchsorted(real, np.arange(len(good)), side="right")]
+    known = (later >= 0) & (of[later] == of)
+    follow = pa.array(np.where(known, total[later], 0.0), mask=~known)
+    out = pa.StructArray.from_arrays(
+        [pa.array(number[good].astype(np.int32)), pc.take(word, pa.array(good)), pa.array(total), pa.array(size[good] > 1), follow],
+        names=["word_idx", "word", "logp", "is_bpe", "next"],
+    )
+    offsets = np.searchsorted(of, np.arange(rows + 1)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), out)
 
 
 def lm_loss(words: DataFrame, by: list[str]) -> DataFrame:

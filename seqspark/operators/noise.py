@@ -6,11 +6,15 @@ act on whole words and stay inside the row. ``acc`` is the row's hash (seed and
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, functions as F
 
 from seqspark.consts import BPE_MARK
 from seqspark.functions.arrays import let
-from seqspark.functions.hashing import fold, fold_unit
+from seqspark.functions.hashing import fold_unit, folds, units
+from seqspark.session import fenced
 
 END = "</s>"
 UNKNOWN = "<unk>"
@@ -110,11 +114,82 @@ def word_shuffle(pieces: Column, k: int, acc: Column, mark: str | None = BPE_MAR
 
 
 def noise(pieces: str, acc: str, distance: int, dropout: float, blanking: float, mark: str | None = BPE_MARK):
-    """``DataFrame.transform`` step: shuffle, then drop, then blank, each with its own salt."""
+    """``DataFrame.transform`` step: shuffle, then drop, then blank, each with its own salt.
+
+    All three at once on the flat pieces of an Arrow batch; results are those of
+    ``word_shuffle`` and ``word_dropout`` one after the other.
+    """
+    if distance and distance <= 1:
+        raise ValueError("the shuffle distance is 0 or greater than 1")
+
+    @F.arrow_udf("array<string>")
+    def noised(batch: pa.Array, seeds: pa.Array) -> pa.Array:
+        return _noised(batch, seeds, distance, dropout, blanking, mark)
 
     def run(df):
-        out = df.withColumn(pieces, word_shuffle(F.col(pieces), distance, fold(F.col(acc), 101), mark))
-        out = out.withColumn(pieces, word_dropout(F.col(pieces), dropout, fold(F.col(acc), 102), None, mark))
-        return out.withColumn(pieces, word_dropout(F.col(pieces), blanking, fold(F.col(acc), 103), UNKNOWN, mark))
+        return fenced(df, pieces, acc).withColumn(pieces, noised(F.col(pieces), F.col(acc))).select(*df.columns)
 
     return run
+
+
+class _Words:
+    """Pieces (positions in a flat array) of rows, with the word each belongs to."""
+
+    def __init__(self, at: np.ndarray, row: np.ndarray, rows: int, closed: np.ndarray):
+        self.at, self.row, self.rows = at, row, rows
+        self.size = np.bincount(row, minlength=rows)
+        self.first = np.cumsum(self.size) - self.size
+        opens = np.ones(len(at), bool)
+        opens[1:] = (row[1:] != row[:-1]) | closed[at[:-1]]
+        number = np.cumsum(opens)
+        self.opens = opens
+        self.word = number - (number[self.first[row]] if len(at) else 0)
+
+    def last(self) -> np.ndarray:
+        """Is the piece the last of its row?"""
+        return np.arange(len(self.at)) == (self.first + self.size - 1)[self.row]
+
+
+def _noised(batch: pa.Array, seeds: pa.Array, distance: int, dropout: float, blanking: float, mark: str | None) -> pa.Array:
+    sizes = pc.fill_null(pc.list_value_length(batch), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat, rows = batch.flatten(), len(batch)
+    acc = pc.fill_null(seeds, 0).to_numpy(zero_copy_only=False)
+    closed = np.ones(len(flat), bool)
+    if mark:
+        closed = ~pc.fill_null(pc.ends_with(flat, mark), False).to_numpy(zero_copy_only=False)
+    ended = pc.fill_null(pc.equal(flat, END), False).to_numpy(zero_copy_only=False)
+    at, row = np.arange(len(flat)), np.repeat(np.arange(rows), sizes)
+    if distance:
+        every = _Words(at, row, rows, closed)
+        tail = every.last() & ended[at]
+        body = _Words(at[~tail], row[~tail], rows, closed)
+        key = np.full(len(at), np.inf)
+        draw = units(folds(acc, 101)[body.row], body.word) * distance
+        key[~tail] = body.word + np.where(body.word == 0, -1.0, draw)
+        word = np.zeros(len(at), np.int64)
+        word[~tail] = body.word
+        order = np.lexsort((at, word, key, row))
+        at, row = at[order], row[order]
+    for salt, p, blank in ((102, dropout, False), (103, blanking, True)):
+        if p:
+            at, row = _thinned(_Words(at, row, rows, closed), folds(acc, salt), p, blank, ended, len(flat))
+            closed, ended = np.append(closed[: len(flat)], True), np.append(ended[: len(flat)], False)
+    values = pc.take(pa.concat_arrays([flat, pa.array([UNKNOWN], flat.type)]), pa.array(at))
+    offsets = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=rows))]).astype(np.int32)
+    made = pa.ListArray.from_arrays(pa.array(offsets), values)
+    return pc.if_else(batch.is_valid(), made, pa.nulls(rows, made.type)) if batch.null_count else made
+
+
+def _thinned(w: _Words, acc: np.ndarray, p: float, blank: bool, ended: np.ndarray, unknown: int):
+    """Pieces after dropping (or blanking) words; too short rows get a spare piece in front."""
+    last_word = np.zeros(w.rows, np.int64) - 1
+    tail = w.last()
+    last_word[w.row[tail]] = np.where(ended[w.at[tail]], w.word[tail], -1)
+    keep = (w.word == last_word[w.row]) | (units(acc[w.row], w.word) >= p)
+    out, row = (np.where(keep, w.at, unknown), w.row) if blank else (w.at[keep], w.row[keep])
+    words = np.bincount(w.row[w.opens & (keep | blank)], minlength=w.rows)
+    few = np.flatnonzero((words <= 1) & (np.bincount(row, minlength=w.rows) <= 1) & (w.size > 0))
+    spare = w.at[w.first[few] + np.floor(units(acc[few], np.int64(1_000_000_007)) * w.size[few]).astype(np.int64)]
+    out, row = np.concatenate([spare, out]), np.concatenate([few, row])
+    order = np.argsort(row, kind="stable")
+    return out[order], row[order]

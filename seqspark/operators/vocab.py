@@ -13,8 +13,8 @@ from seqspark.operators.ordering import ranked
 from seqspark.session import fenced, local_table, pin, scratch_dir
 
 # Lookup tables that may be shipped to every task: rows, and bytes of the longest token. So
-# they are at most 250 MB, and about 10 MB for ordinary words.
-BROADCAST_ROWS, TOKEN_BYTES = 250_000, 1024
+# they are at most 250 MB, and about 20 MB for ordinary words.
+BROADCAST_ROWS, TOKEN_BYTES = 1_000_000, 250
 
 
 def first_key(*parts: tuple[Column, int]) -> Column:

@@ -196,3 +196,20 @@ def test_blank_lines_are_encoded_as_empty(spark):
     ids = vb.encode(df, "words", vocab)
     assert {r["i"]: r["ids"] for r in ids.collect()} == {0: [4, 5], 1: [], 2: []}
     assert {r["i"]: r["text"] for r in vb.decode_rows(ids, "ids", vocab).collect()} == {0: "a b", 1: "", 2: ""}
+
+
+def test_batched_noise_equals_the_steps(spark):
+    import random
+
+    from seqspark.functions.hashing import base, fold
+    from seqspark.operators import noise as nz
+
+    rng = random.Random(3)
+    rows = [(i, [rng.choice(["a@@", "b", "c@@", "d", "e"]) for _ in range(rng.randint(0, 9))] + ["</s>"] * rng.randint(0, 1)) for i in range(300)]
+    df = spark.createDataFrame(rows + [(999, None)], "i bigint, pieces array<string>").withColumn("acc", base(7, F.col("i")))
+    got = {r["i"]: r["pieces"] for r in df.transform(nz.noise("pieces", "acc", 3, 0.4, 0.4)).collect()}
+    p = nz.word_shuffle(F.col("pieces"), 3, fold(F.col("acc"), 101))
+    steps = df.withColumn("pieces", p)
+    steps = steps.withColumn("pieces", nz.word_dropout(F.col("pieces"), 0.4, fold(F.col("acc"), 102)))
+    steps = steps.withColumn("pieces", nz.word_dropout(F.col("pieces"), 0.4, fold(F.col("acc"), 103), nz.UNKNOWN))
+    assert got == {r["i"]: r["pieces"] for r in steps.collect()}

@@ -117,7 +117,7 @@ def noise(pieces: str, acc: str, distance: int, dropout: float, blanking: float,
     """``DataFrame.transform`` step: shuffle, then drop, then blank, each with its own salt.
 
     All three at once on the flat pieces of an Arrow batch; results are those of
-    ``word_shuffle`` and ``word_dropout`` one after the other.
+    ``word_shuffle`` and ``word_dropout`` one after the other; a null row becomes empty.
     """
     if distance and distance <= 1:
         raise ValueError("the shuffle distance is 0 or greater than 1")
@@ -176,8 +176,7 @@ def _noised(batch: pa.Array, seeds: pa.Array, distance: int, dropout: float, bla
             closed, ended = np.append(closed[: len(flat)], True), np.append(ended[: len(flat)], False)
     values = pc.take(pa.concat_arrays([flat, pa.array([UNKNOWN], flat.type)]), pa.array(at))
     offsets = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=rows))]).astype(np.int32)
-    made = pa.ListArray.from_arrays(pa.array(offsets), values)
-    return pc.if_else(batch.is_valid(), made, pa.nulls(rows, made.type)) if batch.null_count else made
+    return pa.ListArray.from_arrays(pa.array(offsets), values)
 
 
 def _thinned(w: _Words, acc: np.ndarray, p: float, blank: bool, ended: np.ndarray, unknown: int):

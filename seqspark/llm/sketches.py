@@ -23,7 +23,7 @@ from seqspark.llm.common import slices, stored, table
 from seqspark.operators.ordering import parallelism
 from seqspark.session import local_table
 
-CELLS = 12
+CELLS = 9
 #: Sentences end a paragraph too; longer ones are cut after words with a fixed check sum.
 PARAGRAPH = re.compile(r"\n+|(?<=[.!?])[ \t]+")
 LONG = 100

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -25,14 +27,18 @@ def block_pieces(rows: DataFrame, order: list[str], size: Column, block_size: in
     Adds ``block_id``, ``at`` (position inside the block), ``lo`` (position inside the row)
     and ``n``. Only the row sizes take part in the global prefix sum; a row is cut locally.
     """
-    # Laying out by range samples the rows first: what makes them should not run twice.
+    # The order is found over sizes alone; rows are written once, because what makes them
+    # should not run again for the join. Adaptive execution broadcasts the ends while small.
     path = scratch_dir(rows.sparkSession, "stream")
-    rows.write.parquet(path)
-    rows = rows.sparkSession.read.schema(rows.schema).parquet(path)
-    sized = running(rows, order, {"_end": size.cast("bigint")})
-    sized = sized.filter(F.col("_end") > 0).withColumn("_begin", F.col("_end") - size.cast("bigint"))
+    rows.withColumn("_n", size.cast("bigint")).write.parquet(path)
+    stream = rows.sparkSession.read.parquet(path)
+    ends = running(stream.select(*order, "_n"), order, {"_end": F.col("_n")})
+    ends = ends.select(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)], "_end")
+    match = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_o{i}")) for i, c in enumerate(order)])
+    sized = stream.filter("_n > 0").join(ends, match).withColumn("_begin", F.col("_end") - F.col("_n"))
+    sized = sized.select(*rows.columns, "_begin", "_end")
     block = F.explode(F.sequence(F.floor(F.col("_begin") / block_size), F.floor((F.col("_end") - 1) / block_size)))
-    cut = sized.filter(size > 0).withColumn("block_id", block)
+    cut = sized.withColumn("block_id", block)
     low = F.greatest(F.col("block_id") * block_size, F.col("_begin"))
     high = F.least((F.col("block_id") + 1) * block_size, F.col("_end"))
     return cut.select(

@@ -26,7 +26,7 @@ from seqspark.operators.ordering import running
 CAPACITY = 4096
 END_ID = 1
 CHUNK = 1 << 20
-CACHE = 600_000
+CACHE = 1_000_000
 #: Words longer than this are encoded each time.
 CACHED_WORD = 64
 
@@ -64,32 +64,17 @@ class WordEncoder:
         return [data[s:e] for s, e in zip([0, *ends], ends)]
 
     def _learn(self, fresh: set[str]) -> None:
-        """Ids of new words: those of a word of Latin letters and of the punctuation after
-        it stand side by side, so most new words are known ones in another spelling."""
-        known, made, odd, needed = self.known, [], [], set()
-        for w in fresh:
-            core = w.rstrip(".,;:!?")
-            low = core.lower()
-            if low.isalpha() and len(low) <= CACHED_WORD and max(low) < "\u0250":
-                tail = w[len(core) :]
-                made.append((w, low, tail))
-                needed.add(low)
-                needed.add(tail)
-            else:
-                odd.append(w)
-        needed = [w for w in needed if w not in known]
-        letters = [w for w in needed if w.isalpha()]
-        known.update(zip(letters, self._letters(letters)))
-        odd += [w for w in needed if not w.isalpha()]
-        known.update(zip(odd, self._ids(odd)))
-        for w, low, tail in made:
-            known[w] = known[low] + known[tail]
+        """Ids of new words; those of Latin letters are encoded together."""
+        plain = [w for w in fresh if len(w) <= CACHED_WORD and w.lower().isalpha() and max(w) < "\u0250"]
+        odd = list(fresh.difference(plain))
+        self.known.update(zip(plain, self._letters(plain)))
+        self.known.update(zip(odd, self._ids(odd)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         out = [[] for _ in texts]
         for part in _parts(texts):
-            words = [re.sub(r"[\n\t\r]", " ", t).split(" ") for _, t in part]
+            words = [_words(t) for _, t in part]
             if len(self.known) > CACHE:
                 self.known = {"": b""}
             fresh = set().union(*words).difference(self.known)
@@ -103,6 +88,23 @@ class WordEncoder:
         return [b"".join(o) for o in out]
 
 
+#: Signs after a letter and before a blank: they are cut off there in any case.
+TAIL = re.compile(r"(?<=[^\W\d_])[^\w\s']+(?=[ \n\t\r]|\Z)")
+
+
+def _words(text: str) -> list[str]:
+    """Blank-separated words. In Western European text, which composes no characters, they are
+    lower-cased and signs at their ends are words of their own, so that fewer are new."""
+    if "<|" not in text:
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            pass
+        else:
+            text = TAIL.sub(r" \g<0>", text.lower())
+    return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+
+
 @functools.cache
 def encoder(path: str) -> WordEncoder:
     """One encoder per worker process, so that words stay known from task to task."""

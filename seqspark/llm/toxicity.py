@@ -221,8 +221,8 @@ def fit(sample: DataFrame, key: str) -> ToxicityModel:
     if not len(labels) or labels.min() == labels.max():
         seen = float(labels.mean()) if len(labels) else 0.0
         return ToxicityModel(np.zeros((1 << BITS) + 1), 0.0, float(np.log((0.05 + seen) / (1.05 - seen))))
-    order = np.lexsort((found.column("words").to_numpy(zero_copy_only=False).astype(str), labels))
     words = found.column("words").to_pylist()
+    order = sorted(range(len(words)), key=lambda i: (labels[i], words[i]))
     model = ToxicityModel(train([words[i].split(" ") for i in order], labels[order]))
     held = sample.filter(part == 0)
     seen = scores(held, [key, "_label"], "_text", model, raw=True).toArrow()

@@ -233,14 +233,22 @@ def op4_simhash_anchors(spark, sf_dir) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-# Near-duplicates by exact shingle similarity. Texts that share 80 % of their five-word
-# shingles still differ in many bits of a shingle fingerprint, so candidates come from several
-# fingerprints over distinct words, each searched by anchors with a small distance, and are
-# verified by the shingles.
+# Near-duplicates by exact shingle similarity. Two texts that share 80 % of their five-word
+# shingles share one of the first 20 % (and one more) of each, in any order common to all
+# texts: the prefix join below misses no pair. Its order takes rare shingles first, so few rows
+# meet. SimHash fingerprints over distinct words are searched before by anchors; they join
+# most members of a large group of near copies, whose pairs the prefix join then leaves out.
 
 TABLES = 8
-#: Of the pairs that meet at an anchor, the links each row reports besides the forest.
+#: Of the pairs that meet at an anchor, the links each row reports besides the forest. What
+#: fails among them is found by the prefix join.
 NEIGHBOURS = 1
+#: Texts (about) whose shingles are counted for the order; shingles with a place of their own,
+#: and the count from which a shingle has one.
+COUNTED, FREQUENT, OFTEN = 50_000, 1 << 18, 4
+#: Up to so many rows with a common shingle are paired at once, more in tiles by group.
+LIGHT = 64
+MARK = 1024
 
 
 def word_prints(text: str, tables: int = TABLES) -> np.ndarray:
@@ -265,7 +273,15 @@ def shingle_set(text: str, k: int) -> np.ndarray:
     return np.unique(np.fromiter((xxhash.xxh64_intdigest(p) for p in parts), np.uint64, len(parts))).view(np.int64)
 
 
-def similar_groups(df: DataFrame, key: str, text: str, k: int = 5, similarity: float = 0.8, tables: int = TABLES, distance: int = 3, blocks: int = 4, r: int = 4, tile: int = TILE) -> DataFrame:
+def _same(text: str) -> bytes:
+    return xxhash.xxh3_128_digest(" ".join(text.lower().split()))
+
+
+def _node(same: bytes) -> int:
+    return int.from_bytes(same[:8], "little", signed=True)
+
+
+def similar_groups(df: DataFrame, key: str, text: str, k: int = 5, similarity: float = 0.8, tables: int = TABLES, distance: int = 3, blocks: int = 4, r: int = 4, tile: int = TILE, light: int = LIGHT) -> DataFrame:
     """``(key, group)``: documents linked by ``similarity`` of their ``k``-word shingle sets.
 
     ``group`` is the smallest key of the component. Equal texts are one node. Rows without a
@@ -279,36 +295,202 @@ def similar_groups(df: DataFrame, key: str, text: str, k: int = 5, similarity: f
         for batch in batches:
             for part in slices(batch, "_text"):
                 texts = part.column("_text").to_pylist()
+                same = [_same(t) for t in texts]
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("_key"),
-                        pa.array([xxhash.xxh3_128_digest(" ".join(t.lower().split())) for t in texts], pa.binary()),
+                        pa.array(same, pa.binary()),
+                        pa.array([_node(x) for x in same], pa.int64()),
                         pa.array([word_prints(t, tables) for t in texts], pa.list_(pa.int64())),
                     ],
-                    names=["key", "same", "prints"],
+                    names=["key", "same", "node", "prints"],
                 )
 
-    docs = stored(source.mapInArrow(prints, f"key {kind}, same binary, prints array<bigint>"), "word_prints")
-    nodes = stored(docs.groupBy("same").agg(F.min("key").alias("id"), F.first("prints").alias("prints")), "nodes")
-    edges = stored(candidates(nodes, kind, distance, blocks, r, tile), "candidate_links")
-    ends = edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct()
-    ends = stored(ends, "candidate_ends")
+    docs = stored(source.mapInArrow(prints, f"key {kind}, same binary, node bigint, prints array<bigint>"), "word_prints")
+    nodes = stored(docs.groupBy("same").agg(F.min("key").alias("id"), F.first("node").alias("node"), F.first("prints").alias("prints")), "nodes")
+    edges = stored(candidates(nodes.select(F.col("node").alias("id"), "prints"), "bigint", distance, blocks, r, tile), "candidate_links")
+    first = stored(similar(source, nodes, edges, k, similarity), "similar")
+    roots = stored(components(first), "similar_roots")
+    rows = prefixes(source, nodes.count(), k, similarity)
+    edges = stored(across(prefix_pairs(rows, roots, similarity, tile, light), roots), "prefix_links")
+    edges = stored(likely(source, nodes, edges, k, similarity), "likely_links")
+    linked = components(first.union(similar(source, nodes, edges, k, similarity)))
+    rooted = nodes.select("same", "node", "id").join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    smallest = rooted.groupBy("root").agg(F.min("id").alias("group"))
+    named = rooted.join(smallest, "root").select("same", "group")
+    return docs.join(named, "same").groupBy("key").agg(F.min("group").alias("group")).withColumnRenamed("key", key)
+
+
+def chosen(source: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Rows of ``source`` with the texts that ``edges`` link."""
+    ends = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
+    ends = stored(nodes.join(ends, "node", "left_semi").select("id").distinct(), "candidate_ends")
     ends = F.broadcast(ends) if ends.count() <= BROADCAST_ROWS else ends
+    return source.join(ends, source["_key"] == ends["id"], "left_semi")
+
+
+def parities(own: np.ndarray) -> np.ndarray:
+    """``MARK`` bits: whether an odd number of the hashes falls on each. Two sets differ in at
+    least as many members as their bits do."""
+    bits = np.bincount(own.view(np.uint64) % np.uint64(MARK), minlength=MARK).astype(np.uint8) & 1
+    return np.packbits(bits).view(np.int64)
+
+
+def likely(source: DataFrame, nodes: DataFrame, edges: DataFrame, k: int, similarity: float) -> DataFrame:
+    """``edges`` without those that differ too much in their parities: an exact bound, so that
+    the sets of few texts are needed."""
+
+    def marks(batches):
+        for batch in batches:
+            for part in slices(batch, "_text"):
+                texts = part.column("_text").to_pylist()
+                found = [shingle_set(t, k) for t in texts]
+                cols = [pa.array([_node(_same(t)) for t in texts], pa.int64()), pa.array(list(map(len, found)), pa.int64()), pa.array([parities(x) for x in found], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(cols, names=["node", "size", "mark"])
+
+    marked = stored(chosen(source, nodes, edges).mapInArrow(marks, "node bigint, size bigint, mark array<bigint>").dropDuplicates(["node"]), "parities")
+    left, right = (marked.select(F.col("node").alias(e), F.col("size").alias(f"_n{e}"), F.col("mark").alias(f"_{e}")) for e in "ab")
+    apart = F.aggregate(F.zip_with("_a", "_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    most = (F.col("_na") + F.col("_nb")) * F.lit((1 - similarity) / (1 + similarity)) + 1e-6
+    return edges.join(left, "a").join(right, "b").filter(apart <= most).select("a", "b")
+
+
+def similar(source: DataFrame, nodes: DataFrame, edges: DataFrame, k: int, similarity: float) -> DataFrame:
+    """Those of ``edges`` whose shingle sets have the similarity."""
 
     def sets(batches):
         for batch in batches:
             for part in slices(batch, "_text"):
-                found = [shingle_set(t, k) for t in part.column("_text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("_key"), pa.array(found, pa.list_(pa.int64()))], names=["id", "set"])
+                texts = part.column("_text").to_pylist()
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([_node(_same(t)) for t in texts], pa.int64()), pa.array([shingle_set(t, k) for t in texts], pa.list_(pa.int64()))], names=["node", "set"]
+                )
 
-    chosen = source.join(ends, source["_key"] == ends["id"], "left_semi")
-    shingled = stored(chosen.mapInArrow(sets, f"id {kind}, set array<bigint>").groupBy("id").agg(F.first("set").alias("set")), "shingle_sets")
-    left, right = (shingled.select(F.col("id").alias(e), F.col("set").alias(f"_{e}")) for e in "ab")
+    shingled = stored(chosen(source, nodes, edges).mapInArrow(sets, "node bigint, set array<bigint>").groupBy("node").agg(F.first("set").alias("set")), "shingle_sets")
+    left, right = (shingled.select(F.col("node").alias(e), F.col("set").alias(f"_{e}")) for e in "ab")
     both = edges.join(left, "a").join(right, "b").withColumn("_n", F.size(F.array_intersect("_a", "_b")))
-    linked = both.filter(F.col("_n") >= F.lit(similarity) * (F.size("_a") + F.size("_b") - F.col("_n")) - 1e-9).select("a", "b")
-    roots = components(linked).select(F.col("node").alias("id"), F.col("root").alias("group"))
-    named = nodes.select("same", "id").join(roots, "id", "left").select("same", F.coalesce("group", "id").alias("group"))
-    return docs.join(named, "same").groupBy("key").agg(F.min("group").alias("group")).withColumnRenamed("key", key)
+    return both.filter(F.col("_n") >= F.lit(similarity) * (F.size("_a") + F.size("_b") - F.col("_n")) - 1e-9).select("a", "b")
+
+
+def frequent(source: DataFrame, texts: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles found often in about ``COUNTED`` texts, sorted, and their counts. They only
+    make the order of ``prefixes`` a good one; any order is right."""
+
+    def run(batches):
+        found, seen = [np.zeros(0, np.int64)], set()
+        for batch in batches:
+            for part in slices(batch, "_text"):
+                for t in part.column("_text").to_pylist():
+                    if (same := _same(t)) not in seen:
+                        seen.add(same)
+                        found.append(shingle_set(t, k))
+        shingle, count = np.unique(np.concatenate(found), return_counts=True)
+        often = count > 1
+        yield pa.RecordBatch.from_arrays([pa.array(shingle[often]), pa.array(count[often].astype(np.int64))], names=["shingle", "n"])
+
+    share = max(1, -(-texts // COUNTED))
+    rows = source.filter(F.pmod(F.xxhash64("_text"), F.lit(share)) == 0).select("_text").mapInArrow(run, "shingle bigint, n bigint")
+    counts = rows.groupBy("shingle").agg(F.sum("n").alias("n")).filter(F.col("n") >= OFTEN)
+    top = counts.orderBy(F.desc("n"), "shingle").limit(FREQUENT).toArrow()
+    shingle, n = (top.column(i).to_numpy() for i in range(2))
+    order = np.argsort(shingle)
+    return shingle[order], n[order]
+
+
+def prefix_length(n: int, similarity: float) -> int:
+    """How many first shingles of ``n`` hold one of any set with the similarity."""
+    return n - max(1, int(np.ceil(similarity * n - 1e-6))) + 1
+
+
+def prefixes(source: DataFrame, texts: int, k: int, similarity: float) -> DataFrame:
+    """``(anchor, node, size, at)``: the first shingles of each text, rare ones first, with the
+    size of its set and their place in it. A task sends equal texts once."""
+    known, counts = frequent(source, texts, k)
+
+    def run(batches):
+        seen = set()
+        for batch in batches:
+            for part in slices(batch, "_text"):
+                node, size, anchor = [], [], []
+                for t in part.column("_text").to_pylist():
+                    if (same := _same(t)) in seen:
+                        continue
+                    seen.add(same)
+                    own = shingle_set(t, k)
+                    if len(known):
+                        place = np.minimum(np.searchsorted(known, own), len(known) - 1)
+                        own = own[np.argsort(np.where(known[place] == own, counts[place], 0), kind="stable")]
+                    node.append(_node(same))
+                    size.append(len(own))
+                    anchor.append(own[: prefix_length(len(own), similarity)])
+                if node:
+                    length = np.fromiter(map(len, anchor), np.int64, len(anchor))
+                    at = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
+                    cols = [np.concatenate(anchor), np.repeat(np.array(node, np.int64), length), np.repeat(np.array(size, np.int32), length), at.astype(np.int32)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["anchor", "node", "size", "at"])
+
+    return source.select("_text").mapInArrow(run, "anchor bigint, node bigint, size int, at int")
+
+
+def _pairs(group: np.ndarray, node: np.ndarray, size: np.ndarray, at: np.ndarray, root: np.ndarray, similarity: float):
+    """Batches of the pairs of equal group whose sizes and places allow the similarity; pairs
+    of one root are left out. At the first shingle a pair has in common, at most what follows
+    it in either set can be common too; the pair meets there."""
+    first, step, a, b, waiting = np.arange(len(node)), 0, [], [], 0
+    while len(first):
+        step += 1
+        first = first[first + step < len(node)]
+        first = first[group[first] == group[first + step]]
+        x, y = first, first + step
+        common = np.minimum(size[x] - at[x], size[y] - at[y])
+        fit = (common * (1 + similarity) >= similarity * (size[x].astype(np.int64) + size[y]) - 1e-6) & (root[x] != root[y])
+        a.append(node[x[fit]])
+        b.append(node[y[fit]])
+        waiting += len(a[-1])
+        if waiting > PENDING or waiting and not len(first):
+            yield np.concatenate(a), np.concatenate(b)
+            a, b, waiting = [], [], 0
+
+
+def prefix_pairs(rows: DataFrame, roots: DataFrame, similarity: float, tile: int, light: int) -> DataFrame:
+    """``(a, b)`` with a < b: texts with a common prefix shingle that may be similar.
+
+    Up to ``light`` rows of a shingle are paired where they meet. The few shingles with more
+    are dealt again in tiles, with the root each text has so far.
+    """
+
+    def meet(batches):
+        for cols, _ in _groups(batches, 4):
+            change = np.concatenate([[True], cols[0][1:] != cols[0][:-1]])
+            group = np.cumsum(change) - 1
+            heavy = (np.bincount(group) > light)[group]
+            some = ~heavy
+            for a, b in _pairs(group[some], *(c[some] for c in cols[1:]), cols[1][some], similarity):
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int64()), pa.array(a), pa.array(b), *[pa.nulls(len(a), pa.int32())] * 2], names=names)
+            if heavy.any():
+                anchor, node, size, at = (pa.array(c[heavy]) for c in cols)
+                yield pa.RecordBatch.from_arrays([anchor, node, pa.nulls(len(node), pa.int64()), size, at], names=names)
+
+    def tiles(batches):
+        for cols, _ in _groups(batches, 6):
+            group = np.concatenate([[0], np.cumsum((cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1]))])
+            for a, b in _pairs(group, *cols[2:], similarity):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    names = ["anchor", "a", "b", "size", "at"]
+    rows = rows.repartition(parallelism(rows), "anchor").sortWithinPartitions("anchor", "node")
+    met = stored(rows.mapInArrow(meet, "anchor bigint, a bigint, b bigint, size int, at int"), "prefix_rows")
+    crowd = met.filter("anchor is not null").select("anchor", F.col("a").alias("node"), "size", "at").dropDuplicates(["anchor", "node"])
+    crowd = crowd.join(roots, "node", "left").select("anchor", "node", "size", "at", F.coalesce("root", "node").alias("root"))
+    found = met.filter("anchor is null").select("a", "b").union(tiled(stored(crowd, "crowd"), tile).mapInArrow(tiles, "a bigint, b bigint"))
+    return found.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def across(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs whose ends have different roots."""
+    for e in "ab":
+        pairs = pairs.join(roots.select(F.col("node").alias(e), F.col("root").alias(f"_{e}")), e, "left")
+    return pairs.filter(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select("a", "b")
 
 
 def candidates(nodes: DataFrame, kind: str, distance: int, blocks: int, r: int, tile: int = TILE) -> DataFrame:
@@ -350,15 +532,17 @@ def candidates(nodes: DataFrame, kind: str, distance: int, blocks: int, r: int,
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _groups(batches):
-    """Whole groups of rows sorted by (anchor, cell), as arrays with their ids."""
+def _groups(batches, width: int = 3):
+    """Whole groups of rows sorted by (anchor, cell), as ``width`` arrays, with the ids that may
+    follow. With four arrays the anchor alone makes a group."""
     rest, held = None, None
     for batch in batches:
-        cols = [batch.column(i).to_numpy() for i in range(3)]
-        ids = batch.column(3)
+        cols = [batch.column(i).to_numpy() for i in range(width)]
+        ids = batch.column(min(width, batch.num_columns - 1))
         if rest is not None:
             cols, ids = [np.concatenate([x, y]) for x, y in zip(rest, cols)], pa.concat_arrays([held, ids])
-        change = np.flatnonzero((cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])) + 1
+        new = cols[0][1:] != cols[0][:-1]
+        change = np.flatnonzero(new if width == 4 else new | (cols[1][1:] != cols[1][:-1])) + 1
         cut = int(change[-1]) if len(change) else 0
         if cut > 1:
             yield [c[:cut] for c in cols], ids.slice(0, cut)

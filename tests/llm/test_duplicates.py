@@ -121,6 +121,30 @@ def test_similar_groups_equal_brute_force(spark):
     assert sim.similar_groups(empty(spark), "doc_id", "text").count() == 0
 
 
+def grouped_by_definition(rows):
+    text = {i: t or "" for i, t in rows}
+    sets = {i: set(sim.shingle_set(t, 5).tolist()) for i, t in text.items()}
+    ids = sorted(text)
+    pairs = [(a, b) for a in ids for b in ids if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9]
+    return pairs, roots(pairs, ids)
+
+
+def test_similar_groups_find_appended_cut_and_replaced_blocks(spark):
+    rng = random.Random(12)
+    rows = []
+    for i in range(90):
+        n = rng.randint(60, 500)
+        w = words(rng, n).split(" ")
+        m = rng.randint(n // 20, n // 5)
+        at = rng.randrange(n - m)
+        other = [w + words(rng, m).split(" "), w[: n - m], w[:at] + words(rng, m // 2 + 1).split(" ") + w[at + m // 2 :]][i % 3]
+        rows += [(1000 + i, " ".join(w)), (2000 + i, " ".join(other))]
+    pairs, want = grouped_by_definition(rows)
+    assert len(pairs) > 60
+    got = {r["doc_id"]: r["group"] for r in sim.similar_groups(frame(spark, rows), "doc_id", "text").collect()}
+    assert got == want
+
+
 def jaccard(a, b):
     from collections import Counter
 

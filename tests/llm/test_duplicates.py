@@ -145,6 +145,22 @@ def test_similar_groups_find_appended_cut_and_replaced_blocks(spark):
     assert got == want
 
 
+def test_similar_groups_in_families_of_one_vocabulary_and_of_templates(spark):
+    rng = random.Random(13)
+    base, rows = words(rng, 150).split(" "), []
+    for i in range(150):
+        w = rng.sample(base, 150)
+        rows.append((1000 + i, " ".join(w)))
+        if i % 5 == 0:  # the same words, a block moved
+            rows.append((2000 + i, " ".join(w[40:] + w[:40])))
+    form = words(rng, 100).split(" ")
+    for i in range(150):  # forms whose fields leave them about the similarity apart
+        rows.append((3000 + i, " ".join(form[: 80 + i % 20] + words(rng, rng.randint(4, 14)).split(" "))))
+    _, want = grouped_by_definition(rows)
+    got = {r["doc_id"]: r["group"] for r in sim.similar_groups(frame(spark, rows), "doc_id", "text", tile=16, light=8).collect()}
+    assert got == want
+
+
 def jaccard(a, b):
     from collections import Counter
 

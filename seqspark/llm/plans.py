@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from seqspark.llm import chat, decontam, htmltext, langid, packing, pii, sharding, simhash, sketches, toxicity, trie
+from seqspark.llm import chat, decontam, htmltext, langid, lexical, packing, pii, sharding, simhash, sketches, toxicity, trie
 
 QUERIES = {f.__name__: f for f in (
     sharding.op1_byte_shards,
@@ -15,11 +15,13 @@ QUERIES = {f.__name__: f for f in (
     decontam.op8_containment_search,
     toxicity.op9_subword_toxicity,
     chat.op10_quotation_linking,
+    lexical.op11_reversed_search,
     trie.op13_truncation_peeling,
 )}
 
 ORACLES: dict[str, str] = {
     "op8_containment_search": decontam.SQL,
     "op10_quotation_linking": chat.SQL,
+    "op11_reversed_search": lexical.SQL,
     "op13_truncation_peeling": trie.SQL,
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from seqspark.llm import chat, decontam, htmltext, langid, lexical, packing, pii, sharding, simhash, sketches, toxicity, trie
+from seqspark.llm import chat, decontam, htmltext, langid, lexical, packing, pii, sharding, simhash, sketches, toxicity, treejoin, trie
 
 QUERIES = {f.__name__: f for f in (
     sharding.op1_byte_shards,
@@ -16,6 +16,7 @@ QUERIES = {f.__name__: f for f in (
     toxicity.op9_subword_toxicity,
     chat.op10_quotation_linking,
     lexical.op11_reversed_search,
+    treejoin.op12_prefix_tree_join,
     trie.op13_truncation_peeling,
 )}
 
@@ -23,5 +24,6 @@ ORACLES: dict[str, str] = {
     "op8_containment_search": decontam.SQL,
     "op10_quotation_linking": chat.SQL,
     "op11_reversed_search": lexical.SQL,
+    "op12_prefix_tree_join": treejoin.SQL,
     "op13_truncation_peeling": trie.SQL,
 }

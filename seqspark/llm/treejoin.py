@@ -5,9 +5,8 @@ similarity share one of the first few of their shingles (rare ones first), so se
 none can never meet: what hangs together by such shingles is a block, and each block's sets
 are sent to one place once. There they are stored in a prefix tree in the reverse order, so
 that common beginnings are stored and compared once. Each set walks the tree with its overlap so
-far; a subtree is left when its sizes are out of range, when the overlap and what remains of
-either side cannot reach the similarity any more, or when all it holds is linked with the set
-already. Links are exact up to equal 64-bit hashes.
+far; a subtree is left when its sizes are out of range or when the overlap and what remains of
+either side cannot reach the similarity any more. Links are exact up to equal 64-bit hashes.
 
 Blocks of more than ``CELL`` shingles are cut into chunks. Each chunk has a tree of its own;
 then one set per linked group of a chunk is compared across chunks; what is then not in the
@@ -35,8 +34,11 @@ LISTED, OFTEN = 1 << 19, 4
 #: Ids of sets that are fetched again are broadcast up to this many (16 bytes each), else joined.
 BROADCAST_ROWS = 500_000
 CACHED_WORDS = 1 << 16
+#: Forks of a prefix tree that are walked together.
+LEVELS = 6
 
 _MIX = np.random.default_rng(42).integers(0, 1 << 63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
+_SHORT = np.arange(64, dtype=np.uint64) * _MIX[:1]
 
 
 class Hashes(dict):
@@ -61,9 +63,9 @@ def shingle_set(text: bytes | None, k: int, known: Hashes) -> np.ndarray:
         return np.zeros(0, np.uint64)
     at = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
     width = min(k, len(words))
-    mixed = np.full(len(at) - width + 1, _MIX[0] * np.uint64(width), np.uint64)
+    mixed = np.full(len(at) - width + 1, _SHORT[width], np.uint64)
     for i in range(width):
-        mixed += at[i : len(at) - width + 1 + i] * _MIX[1 + i % 63]
+        mixed += at[i : len(at) - width + 1 + i] * _MIX[1 + i]
     mixed = (mixed ^ (mixed >> np.uint64(32))) * _MIX[0]
     return np.unique(mixed ^ (mixed >> np.uint64(29)))
 
@@ -254,132 +256,162 @@ def block_links(source: DataFrame, k: int, percent: int, order: tuple) -> DataFr
 # ---------------------------------------------------------------- prefix tree
 
 
-class Branch:
-    """Part of the tree below a shared beginning. ``run`` are the shingles from the parent to
-    here; ``low`` and ``high`` bound the sizes below; ``one`` says that all below are linked."""
-
-    __slots__ = ("run", "depth", "children", "ends", "low", "high", "sample", "one")
-
-    def __init__(self, run, depth, low, high, sample):
-        self.run, self.depth, self.low, self.high, self.sample = run, depth, low, high, sample
-        self.children, self.ends, self.one = {}, [], True
+class PrefixTree:
+    """Sequences in one common order, stored with shared beginnings.
 
+    A branch is the run of shingles from its parent's end to its own; ``low`` and ``high``
+    bound the sizes of the sets below it, which are ``sets`` ones from ``begin`` on; ``end`` is
+    the set that ends there or -1. Sets are numbered in the order of their sequences.
+    """
 
-class PrefixTree:
-    """Sets as sorted sequences, linked when similar by ``percent``."""
-
-    def __init__(self, percent: int):
-        self.percent = percent
-        self.top = None
-        self.parent: list[int] = []
-        self.node: list[int] = []
-        self.label: dict[int, int] = {}
-        self.links: list[tuple[int, int]] = []
-
-    def entry(self, node: int, label: int) -> int:
-        """A number for a set; sets with one label are linked already."""
-        i = len(self.parent)
-        self.node.append(node)
-        self.parent.append(self.label.setdefault(label, i))
-        return i
-
-    def find(self, i: int) -> int:
-        parent = self.parent
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    def insert(self, entry: int, own: tuple) -> None:
-        size = len(own)
-        if self.top is None:
-            self.top = Branch((), 0, size, size, entry)
-        at = self.top
-        while True:
-            at.low, at.high = min(at.low, size), max(at.high, size)
-            at.one = at.one and self.find(at.sample) == self.find(entry)
-            if at.depth == size:
-                at.ends.append(entry)
-                return
-            child = at.children.get(own[at.depth])
-            if child is None:
-                at.children[own[at.depth]] = new = Branch(own[at.depth :], size, size, size, entry)
-                new.ends.append(entry)
-                return
-            if own[at.depth : child.depth] != child.run:
-                same = 1
-                while same < len(child.run) and at.depth + same < size and own[at.depth + same] == child.run[same]:
-                    same += 1
-                middle = Branch(child.run[:same], at.depth + same, child.low, child.high, child.sample)
-                middle.one = child.one
-                child.run = child.run[same:]
-                middle.children[child.run[0]] = child
-                at.children[own[at.depth]] = child = middle
-            at = child
-
-    def walk(self, entry: int, own: tuple) -> None:
-        """Link a set with all similar ones of the tree that it is not linked with."""
-        if self.top is None:
-            return
-        size, percent, place = len(own), self.percent, {s: i for i, s in enumerate(own)}
-        least, most = -(-percent * size // 100), 100 * size // percent
-        waiting, root = [(self.top, 0, 0)], self.find(entry)
-        while waiting:
-            at, overlap, last = waiting.pop()
-            if at.one and self.find(at.sample) == root or at.high < least or at.low > most:
-                continue
-            if at.run:
-                found = sum(map(place.__contains__, at.run))
-                if found:
-                    overlap += found
-                    last = place[next(s for s in reversed(at.run) if s in place)] + 1
-                # The size below for which the most overlap is left over.
-                left, low, high = size - last, max(at.low, least), min(at.high, most)
-                best = min(max(left + at.depth, low), high)
-                if (100 + percent) * (overlap + min(left, best - at.depth)) < percent * (size + best):
-                    continue
-            for other in at.ends:
-                if (100 + percent) * overlap >= percent * (size + at.depth) and self.find(other) != root:
-                    self.links.append((self.node[other], self.node[entry]))
-                    self.parent[self.find(other)] = root
-            if not at.one:
-                groups = {self.find(c.sample) if c.one else -1 for c in at.children.values()} | {self.find(e) for e in at.ends}
-                at.one = len(groups) == 1 and -1 not in groups
-            waiting += [(c, overlap, last) for c in at.children.values()]
-
-
-#: What a row does in its cell: walk the tree and join it, be in it, walk only.
-BOTH, STAY, WALK = 2, 0, 1
+    def __init__(self, sets: list[np.ndarray]):
+        self.known, local = np.unique(np.concatenate(sets), return_inverse=True)
+        size = np.array(list(map(len, sets)), np.int64)
+        parts = np.split(local.astype(np.int64), np.cumsum(size)[:-1])
+        self.order = sorted(range(len(sets)), key=lambda i: parts[i].tolist())
+        self.size = size[self.order]
+        self.token = np.concatenate([parts[i] for i in self.order])
+        self.at = np.cumsum(self.size) - self.size
+        branches = [[0, 0, 0, -1, -1, 0]]  # first token, depth above, depth, parent, end, first set
+        open_, last, closed = [0], None, {}
+        for n, i in enumerate(self.order):
+            own, shared = parts[i], 0
+            if last is not None:
+                width = min(len(own), len(last))
+                other = np.flatnonzero(own[:width] != last[:width])
+                shared = int(other[0]) if len(other) else width
+            while branches[open_[-1]][2] > shared:
+                gone = open_.pop()
+                closed[gone] = n
+                if branches[open_[-1]][2] < shared:  # the run is parted where the sets differ
+                    start, above, first = branches[gone][0], branches[gone][1], branches[gone][5]
+                    branches.append([start, above, shared, open_[-1], -1, first])
+                    branches[gone][0], branches[gone][1], branches[gone][3] = start + shared - above, shared, len(branches) - 1
+                    open_.append(len(branches) - 1)
+            if len(own) > shared:
+                branches.append([int(self.at[n]) + shared, shared, len(own), open_[-1], n, n])
+                open_.append(len(branches) - 1)
+            else:
+                branches[open_[-1]][4] = n
+            last = own
+        self.start, above, self.depth, self.parent, self.end, self.begin = np.array(branches, np.int64).T
+        self.sets = np.array([closed.get(i, len(sets)) for i in range(len(branches))], np.int64) - self.begin
+        self.length = self.depth - above
+        self.low, self.high = (np.array([f(self.size[b : b + n]) for b, n in zip(self.begin, self.sets)]) for f in (np.min, np.max))
+        self.child = np.argsort(self.parent, kind="stable")[1:]
+        self.children = np.bincount(self.parent[1:], minlength=len(branches))
+        self.first = np.cumsum(self.children) - self.children
+        self.place = np.zeros(len(self.known), np.int64)
+
+    def walk(self, own: np.ndarray, least: int, most: int, percent: int) -> np.ndarray:
+        """The sets of ``least`` to ``most`` shingles that are similar to a sequence.
+
+        All branches that are still open go down together, with the overlap so far and the
+        place in ``own`` of the last common shingle; what follows it is all that can be added.
+        What is still open after ``LEVELS`` forks is compared set by set from there.
+        """
+        size, found = len(own), []
+        at = np.minimum(np.searchsorted(self.known, own), len(self.known) - 1)
+        here = self.known[at] == own
+        self.place[at[here]] = np.flatnonzero(here) + 1
+        open_, overlap, last = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(1, np.int64)
+        for _ in range(LEVELS):
+            branch, which = _spread(self.first[open_], self.children[open_])
+            branch = self.child[branch]
+            fit = (self.high[branch] >= least) & (self.low[branch] <= most)
+            branch, which = branch[fit], which[fit]
+            open_ = branch
+            if not len(branch):
+                break
+            token, _ = _spread(self.start[branch], self.length[branch])
+            place = self.place[self.token[token]]
+            edges = np.cumsum(self.length[branch]) - self.length[branch]
+            overlap = overlap[which] + np.add.reduceat((place > 0).astype(np.int64), edges)
+            last = np.maximum(last[which], np.maximum.reduceat(place, edges))
+            depth = self.depth[branch]
+            done = (self.end[branch] >= 0) & (depth >= least) & (depth <= most) & ((100 + percent) * overlap >= percent * (size + depth))
+            found.append(self.end[branch[done]])
+            # Of the sizes below, the one for which the most overlap is left over.
+            left = size - last
+            best = np.clip(left + depth, np.maximum(self.low[branch], least), np.minimum(self.high[branch], most))
+            fit = ((100 + percent) * (overlap + np.minimum(left, best - depth)) >= percent * (size + best)) & (self.children[branch] > 0)
+            open_, overlap, last = branch[fit], overlap[fit], last[fit]
+        if len(open_):
+            ended = (self.end[open_] >= 0).astype(np.int64)  # the set that ends at the branch is the first
+            some, which = _spread(self.begin[open_] + ended, self.sets[open_] - ended)
+            fit = (self.size[some] >= least) & (self.size[some] <= most)
+            some, which = some[fit], which[fit]
+            if len(some):
+                depth = self.depth[open_][which]
+                length = self.size[some] - depth
+                token, _ = _spread(self.at[some] + depth, length)
+                more = np.add.reduceat((self.place[self.token[token]] > 0).astype(np.int64), np.cumsum(length) - length)
+                found.append(some[(100 + percent) * (overlap[which] + more) >= percent * (size + self.size[some])])
+        self.place[at[here]] = 0
+        return np.concatenate(found) if found else np.zeros(0, np.int64)
+
+
+def _spread(first: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers ``first .. first + length - 1`` of every row, and the row of each."""
+    which = np.repeat(np.arange(len(first)), length)
+    return np.arange(len(which)) + np.repeat(first - (np.cumsum(length) - length), length), which
+
+
+#: What a row does in its cell: be in the tree, walk it, both.
+STAY, WALK, BOTH = 0, 1, 2
+
+
+def cell_links(role: list[int], node: list[int], label: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links between the sets of a cell, none of them superfluous; equal labels are linked."""
+    parent, links = {}, []
+
+    def find(x):
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = parent[up]
+            x = up
+        return x
+
+    staying = [n for n, r in enumerate(role) if r != WALK]
+    if not staying:
+        return links
+    tree = PrefixTree([sets[n] for n in staying])
+    for n, r in enumerate(role):
+        if r != STAY:
+            size = len(sets[n])
+            # Where all sets walk, each looks for those up to its own size.
+            most = size if r == BOTH else 100 * size // percent
+            for other in tree.walk(sets[n], -(-percent * size // 100), most, percent).tolist():
+                m = staying[tree.order[other]]
+                a, b = find(label[m]), find(label[n])
+                if a != b:
+                    parent[a] = b
+                    links.append((node[m], node[n]))
+    return links
 
 
 def tree_links(rows: DataFrame, percent: int) -> DataFrame:
-    """``(a, b)``: links of the sets of each cell ``(block, i, j)``, none of them superfluous."""
+    """``(a, b)``: links of the sets of each cell ``(block, i, j)``."""
 
     def run(batches):
-        cell, tree = None, None
+        cell, held, seen = None, [], set()
         for batch in batches:
             cells = list(zip(*(batch.column(c).to_pylist() for c in ("block", "i", "j"))))
-            role, node, label, lists = (batch.column(c) for c in ("role", "node", "label", "own"))
-            for n in range(batch.num_rows):
-                if cells[n] != cell:
-                    if tree and tree.links:
-                        yield pairs(tree.links)
-                    cell, tree, seen = cells[n], PrefixTree(percent), set()
-                what, name = role[n].as_py(), node[n].as_py()
-                if (what, name) in seen:
-                    continue
-                seen.add((what, name))
-                own = tuple(lists[n].values.to_numpy().tolist())
-                entry = tree.entry(name, label[n].as_py())
-                if what != STAY:
-                    tree.walk(entry, own)
-                if what != WALK:
-                    tree.insert(entry, own)
-        if tree and tree.links:
-            yield pairs(tree.links)
-
-    def pairs(links):
-        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in range(2)], names=["a", "b"])
+            names = list(zip(*(batch.column(c).to_pylist() for c in ("role", "node", "label"))))
+            lists = batch.column("own")
+            for n, (now, name) in enumerate(zip(cells, names)):
+                if now != cell:
+                    yield from pairs(held)
+                    cell, held, seen = now, [], set()
+                if name not in seen:  # rows may share a key and a text
+                    seen.add(name)
+                    held.append((*name, lists[n].values.to_numpy()))
+        yield from pairs(held)
+
+    def pairs(held):
+        if len(held) > 1:
+            links = cell_links(*map(list, zip(*held)), percent)
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in range(2)], names=["a", "b"])
 
     rows = rows.repartition(parallelism(rows), "block", "i", "j").sortWithinPartitions("block", "i", "j", "role", "node")
     return rows.select("block", "i", "j", "role", "node", "label", "own").mapInArrow(run, "a bigint, b bigint")
@@ -487,8 +519,8 @@ WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text,
 p AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM w WHERE len(w) > 0),
 s AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM p),
 n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
-i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both FROM s a JOIN s b USING (s) WHERE a.doc_id <> b.doc_id GROUP BY 1, 2),
-l AS MATERIALIZED (SELECT a, b FROM i JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * both >= 80 * (x.n + y.n - both)),
+i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b USING (s) WHERE a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS MATERIALIZED (SELECT a, b FROM i JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
 r AS (SELECT doc_id, doc_id AS m FROM documents UNION SELECT r.doc_id, l.b FROM r JOIN l ON l.a = r.m)
 SELECT r.doc_id, any_value(coalesce(n.n, 0)) AS n_shingles, min(m) AS component_id FROM r LEFT JOIN n USING (doc_id) GROUP BY r.doc_id
 """

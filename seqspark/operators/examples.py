@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -16,51 +14,122 @@ from seqspark.functions import arrays as ar
 from seqspark.functions.arrays import let
 from seqspark.functions.hashing import fold, fold_unit
 from seqspark.operators.ordering import parallelism, ranked, running
-from seqspark.session import local_table, scratch_dir
+from seqspark.session import local_table, one_row, scratch_dir
 
 # ---------------------------------------------------------------- blocks
 
 
-def block_pieces(rows: DataFrame, order: list[str], size: Column, block_size: int) -> DataFrame:
-    """Cut each row of a token stream at the block borders.
-
-    Adds ``block_id``, ``at`` (position inside the block), ``lo`` (position inside the row)
-    and ``n``. Only the row sizes take part in the global prefix sum; a row is cut locally.
+#: Rows of a stream that are looked at, per bucket, to find where its buckets begin.
+SAMPLED = 32
+
+
+def _bounds(stream: DataFrame, keys: list[str], buckets: int) -> list:
+    """First keys of all buckets but the first, from a sample: buckets hold about as many tokens each."""
+    rows = stream.count()
+    share = SAMPLED * buckets / max(rows, 1)
+    some = stream.select(*keys, "_n")
+    if share < 1:
+        some = some.filter(F.pmod(F.xxhash64("_row"), F.lit(1 << 20)) < F.lit(max(1, int(share * (1 << 20)))))
+    found = some.orderBy(*keys).collect()  # about SAMPLED rows a bucket
+    upto = np.cumsum([0, *[r["_n"] + 1 for r in found]])
+    at = np.searchsorted(upto, np.arange(1, buckets) * upto[-1] / buckets)
+    return [found[i] for i in np.unique(at[(at > 0) & (at < len(found))])]
+
+
+def _bucket(stream: DataFrame, keys: list[str], bounds: list) -> DataFrame:
+    """Adds ``_bucket``: how many bounds are not after the row. Bounds are looked up in two steps
+    of about the square root of their number."""
+    if not bounds:
+        return stream.withColumn("_bucket", F.lit(0))
+    schema = stream.select(*keys).schema
+    each = int(np.ceil(np.sqrt(len(bounds))))
+    groups = [[tuple(b[k] for k in keys) for b in bounds[i : i + each]] for i in range(0, len(bounds), each)]
+    kind = schema.simpleString()
+    named = [[dict(zip(keys, b)) for b in g] for g in groups]
+    table = local_table(stream.sparkSession, [(named,)], f"g array<array<{kind}>>")
+    key = F.struct(*keys)
+    rows = stream.withColumn("_g", one_row(table)["g"])
+    rows = rows.withColumn("_i", F.greatest(F.size(F.filter("_g", lambda g: F.get(g, F.lit(0)) <= key)) - 1, F.lit(0)))
+    inside = F.size(F.filter(F.get("_g", F.col("_i")), lambda b: b <= key))
+    return rows.withColumn("_bucket", F.col("_i") * each + inside).drop("_g", "_i")
+
+
+def stream_fragments(rows: DataFrame, order: list[str], size: Column, block_size: int, build, fields: str) -> DataFrame:
+    """Cut the stream of all rows' tokens, in order, at the block borders.
+
+    Gives ``block_id``, ``at`` (position inside the block), ``n`` and ``fields``, made by
+    ``build(batch, low, high, row)`` from token positions of a batch: fragment i reaches from
+    ``low[i]`` to ``high[i]``, and ``row(positions)`` tells the rows they are in. Blocks are whole
+    but where a batch begins or ends in one.
+
+    Rows are written once with a number each, which settles the order of equal keys and may not
+    change when a task runs again. Buckets of the order get their offset from an aggregate of
+    the sizes; then one exchange brings the tokens of a bucket together, and they are cut there.
     """
-    # The order is found over sizes alone; rows are written once, because what makes them
-    # should not run again for the join. Adaptive execution broadcasts the ends while small.
-    path = scratch_dir(rows.sparkSession, "stream")
-    rows.withColumn("_n", size.cast("bigint")).write.parquet(path)
-    stream = rows.sparkSession.read.parquet(path)
-    ends = running(stream.select(*order, "_n"), order, {"_end": F.col("_n")})
-    ends = ends.select(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)], "_end")
-    match = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_o{i}")) for i, c in enumerate(order)])
-    sized = stream.filter("_n > 0").join(ends, match).withColumn("_begin", F.col("_end") - F.col("_n"))
-    sized = sized.select(*rows.columns, "_begin", "_end")
-    block = F.explode(F.sequence(F.floor(F.col("_begin") / block_size), F.floor((F.col("_end") - 1) / block_size)))
-    cut = sized.withColumn("block_id", block)
-    low = F.greatest(F.col("block_id") * block_size, F.col("_begin"))
-    high = F.least((F.col("block_id") + 1) * block_size, F.col("_end"))
-    return cut.select(
-        *[c for c in cut.columns if c not in ("_begin", "_end")],
-        (low - F.col("block_id") * block_size).cast("int").alias("at"),
-        (low - F.col("_begin")).cast("int").alias("lo"),
-        (high - low).cast("int").alias("n"),
-    )
+    spark = rows.sparkSession
+    path = scratch_dir(spark, "stream")
+    numbered = rows.withColumn("_n", F.greatest(F.coalesce(size.cast("bigint"), F.lit(0)), F.lit(0))).withColumn("_row", F.monotonically_increasing_id())
+    numbered.write.parquet(path)
+    stream = spark.read.schema(numbered.schema).parquet(path).filter("_n > 0")
+    keys = [*order, "_row"]
+    bounds = _bounds(stream, keys, parallelism(rows))
+    dealt = _bucket(stream, keys, bounds)
+    starts = np.zeros(len(bounds) + 1, np.int64)
+    for r in _bucket(stream.select(*keys, "_n"), keys, bounds).groupBy("_bucket").agg(F.sum("_n").alias("n")).collect():
+        starts[r["_bucket"]] = r["n"]
+    starts = np.cumsum(starts) - starts
+    dealt = dealt.repartitionById(len(bounds) + 1, F.col("_bucket")).sortWithinPartitions(*keys)
+    schema = StructType.fromDDL(f"block_id bigint, at int, n int, {fields}")
+    target = to_arrow_schema(schema)
+
+    def run(batches):
+        begin = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if begin is None:
+                begin = int(starts[batch.column("_bucket")[0].as_py()])
+            ends = np.cumsum(batch.column("_n").to_numpy())
+            total = int(ends[-1])
+            edges = np.unique(np.concatenate([[0], np.arange(-begin % block_size, total, block_size), [total]]))
+            low, high = edges[:-1], edges[1:]
+            made = build(batch, low, high, lambda at: np.searchsorted(ends, at, side="right"))
+            block = (begin + low) // block_size
+            cols = [pa.array(block), pa.array((begin + low - block * block_size).astype(np.int32)), pa.array((high - low).astype(np.int32)), *made]
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) if isinstance(c, pa.Array) else c for c, f in zip(cols, target)], names=target.names)
+            begin += total
+
+    path = scratch_dir(spark, "fragments")
+    dealt.mapInArrow(run, schema).write.parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
+def _whole(fragments: DataFrame, block_size: int, merged: dict[str, Column]) -> DataFrame:
+    """One row per block: whole fragments as they are, the others merged by ``merged``."""
+    whole = (F.col("at") == 0) & (F.col("n") == block_size)
+    parts = fragments.filter(~whole).groupBy("block_id").agg(*[c.alias(n) for n, c in merged.items()])
+    return fragments.filter(whole).select("block_id", *merged).unionByName(parts)
+
+
+def _merged_items(items: str) -> Column:
+    return F.flatten(F.sort_array(F.collect_list(F.struct("at", F.col(items).alias("t"))))["t"])
+
+
+def _cut(tokens: pa.Array, low: np.ndarray, high: np.ndarray) -> pa.Array:
+    """Consecutive parts of the tokens of a batch as one list per fragment."""
+    return pa.ListArray.from_arrays(pa.array(np.append(low, high[-1:]), pa.int32()), tokens.flatten())
 
 
 def token_blocks(rows: DataFrame, order: list[str], ids: str, block_size: int, size: str | None = None) -> DataFrame:
     """Mode *none*: the concatenated stream cut every ``block_size`` tokens.
 
-    A group is one block, so what is collected per key is bounded by ``block_size``. A
-    stored ``size`` column spares the prefix sum from reading the tokens.
+    Rows may share an order key or have none: null keys come first, equal keys in the order in
+    which the rows are written. A stored ``size`` column spares an aggregate over the tokens.
     """
     length = F.col(size) if size else F.size(ids)
-    pieces = block_pieces(rows.select(*order, ids, *([size] if size else [])), order, length, block_size)
-    part = F.struct("at", F.slice(ids, F.col("lo") + 1, F.col("n")).alias("t"))
-    return pieces.select("block_id", part.alias("p")).groupBy("block_id").agg(
-        F.flatten(F.sort_array(F.collect_list("p"))["t"]).alias("item")
-    )
+    kind = rows.schema[ids].dataType.simpleString()
+    fragments = stream_fragments(rows.select(*order, ids, *([size] if size else [])), order, length, block_size, lambda b, low, high, row: [_cut(b.column(ids), low, high)], f"item {kind}")
+    return _whole(fragments, block_size, {"item": _merged_items("item")})
 
 
 def block_index(rows: DataFrame, order: list[str], line: str, offset: str, block_size: int) -> DataFrame:
@@ -68,14 +137,20 @@ def block_index(rows: DataFrame, order: list[str], line: str, offset: str, block
 
     ``line`` and ``offset`` are arrays parallel to the tokens of a row.
     """
-    pieces = block_pieces(rows.select(*order, line, offset), order, F.size(line), block_size)
-
-    def token(at: Column) -> Column:
-        return F.struct(*order, F.get(line, at).cast("bigint").alias("line"), F.get(offset, at).cast("bigint").alias("offset"))
+    names = [f.name for f in rows.select(*order).schema]
+    kinds = ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in rows.select(*order).schema)
+
+    def build(batch, low, high, row):
+        out = []
+        for at in (low, high - 1):
+            of, place = pa.array(row(at)), pa.array(at)
+            values = [batch.column(c).take(of) for c in names] + [batch.column(c).flatten().take(place).cast(pa.int64()) for c in (line, offset)]
+            out.append(pa.StructArray.from_arrays(values, names=[*names, "line", "offset"]))
+        return out
 
-    first, last = token(F.col("lo")), token(F.col("lo") + F.col("n") - 1)
-    out = pieces.select("block_id", "at", first.alias("f"), last.alias("l"))
-    return out.groupBy("block_id").agg(F.min_by("f", "at").alias("start"), F.max_by("l", "at").alias("end"))
+    kind = f"struct<{kinds}, line: bigint, offset: bigint>"
+    fragments = stream_fragments(rows.select(*order, line, offset), order, F.size(line), block_size, build, f"start {kind}, end {kind}")
+    return _whole(fragments, block_size, {"start": F.min_by("start", "at"), "end": F.max_by("end", "at")})
 
 
 def block_targets(rows: DataFrame, order: list[str], ids: str, offset: str, block_size: int, size: str | None = None) -> DataFrame:
@@ -86,18 +161,19 @@ def block_targets(rows: DataFrame, order: list[str], ids: str, offset: str, bloc
     two tokens before the block inside the same row are ever needed.
     """
     length = F.col(size) if size else F.size(ids)
-    pieces = block_pieces(rows.select(*order, ids, offset, *([size] if size else [])), order, length, block_size)
-    lo = F.col("lo")
-    within = F.get(offset, lo)
-    before = F.when(within == 0, F.lit(EOS)).otherwise(F.get(ids, lo - 1))
-    second = F.when(within == 0, F.lit(PAD)).when(within == 1, F.lit(EOS)).otherwise(F.get(ids, lo - 2))
-    part = F.struct("at", F.slice(ids, lo + 1, F.col("n")).alias("t"), before.alias("b1"), second.alias("b2"))
-    packed = F.sort_array(F.collect_list("p"))
-    out = pieces.select("block_id", part.alias("p")).groupBy("block_id").agg(packed.alias("_p"))
-    out = out.select("block_id", F.flatten("_p.t").alias("item"), F.col("_p")[0].alias("h"))
-    size = F.size("item")
-    source = F.slice(F.concat(F.array(F.col("h.b1").cast("int")), "item"), 1, size)
-    past = F.slice(F.concat(F.array(F.col("h.b2").cast("int"), F.col("h.b1").cast("int")), "item"), 1, size)
+
+    def build(batch, low, high, row):
+        tokens, within = batch.column(ids).flatten(), batch.column(offset).flatten().take(pa.array(low)).to_numpy(zero_copy_only=False)
+        flat = tokens.to_numpy(zero_copy_only=False)
+        before = np.where(within == 0, EOS, flat[low - 1])
+        second = np.where(within == 0, PAD, np.where(within == 1, EOS, flat[low - 2]))
+        return [_cut(batch.column(ids), low, high), pa.array(before.astype(np.int32)), pa.array(second.astype(np.int32))]
+
+    fragments = stream_fragments(rows.select(*order, ids, offset, *([size] if size else [])), order, length, block_size, build, f"item {rows.schema[ids].dataType.simpleString()}, b1 int, b2 int")
+    out = _whole(fragments, block_size, {"item": _merged_items("item"), "b1": F.min_by("b1", "at"), "b2": F.min_by("b2", "at")})
+    length = F.size("item")
+    source = F.slice(F.concat(F.array("b1"), "item"), 1, length)
+    past = F.slice(F.concat(F.array("b2", "b1"), "item"), 1, length)
     return out.select("block_id", "item", source.alias("source"), past.alias("past"))
 
 

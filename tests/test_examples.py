@@ -216,3 +216,42 @@ def test_any_number_of_corpora_in_a_chosen_order(spark):
     first = sorted((r["new_id"], r["i"]) for r in rows)[:6]
     assert [i for _, i in first] == [9, 3009, 7, 3007, 7, 3007]
     assert ex.round_robin(df.filter("name in ('c1', 'c2')"), "name", ["i"]).count() == 4
+
+
+def _stream(rows):
+    """Tokens in the order (key, nulls first), equal keys as written; (token, offset in its row)."""
+    return [(t, i) for _, ids in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)) for i, t in enumerate(ids or [])]
+
+
+@pytest.mark.parametrize("parts, sampled", [(1, 32), (3, 2)])
+def test_blocks_of_repeated_and_null_keys(spark, monkeypatch, parts, sampled):
+    import random
+
+    rng, rows = random.Random(parts), []
+    for n in range(200):
+        key = rng.choice([None, 1, 2, 2, rng.randint(0, 9)])
+        rows.append((key, None if n % 17 == 0 else [1000 * n + i for i in range(rng.randint(0, 9))] + [2]))
+    monkeypatch.setattr(ex, "SAMPLED", sampled)
+    df = spark.createDataFrame([(k, ids, ids and list(range(len(ids))), 1) for k, ids in rows], "k int, ids array<int>, off array<int>, _bucket int").coalesce(1)
+    want = _stream(rows)
+    for size in (1, 4, 7, 5000):
+        blocks = {r["block_id"]: r["item"] for r in ex.token_blocks(df.repartition(parts) if size == 7 else df, ["k"], "ids", size).collect()}
+        got = [t for b in sorted(blocks) for t in blocks[b]]
+        assert sorted(blocks) == list(range(-(-len(want) // size))) and all(len(blocks[b]) == size for b in sorted(blocks)[:-1])
+        if size == 7:  # dealt anew: rows of one key in any order, but whole and in the order of keys
+            assert sorted(got) == sorted(t for t, _ in want)
+        else:
+            assert got == [t for t, _ in want]
+    targets = ex.block_targets(df, ["k"], "ids", "off", 4).orderBy("block_id").collect()
+    flat = [t for t, _ in want]
+    for r in targets:
+        g, off = r["block_id"] * 4, want[r["block_id"] * 4][1]
+        before = 2 if off == 0 else flat[g - 1]
+        assert r["source"] == [before, *r["item"]][:-1] and r["past"][:1] == [1 if off == 0 else 2 if off == 1 else flat[g - 2]]
+    index = {r["block_id"]: r for r in ex.block_index(df, ["k"], "ids", "off", 4).collect()}
+    assert [(index[b]["start"]["line"], index[b]["start"]["offset"]) for b in sorted(index)] == want[::4]
+
+
+def test_blocks_of_an_empty_stream(spark):
+    df = spark.createDataFrame([(1, None), (2, [])], "k int, ids array<int>")
+    assert ex.token_blocks(df, ["k"], "ids", 4).count() == 0 and ex.token_blocks(df.limit(0), ["k"], "ids", 4).count() == 0

@@ -5,12 +5,16 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import LongType, StructField, StructType
 
 from seqspark.consts import PAD
 from seqspark.functions import arrays as ar
 from seqspark.functions.hashing import base as hash_base
-from seqspark.operators.ordering import ranked
+from seqspark.operators.ordering import parallelism, placed, ranked
 from seqspark.session import local_table
 
 
@@ -199,6 +203,203 @@ def batch_by_size(
     return rows.withColumn("batch_id", batch).drop("_runs")
 
 
+# Batches over a given order: sizes may rise and fall, so the histogram does not settle them. What
+# the greedy knows before a sample is how many samples the open batch holds; which ones, and the
+# longest of them, follow from the samples before. A bucket of the order is therefore summed up as
+# a map from every number of open samples to the number at its end and the batches closed. The
+# maps are made in parallel, chained on the driver, and the buckets replayed in parallel.
+
+
+class OpenBatch:
+    """The greedy from one known state: ``held`` open samples, the last ones of ``before``."""
+
+    def __init__(self, limits: tuple[float, float, int], held: int, before: list[int]):
+        self.tokens, self.sentences, self.multiple = limits
+        self.held, self.start, self.starts, self.total = held, -held, [], 0
+        self.longest = max(before[len(before) - held :], default=0)
+        self.recent = deque(before, maxlen=self.multiple)
+
+    def feed(self, sizes: Iterable[int]) -> None:
+        """Adds samples; ``starts`` gets the place, from the first sample fed, of each new batch."""
+        tokens, sentences, multiple = self.tokens, self.sentences, self.multiple
+        held, longest, recent = self.held, self.longest, self.recent
+        for size in sizes:
+            after = size if size > longest else longest
+            if held and (held == sentences or (held + 1) * after > tokens):
+                cut = max(multiple * (held // multiple), held % multiple)
+                self.start += cut
+                self.starts.append(self.start)
+                self.total += 1
+                held -= cut
+                after = max(size, *list(recent)[len(recent) - held :]) if held else size
+            held += 1
+            longest = after
+            recent.append(size)
+        self.held, self.longest = held, longest
+
+
+class OpenBatches:
+    """The greedy from every state at once; states that hold equally many samples are one."""
+
+    def __init__(self, limits: tuple[float, float, int], most: int, before: list[int]):
+        self.limits, self.one = limits, None
+        self.held = np.arange(min(most, len(before)) + 1)
+        self.longest = np.concatenate([[0], np.maximum.accumulate(np.array(before[::-1], np.int64))])[: len(self.held)]
+        self.state, self.closed = np.arange(len(self.held)), np.zeros(len(self.held), np.int64)
+        self.entered = self.closed.copy()
+        self.recent = deque(before, maxlen=limits[2])
+
+    def feed(self, sizes: list[int]) -> None:
+        tokens, sentences, multiple = self.limits
+        for i, size in enumerate(sizes):
+            if len(self.held) == 1:
+                if self.one is None:
+                    self.one = OpenBatch(self.limits, 0, list(self.recent))
+                    self.one.held, self.one.longest = int(self.held[0]), int(self.longest[0])
+                self.one.feed(sizes[i:])
+                return
+            after = np.maximum(self.longest, size)
+            full = (self.held > 0) & ((self.held == sentences) | ((self.held + 1) * after > tokens))
+            rest = np.where(full, self.held - np.maximum(multiple * (self.held // multiple), self.held % multiple), self.held)
+            carried = np.concatenate([[size], np.maximum(np.maximum.accumulate(np.array(list(self.recent)[::-1], np.int64)), size)])
+            self.longest = np.where(full, carried[np.minimum(rest, len(carried) - 1)], after)
+            self.closed = self.closed + full
+            self.held = rest + 1
+            self.recent.append(size)
+            if full.any():
+                held, first, index = np.unique(self.held, return_index=True, return_inverse=True)
+                if len(held) < len(self.held):
+                    self.entered += self.closed[self.state] - self.closed[first][index[self.state]]
+                    self.state = index[self.state]
+                    self.held, self.longest, self.closed = held, self.longest[first], self.closed[first]
+
+    def ends(self) -> tuple[np.ndarray, np.ndarray]:
+        """Per state at the beginning: samples held at the end, batches closed."""
+        held = np.array([self.one.held]) if self.one else self.held
+        return held[self.state], self.closed[self.state] + self.entered + (self.one.total if self.one else 0)
+
+
+def batch_in_order(
+    df: DataFrame,
+    order: list,
+    num_tokens: Column,
+    max_tokens: int | None = None,
+    max_sentences: int | None = None,
+    multiple: int = 1,
+    buckets: int | None = None,
+) -> DataFrame:
+    """Add ``rank`` and ``batch_id`` for greedy token-budget batches over a given order.
+
+    ``order`` identifies a sample; sizes below one count as one. Exact whatever the sizes: a batch
+    holds at most ``max_sentences``, or as many as fit ``max_tokens`` at size one, and a bucket
+    looks at so many sizes before and after it. Tasks stream the rows of their bucket.
+    """
+    spark = df.sparkSession
+    most = min(max_sentences or float("inf"), max(max_tokens, multiple) if max_tokens is not None else float("inf"))
+    if most == float("inf"):
+        return ranked(df, order, "rank").withColumn("batch_id", F.lit(0).cast("bigint"))
+    limits = (float("inf") if max_tokens is None else max_tokens, float("inf") if max_sentences is None else max_sentences, multiple)
+    sized = df.withColumn("_m", F.greatest(num_tokens.cast("bigint"), F.lit(1)))
+    table = placed(sized, order, {"_nth": F.lit(1).cast("bigint")}, [], buckets or parallelism(df))
+    table = table.drop("_v0").withColumnRenamed("_l0", "_nth")
+    counts = table.groupBy("_bucket").agg(F.max("_nth").alias("_count"))
+    rows = {r["_bucket"]: r["_count"] for r in counts.collect()}
+    # The sizes next to the borders of buckets: ``most`` on either side.
+    near = table.join(F.broadcast(local_table(spark, sorted(rows.items()), "_bucket int, _count bigint")), "_bucket")
+    near = near.filter((F.col("_nth") <= most) | (F.col("_nth") > F.col("_count") - most)).select("_bucket", "_nth", "_m")
+    heads, tails = {b: [] for b in rows}, {b: [] for b in rows}
+    for b, nth, size in sorted(map(tuple, near.collect())):
+        if nth <= most:
+            heads[b].append(size)
+        if nth > rows[b] - most:
+            tails[b].append(size)
+    before, after, upto, listed = {}, {}, [], sorted(rows)
+    for b in listed:
+        before[b] = upto
+        upto = (upto + tails[b])[-most:]
+    upto = []
+    for b in reversed(listed):
+        after[b] = upto
+        upto = (heads[b] + upto)[:most]
+    in_order = table.repartition(max(1, len(rows)), "_bucket").sortWithinPartitions("_bucket", "_nth")
+
+    def runs(batches):
+        """``(bucket, batch)`` for the parts of batches that lie in one bucket."""
+        for batch in batches:
+            bucket = batch.column("_bucket").to_numpy()
+            edges = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1).tolist(), len(bucket)]
+            for a, b in zip(edges, edges[1:]):
+                if b > a:
+                    yield int(bucket[a]), batch.slice(a, b - a)
+
+    def summarise(batches):
+        now, states = None, None
+        for bucket, batch in runs(batches):
+            if bucket != now:
+                if states:
+                    yield summary(now, states)
+                now, states = bucket, OpenBatches(limits, most, before[bucket])
+            states.feed(batch.column("_m").to_pylist())
+        if states:
+            yield summary(now, states)
+
+    def summary(bucket, states):
+        held, closed = states.ends()
+        first = np.flatnonzero(np.concatenate([[True], (held[1:] != held[:-1]) | (closed[1:] != closed[:-1])]))
+        cols = [np.full(len(first), bucket), first, held[first], closed[first]]
+        return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in cols], names=["bucket", "held", "end", "closed"])
+
+    maps: dict[int, list] = {}
+    for r in in_order.select("_bucket", "_m").mapInArrow(summarise, "bucket bigint, held bigint, end bigint, closed bigint").collect():
+        maps.setdefault(r["bucket"], []).append((r["held"], r["end"], r["closed"]))
+    begin, held, closed, rank = {}, 0, 0, 0
+    for b in listed:
+        begin[b] = (held, closed, rank)
+        _, end, more = max(m for m in maps[b] if m[0] <= held)
+        held, closed, rank = end, closed + more, rank + rows[b]
+    out = StructType([*df.schema, StructField("rank", LongType()), StructField("batch_id", LongType())])
+    names = to_arrow_schema(out).names
+
+    def replay(batches):
+        now, state, waiting, done = None, None, [], 0
+        for bucket, batch in runs(batches):
+            if bucket != now:
+                if now is not None:
+                    yield from finished(now, state, waiting, done)
+                now, waiting, done = bucket, [], 0
+                state = OpenBatch(limits, begin[bucket][0], before[bucket])
+            state.feed(batch.column("_m").to_pylist())
+            waiting.append(batch)
+            # Rows before the open batch are settled; it holds few rows, which wait.
+            if state.start > done:
+                whole = pa.Table.from_batches(waiting)
+                yield from numbered(now, state, whole.slice(0, state.start - done), done)
+                waiting, done = whole.slice(state.start - done).to_batches(), state.start
+                state.starts = state.starts[-1:]
+        if now is not None:
+            yield from finished(now, state, waiting, done)
+
+    def finished(bucket, state, waiting, done):
+        """The open rows: where their batch is cut is decided by what follows the bucket."""
+        seen = len(state.starts)
+        for size in after[bucket]:
+            state.feed([size])
+            if len(state.starts) > seen:
+                break
+        yield from numbered(bucket, state, pa.Table.from_batches(waiting), done)
+
+    def numbered(bucket, state, table, done):
+        _, closed, rank = begin[bucket]
+        place = np.arange(done, done + table.num_rows)
+        known = state.starts
+        last = closed + state.total - len(known)
+        ids = last + np.searchsorted(np.array(known, np.int64), place, side="right")
+        table = table.append_column("rank", pa.array(place + rank)).append_column("batch_id", pa.array(ids))
+        yield from table.select(names).to_batches()
+
+    return in_order.mapInArrow(replay, out)
+
+
 def epoch_order(batches: DataFrame, seed: int, epoch: int) -> DataFrame:
     """Replayable shuffle of the batches of one epoch: adds ``position``."""
     rows = batches.withColumn("_h", hash_base(seed + epoch, F.col("batch_id")))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from seqspark.functions import arrays as ar, text as tx
 from seqspark.functions.hashing import base as hash_base
-from seqspark.operators import batching as bt
+from seqspark.operators import batching as bt, examples as ex
 from seqspark.plans import base, sql
 from seqspark.plans.base import joined, query
 from seqspark.plans.examples import PAIR_IDS, pair_ids
@@ -110,6 +110,42 @@ def batch_multiple(spark, d):
     return _batched(spark, d, MULTIPLE)
 
 
+def _in_order_sql(samples: str, max_tokens: int, max_sentences: int, multiple: int) -> str:
+    """The greedy over ``o(id, m, rank)``, one sample per step."""
+    return f"""WITH RECURSIVE {samples},
+w AS (SELECT 0::BIGINT AS nxt, []::BIGINT[] AS lens, 0::BIGINT AS first_rank, 0::BIGINT AS batch_id
+  UNION ALL SELECT nxt + 1,
+    CASE WHEN full_ THEN list_slice(lens, cut + 1, len(lens)) || [m] ELSE lens || [m] END,
+    CASE WHEN full_ THEN first_rank + cut ELSE first_rank END,
+    CASE WHEN full_ THEN batch_id + 1 ELSE batch_id END
+  FROM (SELECT w.*, o.m, len(lens) > 0 AND (len(lens) = {max_sentences} OR
+      (len(lens) + 1) * greatest(o.m, coalesce(list_max(lens), 0)) > {max_tokens}) AS full_,
+      greatest({multiple} * (len(lens) // {multiple}), len(lens) % {multiple}) AS cut
+    FROM w JOIN o ON o.rank = w.nxt)),
+starts AS (SELECT batch_id, min(first_rank) AS first_rank FROM w GROUP BY batch_id)
+SELECT o.id, o.m AS num_tokens, o.rank, s.batch_id FROM o ASOF JOIN starts s ON o.rank >= s.first_rank"""
+
+
+# Documents in file order, not sorted by length.
+@query("b05_file_order_batches", _in_order_sql(f"""ds AS (SELECT doc_id AS id, len({sql.words('text')})::BIGINT + 1 AS m FROM documents),
+o AS MATERIALIZED (SELECT id, m, row_number() OVER (ORDER BY id) - 1 AS rank FROM ds)""", 8000, 24, MULTIPLE))
+def file_order_batches(spark, d):
+    docs = base.documents(spark, d).select(F.col("doc_id").alias("id"), (F.size(tx.words(F.col("text"))) + 1).cast("bigint").alias("num_tokens"))
+    return bt.batch_in_order(docs, ["id"], F.col("num_tokens"), 8000, 24, MULTIPLE)
+
+
+# Steps of the round robin over languages in their order; a step is as long as its longest text.
+@query("b05_round_robin_batches", _in_order_sql("""k AS (SELECT lang, n_chars, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS rk,
+  count(*) OVER (PARTITION BY lang) AS n FROM documents),
+g AS (SELECT i AS step FROM range((SELECT max(n) FROM k)) r(i)),
+z AS (SELECT step, max(n_chars) AS m FROM g JOIN k ON step % n = rk GROUP BY step),
+o AS MATERIALIZED (SELECT step AS id, m, row_number() OVER (ORDER BY step) - 1 AS rank FROM z)""", 40000, 1000, 1))
+def round_robin_batches(spark, d):
+    docs = base.table(spark, d, "documents").select("doc_id", "lang", "n_chars")
+    steps = ex.round_robin(docs, "lang", ["doc_id"]).groupBy(F.col("step").alias("id")).agg(F.max("n_chars").alias("num_tokens"))
+    return bt.batch_in_order(steps, ["id"], F.col("num_tokens"), 40000, 1000)
+
+
 # Documents in batches of eight, in length order.
 _DOC_BATCHES = f"""ds AS (SELECT doc_id, len({sql.words('text')}) + 1 AS size, {sql.base(SEED, 'doc_id')} AS h FROM documents),
 db AS (SELECT doc_id, size, (row_number() OVER (ORDER BY size, h, doc_id) - 1) // 8 AS batch_id FROM ds)"""

@@ -238,3 +238,30 @@ def test_registry():
         registry.get("tokenizer", "nope")
     with pytest.raises(ValueError):
         registry.register("tokenizer", "words")(len)
+
+
+def _greedy(sizes, max_tokens, max_sentences, multiple):
+    """The batches of sizes in order, one sample at a time."""
+    out, batch = [], []
+    for i, size in enumerate(sizes):
+        longest = max([size, *[sizes[j] for j in batch]])
+        if batch and (len(batch) == max_sentences or max_tokens is not None and (len(batch) + 1) * longest > max_tokens):
+            cut = max(multiple * (len(batch) // multiple), len(batch) % multiple)
+            out.append(batch[:cut])
+            batch = batch[cut:]
+        batch.append(i)
+    return out + [batch] if batch else out
+
+
+@pytest.mark.parametrize("limits", [(60, None, 1), (60, 7, 1), (None, 5, 1), (90, 13, 4), (60, None, 8), (25, 6, 8), (3, None, 2), (10**6, 1000, 3)])
+def test_batches_over_a_given_order(spark, limits):
+    rng = random.Random(str(limits))
+    sizes = [rng.choice([1, 2, 3, 9, 20, 55, 80]) if i % 50 < 40 else 2 for i in range(400)]
+    rows = [(i, s, "x", 0) for i, s in enumerate(sizes)]
+    df = spark.createDataFrame(rows, "i int, n int, batch string, _nth_ int").repartition(3)
+    want = {i: b for b, batch in enumerate(_greedy(sizes, *limits)) for i in batch}
+    for buckets in (1, 5, 60):
+        got = bt.batch_in_order(df, ["i"], F.col("n"), *limits, buckets=buckets).collect()
+        assert [r["rank"] for r in sorted(got, key=lambda r: r["i"])] == list(range(400))
+        assert {r["i"]: r["batch_id"] for r in got} == want
+    assert bt.batch_in_order(df.limit(0), ["i"], F.col("n"), *limits).count() == 0

@@ -437,6 +437,28 @@ def back_translate(samples: DataFrame, best: DataFrame, key: str = "id") -> Data
     return samples.join(hyp, key).withColumn("target", F.col("source")).withColumn("source", F.col("_hyp")).drop("_hyp")
 
 
+def closest(queries: DataFrame, values: DataFrame, group: list[str], size: str, name: str) -> DataFrame:
+    """The rows of ``queries`` with the (at most two) ``name`` of ``values`` of their group that may
+    be closest in size: the last that is not larger and the next one, with ``distance``.
+
+    Of values of one group and size the smallest name counts. Values and queries are laid out in
+    one order, where a running count of values tells a query its neighbours' places; groups of
+    any size are split like any other range. Rows without a size have no neighbour.
+    """
+    kind = values.schema[name].dataType.simpleString()
+    listed = values.filter(F.col(size).isNotNull()).groupBy(*group, F.col(size).cast("bigint").alias("_size")).agg(F.min(name).alias("_name"))
+    asked = queries.filter(F.col(size).isNotNull()).select(*group, F.col(size).cast("bigint").alias("_size"), F.lit(None).cast(kind).alias("_name"), F.struct(*queries.columns).alias("_row"))
+    events = listed.withColumn("_row", F.lit(None).cast(asked.schema["_row"].dataType)).withColumn("_asks", F.lit(0)).unionByName(asked.withColumn("_asks", F.lit(1)))
+    laid = running(events, ["_size", "_asks"], {"_nth": (1 - F.col("_asks")).cast("bigint")}, group=group)
+    found = laid.filter("_asks = 0").select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], F.col("_nth").alias("_place"), F.col("_size").alias("_found"), F.col("_name").alias("_near"))
+    near = laid.filter("_asks = 1").withColumn("_nth", F.explode(F.array(F.col("_nth"), F.col("_nth") + 1)))
+    match = F.col("_nth") == F.col("_place")
+    for i, g in enumerate(group):
+        match &= F.col(g).eqNullSafe(F.col(f"_g{i}"))
+    both = near.join(found, match)
+    return both.select("_row.*", F.col("_near").alias(name), F.abs(F.col("_size") - F.col("_found")).alias("distance"))
+
+
 def canonical_pair(pair: Column) -> Column:
     """``de-en`` for both directions of a language pair."""
     return F.array_join(F.sort_array(F.split(pair, "-")), "-")

@@ -215,20 +215,20 @@ def language_pairs(spark, d):
     return ex.swap_direction(p, F.col("pair") != F.col("canonical")).select("pair", "canonical", "source", "target")
 
 
-# Candidates for a pair: the replies at most eight turns away, scored by closeness in length.
+# Candidates for a pair: all replies of its conversation, scored by closeness in length.
 @query("e14_back_translation", f"""WITH {PAIR_IDS},
-h AS (SELECT p.id, q.turn AS hyp, q.target AS tokens, -abs(p.ns - q.nt)::DOUBLE AS score FROM pe p JOIN pe q ON p.conv_id = q.conv_id AND abs(p.turn - q.turn) <= 8),
+h AS (SELECT p.id, q.turn AS hyp, q.target AS tokens, -abs(p.ns - q.nt)::DOUBLE AS score FROM pe p JOIN pe q ON p.conv_id = q.conv_id),
 b AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, hyp) = 1)
 SELECT p.id, b.tokens AS source, p.source AS target FROM pe p JOIN b USING (id)""")
 def back_translation(spark, d):
     from seqspark.operators.ranking import n_best
 
     p = pair_ids(spark, d)
-    q = p.select("conv_id", F.col("turn").alias("hyp"), F.col("target").alias("tokens"))
-    score = -F.abs(F.size("source") - F.size("tokens")).cast("double")
-    near = F.explode(F.sequence(F.col("turn") - 8, F.col("turn") + 8)).alias("hyp")
-    hyps = p.select("id", "conv_id", "source", near).join(q, ["conv_id", "hyp"]).select("id", "hyp", "tokens", score.alias("score"))
-    out = ex.back_translate(p.select("id", "source"), n_best(hyps, ["id"], 1))
+    asked, replies = p.select("id", "conv_id", F.col("ns").alias("size")), p.select("conv_id", F.col("turn").alias("hyp"), F.col("nt").alias("size"))
+    near = ex.closest(asked, replies, ["conv_id"], "size", "hyp")
+    best = n_best(near.withColumn("score", -F.col("distance").cast("double")), ["id"], 1)
+    tokens = p.select("conv_id", F.col("turn").alias("hyp"), F.col("target").alias("tokens"))
+    out = ex.back_translate(p.select("id", "source"), best.join(tokens, ["conv_id", "hyp"]))
     return out.select("id", joined("source").alias("source"), joined("target").alias("target"))
 
 

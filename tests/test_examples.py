@@ -255,3 +255,21 @@ def test_blocks_of_repeated_and_null_keys(spark, monkeypatch, parts, sampled):
 def test_blocks_of_an_empty_stream(spark):
     df = spark.createDataFrame([(1, None), (2, [])], "k int, ids array<int>")
     assert ex.token_blocks(df, ["k"], "ids", 4).count() == 0 and ex.token_blocks(df.limit(0), ["k"], "ids", 4).count() == 0
+
+
+def test_closest_equals_all_pairs(spark):
+    rng = random.Random(8)
+    values = [(rng.choice([None, 1, 2, 3]), rng.choice([None, *range(0, 60, 3)]), n) for n in range(150)]
+    asked = [(rng.choice([None, 1, 2, 3, 4]), rng.choice([None, *range(-5, 70)]), n, "x") for n in range(150)]
+    got = ex.closest(
+        spark.createDataFrame(asked, "g int, size int, id int, _name string").repartition(3), spark.createDataFrame(values, "g int, size int, hyp int"), ["g"], "size", "hyp"
+    ).collect()
+    best = {}
+    for r in got:
+        best[r["id"]] = min(best.get(r["id"], (99, 999)), (r["distance"], r["hyp"]))
+    want = {}
+    for g, size, n, _ in asked:
+        found = [(abs(size - s), h) for k, s, h in values if k == g and s is not None] if size is not None else []
+        if found:
+            want[n] = min(found)
+    assert best == want

@@ -30,7 +30,7 @@ WORDS, PERCENT = 5, 80
 CELL, BUFFER = 1 << 18, 1 << 20
 #: Shingles with a level of their own in the global order, and the count from which one has it.
 #: Any order common to all sets gives the same links; this one keeps blocks small.
-LISTED, OFTEN = 1 << 19, 4
+LISTED, OFTEN = 1 << 21, 2
 #: Ids of sets that are fetched again are broadcast up to this many (16 bytes each), else joined.
 BROADCAST_ROWS = 500_000
 CACHED_WORDS = 1 << 16

@@ -33,7 +33,6 @@ CELL, BUFFER = 1 << 18, 1 << 20
 LISTED, OFTEN = 1 << 21, 2
 #: Ids of sets that are fetched again are broadcast up to this many (16 bytes each), else joined.
 BROADCAST_ROWS = 500_000
-CACHED_WORDS = 1 << 16
 #: Forks of a prefix tree that are walked together.
 LEVELS = 6
 
@@ -41,19 +40,7 @@ _MIX = np.random.default_rng(42).integers(0, 1 << 63, 64, np.uint64) * np.uint64
 _SHORT = np.arange(64, dtype=np.uint64) * _MIX[:1]
 
 
-class Hashes(dict):
-    """Hashes of words; short ones are remembered, up to a number."""
-
-    def __missing__(self, word: bytes) -> int:
-        value = xxhash.xxh64_intdigest(word)
-        if len(word) <= 64:
-            if len(self) >= CACHED_WORDS:
-                self.clear()
-            self[word] = value
-        return value
-
-
-def shingle_set(text: bytes | None, k: int, known: Hashes) -> np.ndarray:
+def shingle_set(text: bytes | None, k: int) -> np.ndarray:
     """Sorted hashes of the distinct ``k``-word shingles (fewer words: of the whole sequence).
 
     A-Z are lower-cased, ASCII white space parts words; no words give an empty set.
@@ -61,13 +48,14 @@ def shingle_set(text: bytes | None, k: int, known: Hashes) -> np.ndarray:
     words = text.lower().split() if text else []
     if not words:
         return np.zeros(0, np.uint64)
-    at = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    at = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
     width = min(k, len(words))
     mixed = np.full(len(at) - width + 1, _SHORT[width], np.uint64)
     for i in range(width):
         mixed += at[i : len(at) - width + 1 + i] * _MIX[1 + i]
     mixed = (mixed ^ (mixed >> np.uint64(32))) * _MIX[0]
-    return np.unique(mixed ^ (mixed >> np.uint64(29)))
+    mixed = np.sort(mixed ^ (mixed >> np.uint64(29)))
+    return mixed[np.concatenate([[True], mixed[1:] != mixed[:-1]])]
 
 
 def _name(own: np.ndarray) -> int:
@@ -80,10 +68,9 @@ def named(source: DataFrame, k: int) -> DataFrame:
     kind = source.schema["_key"].dataType.simpleString()
 
     def run(batches):
-        known = Hashes()
         for batch in batches:
             for part in slices(batch, "_text"):
-                found = [shingle_set(t, k, known) for t in part.column("_text").to_pylist()]
+                found = [shingle_set(t, k) for t in part.column("_text").to_pylist()]
                 cols = [part.column("_key"), pa.array([_name(x) if len(x) else None for x in found], pa.int64()), pa.array(list(map(len, found)), pa.int64())]
                 yield pa.RecordBatch.from_arrays(cols, names=["key", "node", "size"])
 
@@ -108,11 +95,11 @@ def levels(source: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray, int]:
     parts = parallelism(source)
 
     def split(batches):
-        known, held, waiting = Hashes(), [], 0
+        held, waiting = [], 0
         for batch in batches:
             for part in slices(batch, "_text"):
                 for t in part.column("_text").to_pylist():
-                    held.append(shingle_set(t, k, known))
+                    held.append(shingle_set(t, k))
                     waiting += len(held[-1])
                     if waiting >= 4 * BUFFER:
                         yield packed(held)
@@ -200,11 +187,11 @@ def block_links(source: DataFrame, k: int, percent: int, order: tuple) -> DataFr
     """
 
     def run(batches):
-        known, held, waiting = Hashes(), [], 0
+        held, waiting = [], 0
         for batch in batches:
             for part in slices(batch, "_text"):
                 for t in part.column("_text").to_pylist():
-                    own = shingle_set(t, k, known)
+                    own = shingle_set(t, k)
                     if len(own):
                         first = ordered(own, order)[: len(own) - -(-percent * len(own) // 100) + 1]
                         held.append((first.view(np.int64), len(own), _name(own)))
@@ -429,12 +416,11 @@ def fetched(source: DataFrame, cells: DataFrame, k: int, order: tuple) -> DataFr
     kind = texts.schema["cells"].dataType.simpleString()
 
     def run(batches):
-        known = Hashes()
         for batch in batches:
             for part in slices(batch, "_text"):
                 node, kept, own = part.column("node").to_pylist(), [], []
                 for n, t in enumerate(part.column("_text").to_pylist()):
-                    found = shingle_set(t, k, known)
+                    found = shingle_set(t, k)
                     if len(found) and _name(found) == node[n]:  # rows may share a key
                         kept.append(n)
                         own.append(ordered(found, order)[::-1].view(np.int64))

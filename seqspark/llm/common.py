@@ -41,6 +41,23 @@ def sampled(df: DataFrame, columns: list[str], bound: int, salt: int) -> DataFra
     return hashed.join(F.broadcast(picked), "_hash", "left_semi").dropDuplicates(["_hash"]).drop("_hash")
 
 
+_KEPT: dict[str, object] = {}
+
+
+def kept(name: str, make):
+    """What an operator remembers in a worker process from task to task. Only the last one that
+    asked has something there: a worker serves one operator after the other."""
+    if name not in _KEPT:
+        _KEPT.clear()
+        _KEPT[name] = make()
+    return _KEPT[name]
+
+
+def release() -> None:
+    """Give back what other operators remember in this worker process."""
+    _KEPT.clear()
+
+
 def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
     """Row ranges of a batch bounded by rows and by bytes of ``column``."""
     at, rows = 0, batch.num_rows

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from seqspark.llm.common import fold, slices, table
+from seqspark.llm.common import release, fold, slices, table
 
 BITS = 15
 SMOOTH = 0.5
@@ -154,6 +154,7 @@ def predict(df: DataFrame, key: list[str], text: str, model: MixtureModel) -> Da
     kinds = [source.schema[k] for k in key]
 
     def run(batches):
+        release()
         for batch in batches:
             for part in slices(batch, text):
                 found = [model.mixture(t) if t else {} for t in part.column(text).to_pylist()]

@@ -10,7 +10,6 @@ place in the plan, so all pieces take part in one packing and none goes through
 
 from __future__ import annotations
 
-import functools
 import os
 import re
 import zlib
@@ -20,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from seqspark.llm.common import slices, stored, table
+from seqspark.llm.common import kept, slices, stored, table
 from seqspark.operators.ordering import running
 
 CAPACITY = 4096
@@ -105,10 +104,10 @@ def _words(text: str) -> list[str]:
     return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
 
 
-@functools.cache
 def encoder(path: str) -> WordEncoder:
-    """One encoder per worker process, so that words stay known from task to task."""
-    return WordEncoder(path)
+    """One encoder per worker process, so that words stay known from task to task; another
+    operator that runs there later gives the memory back."""
+    return kept(f"encoder {path}", lambda: WordEncoder(path))
 
 
 def _parts(texts: list[str]) -> Iterator[list[tuple[int, str]]]:

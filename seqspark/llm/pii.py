@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from seqspark.llm.common import sampled, slices, table
+from seqspark.llm.common import release, sampled, slices, table
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -311,6 +311,7 @@ def detect(df: DataFrame, keep: list[str], text: str, model: SkipChain, masked:
     names = schema.names
 
     def run(batches):
+        release()
         for batch in batches:
             for part in slices(batch, text):
                 texts = part.column(text).to_pylist()

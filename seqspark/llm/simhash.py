@@ -22,7 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from seqspark.llm.common import slices, stored, table
+from seqspark.llm.common import release, slices, stored, table
 from seqspark.llm.components import components
 from seqspark.operators.ordering import parallelism
 
@@ -248,6 +248,8 @@ NEIGHBOURS = 1
 COUNTED, FREQUENT, OFTEN = 50_000, 1 << 18, 4
 #: Up to so many rows with a common shingle are paired at once, more in tiles by group.
 LIGHT = 64
+#: Shingles of texts that a task holds before it reports those found more than once.
+HELD = 1 << 22
 MARK = 1024
 
 
@@ -292,6 +294,7 @@ def similar_groups(df: DataFrame, key: str, text: str, k: int = 5, similarity: f
     kind = source.schema["_key"].dataType.simpleString()
 
     def prints(batches):
+        release()
         for batch in batches:
             for part in slices(batch, "_text"):
                 texts = part.column("_text").to_pylist()
@@ -341,6 +344,7 @@ def likely(source: DataFrame, nodes: DataFrame, edges: DataFrame, k: int, simila
     the sets of few texts are needed."""
 
     def marks(batches):
+        release()
         for batch in batches:
             for part in slices(batch, "_text"):
                 texts = part.column("_text").to_pylist()
@@ -359,6 +363,7 @@ def similar(source: DataFrame, nodes: DataFrame, edges: DataFrame, k: int, simil
     """Those of ``edges`` whose shingle sets have the similarity."""
 
     def sets(batches):
+        release()
         for batch in batches:
             for part in slices(batch, "_text"):
                 texts = part.column("_text").to_pylist()
@@ -377,16 +382,25 @@ def frequent(source: DataFrame, texts: int, k: int) -> tuple[np.ndarray, np.ndar
     make the order of ``prefixes`` a good one; any order is right."""
 
     def run(batches):
-        found, seen = [np.zeros(0, np.int64)], set()
+        release()
+        found, seen, waiting = [], set(), 0
         for batch in batches:
             for part in slices(batch, "_text"):
                 for t in part.column("_text").to_pylist():
                     if (same := _same(t)) not in seen:
                         seen.add(same)
                         found.append(shingle_set(t, k))
+                        waiting += len(found[-1])
+                    if waiting >= HELD:
+                        yield repeated(found)
+                        found, seen, waiting = [], set(), 0
+        if found:
+            yield repeated(found)
+
+    def repeated(found):
         shingle, count = np.unique(np.concatenate(found), return_counts=True)
         often = count > 1
-        yield pa.RecordBatch.from_arrays([pa.array(shingle[often]), pa.array(count[often].astype(np.int64))], names=["shingle", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(shingle[often]), pa.array(count[often].astype(np.int64))], names=["shingle", "n"])
 
     share = max(1, -(-texts // COUNTED))
     rows = source.filter(F.pmod(F.xxhash64("_text"), F.lit(share)) == 0).select("_text").mapInArrow(run, "shingle bigint, n bigint")

@@ -96,7 +96,8 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
 def decontaminate(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The documents, all columns, that contain no item."""
     matches = stored(contaminated(docs, items, key, text, **options).select(F.col(key).alias("_found")).distinct(), "contaminated")
-    return docs.join(bounded(matches), F.col(key) == F.col("_found"), "left_anti")
+    matches = bounded(matches)
+    return docs.join(matches, docs[key] == matches["_found"], "left_anti")
 
 
 def op8_containment_search(spark, sf_dir) -> DataFrame:

@@ -21,7 +21,7 @@ def stages(spark):
     first = docs.limit(1)
     extra = first.withColumn("doc_id", F.lit(9000).cast("bigint")).union(first.withColumn("text", F.lit(None).cast("string")).withColumn("doc_id", F.lit(9001).cast("bigint")))
     extra = extra.union(first.withColumn("text", F.lit("")).withColumn("doc_id", F.lit(9002).cast("bigint")))
-    docs = docs.union(extra).withColumns({"score": F.lit(1), "masked": F.lit("m"), "_c0": F.lit(2), "lang_pred": F.lit("zz")})
+    docs = docs.union(extra).withColumns({"score": F.lit(1), "masked": F.lit("m"), "_c0": F.lit(2), "_gone": F.lit(3), "_found": F.lit(4), "lang_pred": F.lit("zz")})
     for name, stage in cp.STAGES:
         out.append((docs, stored(stage(spark, docs, SF), name)))
         docs = out[-1][1]

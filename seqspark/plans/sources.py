@@ -119,6 +119,30 @@ def split_discovery(spark, d):
     return src.corpus_splits(files)
 
 
+# Sources as numbered training files of the language pairs xx-en, the first one taken twice; what
+# follows the gap after the tenth number is not read.
+@query("s08_load_split", """WITH f AS (SELECT doc_id, lang, CASE WHEN s > 9 THEN s + 1 ELSE s END AS part, string_split(text, chr(10)) AS ls
+  FROM (SELECT *, substr(source, 4)::BIGINT AS s FROM documents)),
+u AS (SELECT lang, part, dense_rank() OVER (PARTITION BY lang ORDER BY part) - 1 = part AS used FROM (SELECT DISTINCT lang, part FROM f)),
+l AS (SELECT f.lang, f.part, doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS line_no FROM f JOIN u USING (lang, part) WHERE used),
+r AS (SELECT l.*, rep FROM l, range(2) t(rep) WHERE rep = 0 OR part = 0)
+SELECT lang, part, row_number() OVER (PARTITION BY lang ORDER BY part, rep, doc_id, line_no) - 1 AS position, line FROM r""")
+def load_split(spark, d):
+    folder = scratch_dir(spark, "corpus")
+    number = F.substring("source", 4, 9).cast("bigint")
+    number = F.when(number > 9, number + 1).otherwise(number)
+    part = F.when(number == 0, F.lit("")).otherwise(number.cast("string"))
+    name = F.concat(F.lit("train"), part, F.lit("."), F.col("lang"), F.lit("-en."), F.col("lang"))
+    lines = base.doc_lines(spark, d, "source", "lang").select(name.alias("file"), "doc_id", "line_no", F.col("line").alias("value"))
+    lines = lines.repartitionByRange("file", "doc_id", "line_no").sortWithinPartitions("file", "doc_id", "line_no")
+    lines.select("file", "value").write.partitionBy("file").text(folder)
+    out = None
+    for r in src.find_splits(spark, folder).filter("used and part = 0").orderBy("lang").collect():
+        rows = src.load_split(spark, folder, "train", r["src"], r["tgt"], r["lang"], upsample=2).withColumn("lang", F.lit(r["lang"]))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 @query("s09_raw_copy", f"""WITH {sql.LINES}
 SELECT row_number() OVER (ORDER BY doc_id, line_no) - 1 AS line_no, line FROM lines""")
 def raw_copy(spark, d):

@@ -7,7 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from seqspark.functions import text as tx
-from seqspark.session import local_table
+from seqspark.operators.examples import concat_corpora
+from seqspark.session import local_table, scratch_dir
 
 
 def read_lines(spark: SparkSession, path) -> DataFrame:
@@ -22,14 +23,14 @@ def _file_order(path: str) -> tuple:
     return folder, (0, int(part[1]), name) if part else (1, 0, name)
 
 
-def read_numbered(spark: SparkSession, path) -> DataFrame:
+def read_numbered(spark: SparkSession, path, place=_file_order, file: str | None = None) -> DataFrame:
     """Lines with their 0-based ordinal over all files in name order.
 
-    Two scans, no shuffle of the text: the first counts lines per input split (one row
-    per split, which the scheduler holds as tasks anyway), the second adds the split's
-    offset to the position inside the split. Scans that pack splits differently are told
-    by positions outside the counted range and fail; set ``spark.sql.files.minPartitionNum``
-    where executors come and go.
+    One scan, no shuffle of the text: lines are written with their file, the start of their
+    input split and their place in the scan. Lines are then counted per split (one row per
+    split), and a split's offset is added to the position inside it. However a scan packs the
+    splits, now or with other settings, a line gets the same ordinal, and nothing has to be
+    the same in a second scan. ``place`` sorts the files; ``file`` adds their path.
     """
     raw = spark.read.text(path).select(
         F.col("value").alias("line"),
@@ -37,16 +38,17 @@ def read_numbered(spark: SparkSession, path) -> DataFrame:
         F.col("_metadata.file_block_start").alias("_start"),
         F.monotonically_increasing_id().alias("_m"),
     )
+    scanned = scratch_dir(spark, "scanned")
+    raw.write.parquet(scanned)
+    raw = spark.read.schema(raw.schema).parquet(scanned)
     splits = raw.groupBy("_file", "_start").agg(F.count(F.lit(1)).alias("n"), F.min("_m").alias("_m0")).collect()
     offset, rows = 0, []
-    for s in sorted(splits, key=lambda r: (_file_order(r["_file"]), r["_start"])):
-        rows.append((s["_file"], s["_start"], s["_m0"], s["n"], offset))
+    for s in sorted(splits, key=lambda r: (place(r["_file"]), r["_start"])):
+        rows.append((s["_file"], s["_start"], s["_m0"], offset))
         offset += s["n"]
-    table = local_table(spark, rows, "_file string, _start bigint, _m0 bigint, _n bigint, _offset bigint")
-    ordinal = F.col("_offset") + F.col("_m") - F.col("_m0")
-    inside = F.col("_m").between(F.col("_m0"), F.col("_m0") + F.col("_n") - 1)
-    checked = F.when(inside, ordinal).otherwise(F.raise_error("input splits changed between scans").cast("bigint"))
-    return raw.join(table, ["_file", "_start"], "left").select(checked.alias("line_no"), "line")
+    table = local_table(spark, rows, "_file string, _start bigint, _m0 bigint, _offset bigint")
+    ordinal = (F.col("_offset") + F.col("_m") - F.col("_m0")).alias("line_no")
+    return raw.join(table, ["_file", "_start"]).select(ordinal, "line", *([F.col("_file").alias(file)] if file else []))
 
 
 def parallel(source: DataFrame, target: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
@@ -82,6 +84,46 @@ def corpus_splits(files: DataFrame, path: str = "path") -> DataFrame:
     return parts.withColumn("used", F.dense_rank().over(by) - 1 == F.col("part"))
 
 
+#: Names of split files, in a folder or as a value of a partition folder.
+_SPLIT_NAME = r"(train|valid|test)(\d*)\.(\w+)-(\w+)\.(\w+)"
+
+
+def find_splits(spark: SparkSession, folder: str) -> DataFrame:
+    """``corpus_splits`` of what a folder holds; a split file may itself be a folder of parts.
+
+    The folder is listed by Spark, so it may be in any store that Spark reads; no content is
+    read.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path")
+    return corpus_splits(files.select(F.regexp_extract("path", rf"[/=]({_SPLIT_NAME})(/|$)", 1).alias("path")).distinct())
+
+
+def load_split(spark: SparkSession, folder: str, split: str, source: str, target: str, lang: str, upsample: int = 1, combine: bool = True) -> DataFrame:
+    """``(position, part, line)``: the lines of one side of a split, in one corpus.
+
+    The parts ``train``, ``train1``, ... are taken until one is missing (only the first without
+    ``combine``), in the order of their numbers, the first one ``upsample`` times. All parts
+    are one scan. A split without its first part is an error.
+    """
+    found = find_splits(spark, folder).filter((F.col("split") == split) & (F.col("src") == source) & (F.col("tgt") == target) & (F.col("lang") == lang) & F.col("used"))
+    parts = sorted(r["part"] for r in found.select("part").collect())[: None if combine else 1]
+    if not parts:
+        raise FileNotFoundError(f"no {split} split of {source}-{target}.{lang} in {folder}")
+    names = "|".join(f"{split}{p or ''}" for p in parts)
+    wanted = re.compile(rf"[/=]({names})\.{re.escape(source)}-{re.escape(target)}\.{re.escape(lang)}(/|$)")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path")
+    paths = [r["path"] for r in files.filter(F.col("path").rlike(wanted.pattern)).collect()]
+
+    def number(path: str) -> int:
+        return int(wanted.search(path)[1][len(split) :] or 0)
+
+    rows = read_numbered(spark, paths, lambda path: (number(path), _file_order(path)), "_file")
+    part = F.regexp_extract("_file", rf"[/=]{split}(\d*)\.", 1)
+    rows = rows.select("line_no", "line", F.when(part == "", F.lit(0)).otherwise(part.cast("bigint")).cast("bigint").alias("part"))
+    laid = concat_corpora(rows, "part", ["line_no"], {0: upsample}, parts)
+    return laid.select(F.col("new_id").alias("position"), "part", "line")
+
+
 def write_lines(df: DataFrame, path: str, line: Column, order: list | None = None) -> None:
     """Text sink; with ``order`` the part files in name order hold the sorted lines."""
     rows = df.orderBy(*order) if order else df

@@ -129,13 +129,15 @@ def decode_lines(spark, d):
     return out.select("doc_id", "line_no", "text")
 
 
-@query("v07_decode_by_join", f"""WITH {sql.ENCODED}
-SELECT doc_id, string_agg(CASE WHEN token_id = 3 THEN '<unk>' ELSE token END, ' ' ORDER BY line_no, pos) AS text FROM enc GROUP BY doc_id""")
+@query("v07_decode_by_join", f"""WITH {sql.ENCODED},
+t AS (SELECT doc_id, string_agg(CASE WHEN token_id = 3 THEN '<unk>' ELSE token END, ' ' ORDER BY line_no, pos) AS text FROM enc GROUP BY doc_id)
+SELECT doc_id, coalesce(t.text, '') AS text FROM documents LEFT JOIN t USING (doc_id)""")
 def decode_by_join(spark, d):
     vocab = base.doc_vocab(spark, d)
     docs = base.documents(spark, d).withColumn("words", tx.words(F.col("text")))
     long = vb.encode(docs, "words", vocab).select("doc_id", F.posexplode("ids").alias("pos", "token_id"))
-    return vb.decode(long, vocab, ["doc_id"])
+    # Documents without tokens have no row to decode, but a text: the empty one.
+    return docs.select("doc_id").join(vb.decode(long, vocab, ["doc_id"]), "doc_id", "left").withColumn("text", F.coalesce("text", F.lit("")))
 
 
 @query("v08_encode_report", f"""WITH {sql.ENCODED},
@@ -190,25 +192,30 @@ def _usage(spark, d, tokens, tokenize):
     return vocab.join(used, "token_id", "left").select("token_id", "token", F.coalesce("cnt", F.lit(0)).alias("cnt"))
 
 
+_VECTORS = "vec AS (SELECT coalesce(token, 'vec' || vec_id) AS token, embedding FROM embeddings e LEFT JOIN vocab v ON v.token_id = e.vec_id + 4)"
+DIMENSIONS = 64
+
+
 def _vectors(spark, d):
-    """One vector per vocabulary-like name: the vec_id-th word of the document vocabulary."""
-    v = base.table(spark, d, "embeddings").select((F.col("vec_id") * 7).alias("token_id"), "embedding")
-    return v.join(base.doc_vocab(spark, d), "token_id").select("token", "embedding")
+    """Every vector under a name: the word that many places after the symbols, else its number."""
+    v = base.table(spark, d, "embeddings").select("vec_id", (F.col("vec_id") + 4).alias("token_id"), "embedding")
+    named = v.join(base.doc_vocab(spark, d).select("token_id", "token"), "token_id", "left")
+    return named.select(F.coalesce("token", F.concat(F.lit("vec"), F.col("vec_id").cast("string"))).alias("token"), "embedding")
 
 
 @query("v11_vector_coverage", f"""WITH {sql.VOCAB},
-vec AS (SELECT token, embedding FROM embeddings e JOIN vocab v ON v.token_id = e.vec_id * 7)
+{_VECTORS}
 SELECT (SELECT count(*) FROM vocab WHERE token IN (SELECT token FROM vec)) AS covered, (SELECT count(*) FROM vocab) AS total""")
 def vector_coverage(spark, d):
     return vb.coverage(base.doc_vocab(spark, d), _vectors(spark, d))
 
 
 @query("v11_attach_vectors", f"""WITH {sql.VOCAB},
-vec AS (SELECT token, embedding FROM embeddings e JOIN vocab v ON v.token_id = e.vec_id * 7)
-SELECT token_id, token, embedding[1]::DOUBLE AS x0, embedding[64]::DOUBLE AS x63 FROM vocab LEFT JOIN vec USING (token)""")
+{_VECTORS}
+SELECT token_id, token, {", ".join(f"embedding[{i + 1}]::DOUBLE AS x{i}" for i in range(DIMENSIONS))} FROM vocab LEFT JOIN vec USING (token)""")
 def attach_vectors(spark, d):
     out = vb.attach_vectors(base.doc_vocab(spark, d), _vectors(spark, d))
-    return out.select("token_id", "token", *[F.get("embedding", F.lit(i)).cast("double").alias(f"x{i}") for i in (0, 63)])
+    return out.select("token_id", "token", *[F.get("embedding", F.lit(i)).cast("double").alias(f"x{i}") for i in range(DIMENSIONS)])
 
 
 @query("v12_alignment_dict", f"""WITH {ALIGN_SQL},
@@ -218,6 +225,17 @@ def alignment_dict(spark, d):
     return vb.alignment_dict(alignment_links(spark, d))
 
 
+# Only words that the vocabulary of the documents knows, on both sides.
+@query("v12_alignment_known", f"""WITH {sql.VOCAB}, {ALIGN_SQL},
+known AS (SELECT token FROM vocab WHERE token <> '<unk>'),
+cnt AS (SELECT src, tgt, count(*) AS c, min(id * 1048576 + src_pos) AS f FROM links
+  WHERE src IN (SELECT token FROM known) AND tgt IN (SELECT token FROM known) GROUP BY src, tgt)
+SELECT src, tgt FROM cnt QUALIFY row_number() OVER (PARTITION BY src ORDER BY c DESC, f) = 1""")
+def alignment_known(spark, d):
+    vocab = base.doc_vocab(spark, d)
+    return vb.alignment_dict(alignment_links(spark, d), vocab, vocab)
+
+
 # Hypothesis: the target with every third word unknown, aligned i -> i (past the end: <eos>).
 @query("v13_replace_unknown", f"""WITH {ALIGN_SQL},
 cnt AS (SELECT src, tgt, count(*) AS c, min(id * 1048576 + src_pos) AS f FROM links GROUP BY src, tgt),

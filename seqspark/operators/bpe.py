@@ -7,11 +7,12 @@ import re
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from seqspark.consts import BPE_MARK
 from seqspark.operators.ordering import parallelism
-from seqspark.session import fenced, local_table, pin
+from seqspark.operators.vocab import _keyed
+from seqspark.session import fenced, local_table, pin, scratch_dir
 
 END = "</w>"
 
@@ -102,15 +103,74 @@ def segment(word: str, ranks: dict[tuple[str, str], int], mark: str = BPE_MARK)
     return [p + mark for p in pieces[:-1]] + pieces[-1:]
 
 
+def _merged(parts: Column, left: Column, right: Column) -> Column:
+    """Joins every ``left`` followed by ``right``, from the first on."""
+
+    def step(done: Column, part: Column) -> Column:
+        last = F.try_element_at(done, F.lit(-1))
+        fits = F.coalesce((last == left) & (part == right), F.lit(False))
+        return F.when(fits, F.concat(F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))), F.array(F.concat(left, right)))).otherwise(F.concat(done, F.array(part)))
+
+    return F.aggregate(parts, F.array().cast("array<string>"), step)
+
+
+def segment_words(words: DataFrame, merges: DataFrame, mark: str = BPE_MARK) -> DataFrame:
+    """``(word, pieces)`` for distinct words and merges of any number, by joins.
+
+    Each round finds the earliest learned pair of every word that still has one and joins it
+    where it occurs; words without one are finished. There are at most as many rounds as the
+    longest word has letters, over fewer and fewer words.
+    """
+    spark = words.sparkSession
+    ranks = merges.groupBy("left", "right").agg(F.min("rank").alias("rank"))
+    letters = F.transform(F.sequence(F.lit(1), F.char_length("word")), lambda i: F.substring(F.col("word"), i, F.lit(1)))
+    last = F.char_length("word") - 1
+    rows = words.filter(F.char_length("word") > 0).select("word", F.transform(letters, lambda x, i: F.when(i == last, F.concat(x, F.lit(END))).otherwise(x)).alias("parts"))
+    folder, rounds = scratch_dir(spark, "segments"), 0
+    while True:
+        path = scratch_dir(spark, "pieces")
+        schema = rows.schema
+        rows.write.parquet(path)
+        rows = spark.read.schema(schema).parquet(path)
+        count = F.size("parts") - 1
+        pairs = rows.filter(count > 0).select("word", F.explode(F.arrays_zip(F.slice("parts", F.lit(1), count).alias("left"), F.slice("parts", F.lit(2), count).alias("right"))).alias("p"))
+        found = pairs.select("word", "p.*").join(ranks, ["left", "right"]).groupBy("word").agg(F.min(F.struct("rank", "left", "right")).alias("best"))
+        joined = rows.join(found, "word", "left")
+        path = scratch_dir(spark, "merged")
+        joined.withColumn("parts", F.when(F.col("best").isNull(), F.col("parts")).otherwise(_merged(F.col("parts"), F.col("best.left"), F.col("best.right")))).select("word", "parts", F.col("best").isNull().alias("done")).write.parquet(path)
+        state = spark.read.parquet(path)
+        state.filter("done").select("word", "parts").write.parquet(f"{folder}/{rounds}")
+        rounds += 1
+        rows = state.filter("not done").select("word", "parts")
+        if rows.isEmpty():
+            break
+    size = F.size("parts")
+    ended = F.transform("parts", lambda x, i: F.when(i == size - 1, F.regexp_replace(x, END + "$", "")).otherwise(x))
+    ended = F.filter(ended, lambda x: x != "")
+    named = spark.read.schema("word string, parts array<string>").parquet(*[f"{folder}/{i}" for i in range(rounds)]).select("word", ended.alias("ended"))
+    return named.select("word", F.transform("ended", lambda x, i: F.when(i < F.size("ended") - 1, F.concat(x, F.lit(mark))).otherwise(x)).alias("pieces"))
+
+
+def _apply_joined(df: DataFrame, words: str, merges: DataFrame, out: str) -> DataFrame:
+    """``apply`` with the distinct words segmented once and joined back."""
+    df, key = _keyed(df, None)
+    long = df.select(*key, F.posexplode(words).alias("_at", "word"))
+    known = segment_words(long.select("word").distinct(), merges)
+    packed = F.sort_array(F.collect_list(F.struct("_at", "pieces")))
+    pieces = long.join(known, "word").groupBy(*key).agg(F.flatten(packed["pieces"]).alias("_pieces"))
+    some = F.coalesce("_pieces", F.array().cast("array<string>"))
+    return df.join(pieces, key, "left").withColumn(out, some).drop("_pieces", *key)
+
+
 def apply(df: DataFrame, words: str, merges: DataFrame, out: str = "pieces", limit: int = 1_000_000) -> DataFrame:
-    """Segment a column of word arrays, row-local; each batch segments a word once.
+    """Segment a column of word arrays; each batch segments a word once, inside the row.
 
-    The merge list is a parameter-sized table (its length is the ``merges`` it was learned
-    with); a longer one than ``limit`` is refused rather than shipped.
+    A merge list longer than ``limit`` is not shipped: the distinct words are then segmented
+    by joins, with the same result.
     """
     rows = merges.select("rank", "left", "right").limit(limit + 1).collect()
     if len(rows) > limit:
-        raise ValueError(f"more than {limit} merges")
+        return _apply_joined(df, words, merges, out)
     shipped = df.sparkSession.sparkContext.broadcast({(r["left"], r["right"]): r["rank"] for r in rows})
 
     @F.arrow_udf("array<string>")

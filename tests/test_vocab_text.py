@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from seqspark.consts import GENERAL_MOLECULE_TOKENS, MOLECULE_SPECIALS, SHORT_MOLECULE_TOKENS
@@ -213,3 +215,16 @@ def test_batched_noise_equals_the_steps(spark):
     steps = steps.withColumn("pieces", nz.word_dropout(F.col("pieces"), 0.4, fold(F.col("acc"), 102)))
     steps = steps.withColumn("pieces", nz.word_dropout(F.col("pieces"), 0.4, fold(F.col("acc"), 103), nz.UNKNOWN))
     assert got == {r["i"]: r["pieces"] for r in steps.collect()}
+
+
+def test_bpe_by_joins_equals_shipped_merges(spark):
+    rng = random.Random(12)
+    rows = [(i, ["".join(rng.choice("aabé</w>\U0001f600") for _ in range(rng.randint(1, 9))) for _ in range(rng.randint(0, 6))], "x") for i in range(60)]
+    rows += [(60, None, "y"), (61, [], "z"), (7, ["aaaaaaa", "abab", "a"], "x"), (7, ["aaaaaaa", "abab", "a"], "x")]
+    df = spark.createDataFrame(rows, "i int, words array<string>, word string").repartition(3)
+    pairs = [("a", "a"), ("a", "b"), ("aa", "a"), ("b", "a</w>"), ("ab", "ab"), ("é", "a"), ("aa", "aa"), ("a", "a</w>"), ("<", "/")]
+    merges = spark.createDataFrame([(n, a, b, 1) for n, (a, b) in enumerate(pairs)], "rank bigint, left string, right string, cnt bigint")
+    want = sorted(map(str, bpe.apply(df, "words", merges).select("i", "words", "word", "pieces").collect()))
+    got = bpe.apply(df, "words", merges, limit=1)
+    assert sorted(got.columns) == sorted(["i", "words", "word", "pieces"])
+    assert sorted(map(str, got.select("i", "words", "word", "pieces").collect())) == want

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -12,62 +12,159 @@ from pyspark.sql import Column, DataFrame, functions as F
 from seqspark.consts import BPE_MARK
 from seqspark.operators.ordering import parallelism
 from seqspark.operators.vocab import _keyed
-from seqspark.session import fenced, local_table, pin, scratch_dir
+from seqspark.session import fenced, local_table, scratch_dir
 
 END = "</w>"
 
 
 def learn(
-    words: DataFrame, merges: int, min_count: int = 2, top: int = 256, checkpoint_every: int = 8
+    words: DataFrame, merges: int, min_count: int = 2, top: int = 256, checkpoint_every: int = 32
 ) -> DataFrame:
     """Most frequent adjacent pair, merged again and again; ``words`` has ``(token, cnt)``.
 
-    Works on distinct words only. Ties go to the greatest pair. One round counts all pairs
-    once and accepts every merge that sequential learning would certainly make next, see
-    ``_certain``; results equal one merge per round.
+    Works on distinct words only; null and empty ones have no pairs. Ties go to the greatest
+    pair. One round accepts every merge that sequential learning would certainly make next,
+    see ``_certain``; results equal one merge per round.
+
+    Pairs are listed with the words they occur in, in ranges of pairs, so a round reads the
+    lists of its own pairs, spells their words anew and appends what changed; pair counts
+    follow from those changes. Every ``checkpoint_every`` rounds the changes are merged into the
+    lists. No plan grows with the number of merges.
     """
     spark = words.sparkSession
-    spelled = F.array_join(F.filter(F.split("token", ""), lambda c: c != ""), " ")
-    state = words.groupBy(F.concat(spelled, F.lit(END)).alias("symbols")).agg(F.sum("cnt").alias("cnt"))
-    # Few bytes but much work: keep the rows over all shuffle partitions.
-    state = pin(state.repartition(parallelism(words), "symbols"))
-    learned, rounds = [], 0
+    known = words.filter(F.char_length("token") > 0).groupBy("token").agg(F.sum("cnt").cast("bigint").alias("cnt"))
+    known = _written(known, scratch_dir(spark, "words"))
+    first = known.select("token", "cnt", F.explode(_adjacent(_letters("token"))).alias("p"))
+    listed = [_listed(first.select("p.*", "token", "cnt", F.lit(1).cast("bigint").alias("change")), parallelism(words))]
+    counted, learned = _written(_pair_counts(spark, listed), scratch_dir(spark, "counts")), []
+    made: set[str] = set()
     while len(learned) < merges:
-        s = F.split("symbols", " ")
-        pairs = state.select("cnt", s.alias("s")).filter(F.size("s") > 1)
-        pairs = pairs.select(
-            "cnt", F.explode(F.arrays_zip(F.slice("s", 1, F.size("s") - 1).alias("a"), F.slice("s", 2, F.size("s") - 1).alias("b"))).alias("p")
-        )
-        counted = pairs.groupBy("p.a", "p.b").agg(F.sum("cnt").alias("cnt")).filter(F.col("cnt") >= min_count)
-        best = counted.orderBy(F.desc("cnt"), F.desc("a"), F.desc("b")).limit(top).collect()
+        pairs = counted if len(listed) == 1 else counted.unionByName(_pair_counts(spark, listed[1:]))
+        pairs = pairs.groupBy("left", "right").agg(F.sum("cnt").alias("cnt"), F.sum("places").alias("places"))
+        best = pairs.filter(F.col("cnt") >= min_count).orderBy(F.desc("cnt"), F.desc("left"), F.desc("right")).limit(top).collect()
         if not best:
             break
-        batch = _certain([(r["a"], r["b"], r["cnt"]) for r in best], len(best) < top)
+        batch = _certain([(r["left"], r["right"], r["cnt"]) for r in best], min_count - 1 if len(best) < top else best[-1]["cnt"], made)
         batch = batch[: merges - len(learned)]
-        for a, b, cnt in batch:
-            learned.append((len(learned), a, b, cnt))
-            adjacent = f"(?<!\\S){_quoted(a)} {_quoted(b)}(?!\\S)"
-            state = state.withColumn("symbols", F.regexp_replace("symbols", adjacent, (a + b).replace("\\", "\\\\").replace("$", "\\$")))
-        rounds += 1
-        if rounds % checkpoint_every == 0:
-            state = pin(state)
+        made |= {a + b for a, b, _ in batch}
+        done = len(learned)
+        learned += [(done + i, *pair) for i, pair in enumerate(batch)]
+        places = sum(r["places"] for r in best[: len(batch)])
+        touched = _touched(spark, listed, batch, min(parallelism(words), 1 + places // WORDS_PER_TASK))
+        changed = touched.mapInArrow(_respelled(spark, learned, done), PAIR_LISTS)
+        listed.append(scratch_dir(spark, "changes"))
+        changed.write.parquet(listed[-1])
+        if len(listed) > checkpoint_every:
+            net = spark.read.schema(PAIR_LISTS).parquet(*listed).groupBy("left", "right", "token").agg(F.max("cnt").alias("cnt"), F.sum("change").alias("change"))
+            listed = [_listed(net.filter("change > 0"), parallelism(words))]
+            counted = _written(_pair_counts(spark, listed), scratch_dir(spark, "counts"))
     return local_table(spark, learned, "rank bigint, left string, right string, cnt bigint")
 
 
-def _quoted(symbol: str) -> str:
-    return re.sub(r"([^\w\s])", r"\\\1", symbol, flags=re.ASCII) if symbol.isascii() else "".join(
-        c if not c.isascii() or c.isalnum() else "\\" + c for c in symbol
-    )
+PAIR_LISTS = "left string, right string, token string, cnt bigint, change bigint"
+WORDS_PER_TASK = 20_000
+
+
+def _written(df: DataFrame, path: str) -> DataFrame:
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _letters(word: str) -> Column:
+    """The letters of a word, the last one with the end mark."""
+    size = F.char_length(word)
+    letters = F.transform(F.sequence(F.lit(1), size), lambda i: F.substring(F.col(word), i, F.lit(1)))
+    return F.transform(letters, lambda x, i: F.when(i == size - 1, F.concat(x, F.lit(END))).otherwise(x))
+
+
+def _adjacent(parts: Column) -> Column:
+    count = F.size(parts) - 1
+    return F.arrays_zip(F.slice(parts, F.lit(1), count).alias("left"), F.slice(parts, F.lit(2), count).alias("right"))
+
+
+def _listed(rows: DataFrame, ranges: int) -> str:
+    """Written in ranges of pairs: a filter on pairs skips files and row groups, and the words of a
+    frequent pair fill several ranges."""
+    path = scratch_dir(rows.sparkSession, "pairs")
+    rows = _written(rows, scratch_dir(rows.sparkSession, "unordered"))
+    order = ["left", "right", "token"]
+    rows.repartitionByRange(ranges, *order).sortWithinPartitions(*order).write.parquet(path)
+    return path
+
+
+def _pair_counts(spark, listed: list[str]) -> DataFrame:
+    rows = spark.read.schema(PAIR_LISTS).parquet(*listed).groupBy("left", "right")
+    return rows.agg(F.sum(F.col("cnt") * F.col("change")).alias("cnt"), F.sum("change").alias("places"))
+
+
+def _touched(spark, listed: list[str], batch: list[tuple], tasks: int) -> DataFrame:
+    """The words listed under a pair of the batch (of at most ``top`` pairs)."""
+    rows = spark.read.schema(PAIR_LISTS).parquet(*listed)
+    # The first two conditions reach the scan; a word too many would change nothing.
+    rows = rows.filter(F.col("left").isin([a for a, _, _ in batch]) & F.col("right").isin([b for _, b, _ in batch]))
+    rows = rows.filter(F.concat_ws("\0", "left", "right").isin([f"{a}\0{b}" for a, b, _ in batch]))
+    return rows.select("token", "cnt").repartition(tasks, "token").distinct()
+
+
+def _respelled(spark, learned: list[tuple], done: int):
+    """Arrow function: per word, the pairs that the merges after the first ``done`` add and remove."""
+    shipped = spark.sparkContext.broadcast([(a, b) for _, a, b, _ in learned])
+
+    def changes(batches):
+        ranks: dict[tuple[str, str], list[int]] = {}
+        for rank, pair in enumerate(shipped.value):
+            ranks.setdefault(pair, []).append(rank)
+        for batch in batches:
+            rows = []
+            for token, cnt in zip(batch.column("token").to_pylist(), batch.column("cnt").to_pylist()):
+                before = _in_sequence([*token[:-1], token[-1] + END], ranks, 0, done)
+                after = _in_sequence(before, ranks, done, len(shipped.value))
+                if len(after) < len(before):
+                    change = Counter(zip(after, after[1:]))
+                    change.subtract(Counter(zip(before, before[1:])))
+                    rows += [(*pair, token, cnt, n) for pair, n in change.items() if n]
+            columns = list(zip(*rows)) if rows else [()] * 5
+            types = [pa.string()] * 3 + [pa.int64()] * 2
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["left", "right", "token", "cnt", "change"])
+
+    return changes
+
+
+def _in_sequence(pieces: list[str], ranks: dict[tuple[str, str], list[int]], start: int, stop: int) -> list[str]:
+    """Merges ``start`` to ``stop`` one after the other, each once. Other than in ``segment``, a pair that
+    a later merge spells again is not joined by an earlier one."""
+    while len(pieces) > 1:
+        least, best = stop, None
+        for pair in zip(pieces, pieces[1:]):
+            for rank in ranks.get(pair, ()):
+                if start <= rank < least:
+                    least, best = rank, pair
+        if best is None:
+            break
+        pieces, start = _join(pieces, *best), least + 1
+    return pieces
+
+
+def _join(pieces: list[str], a: str, b: str) -> list[str]:
+    out, i = [], 0
+    while i < len(pieces):
+        if pieces[i : i + 2] == [a, b]:
+            out.append(a + b)
+            i += 2
+        else:
+            out.append(pieces[i])
+            i += 1
+    return out
 
 
-def _certain(best: list[tuple], complete: bool) -> list[tuple]:
+def _certain(best: list[tuple], floor: int, made: set[str]) -> list[tuple]:
     """Longest prefix of the ranked pairs that one-by-one merging would pick unchanged.
 
-    Merging (a, b) leaves a pair over other symbols untouched and creates pairs that are
-    at most as frequent as a former pair ending in ``a`` or starting with ``b``. A pair is
-    therefore certain while its symbols are new and its count exceeds all those bounds.
+    ``floor`` bounds the count of a pair that is not listed, ``made`` has the merged symbols. Merging (a, b) leaves a pair over
+    other symbols untouched and makes pairs that are at most as frequent as a former pair ending
+    in ``a`` or starting with ``b``; where ``ab`` was a symbol before, they add to its pairs. A pair
+    is therefore certain while its symbols are new and its count exceeds all those bounds.
     """
-    floor = 0 if complete else best[-1][2]
     accepted, used, bound = [], set(), 0
     for a, b, cnt in best:
         if accepted and (cnt <= bound or a in used or b in used):
@@ -75,9 +172,10 @@ def _certain(best: list[tuple], complete: bool) -> list[tuple]:
         accepted.append((a, b, cnt))
         if a == b:
             break
-        used |= {a, b}
-        near = [c for x, y, c in best if (y == a or x == b) and (x, y) != (a, b)]
-        bound = max(bound, floor, max(near, default=0))
+        used |= {a, b, a + b}
+        near = max([c for x, y, c in best if (y == a or x == b) and (x, y) != (a, b)], default=floor)
+        same = max([c for x, y, c in best if a + b in (x, y)], default=floor) if a + b in made else 0
+        bound = max(bound, near + same)
     return accepted
 
 
@@ -88,15 +186,7 @@ def segment(word: str, ranks: dict[tuple[str, str], int], mark: str = BPE_MARK)
         rank, a, b = min((ranks.get(p, len(ranks)), *p) for p in zip(pieces, pieces[1:]))
         if rank == len(ranks):
             break
-        out, i = [], 0
-        while i < len(pieces):
-            if pieces[i : i + 2] == [a, b]:
-                out.append(a + b)
-                i += 2
-            else:
-                out.append(pieces[i])
-                i += 1
-        pieces = out
+        pieces = _join(pieces, a, b)
     pieces[-1] = pieces[-1].removesuffix(END)
     if not pieces[-1]:
         pieces.pop()
@@ -123,9 +213,7 @@ def segment_words(words: DataFrame, merges: DataFrame, mark: str = BPE_MARK) ->
     """
     spark = words.sparkSession
     ranks = merges.groupBy("left", "right").agg(F.min("rank").alias("rank"))
-    letters = F.transform(F.sequence(F.lit(1), F.char_length("word")), lambda i: F.substring(F.col("word"), i, F.lit(1)))
-    last = F.char_length("word") - 1
-    rows = words.filter(F.char_length("word") > 0).select("word", F.transform(letters, lambda x, i: F.when(i == last, F.concat(x, F.lit(END))).otherwise(x)).alias("parts"))
+    rows = words.filter(F.char_length("word") > 0).select("word", _letters("word").alias("parts"))
     folder, rounds = scratch_dir(spark, "segments"), 0
     while True:
         path = scratch_dir(spark, "pieces")
@@ -133,7 +221,7 @@ def segment_words(words: DataFrame, merges: DataFrame, mark: str = BPE_MARK) ->
         rows.write.parquet(path)
         rows = spark.read.schema(schema).parquet(path)
         count = F.size("parts") - 1
-        pairs = rows.filter(count > 0).select("word", F.explode(F.arrays_zip(F.slice("parts", F.lit(1), count).alias("left"), F.slice("parts", F.lit(2), count).alias("right"))).alias("p"))
+        pairs = rows.filter(count > 0).select("word", F.explode(_adjacent(F.col("parts"))).alias("p"))
         found = pairs.select("word", "p.*").join(ranks, ["left", "right"]).groupBy("word").agg(F.min(F.struct("rank", "left", "right")).alias("best"))
         joined = rows.join(found, "word", "left")
         path = scratch_dir(spark, "merged")

@@ -140,6 +140,16 @@ def test_bpe_equals_sequential_learning(spark):
     assert pieces[0] == [p for w in ["lowest", "newer", "a"] for p in bpe.segment(w, ranks)]
 
 
+def test_bpe_of_random_words_with_rewritten_lists(spark):
+    rng = random.Random(5)
+    words = {"".join(rng.choices("abc", weights=[5, 3, 1], k=rng.randint(1, 9))): rng.randint(1, 30) for _ in range(120)}
+    df = spark.createDataFrame([*words.items(), ("", 9), (None, 9)], "token string, cnt bigint")
+    want = sequential_bpe(words, 40)
+    got = bpe.learn(df, 40, top=40, checkpoint_every=4).orderBy("rank")
+    assert [(r["left"], r["right"], r["cnt"]) for r in got.collect()] == want
+    assert bpe.learn(df.limit(0), 5).count() == 0
+
+
 def test_replace_unknown_and_alignment(spark):
     links = spark.createDataFrame([("x", "A", 0), ("x", "B", 1), ("x", "B", 2), ("y", "C", 3), ("y", "D", 4)], "src string, tgt string, first bigint")
     align = vb.alignment_dict(links)

@@ -47,14 +47,22 @@ def clipped_matches(ref: np.ndarray, hyp: np.ndarray, ref_row: np.ndarray, hyp_r
     return out
 
 
-def trim(ids: np.ndarray) -> np.ndarray:
-    """Drop leading pads, then trailing pads and EOS, keeping at least one element."""
-    start, stop = 0, len(ids)
-    while start < stop - 1 and ids[start] == PAD:
-        start += 1
-    while stop > start + 1 and ids[stop - 1] in (PAD, EOS):
-        stop -= 1
-    return ids[start:stop]
+def trimmed(values: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows laid end to end without leading pads, then without trailing pads and EOS; a row that
+    is not empty keeps one element. Returns the kept values and the new sizes."""
+    ends = np.cumsum(sizes)
+    begins = ends - sizes
+    place = np.arange(len(values))
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    start, stop = ends - 1, begins.copy()
+    lead = np.flatnonzero(values != PAD)
+    np.minimum.at(start, row[lead], lead)
+    start = np.maximum(start, begins)
+    tail = np.flatnonzero((values != PAD) & (values != EOS))
+    np.maximum.at(stop, row[tail], tail + 1)
+    stop = np.minimum(np.maximum(stop, start + 1), ends)
+    kept = (place >= start[row]) & (place < stop[row])
+    return values[kept], np.maximum(stop - start, 0)
 
 
 TOKENS_PER_CHUNK = 1 << 20
@@ -73,9 +81,9 @@ def _match_udf(order: int, unk: int):
             flat, row, length = [], [], []
             for side, size in zip((ref, hyp), sizes):
                 values = side.slice(start, stop - start).flatten().to_numpy(zero_copy_only=False)
-                cut = [trim(v) for v in np.split(values, np.cumsum(size[start:stop])[:-1])]
-                length.append(np.array([len(v) for v in cut], np.int64))
-                flat.append(np.concatenate(cut))
+                cut, sizes_now = trimmed(values, size[start:stop].astype(np.int64))
+                length.append(sizes_now)
+                flat.append(cut)
                 row.append(np.repeat(np.arange(stop - start), length[-1]))
             found = clipped_matches(*flat, *row, stop - start, order, unk)
             parts.append(np.column_stack([*length, found]))

@@ -1,6 +1,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -104,6 +105,21 @@ def brute_bleu(pairs, order=4):
     return ref_len, hyp_len, count, match
 
 
+def test_trimming_of_many_rows_at_once():
+    def one(row):
+        first = next((i for i, x in enumerate(row) if x != 1), len(row) - 1)
+        row = row[max(first, 0):]
+        while len(row) > 1 and row[-1] in (1, 2):
+            row = row[:-1]
+        return row
+
+    rng = np.random.default_rng(3)
+    rows = [rng.choice([1, 2, 5], rng.integers(0, 7)).tolist() for _ in range(500)] + [[1, 1], [2], [1, 2], []]
+    values, sizes = mt.trimmed(np.array(sum(rows, []), np.int64), np.array([len(r) for r in rows]))
+    want = [one(r) for r in rows]
+    assert values.tolist() == sum(want, []) and sizes.tolist() == [len(r) for r in want]
+
+
 def test_bleu_against_brute_force(spark, monkeypatch):
     rng = random.Random(2)
     pairs = [([4, 5, 6, 7, 8], [4, 5, 6, 7, 8]), ([4, 5], [9, 10]), ([4, 4, 5], [4, 4, 4, 4]), ([3, 5, 3], [3, 5, 3]), ([5, 6, 7], [5]), ([7], [])]
@@ -180,7 +196,6 @@ def test_word_scores(spark):
 
 
 def test_histogram_like_numpy(spark):
-    import numpy as np
 
     values = [float(v) for v in np.random.default_rng(0).normal(size=500)]
     h = mt.histogram(spark.createDataFrame([(v,) for v in values], "v double"), "v", 20).orderBy("bin").collect()

@@ -96,6 +96,19 @@ def encoded_round_trip(spark, d):
     return kept.select("doc_id", "line_no", F.col("size").cast("bigint").alias("size"), base.joined("ids").alias("ids"))
 
 
+@query("s06_point_lookup", f"""WITH {sql.ENCODED},
+benchmarked AS (SELECT DISTINCT item_id * 7 AS doc_id FROM benchmark)
+SELECT w.doc_id, w.line_no, count(token_id) AS size, coalesce(string_agg(token_id::VARCHAR, ' ' ORDER BY pos), '') AS ids
+{sql.BY_LINE} HAVING w.doc_id IN (SELECT doc_id FROM benchmarked)""")
+def point_lookup(spark, d):
+    """Documents asked for by number: here seven times the number of each benchmark item."""
+    path = scratch_dir(spark, "clustered")
+    corpus.write_clustered(base.encoded_lines(spark, d).select("doc_id", "line_no", "ids"), path, "doc_id", 64)
+    wanted = base.table(spark, d, "benchmark").select((F.col("item_id") * 7).alias("doc_id"))
+    found = corpus.lookup(spark, path, wanted, "doc_id")
+    return found.select("doc_id", "line_no", F.col("size").cast("bigint").alias("size"), base.joined("ids").alias("ids"))
+
+
 @query("s07_vocab_round_trip", f"""WITH {sql.VOCAB}
 SELECT token_id, token, CASE WHEN is_special THEN 0 ELSE cnt END AS cnt FROM vocab""")
 def vocab_round_trip(spark, d):

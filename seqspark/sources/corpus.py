@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from seqspark.consts import PLAIN_SPECIALS
 from seqspark.functions import text as tx
 from seqspark.operators.vocab import specials
+from seqspark.session import local_table
 from seqspark.sources.text import read_lines, read_numbered, write_lines
 
 
@@ -22,6 +23,42 @@ def read_encoded(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def write_clustered(df: DataFrame, path: str, key: str, files: int, ids: str = "ids") -> None:
+    """An encoded corpus in ``files`` ranges of ``key``, sorted inside, for ``lookup``. Rows of one key
+    may lie in several files; null keys are kept and never found."""
+    sized = df.withColumn("size", F.size(ids))
+    sized.repartitionByRange(files, key, F.xxhash64(ids)).sortWithinPartitions(key).write.parquet(path)
+    spans = read_encoded(df.sparkSession, path).groupBy(F.col("_metadata.file_path").alias("file"))
+    spans.agg(F.min(key).alias("least"), F.max(key).alias("most")).write.parquet(f"{path}{SPANS}")
+
+
+SPANS = "-spans"
+
+
+def lookup(spark: SparkSession, path: str, wanted: DataFrame, key: str, most: int = 100_000) -> DataFrame:
+    """The rows of a clustered corpus whose ``key`` is in ``wanted``, a table with that column.
+
+    Up to ``most`` distinct keys, only the files whose range holds one are opened (the table of
+    ranges has a row per file) and the scan skips row groups outside their range; more keys
+    are joined with the whole corpus.
+    """
+    keys = wanted.select(key).filter(F.col(key).isNotNull()).distinct()
+    listed = keys.limit(most + 1).collect()
+    stored = read_encoded(spark, path)
+    if len(listed) > most:
+        return stored.join(keys, key, "left_semi")
+    if not listed:
+        return stored.limit(0)
+    keys = F.broadcast(local_table(spark, [tuple(r) for r in listed], keys.schema))
+    spans = spark.read.parquet(f"{path}{SPANS}")
+    hit = spans.join(keys, (spans["least"] <= keys[key]) & (keys[key] <= spans["most"]), "left_semi")
+    files = [r["file"] for r in hit.select("file").collect()]
+    if not files:
+        return stored.limit(0)
+    ends = [min(r[0] for r in listed), max(r[0] for r in listed)]
+    return spark.read.schema(stored.schema).parquet(*files).filter(F.col(key).between(*ends)).join(keys, key, "left_semi")
+
+
 def save_vocab(vocab: DataFrame, path: str) -> None:
     """``symbol count`` lines in id order, reserved symbols left out."""
     words = vocab.filter("not is_special")

@@ -1,7 +1,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from seqspark.sources import text as src
+from seqspark.session import scratch_dir
+from seqspark.sources import corpus, text as src
 
 
 def write(folder, name, lines):
@@ -41,3 +42,17 @@ def test_splits_are_loaded_until_a_number_is_missing(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         src.load_split(spark, str(folder), "test", "de", "en", "de")
     assert src.find_splits(spark, str(folder)).filter(~F.col("used")).count() == 2
+
+
+def test_lookup_reads_only_files_with_the_keys(spark):
+    rows = [(i if i % 50 else None, [i, i + 1]) for i in range(400)] + [(7, [0])] * 30
+    path = scratch_dir(spark, "clustered")
+    corpus.write_clustered(spark.createDataFrame(rows, "k bigint, ids array<bigint>"), path, "k", 16)
+    everything = len(corpus.read_encoded(spark, path).inputFiles())
+    for keys in ([7, 7, 390, 5000, None], [5000], [None], []):
+        wanted = spark.createDataFrame([(k,) for k in keys], "k bigint")
+        want = sorted(r for r in rows if r[0] is not None and r[0] in keys)
+        for most in (100, 1):
+            found = corpus.lookup(spark, path, wanted, "k", most)
+            assert sorted((r["k"], r["ids"]) for r in found.collect()) == want
+        assert len(corpus.lookup(spark, path, wanted, "k").inputFiles()) <= 8 < everything or not want

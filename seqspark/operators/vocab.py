@@ -335,10 +335,11 @@ def replace_unk(hyp: DataFrame, source: DataFrame, align: DataFrame, unk: str =
     src = source.select("id", F.concat("words", F.array(F.lit("<eos>"))).alias("_src"))
     word = F.when(F.col("token") == unk, F.get("_src", F.col("src_pos").cast("int")))
     joined = hyp.join(src, "id").withColumn("src", word).drop("_src")
-    # Only unknown words are looked up; the others carry a null and skip the join.
+    # Only unknown words are looked up; the others have no source word and are spread by a salt.
     asked = joined.filter("src is not null").select("src").distinct()
-    found = align.join(asked, "src", "left_semi")
-    joined = joined.join(found, "src", "left")
+    found = align.join(asked, "src", "left_semi").withColumn("_salt", F.lit(0).cast("bigint"))
+    salt = F.when(F.col("src").isNull(), F.xxhash64("id", "pos")).otherwise(F.lit(0).cast("bigint"))
+    joined = joined.withColumn("_salt", salt).join(found, ["src", "_salt"], "left")
     token = F.when(F.col("token") == unk, F.coalesce("tgt", "src")).otherwise(F.col("token"))
     packed = F.sort_array(F.collect_list(F.struct("pos", token.alias("t"))))
     return joined.groupBy("id").agg(F.array_join(packed["t"], " ").alias("text"))

@@ -250,6 +250,8 @@ COUNTED, FREQUENT, OFTEN = 50_000, 1 << 18, 4
 LIGHT = 64
 #: Shingles of texts that a task holds before it reports those found more than once.
 HELD = 1 << 22
+#: Texts that a task remembers as sent; beyond that it may send an equal text again.
+REMEMBERED = 1 << 17
 MARK = 1024
 
 
@@ -314,7 +316,7 @@ def similar_groups(df: DataFrame, key: str, text: str, k: int = 5, similarity: f
     edges = stored(candidates(nodes.select(F.col("node").alias("id"), "prints"), "bigint", distance, blocks, r, tile), "candidate_links")
     first = stored(similar(source, nodes, edges, k, similarity), "similar")
     roots = stored(components(first), "similar_roots")
-    rows = prefixes(source, nodes.count(), k, similarity)
+    rows = prefixes(source, nodes.count(), k, similarity, light)
     edges = stored(across(prefix_pairs(rows, roots, similarity, tile, light), roots), "prefix_links")
     edges = stored(likely(source, nodes, edges, k, similarity), "likely_links")
     linked = components(first.union(similar(source, nodes, edges, k, similarity)))
@@ -378,8 +380,9 @@ def similar(source: DataFrame, nodes: DataFrame, edges: DataFrame, k: int, simil
 
 
 def frequent(source: DataFrame, texts: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles found often in about ``COUNTED`` texts, sorted, and their counts. They only
-    make the order of ``prefixes`` a good one; any order is right."""
+    """Shingles found often in about ``COUNTED`` texts, sorted, and their counts, carried on to
+    all ``texts``. They make the order of ``prefixes`` a good one (any order is right) and say
+    which shingles are dealt at once (any choice is right)."""
 
     def run(batches):
         release()
@@ -408,7 +411,7 @@ def frequent(source: DataFrame, texts: int, k: int) -> tuple[np.ndarray, np.ndar
     top = counts.orderBy(F.desc("n"), "shingle").limit(FREQUENT).toArrow()
     shingle, n = (top.column(i).to_numpy() for i in range(2))
     order = np.argsort(shingle)
-    return shingle[order], n[order]
+    return shingle[order], n[order] * share
 
 
 def prefix_length(n: int, similarity: float) -> int:
@@ -416,34 +419,43 @@ def prefix_length(n: int, similarity: float) -> int:
     return n - max(1, int(np.ceil(similarity * n - 1e-6))) + 1
 
 
-def prefixes(source: DataFrame, texts: int, k: int, similarity: float) -> DataFrame:
-    """``(anchor, node, size, at)``: the first shingles of each text, rare ones first, with the
-    size of its set and their place in it. A task sends equal texts once."""
+def prefixes(source: DataFrame, texts: int, k: int, similarity: float, light: int) -> DataFrame:
+    """``(anchor, node, size, at, often)``: the first shingles of each text, rare ones first, with
+    the size of its set, their place in it and whether more than ``light`` texts are expected to
+    have the shingle. A task sends equal texts once, while it remembers them."""
     known, counts = frequent(source, texts, k)
 
     def run(batches):
+        release()
         seen = set()
         for batch in batches:
             for part in slices(batch, "_text"):
-                node, size, anchor = [], [], []
+                if len(seen) > REMEMBERED:
+                    seen.clear()
+                node, size, anchor, often = [], [], [], []
                 for t in part.column("_text").to_pylist():
                     if (same := _same(t)) in seen:
                         continue
                     seen.add(same)
                     own = shingle_set(t, k)
+                    found = np.zeros(len(own), np.int64)
                     if len(known):
                         place = np.minimum(np.searchsorted(known, own), len(known) - 1)
-                        own = own[np.argsort(np.where(known[place] == own, counts[place], 0), kind="stable")]
+                        found = np.where(known[place] == own, counts[place], 0)
+                        order = np.argsort(found, kind="stable")
+                        own, found = own[order], found[order]
                     node.append(_node(same))
                     size.append(len(own))
-                    anchor.append(own[: prefix_length(len(own), similarity)])
+                    first = prefix_length(len(own), similarity)
+                    anchor.append(own[:first])
+                    often.append(found[:first] > light)
                 if node:
                     length = np.fromiter(map(len, anchor), np.int64, len(anchor))
                     at = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
-                    cols = [np.concatenate(anchor), np.repeat(np.array(node, np.int64), length), np.repeat(np.array(size, np.int32), length), at.astype(np.int32)]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["anchor", "node", "size", "at"])
+                    cols = [np.concatenate(anchor), np.repeat(np.array(node, np.int64), length), np.repeat(np.array(size, np.int32), length), at.astype(np.int32), np.concatenate(often)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["anchor", "node", "size", "at", "often"])
 
-    return source.select("_text").mapInArrow(run, "anchor bigint, node bigint, size int, at int")
+    return source.select("_text").mapInArrow(run, "anchor bigint, node bigint, size int, at int, often boolean")
 
 
 def _pairs(group: np.ndarray, node: np.ndarray, size: np.ndarray, at: np.ndarray, root: np.ndarray, similarity: float):
@@ -470,20 +482,46 @@ def prefix_pairs(rows: DataFrame, roots: DataFrame, similarity: float, tile: int
     """``(a, b)`` with a < b: texts with a common prefix shingle that may be similar.
 
     Up to ``light`` rows of a shingle are paired where they meet. The few shingles with more
-    are dealt again in tiles, with the root each text has so far.
+    are dealt again in tiles, with the root each text has so far. Rows expected to be of such a
+    shingle (``often``) are spread by their text; a task holds at most ``light`` rows of any
+    other one and passes on the rest, so no shingle is gathered before it is cut.
     """
 
+    def crowded(cols):
+        if len(cols[0]):
+            anchor, node, size, at = map(pa.array, cols)
+            yield pa.RecordBatch.from_arrays([anchor, node, pa.nulls(len(node), pa.int64()), size, at], names=names)
+
+    def paired(cols):
+        if not len(cols[0]):
+            return
+        group = np.cumsum(np.concatenate([[True], cols[0][1:] != cols[0][:-1]])) - 1
+        heavy = (np.bincount(group) > light)[group]
+        some = ~heavy
+        for a, b in _pairs(group[some], *(c[some] for c in cols[1:]), cols[1][some], similarity):
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int64()), pa.array(a), pa.array(b), *[pa.nulls(len(a), pa.int32())] * 2], names=names)
+        yield from crowded([c[heavy] for c in cols])
+
     def meet(batches):
-        for cols, _ in _groups(batches, 4):
-            change = np.concatenate([[True], cols[0][1:] != cols[0][:-1]])
-            group = np.cumsum(change) - 1
-            heavy = (np.bincount(group) > light)[group]
-            some = ~heavy
-            for a, b in _pairs(group[some], *(c[some] for c in cols[1:]), cols[1][some], similarity):
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int64()), pa.array(a), pa.array(b), *[pa.nulls(len(a), pa.int32())] * 2], names=names)
-            if heavy.any():
-                anchor, node, size, at = (pa.array(c[heavy]) for c in cols)
-                yield pa.RecordBatch.from_arrays([anchor, node, pa.nulls(len(node), pa.int64()), size, at], names=names)
+        # Rows of the last anchor so far, and the anchor whose first rows were passed on.
+        rest, hot = None, None
+        for batch in batches:
+            cols, often = [batch.column(i).to_numpy() for i in range(4)], batch.column(4).to_numpy(zero_copy_only=False)
+            passed = often if hot is None else often | (cols[0] == hot)
+            yield from crowded([c[passed] for c in cols])
+            cols = [c[~passed] for c in cols]
+            if rest is not None:
+                cols = [np.concatenate([x, y]) for x, y in zip(rest, cols)]
+            change = np.flatnonzero(cols[0][1:] != cols[0][:-1]) + 1
+            cut = int(change[-1]) if len(change) else 0
+            yield from paired([c[:cut] for c in cols])
+            rest = [c[cut:] for c in cols]
+            if len(rest[0]) > light:
+                hot = rest[0][0]
+                yield from crowded(rest)
+                rest = None
+        if rest is not None:
+            yield from paired(rest)
 
     def tiles(batches):
         for cols, _ in _groups(batches, 6):
@@ -492,7 +530,8 @@ def prefix_pairs(rows: DataFrame, roots: DataFrame, similarity: float, tile: int
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     names = ["anchor", "a", "b", "size", "at"]
-    rows = rows.repartition(parallelism(rows), "anchor").sortWithinPartitions("anchor", "node")
+    salt = F.when(F.col("often"), F.col("node"))
+    rows = rows.repartition(parallelism(rows), "anchor", salt).sortWithinPartitions("anchor", "node")
     met = stored(rows.mapInArrow(meet, "anchor bigint, a bigint, b bigint, size int, at int"), "prefix_rows")
     crowd = met.filter("anchor is not null").select("anchor", F.col("a").alias("node"), "size", "at").dropDuplicates(["anchor", "node"])
     crowd = crowd.join(roots, "node", "left").select("anchor", "node", "size", "at", F.coalesce("root", "node").alias("root"))
@@ -548,15 +587,14 @@ def candidates(nodes: DataFrame, kind: str, distance: int, blocks: int, r: int,
 
 def _groups(batches, width: int = 3):
     """Whole groups of rows sorted by (anchor, cell), as ``width`` arrays, with the ids that may
-    follow. With four arrays the anchor alone makes a group."""
+    follow."""
     rest, held = None, None
     for batch in batches:
         cols = [batch.column(i).to_numpy() for i in range(width)]
         ids = batch.column(min(width, batch.num_columns - 1))
         if rest is not None:
             cols, ids = [np.concatenate([x, y]) for x, y in zip(rest, cols)], pa.concat_arrays([held, ids])
-        new = cols[0][1:] != cols[0][:-1]
-        change = np.flatnonzero(new if width == 4 else new | (cols[1][1:] != cols[1][:-1])) + 1
+        change = np.flatnonzero((cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])) + 1
         cut = int(change[-1]) if len(change) else 0
         if cut > 1:
             yield [c[:cut] for c in cols], ids.slice(0, cut)

@@ -218,3 +218,31 @@ def test_containment_equals_sql(spark):
     kept = {r["doc_id"] for r in dc.decontaminate(docs, bench).collect()}
     assert kept == {i for i, _ in rows} - set(want.doc_id)
     assert dc.contaminated(empty(spark), bench).count() == 0 and dc.contaminated(docs, bench.limit(0)).count() == 0
+
+
+def test_crowded_shingles_are_paired_whole_whatever_was_expected_of_them(spark):
+    """A shingle of a third of the rows, one on the limit and small ones, each expected to be
+    crowded or not, rows repeated, and texts that have a root already."""
+    sizes = {7: 200, -3: 8, 5: 9, 11: 2, 12: 1, 13: 3, 2**62: 40}
+    for often in (set(), {7}, set(sizes)):
+        rows, node = [], 0
+        for anchor, n in sizes.items():
+            rows += [(anchor, node + i, 20 + i % 7, i % 3, anchor in often) for i in range(n)]
+            node += n // 2  # half of a shingle's texts have the next one too
+        roots = [(i, i % 2) for i in range(0, node, 5)]
+        table = spark.createDataFrame(rows + rows[:30], "anchor bigint, node bigint, size int, at int, often boolean")
+        rooted = spark.createDataFrame(roots, "node bigint, root bigint")
+        got = {tuple(r) for r in sim.prefix_pairs(table, rooted, 0.8, 16, 8).collect()}
+        root, crowded = dict(roots), {a for a, n in sizes.items() if n > 8} | often
+        want = set()
+        for anchor in sizes:
+            own = [r for r in rows if r[0] == anchor]
+            for x in own:
+                for y in own:
+                    fits = min(x[2] - x[3], y[2] - y[3]) * 1.8 >= 0.8 * (x[2] + y[2]) - 1e-6
+                    apart = root.get(x[1], x[1]) != root.get(y[1], y[1]) or anchor not in crowded
+                    if x[1] < y[1] and fits and apart:
+                        want.add((x[1], y[1]))
+        assert got <= want
+        # Repeated rows may take a shingle on the limit over it; pairs of one root may go then.
+        assert {(a, b) for a, b in want if root.get(a, a) != root.get(b, b)} <= got

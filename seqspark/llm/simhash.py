@@ -20,7 +20,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from seqspark.llm.common import release, slices, stored, table
 from seqspark.llm.components import components
@@ -335,12 +335,23 @@ def chosen(source: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def parities(own: np.ndarray) -> np.ndarray:
-    """``MARK`` bits: whether an odd number of the hashes falls on each. Two sets differ in at
-    least as many members as their bits do."""
-    bits = np.bincount(own.view(np.uint64) % np.uint64(MARK), minlength=MARK).astype(np.uint8) & 1
+    """Whether an odd number of the hashes falls on each bit. Two sets differ in at least as many
+    members as their bits do. There are ``MARK`` bits, or for a larger set the next power of two,
+    because fewer would hardly differ more for unlike sets than for like ones."""
+    size = max(MARK, 1 << (len(own) - 1).bit_length())
+    bits = np.bincount(own.view(np.uint64) % np.uint64(size), minlength=size).astype(np.uint8) & 1
     return np.packbits(bits).view(np.int64)
 
 
+def folded(mark: str, words: Column) -> Column:
+    """The parities of a smaller power of two of bits, as 64-bit ``words``."""
+    parts = F.sequence(F.lit(0), F.floor(F.size(mark) / words).cast("int") - 1)
+    return F.transform(
+        F.sequence(F.lit(0), words - 1),
+        lambda i: F.aggregate(parts, F.lit(0).cast("bigint"), lambda x, part: x.bitwiseXOR(F.get(F.col(mark), i + part * words))),
+    )
+
+
 def likely(source: DataFrame, nodes: DataFrame, edges: DataFrame, k: int, similarity: float) -> DataFrame:
     """``edges`` without those that differ too much in their parities: an exact bound, so that
     the sets of few texts are needed."""
@@ -356,7 +367,8 @@ def likely(source: DataFrame, nodes: DataFrame, edges: DataFrame, k: int, simila
 
     marked = stored(chosen(source, nodes, edges).mapInArrow(marks, "node bigint, size bigint, mark array<bigint>").dropDuplicates(["node"]), "parities")
     left, right = (marked.select(F.col("node").alias(e), F.col("size").alias(f"_n{e}"), F.col("mark").alias(f"_{e}")) for e in "ab")
-    apart = F.aggregate(F.zip_with("_a", "_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    words = F.least(F.size("_a"), F.size("_b"))
+    apart = F.aggregate(F.zip_with(folded("_a", words), folded("_b", words), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
     most = (F.col("_na") + F.col("_nb")) * F.lit((1 - similarity) / (1 + similarity)) + 1e-6
     return edges.join(left, "a").join(right, "b").filter(apart <= most).select("a", "b")
 

@@ -246,3 +246,24 @@ def test_crowded_shingles_are_paired_whole_whatever_was_expected_of_them(spark):
         assert got <= want
         # Repeated rows may take a shingle on the limit over it; pairs of one root may go then.
         assert {(a, b) for a, b in want if root.get(a, a) != root.get(b, b)} <= got
+
+
+def test_parities_of_sets_of_any_sizes_bound_their_difference(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    rng, rows, bounds = np.random.default_rng(3), [], []
+    for i, (n, m, common) in enumerate([(1, 1, 0), (1024, 1025, 900), (3000, 2500, 2400), (5000, 900, 100), (4096, 4097, 4096), (9000, 8800, 50), (7, 7, 7)]):
+        pool = rng.integers(-(2**62), 2**62, n + m - common)
+        a, b = np.unique(pool[:n]), np.unique(pool[n - common :])
+        rows.append((i, sim.parities(a).tolist(), sim.parities(b).tolist()))
+        bounds.append(len(np.setxor1d(a, b)))
+    table = spark.createDataFrame(rows, "i int, _a array<bigint>, _b array<bigint>")
+    words = F.least(F.size("_a"), F.size("_b"))
+    apart = F.zip_with(sim.folded("_a", words), sim.folded("_b", words), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    got = {r["i"]: sum(r["n"]) for r in table.select("i", apart.alias("n")).collect()}
+    for i, (_, a, b) in enumerate(rows):
+        size = 64 * min(len(a), len(b))
+        flat = [np.unpackbits(np.array(x, np.int64).view(np.uint8)).reshape(-1, size).sum(axis=0) % 2 for x in (a, b)]
+        assert got[i] == int((flat[0] != flat[1]).sum()) <= bounds[i]
+    assert got[6] == 0 and got[5] > 0.2 / 1.8 * 17800

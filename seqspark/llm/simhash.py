@@ -246,8 +246,9 @@ NEIGHBOURS = 1
 #: Texts (about) whose shingles are counted for the order; shingles with a place of their own,
 #: and the count from which a shingle has one.
 COUNTED, FREQUENT, OFTEN = 50_000, 1 << 18, 4
-#: Up to so many rows with a common shingle are paired at once, more in tiles by group.
-LIGHT = 64
+#: Up to so many rows with a common shingle are paired at once (at most 3.5 pairs a row), more in
+#: tiles, where the groups found so far are known and their pairs are not made again.
+LIGHT = 8
 #: Shingles of texts that a task holds before it reports those found more than once.
 HELD = 1 << 22
 #: Texts that a task remembers as sent; beyond that it may send an equal text again.

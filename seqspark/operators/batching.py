@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import deque
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -472,6 +473,44 @@ def collate(
     return out.select(*result)
 
 
+@dataclass(frozen=True)
+class Field:
+    """How one column of a batch is laid out: padded to its own longest row with ``pad``, on the
+    ``left`` or right; ``shift`` moves the end mark to the front first. Without ``pad`` rows are
+    stacked as they are (properties, labels, flags)."""
+
+    column: str
+    left: bool = False
+    shift: bool = False
+    pad: int | None = PAD
+
+
+def collate_fields(df: DataFrame, fields: dict[str, Field], by: str, key: str = "id") -> DataFrame:
+    """``batch_id``, ``ids``, ``lengths`` and one list of rows per field; longest ``by`` first.
+
+    Several fields may show one column (targets of a language model: itself, shifted). All come
+    from one aggregate, so rows of a batch are in one order; ties go by ``key``. A null value of
+    a padded column counts as an empty row, a stacked one stays null.
+    """
+    columns = list(dict.fromkeys(f.column for f in fields.values()))
+    places = {c: f"c{i}" for i, c in enumerate(columns)}
+    row = F.struct((-F.coalesce(F.size(by), F.lit(0))).alias("neg"), F.col(key).alias("key"), *[F.col(c).alias(n) for c, n in places.items()])
+    out = df.groupBy("batch_id").agg(F.sort_array(F.collect_list(row)).alias("_p"))
+
+    def laid(field: Field) -> Column:
+        rows = F.col(f"_p.{places[field.column]}")
+        if field.shift:
+            rows = F.transform(rows, lambda t: F.when(F.size(t) > 0, ar.eos_to_front(t)).otherwise(t))
+        if field.pad is None:
+            return rows
+        rows = F.transform(rows, lambda t: F.coalesce(t, F.array().cast("array<int>")))
+        width = F.array_max(F.transform(rows, lambda t: F.size(t)))
+        return ar.let(width, lambda n: F.transform(rows, lambda t: ar.pad_to(t, n, field.left, field.pad)))
+
+    lengths = F.transform("_p.neg", lambda n: (-n).cast("bigint"))
+    return out.select("batch_id", F.col("_p.key").alias("ids"), lengths.alias("lengths"), *[laid(f).alias(n) for n, f in fields.items()])
+
+
 def accounting(df: DataFrame, source_size: str, target_size: str, sentence_avg: bool = False) -> DataFrame:
     """Per batch: sentences, target tokens, sample size and share of padding cells."""
     out = df.groupBy("batch_id").agg(

@@ -210,12 +210,15 @@ pm AS (SELECT id, batch_id, ns, nt, repeat('1 ', (ws - ns)::INT) || source AS so
   row_number() OVER (PARTITION BY batch_id ORDER BY ns DESC, id) - 1 AS row FROM mx)"""
 
 
-def matrices(spark, d):
+def batched_pairs(spark, d):
     p = pair_ids(spark, d)
     p = p.withColumns({c: ar.append_eos(F.col(c)) for c in ("source", "target")})
     p = p.withColumns({"ns": F.col("ns") + 1, "nt": F.col("nt") + 1, "h": bt.length_key(SEED, "id")})
-    b = bt.batch_by_size(p, ["ns", "nt"], ["h", "id"], F.greatest("ns", "nt"), max_sentences=4)
-    return bt.collate(b, "source", "target")
+    return bt.batch_by_size(p, ["ns", "nt"], ["h", "id"], F.greatest("ns", "nt"), max_sentences=4)
+
+
+def matrices(spark, d):
+    return bt.collate(batched_pairs(spark, d), "source", "target")
 
 
 def matrix_rows(spark, d):
@@ -236,6 +239,29 @@ def collate(spark, d):
     )
 
 
+# Two targets from one column, a masked form and properties with their missing flags.
+@query("b10_collate_fields", f"""WITH {_MATRIX}
+SELECT batch_id, row, id, ns AS length, source, target AS future, prev AS past,
+  repeat('1 ', (len(string_split(source, ' ')) - ns)::INT)
+    || array_to_string(list_transform(string_split(own, ' '), lambda x, i: CASE WHEN i % 3 = 1 THEN x ELSE '1' END), ' ') AS masked,
+  ns || ' ' || CASE WHEN nt > 8 THEN 0 ELSE nt END AS props, '0 ' || (nt > 8)::INT AS missing
+FROM pm JOIN (SELECT id, source AS own FROM pb) o USING (id)""")
+def collate_fields(spark, d):
+    absent = F.col("nt") > 8
+    b = batched_pairs(spark, d).withColumns({
+        "masked": F.transform("source", lambda x, i: F.when(i % 3 == 0, x).otherwise(1).cast("int")),
+        "props": F.array("ns", F.when(absent, 0).otherwise(F.col("nt"))),
+        "missing": F.array(F.lit(0), absent.cast("int")),
+    })
+    fields = {
+        "source": bt.Field("source", left=True), "future": bt.Field("target"), "past": bt.Field("target", shift=True),
+        "masked": bt.Field("masked", left=True), "props": bt.Field("props", pad=None), "missing": bt.Field("missing", pad=None),
+    }
+    rows = bt.collate_fields(b, fields, by="source").select("batch_id", F.posexplode(F.arrays_zip("ids", "lengths", *fields)).alias("row", "z"))
+    rows = rows.select("batch_id", F.col("row").cast("bigint").alias("row"), "z.*")
+    return rows.select("batch_id", "row", F.col("ids").alias("id"), F.col("lengths").alias("length"), *[joined(f).alias(f) for f in fields])
+
+
 @query("b11_teacher_forcing", f"WITH {_MATRIX} SELECT batch_id, row, prev FROM pm")
 def teacher_forcing(spark, d):
     return matrix_rows(spark, d).select("batch_id", "row", joined("prev_output_tokens").alias("prev"))

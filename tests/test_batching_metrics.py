@@ -280,3 +280,16 @@ def test_batches_over_a_given_order(spark, limits):
         assert [r["rank"] for r in sorted(got, key=lambda r: r["i"])] == list(range(400))
         assert {r["i"]: r["batch_id"] for r in got} == want
     assert bt.batch_in_order(df.limit(0), ["i"], F.col("n"), *limits).count() == 0
+
+
+def test_collate_fields_of_null_empty_and_equal_rows(spark):
+    from seqspark.operators import batching as bt
+
+    rows = [(0, 3, [5, 2], [1.5]), (0, 1, [5, 2], None), (0, 2, None, [2.5]), (0, 4, [], [0.5]), (1, 5, [7, 8, 2], [3.5])]
+    df = spark.createDataFrame(rows, "batch_id bigint, id bigint, t array<int>, props array<double>")
+    fields = {"same": bt.Field("t", left=True, pad=0), "past": bt.Field("t", shift=True), "props": bt.Field("props", pad=None)}
+    got = {r["batch_id"]: r for r in bt.collate_fields(df, fields, by="t").collect()}
+    assert got[0]["ids"] == [1, 3, 2, 4] and got[0]["lengths"] == [2, 2, 0, 0]
+    assert got[0]["same"] == [[5, 2], [5, 2], [0, 0], [0, 0]] and got[0]["past"] == [[2, 5], [2, 5], [1, 1], [1, 1]]
+    assert got[0]["props"] == [None, [1.5], [2.5], [0.5]] and got[1]["past"] == [[2, 7, 8]]
+    assert bt.collate_fields(df.limit(0), fields, by="t").count() == 0

@@ -150,12 +150,13 @@ def links(text: str, spans: list[tuple[int, int]]) -> tuple[list[str], list[bool
 
 
 def observed(spans: list[tuple[int, int]], base: list[tuple[str, int, int]]) -> np.ndarray:
-    """Label of each token under a base span (1 + kind), else -1."""
+    """Label of each token under a base span (1 + kind), else -1. Tokens are in text order and
+    apart, so those under a span are a range."""
     label = np.full(len(spans), -1)
+    place = np.array(spans, np.int64).reshape(-1, 2)
     for kind, s, e in base:
-        for i, (a, b) in enumerate(spans):
-            if a < e and s < b:
-                label[i] = 1 + KINDS.index(kind)
+        first, last = np.searchsorted(place[:, 1], s, side="right"), np.searchsorted(place[:, 0], e, side="left")
+        label[first:last] = 1 + KINDS.index(kind)
     return label
 
 

@@ -140,3 +140,21 @@ def test_fold_is_crc32_mod_3(spark):
 
     got = {r[0]: r[1] for r in spark.range(50).select("id", fold("id")).collect()}
     assert got == {i: zlib.crc32(str(i).encode()) % 3 for i in range(50)}
+
+
+def test_tokens_under_base_spans_equal_the_definition():
+    import random
+
+    from seqspark.llm import pii
+
+    rng = random.Random(5)
+    for _ in range(200):
+        cuts = sorted(rng.sample(range(120), 2 * rng.randint(0, 20)))
+        tokens = list(zip(cuts[::2], cuts[1::2]))
+        base = [(rng.choice(pii.KINDS), s, s + rng.randint(1, 30)) for s in (rng.randint(0, 110) for _ in range(rng.randint(0, 6)))]
+        want = [-1] * len(tokens)
+        for kind, s, e in base:
+            for i, (a, b) in enumerate(tokens):
+                if a < e and s < b:
+                    want[i] = 1 + pii.KINDS.index(kind)
+        assert pii.observed(tokens, base).tolist() == want

@@ -11,6 +11,7 @@ from seqspark.operators import examples as ex, noise as nz, vocab as vb
 from seqspark.plans import base, sql
 from seqspark.plans.base import NWORDS, THRESHOLD, joined, query
 from seqspark.plans.vocabs import JOINT_VOCAB, joint_vocab
+from seqspark.session import written
 
 BLOCK = 256
 SEED = 17
@@ -104,8 +105,8 @@ SELECT doc_id, line_no, string_agg((CASE WHEN NOT chosen THEN t WHEN u < 0.8 THE
   string_agg((CASE WHEN chosen THEN t ELSE 1 END)::VARCHAR, ' ' ORDER BY i) AS target
 FROM u GROUP BY doc_id, line_no""")
 def masked_example(spark, d):
-    vocab = vb.finalize(base.doc_counts(spark, d), THRESHOLD, NWORDS, names=MOLECULE_SPECIALS)
-    rows = vb.encode(base.doc_words(spark, d), "words", vocab).withColumn("ids", ar.append_eos(F.col("ids")))
+    vocab = written(vb.finalize(base.doc_counts(spark, d), THRESHOLD, NWORDS, names=MOLECULE_SPECIALS), "mask_vocab")
+    rows = vb.encode_text(base.doc_lines(spark, d), "line", vocab).withColumn("ids", ar.append_eos(F.col("ids")))
     acc = hash_base(SEED, F.col("doc_id"), F.col("line_no"))
     out = ex.masked_example(rows, "ids", acc, vocab_size=vocab.count())
     return out.select("doc_id", "line_no", joined("source").alias("source"), joined("target").alias("target"))
@@ -118,9 +119,8 @@ SELECT g.doc_id, '4 ' || s AS source, '4 ' || t || ' 2' AS target, coalesce(qual
   quality IS NOT NULL AS miss0, toxic IS NOT NULL AS miss1
 FROM g LEFT JOIN labels USING (doc_id)""")
 def property_example(spark, d):
-    vocab = vb.finalize(base.doc_counts(spark, d), THRESHOLD, NWORDS, names=MOLECULE_SPECIALS)
-    docs = base.documents(spark, d).select("doc_id", tx.words(F.col("text")).alias("words"))
-    rows = vb.encode(docs, "words", vocab).withColumn("ids", ar.append_eos(F.col("ids")))
+    vocab = written(vb.finalize(base.doc_counts(spark, d), THRESHOLD, NWORDS, names=MOLECULE_SPECIALS), "mask_vocab")
+    rows = vb.encode_text(base.documents(spark, d).select("doc_id", "text"), "text", vocab).withColumn("ids", ar.append_eos(F.col("ids")))
     rows = rows.join(base.table(spark, d, "labels"), "doc_id", "left")
     out = ex.property_example(rows, "ids", props=["quality", "toxic"])
     return out.select(

@@ -9,7 +9,7 @@ from seqspark.functions.hashing import base as hash_base, fold_unit, unit
 from seqspark.operators import metrics as mt, vocab as vb
 from seqspark.plans import base, sql
 from seqspark.plans.base import query
-from seqspark.session import fenced
+from seqspark.session import fenced, written
 
 SEED = 31
 
@@ -86,7 +86,9 @@ uni AS (SELECT token_id, ln(count(*) / (SELECT count(*) FROM enc)::DOUBLE) AS lo
 
 
 def unigram_scores(spark, d, *keep):
-    ids = base.encoded_lines(spark, d, *keep).select("doc_id", "line_no", *keep, F.posexplode("ids").alias("pos", "token_id"))
+    # The model and the scores need the ids, some metrics several times: they are encoded once.
+    lines = written(base.encoded_lines(spark, d, *keep).select("doc_id", "line_no", *keep, "ids"), "encoded")
+    ids = lines.select("doc_id", "line_no", *keep, F.posexplode("ids").alias("pos", "token_id"))
     counts = ids.groupBy("token_id").agg(F.count(F.lit(1)).alias("c"))
     total = counts.agg(F.sum("c").alias("n"))
     model = counts.select("token_id", F.log(F.col("c") / total.scalar()).alias("logp"))
@@ -267,11 +269,11 @@ wn AS (SELECT *, lead(logp) OVER (PARTITION BY doc_id, line_no ORDER BY wi) AS n
 
 def piece_words(spark, d):
     p = base.pieces(spark, d)
-    counts = fenced(p, "pieces").select(F.explode("pieces").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("c"))
+    counts = written(fenced(p, "pieces").select(F.explode("pieces").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("c")), "piece_counts")
     total = counts.agg(F.sum("c").alias("n"))
-    logp = F.when(F.col("c") == 1, F.lit(float("-inf"))).otherwise(F.log(F.col("c") / total.scalar()))
-    model = counts.select("token", logp.alias("logp"))
-    scored = vb.attach_values(p, "pieces", model, "logp", "scores", key=["doc_id", "line_no"])
+    # Pieces seen once, which grow most with the corpus, need no row: theirs is the score of the others.
+    model = counts.filter("c > 1").select("token", "c", F.log(F.col("c") / total.scalar()).alias("logp"))
+    scored = vb.attach_values(p, "pieces", model, "logp", "scores", often="c", default=float("-inf"))
     return mt.word_scores(scored, "pieces", "scores", ["doc_id", "line_no"])
 
 

@@ -258,7 +258,7 @@ SELECT w.doc_id, w.line_no, coalesce(string_agg(CASE WHEN token_id = 3 THEN '<un
 def decode_corpus(spark, d):
     path = scratch_dir(spark, "encoded")
     vocab = base.doc_vocab(spark, d)
-    lines = vb.encode(base.doc_words(spark, d), "words", vocab)
+    lines = vb.encode_text(base.doc_lines(spark, d), "line", vocab)
     corpus.write_encoded(lines.select("doc_id", "line_no", "ids"), path)
     stored = corpus.read_encoded(spark, path)
     return vb.decode_rows(stored, "ids", vocab).select("doc_id", "line_no", "text")

@@ -238,3 +238,52 @@ def test_bpe_by_joins_equals_shipped_merges(spark):
     got = bpe.apply(df, "words", merges, limit=1)
     assert sorted(got.columns) == sorted(["i", "words", "word", "pieces"])
     assert sorted(map(str, got.select("i", "words", "word", "pieces").collect())) == want
+
+
+def test_values_beyond_the_limit_join_only_what_was_not_shipped(spark):
+    rows = [(1, ["a", "b", "zz", None]), (1, ["a"]), (None, ["c", "c", "b"]), (2, []), (3, None), (4, ["d", "a"])]
+    df = spark.createDataFrame(rows, "i int, words array<string>").repartition(3)
+    table = spark.createDataFrame([("a", 0.5, 9), ("b", 1.5, 3), ("c", float("-inf"), 2), ("d", 2.5, 1)], "token string, v double, n bigint")
+    want = sorted(map(str, vb.attach_values(df, "words", table, "v", "x").select("i", "words", "x").collect()))
+    for limit in (1, 2, 3):
+        got = vb.attach_values(df, "words", table, "v", "x", limit=limit, often="n")
+        assert sorted(map(str, got.select("i", "words", "x").collect())) == want
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert "missing" in plan and "posexplode" not in plan  # rows of shipped tokens are not exploded
+    some = table.filter("n > 1")
+    for limit in (1, 2, 9):
+        got = vb.attach_values(df.filter("i <> 1 or size(words) = 1"), "words", some, "v", "x", limit=limit, often="n", default=-1.0)
+        assert sorted(str(r["x"]) for r in got.collect()) == sorted(["[0.5]", "[]", "[]", "[-1.0, 0.5]"])
+
+
+def test_words_are_counted_in_the_task_before_they_are_aggregated(spark):
+    texts = [(5, "b a\nb \x1c　a\x85c"), (2, "a a </s>\n"), (2, "c a"), (None, "d a"), (7, None), (9, "")]
+    docs = spark.createDataFrame(texts, "id bigint, text string").coalesce(1)
+    counts = vb.count_text(docs, "id", "text")
+    got = {r["token"]: (r["cnt"], None if r["first"] is None else int(r["first"])) for r in counts.collect()}
+    at = lambda i, pos: i * 2**31 + pos
+    assert got == {"a": (6, at(2, 0)), "b": (2, at(5, 0)), "c": (2, at(2, 0)), "d": (1, None), "</s>": (8, at(2, 2))}
+    assert "posexplode" not in counts._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_texts_are_encoded_like_their_words(spark):
+    rows = [(0, "a b\n zz"), (1, ""), (2, None), (3, "b\x1da </s>"), (0, "a\n\n")]
+    df = spark.createDataFrame(rows, "i bigint, text string")
+    vocab = spark.createDataFrame([(2, "</s>"), (4, "a"), (5, "b")], "token_id bigint, token string")
+    want = sorted(map(str, vb.encode(df.withColumn("words", tx.words(F.col("text"))), "words", vocab).select("i", "text", "ids").collect()))
+    for limit in (1, 10):
+        assert sorted(map(str, vb.encode_text(df, "text", vocab, limit=limit).select("i", "text", "ids").collect())) == want
+    whole, joined = (sorted(map(str, vb.encode_lines(df, "text", vocab, limit=n).select("i", "ids", "line", "off", "size").collect())) for n in (10, 1))
+    assert whole == joined
+    first = vb.encode_lines(df.filter("text like 'a b%'"), "text", vocab).first()
+    assert (first["ids"], first["line"], first["off"], first["size"]) == ([4, 5, 2, 3, 2], [0, 0, 0, 1, 1], [0, 1, 2, 0, 1], 5)
+
+
+def test_ids_are_gathered_before_they_are_named(spark):
+    long = spark.createDataFrame([(1, 1, 5), (1, 0, 4), (1, 2, 2), (1, 3, 99), (2, 0, 2), (3, 0, 3)], "k int, pos int, token_id bigint")
+    vocab = spark.createDataFrame([(2, "</s>"), (3, "<unk>"), (4, "a@@"), (5, "b")], "token_id bigint, token string")
+    for limit in (1, 10):
+        got = vb.decode(long, vocab, ["k"], escape_unk=True, bpe=True, limit=limit)
+        assert {r["k"]: r["text"] for r in got.collect()} == {1: "ab <<unk>>", 3: "<<unk>>"}
+    plan = vb.decode(long, vocab, ["k"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from seqspark.functions import arrays as ar, text as tx
+from seqspark.functions import arrays as ar
 from seqspark.operators import batching as bt, vocab as vb
 from seqspark.plans import base, sql
 from seqspark.plans.base import joined, query
@@ -26,12 +26,13 @@ def buffered_lines(spark, d):
     lookup = vb.shipped(table)  # one broadcast for all micro-batches
 
     def process(batch):
-        words = batch.withColumn("words", tx.words(F.col("line")))
-        ids = vb.encode(words, "words", table, lookup=lookup).withColumn("ids", ar.append_eos(F.col("ids")))
+        ids = vb.encode_text(batch, "line", table, lookup=lookup).withColumn("ids", ar.append_eos(F.col("ids")))
         kept, _ = bt.filter_by_size(ids.withColumn("size", F.size("ids").cast("bigint")), F.col("size"), 100)
         return kept.select("doc_id", "line_no", "size", joined("ids").alias("ids"))
 
-    lines = st.line_stream(spark, inbox, "doc_id bigint, line_no bigint, line string")
+    # A few files for every core: each micro-batch is worked on by all of them.
+    files = 4 * spark.sparkContext.defaultParallelism
+    lines = st.line_stream(spark, inbox, "doc_id bigint, line_no bigint, line string", files)
     st.process_in_order(lines, process, ["doc_id", "line_no"], out, scratch_dir(spark, "progress")).awaitTermination()
     return spark.read.parquet(out).drop("batch")
 

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from seqspark.session import written
+
 
 def line_stream(spark: SparkSession, path: str, schema: str, files_per_batch: int = 1) -> DataFrame:
     """Files arriving in a folder; a micro-batch buffers a bounded number of them."""
@@ -19,11 +21,13 @@ def process_in_order(
     """Run a batch function on each micro-batch and write its rows in input order.
 
     Each micro-batch has its own folder, replaced when the batch is replayed after a
-    failure, so the output is written exactly once.
+    failure, so the output is written exactly once. Processed rows are written before they
+    are ordered: the bounds of the order are then sampled without processing them twice.
     """
 
     def sink(batch: DataFrame, number: int) -> None:
-        process(batch).orderBy(*order).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        done = written(process(batch), "processed")
+        done.orderBy(*order).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return (
         stream.writeStream.foreachBatch(sink)

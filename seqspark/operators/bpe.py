@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from seqspark.consts import BPE_MARK
 from seqspark.operators.ordering import parallelism
-from seqspark.operators.vocab import _keyed
+from seqspark.operators.vocab import _in_chunks, _keyed
 from seqspark.session import fenced, local_table, scratch_dir
 
 END = "</w>"
@@ -251,7 +251,7 @@ def _apply_joined(df: DataFrame, words: str, merges: DataFrame, out: str) -> Dat
 
 
 def apply(df: DataFrame, words: str, merges: DataFrame, out: str = "pieces", limit: int = 1_000_000) -> DataFrame:
-    """Segment a column of word arrays; each batch segments a word once, inside the row.
+    """Segment a column of word arrays; each part of a batch segments a word once, inside the row.
 
     A merge list longer than ``limit`` is not shipped: the distinct words are then segmented
     by joins, with the same result.
@@ -263,6 +263,9 @@ def apply(df: DataFrame, words: str, merges: DataFrame, out: str = "pieces", lim
 
     @F.arrow_udf("array<string>")
     def split_words(batch: pa.Array) -> pa.Array:
+        return _in_chunks(batch, segmented)
+
+    def segmented(batch: pa.Array) -> pa.Array:
         ranks = shipped.value
         coded = pc.dictionary_encode(batch.flatten())
         known = [segment(w, ranks) for w in coded.dictionary.to_pylist()]

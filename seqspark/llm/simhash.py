@@ -243,9 +243,8 @@ TABLES = 8
 #: Of the pairs that meet at an anchor, the links each row reports besides the forest. What
 #: fails among them is found by the prefix join.
 NEIGHBOURS = 1
-#: Texts (about) whose shingles are counted for the order; shingles with a place of their own,
-#: and the count from which a shingle has one.
-COUNTED, FREQUENT, OFTEN = 50_000, 1 << 18, 4
+#: Shingles with a place of their own in the order, and the count from which a shingle has one.
+FREQUENT, OFTEN = 1 << 18, 4
 #: Up to so many rows with a common shingle are paired at once (at most 3.5 pairs a row), more in
 #: tiles, where the groups found so far are known and their pairs are not made again.
 LIGHT = 8
@@ -317,7 +316,7 @@ def similar_groups(df: DataFrame, key: str, text: str, k: int = 5, similarity: f
     edges = stored(candidates(nodes.select(F.col("node").alias("id"), "prints"), "bigint", distance, blocks, r, tile), "candidate_links")
     first = stored(similar(source, nodes, edges, k, similarity), "similar")
     roots = stored(components(first), "similar_roots")
-    rows = prefixes(source, nodes.count(), k, similarity, light)
+    rows = prefixes(source, k, similarity, light)
     edges = stored(across(prefix_pairs(rows, roots, similarity, tile, light), roots), "prefix_links")
     edges = stored(likely(source, nodes, edges, k, similarity), "likely_links")
     linked = components(first.union(similar(source, nodes, edges, k, similarity)))
@@ -392,10 +391,10 @@ def similar(source: DataFrame, nodes: DataFrame, edges: DataFrame, k: int, simil
     return both.filter(F.col("_n") >= F.lit(similarity) * (F.size("_a") + F.size("_b") - F.col("_n")) - 1e-9).select("a", "b")
 
 
-def frequent(source: DataFrame, texts: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles found often in about ``COUNTED`` texts, sorted, and their counts, carried on to
-    all ``texts``. They make the order of ``prefixes`` a good one (any order is right) and say
-    which shingles are dealt at once (any choice is right)."""
+def frequent(source: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles found often in all texts, sorted, and their counts. A task reports those that it
+    found more than once among the texts it holds. They make the order of ``prefixes`` a good one
+    (any order is right) and say which shingles are dealt at once (any choice is right)."""
 
     def run(batches):
         release()
@@ -418,13 +417,12 @@ def frequent(source: DataFrame, texts: int, k: int) -> tuple[np.ndarray, np.ndar
         often = count > 1
         return pa.RecordBatch.from_arrays([pa.array(shingle[often]), pa.array(count[often].astype(np.int64))], names=["shingle", "n"])
 
-    share = max(1, -(-texts // COUNTED))
-    rows = source.filter(F.pmod(F.xxhash64("_text"), F.lit(share)) == 0).select("_text").mapInArrow(run, "shingle bigint, n bigint")
+    rows = source.select("_text").mapInArrow(run, "shingle bigint, n bigint")
     counts = rows.groupBy("shingle").agg(F.sum("n").alias("n")).filter(F.col("n") >= OFTEN)
     top = counts.orderBy(F.desc("n"), "shingle").limit(FREQUENT).toArrow()
     shingle, n = (top.column(i).to_numpy() for i in range(2))
     order = np.argsort(shingle)
-    return shingle[order], n[order] * share
+    return shingle[order], n[order]
 
 
 def prefix_length(n: int, similarity: float) -> int:
@@ -432,11 +430,11 @@ def prefix_length(n: int, similarity: float) -> int:
     return n - max(1, int(np.ceil(similarity * n - 1e-6))) + 1
 
 
-def prefixes(source: DataFrame, texts: int, k: int, similarity: float, light: int) -> DataFrame:
+def prefixes(source: DataFrame, k: int, similarity: float, light: int) -> DataFrame:
     """``(anchor, node, size, at, often)``: the first shingles of each text, rare ones first, with
     the size of its set, their place in it and whether more than ``light`` texts are expected to
     have the shingle. A task sends equal texts once, while it remembers them."""
-    known, counts = frequent(source, texts, k)
+    known, counts = frequent(source, k)
 
     def run(batches):
         release()

@@ -267,3 +267,10 @@ def test_parities_of_sets_of_any_sizes_bound_their_difference(spark):
         flat = [np.unpackbits(np.array(x, np.int64).view(np.uint8)).reshape(-1, size).sum(axis=0) % 2 for x in (a, b)]
         assert got[i] == int((flat[0] != flat[1]).sum()) <= bounds[i]
     assert got[6] == 0 and got[5] > 0.2 / 1.8 * 17800
+
+
+def test_frequent_shingles_are_counted_in_all_texts(spark):
+    source = spark.range(60_000).selectExpr("id AS _key", "concat('one two three four five ', id) AS _text").coalesce(1)
+    shingle, n = sim.frequent(source, 5)
+    assert shingle.tolist() == sim.shingle_set("one two three four five", 5).tolist()
+    assert n.tolist() == [60_000]

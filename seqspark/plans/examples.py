@@ -9,7 +9,7 @@ from seqspark.functions import arrays as ar, text as tx
 from seqspark.functions.hashing import base as hash_base
 from seqspark.operators import examples as ex, noise as nz, vocab as vb
 from seqspark.plans import base, sql
-from seqspark.plans.base import NWORDS, THRESHOLD, joined, query
+from seqspark.plans.base import NWORDS, THRESHOLD, ids_text, joined, query
 from seqspark.plans.vocabs import JOINT_VOCAB, joint_vocab
 from seqspark.session import written
 
@@ -69,7 +69,7 @@ blocks AS (SELECT block_id, string_agg(token_id::VARCHAR, ' ' ORDER BY i) AS ite
 @query("e05_block_targets", f"WITH {_TARGETS} SELECT block_id, item, source, past FROM blocks")
 def block_targets(spark, d):
     b = ex.block_targets(base.doc_stream(spark, d), ["doc_id"], "ids", "off", BLOCK, "size")
-    return b.select("block_id", *[joined(c).alias(c) for c in ("item", "source", "past")])
+    return b.select("block_id", *[ids_text(c) for c in ("item", "source", "past")])
 
 
 @query("e06_select_targets", f"""WITH {_TARGETS},
@@ -82,7 +82,7 @@ FROM b""")
 def select_targets(spark, d):
     b = ex.block_targets(base.doc_stream(spark, d), ["doc_id"], "ids", "off", BLOCK, "size")
     t = ex.select_targets(b.withColumnRenamed("item", "future"), ["self", "future", "past"], add_eos=True)
-    return t.select("block_id", *[joined(c).alias(c) for c in ("source", "target_self", "target_future", "target_past")])
+    return t.select("block_id", *[ids_text(c) for c in ("source", "target_self", "target_future", "target_past")])
 
 
 # Token vocabulary laid out after the five molecule symbols (mask 0, go 4).
@@ -109,7 +109,7 @@ def masked_example(spark, d):
     rows = vb.encode_text(base.doc_lines(spark, d), "line", vocab).withColumn("ids", ar.append_eos(F.col("ids")))
     acc = hash_base(SEED, F.col("doc_id"), F.col("line_no"))
     out = ex.masked_example(rows, "ids", acc, vocab_size=vocab.count())
-    return out.select("doc_id", "line_no", joined("source").alias("source"), joined("target").alias("target"))
+    return out.select("doc_id", "line_no", ids_text("source"), ids_text("target"))
 
 
 @query("e08_property_example", f"""WITH {_MASK_VOCAB},

@@ -54,8 +54,8 @@ SELECT w.doc_id, w.line_no, coalesce(ids || ' ', '') || '2' AS ids FROM words w
 def append_eos(spark, d):
     from seqspark.functions.arrays import append_eos as add
 
-    e = base.encoded_lines(spark, d)
-    return e.select("doc_id", "line_no", F.array_join(add(F.col("ids")).cast("array<string>"), " ").alias("ids"))
+    e = base.encoded_lines(spark, d).withColumn("ids", add(F.col("ids")))
+    return e.select("doc_id", "line_no", base.ids_text("ids"))
 
 
 _META, _WRAP = ["title", "script", "style"], ["article", "p", "b", "div"]

@@ -287,3 +287,14 @@ def test_ids_are_gathered_before_they_are_named(spark):
         assert {r["k"]: r["text"] for r in got.collect()} == {1: "ab <<unk>>", 3: "<<unk>>"}
     plan = vb.decode(long, vocab, ["k"])._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan
+
+
+def test_words_are_parted_in_arrow_like_str_split():
+    import pyarrow as pa
+
+    spaces = [chr(c) for c in range(0x3100) if chr(c).isspace()]
+    texts = [None, "", " ", "a", " a\tb ", "x\x85y　", "".join(f"w{s}" for s in spaces), "a​b ﻿c"]
+    tokens, sizes = vb._words(pa.array([*texts, "before"]).slice(0, len(texts)))
+    assert sizes.tolist() == [len((t or "").split()) for t in texts]
+    assert tokens.to_pylist() == [w for t in texts for w in (t or "").split()]
+    assert vb._spaced(pa.array([[1, None, 20], None, [], [3]])).to_pylist() == ["1 20", None, "", "3"]

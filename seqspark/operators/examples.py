@@ -5,16 +5,17 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructField, StructType
 
 from seqspark.consts import EOS, GO, MASK, PAD
 from seqspark.functions import arrays as ar
-from seqspark.functions.arrays import let
-from seqspark.functions.hashing import fold, fold_unit
+from seqspark.functions.hashing import folds, units
 from seqspark.operators.ordering import parallelism, ranked, running
-from seqspark.session import local_table, one_row, scratch_dir
+from seqspark.operators.vocab import CHUNK_TOKENS, chunks
+from seqspark.session import fenced, local_table, one_row, scratch_dir
 
 # ---------------------------------------------------------------- blocks
 
@@ -345,40 +346,52 @@ def masked_example(
     """Adds ``source`` and ``target`` of a masked-token example, entirely inside the row.
 
     The ``max(1, round(p * length))`` candidates with the smallest draws are chosen; of
-    these 80 % become the mask, 10 % stay, 10 % become any id. ``acc`` is the row's hash.
+    these 80 % become the mask, 10 % stay, 10 % become any id. ``acc`` is the row's hash; without
+    one nothing is chosen.
     """
-    x = F.concat(ar.ints(go), ids) if go is not None else F.col(ids)
-
-    def draws(x: Column, acc: Column) -> Column:
-        open_ = (lambda t: (t != eos) & (t != go)) if go is not None else (lambda t: t != eos)
-        return F.transform(x, lambda t, i: F.when(open_(t), fold(acc, i) * 2147483648 + i))
-
-    def threshold(draw: Column) -> Column:
-        count = F.greatest(F.lit(1), F.rint(F.size(draw) * F.lit(p)).cast("int"))
-        ordered = F.sort_array(F.filter(draw, lambda s: s.isNotNull()))
-        return F.when(F.size(ordered) > 0, F.get(ordered, F.least(count, F.size(ordered)) - 1))
-
-    def choose(draw: Column) -> Column:
-        return let(threshold(draw), lambda limit: F.transform(draw, lambda s: F.coalesce(s <= limit, F.lit(False))))
-
-    def replaced(z: Column, i: Column, acc: Column) -> Column:
-        u = fold_unit(acc, i + 1_000_000_007)
-        other = F.floor(fold_unit(acc, i + 1_500_000_001) * vocab_size).cast("int")
-        drawn = F.when(u < 0.8, F.lit(mask)).when(u < 0.9, z["t"]).otherwise(other)
-        return F.when(z["c"], drawn).otherwise(z["t"]).cast("int")
-
-    def build(r: Column) -> Column:
-        zipped = F.arrays_zip(r["x"].alias("t"), let(draws(r["x"], r["acc"]), choose).alias("c"))
-        return let(
-            zipped,
-            lambda z: F.struct(
-                F.transform(z, lambda e, i: replaced(e, i, r["acc"])).alias("source"),
-                F.transform(z, lambda e: F.when(e["c"], e["t"]).otherwise(F.lit(pad)).cast("int")).alias("target"),
-            ),
-        )
-
-    rows = df.withColumn("_m", let(F.struct(x.alias("x"), acc.alias("acc")), build))
-    return rows.withColumns({"source": F.col("_m.source"), "target": F.col("_m.target")}).drop("_m")
+    closed = [eos] if go is None else [eos, go]
+
+    def masked(t: np.ndarray, sizes: np.ndarray, acc: np.ndarray, able: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Flat tokens of rows with these sizes; ``able`` tells which tokens may be chosen."""
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        place = np.arange(len(t)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        at = np.flatnonzero(able & ~np.isin(t, closed))
+        # Smallest draws of a row first, equal ones by their place.
+        at = at[np.argsort((row[at] << 31) + folds(acc[row[at]], place[at]), kind="stable")]
+        opened = np.bincount(row[at], minlength=len(sizes))
+        nth = np.arange(len(at)) - (np.cumsum(opened) - opened)[row[at]]
+        at = at[nth < np.maximum(1, np.rint(sizes * p))[row[at]]]
+        u = units(acc[row[at]], place[at] + 1_000_000_007)
+        other = np.floor(units(acc[row[at]], place[at] + 1_500_000_001) * vocab_size).astype(t.dtype)
+        source, target = t.copy(), np.full(len(t), pad, t.dtype)
+        target[at] = t[at]
+        source[at] = np.where(u < 0.8, mask, np.where(u < 0.9, t[at], other))
+        return source, target
+
+    @F.arrow_udf("struct<source:array<int>,target:array<int>>")
+    def build(batch: pa.Array, acc: pa.Array) -> pa.Array:
+        empty = pa.array([], pa.list_(pa.int32()))
+        parts = [pa.StructArray.from_arrays([empty, empty], names=["source", "target"])]
+        length = pc.fill_null(pc.list_value_length(batch), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        for a, b in chunks(length, CHUNK_TOKENS):
+            rows, hashes, sizes = batch.slice(a, b - a), acc.slice(a, b - a), length[a:b]
+            tokens = rows.flatten()
+            known = tokens.is_valid().to_numpy(zero_copy_only=False)
+            t = pc.fill_null(tokens, 0).to_numpy(zero_copy_only=False).astype(np.int32)
+            if go is not None:
+                given = rows.is_valid().to_numpy(zero_copy_only=False)
+                heads = (np.cumsum(sizes) - sizes)[given]
+                t, known, sizes = np.insert(t, heads, go), np.insert(known, heads, True), sizes + given
+            hashed = hashes.is_valid().to_numpy(zero_copy_only=False)
+            source, target = masked(t, sizes, pc.fill_null(hashes, 0).to_numpy(zero_copy_only=False), known & np.repeat(hashed, sizes))
+            ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), mask=np.append(rows.is_null().to_numpy(zero_copy_only=False), False))
+            lists = [pa.ListArray.from_arrays(ends, v) for v in (pa.array(source, mask=~known), pa.array(target))]
+            parts.append(pa.StructArray.from_arrays(lists, names=["source", "target"]))
+        return pa.concat_arrays(parts)
+
+    rows = fenced(df.withColumn("_acc", acc.cast("bigint")), ids, "_acc")
+    rows = fenced(rows.withColumn("_m", build(F.col(ids), F.col("_acc"))), "_m")
+    return rows.withColumns({"source": F.col("_m.source"), "target": F.col("_m.target")}).drop("_m", "_acc")
 
 
 # ---------------------------------------------------------------- pairs

@@ -273,3 +273,30 @@ def test_closest_equals_all_pairs(spark):
         if found:
             want[n] = min(found)
     assert best == want
+
+
+def test_masked_example_equals_a_plain_loop(spark):
+    from seqspark.functions.hashing import folds, units
+
+    rng = random.Random(5)
+    rows = [(i, [rng.randrange(2, 50) for _ in range(rng.randrange(40))] + [2]) for i in range(150)]
+    rows += [(200, None), (201, []), (202, [7, None, 9]), (203, [4, 2]), (None, [7, 8])]
+    df = spark.createDataFrame(rows, "i bigint, ids array<int>").coalesce(1)
+    hashes = {r["i"]: r["h"] for r in df.select("i", base(3, F.col("i")).alias("h")).collect()}
+    for go in (4, None):
+        out = ex.masked_example(df, "ids", base(3, F.col("i")), vocab_size=50, go=go)
+        # Draws are made in Arrow batches, not by functions over elements.
+        assert "sort_array" not in out.select("source", "target")._jdf.queryExecution().optimizedPlan().toString()
+        for r in out.collect():
+            if r["ids"] is None:
+                assert r["source"] is None and r["target"] is None
+                continue
+            x, acc = ([] if go is None else [go]) + r["ids"], hashes[r["i"]]
+            able = [] if acc is None else [k for k, t in enumerate(x) if t is not None and t not in (2, go)]
+            picked = sorted(able, key=lambda k: (int(folds(acc, k)), k))[: max(1, round(len(x) * 0.15))]
+            source, target = list(x), [1] * len(x)
+            for k in picked:
+                u = units(acc, k + 1_000_000_007)
+                target[k] = x[k]
+                source[k] = 0 if u < 0.8 else x[k] if u < 0.9 else int(units(acc, k + 1_500_000_001) * 50)
+            assert (r["source"], r["target"]) == (source, target)

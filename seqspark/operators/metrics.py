@@ -14,6 +14,7 @@ from seqspark.functions import arrays as ar
 from seqspark.functions.arrays import let
 from seqspark.session import fenced, one_row
 from seqspark.operators.ordering import running
+from seqspark.operators.vocab import CHUNK_TOKENS, chunks
 
 LN2 = math.log(2)
 
@@ -285,6 +286,50 @@ def sequence_score(rows: DataFrame, sample: list[str], pos: str = "pos", logp: s
     )
 
 
+def sequence_texts(rows: DataFrame, sample: list[str], ids: str, model: DataFrame, pad: int = PAD) -> DataFrame:
+    """``sequence_score`` of rows with arrays of target ids, scored by ``model``: ``(token_id, logp, shown)``,
+    a row an id of the vocabulary. Gives ``score`` and ``positional``, the ``shown`` forms by position.
+
+    Only ids are shuffled, in whole rows. Rows of one sample are merged by position and score.
+    """
+    found = model.select("token_id", "logp", "shown").toArrow()
+    shipped = rows.sparkSession.sparkContext.broadcast([found[c].combine_chunks() for c in found.column_names])
+
+    def scored(part: pa.Array) -> pa.Array:
+        keys, values, names = shipped.value
+        given = part.flatten()
+        sizes = pc.fill_null(pc.list_value_length(given), 0).to_numpy(zero_copy_only=False)
+        flat = given.flatten()
+        at = pc.index_in(flat, value_set=keys.cast(flat.type))
+        kept = pc.and_(pc.is_valid(at), pc.fill_null(pc.not_equal(flat, pad), False)).to_numpy(zero_copy_only=False)
+        parts = pc.list_value_length(part).to_numpy(zero_copy_only=False)
+        of = np.repeat(np.arange(len(part)), parts)
+        row, pos = np.repeat(of, sizes)[kept], (np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes))[kept]
+        at = at.filter(pa.array(kept))
+        logp = values.take(at).to_numpy(zero_copy_only=False)
+        if parts.max(initial=0) > 1:
+            order = np.lexsort((logp, pos, row))
+            logp, at = logp[order], at.take(pa.array(order))
+        n = np.bincount(row, minlength=len(part))
+        total = np.bincount(row, logp, len(part))
+        ends = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
+        text = pc.binary_join(pa.ListArray.from_arrays(ends, names.take(at)), " ")
+        mean = pa.array(total / np.maximum(n, 1), mask=n == 0)
+        return pa.StructArray.from_arrays([mean, text], names=["score", "positional"])
+
+    @F.arrow_udf("struct<score:double,positional:string>")
+    def score(batch: pa.Array) -> pa.Array:
+        tokens = pc.fill_null(pc.list_value_length(batch.flatten()), 0).to_numpy(zero_copy_only=False)
+        ends = np.concatenate([[0], np.cumsum(pc.list_value_length(batch).to_numpy(zero_copy_only=False))])
+        size = np.diff(np.concatenate([[0], np.cumsum(tokens)])[ends])
+        parts = [scored(batch.slice(a, b - a)) for a, b in chunks(size, CHUNK_TOKENS)]
+        return pa.concat_arrays(parts) if parts else scored(batch)
+
+    gathered = rows.groupBy(*sample).agg(F.collect_list(ids).alias("_ids"))
+    out = fenced(gathered.withColumn("_s", score(F.col("_ids"))), "_s")
+    return out.filter("_s.score is not null").select(*sample, "_s.score", "_s.positional")
+
+
 def ensemble(rows: DataFrame, key: list[str], lprob: str = "lprob") -> DataFrame:
     """Log of the mean probability over models (one row per model and key)."""
     packed = rows.groupBy(*key).agg(F.sort_array(F.collect_list(lprob)).alias("_l"))

@@ -85,13 +85,18 @@ _UNIGRAM = f"""{sql.ENCODED},
 uni AS (SELECT token_id, ln(count(*) / (SELECT count(*) FROM enc)::DOUBLE) AS logp FROM enc GROUP BY token_id)"""
 
 
-def unigram_scores(spark, d, *keep):
+def unigram_lines(spark, d, *keep):
+    """Encoded lines and their unigram model ``(token_id, logp)``."""
     # The model and the scores need the ids, some metrics several times: they are encoded once.
     lines = written(base.encoded_lines(spark, d, *keep).select("doc_id", "line_no", *keep, "ids"), "encoded")
-    ids = lines.select("doc_id", "line_no", *keep, F.posexplode("ids").alias("pos", "token_id"))
-    counts = ids.groupBy("token_id").agg(F.count(F.lit(1)).alias("c"))
+    counts = lines.select(F.explode("ids").alias("token_id")).groupBy("token_id").agg(F.count(F.lit(1)).alias("c"))
     total = counts.agg(F.sum("c").alias("n"))
-    model = counts.select("token_id", F.log(F.col("c") / total.scalar()).alias("logp"))
+    return lines, counts.select("token_id", F.log(F.col("c") / total.scalar()).alias("logp"))
+
+
+def unigram_scores(spark, d, *keep):
+    lines, model = unigram_lines(spark, d, *keep)
+    ids = lines.select("doc_id", "line_no", *keep, F.posexplode("ids").alias("pos", "token_id"))
     # The model has one row per vocabulary id, at most the configured vocabulary size.
     return ids.join(F.broadcast(model), "token_id")
 
@@ -244,9 +249,10 @@ def histogram(spark, d):
 SELECT doc_id, line_no, round(avg(logp), 6) AS score, string_agg(printf('%.4f', logp), ' ' ORDER BY pos) AS positional
 FROM enc JOIN uni USING (token_id) GROUP BY doc_id, line_no""")
 def sequence_score(spark, d):
-    out = mt.sequence_score(unigram_scores(spark, d), ["doc_id", "line_no"], target="token_id")
-    text = F.transform("positional", lambda x: F.format_string("%.4f", x))
-    return out.select("doc_id", "line_no", r6("score").alias("score"), F.array_join(text, " ").alias("positional"))
+    lines, model = unigram_lines(spark, d)
+    model = model.withColumn("shown", F.format_string("%.4f", "logp"))
+    out = mt.sequence_texts(lines, ["doc_id", "line_no"], "ids", model)
+    return out.select("doc_id", "line_no", r6("score").alias("score"), "positional")
 
 
 @query("a14_ensemble", f"""WITH {_LPROBS},

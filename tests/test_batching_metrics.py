@@ -293,3 +293,15 @@ def test_collate_fields_of_null_empty_and_equal_rows(spark):
     assert got[0]["same"] == [[5, 2], [5, 2], [0, 0], [0, 0]] and got[0]["past"] == [[2, 5], [2, 5], [1, 1], [1, 1]]
     assert got[0]["props"] == [None, [1.5], [2.5], [0.5]] and got[1]["past"] == [[2, 7, 8]]
     assert bt.collate_fields(df.limit(0), fields, by="t").count() == 0
+
+
+def test_sequence_texts_equal_the_scores_of_single_tokens(spark):
+    rows = [(0, [5, 6, 1, 5]), (0, [6]), (1, []), (2, None), (None, [5]), (3, [1]), (4, [6, 9])]
+    df = spark.createDataFrame(rows, "s int, ids array<int>")
+    model = spark.createDataFrame([(5, -0.5), (6, -1.25), (1, -9.0)], "token_id int, logp double")
+    single = df.select("s", F.posexplode("ids").alias("pos", "token_id")).join(model, "token_id")
+    want = mt.sequence_score(single, ["s"], target="token_id").collect()
+    out = mt.sequence_texts(df, ["s"], "ids", model.withColumn("shown", F.format_string("%.2f", "logp")))
+    assert {(r["s"], r["score"], r["positional"]) for r in out.collect()} == {
+        (r["s"], r["score"], " ".join(f"{x:.2f}" for x in r["positional"])) for r in want
+    }

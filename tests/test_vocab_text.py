@@ -298,3 +298,16 @@ def test_words_are_parted_in_arrow_like_str_split():
     assert sizes.tolist() == [len((t or "").split()) for t in texts]
     assert tokens.to_pylist() == [w for t in texts for w in (t or "").split()]
     assert vb._spaced(pa.array([[1, None, 20], None, [], [3]])).to_pylist() == ["1 20", None, "", "3"]
+
+
+def test_a_frequent_source_word_gathers_no_rows(spark):
+    align = spark.createDataFrame([("<eos>", "E"), ("x", "X"), ("y", None), ("zz", "Z")], "src string, tgt string")
+    tokens = ["<unk>", "k", "<unk>", "<unk>", "<unk>"]
+    rows = [(i, p, t, at) for i in (0, 1, 2, None) for p, (t, at) in enumerate(zip(tokens, [0, 0, 1, 3, None]))]
+    hyp = spark.createDataFrame(rows, "id bigint, pos int, token string, src_pos bigint")
+    source = spark.createDataFrame([(0, ["x", "y", "z"]), (1, ["zz", "w", "x"]), (1, ["x", "zz", "y"]), (3, ["x"])], "id bigint, words array<string>")
+    for limit in (1, 100):  # of the table, only the most frequent word is shipped, or all
+        out = vb.replace_unk(hyp, source, align, limit=limit)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "_salt" not in plan
+        assert {r["id"]: r["text"] for r in out.collect()} == {0: "X k y E", 1: "X Z k k Z w E E"}

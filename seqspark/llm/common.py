@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -58,6 +59,26 @@ def release() -> None:
     _KEPT.clear()
 
 
+def trim() -> None:
+    """Hand freed memory back to the system. The allocator would keep it for this worker, idle or
+    not, while others of the executor need it."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(ctypes.pythonapi, "malloc_trim"):  # glibc
+        ctypes.pythonapi.malloc_trim(0)
+
+
+def lean(run: Callable) -> Callable:
+    """``run`` over the batches of a task, in a worker that gives back before it what others
+    remember and after it what it freed."""
+
+    def task(batches):
+        release()
+        yield from run(batches)
+        trim()
+
+    return task
+
+
 def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
     """Row ranges of a batch bounded by rows and by bytes of ``column``."""
     at, rows = 0, batch.num_rows

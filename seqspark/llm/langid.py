@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from seqspark.llm.common import release, fold, slices, table
+from seqspark.llm.common import fold, lean, slices, table
 
 BITS = 15
 SMOOTH = 0.5
@@ -124,7 +124,7 @@ def gram_counts(df: DataFrame, text: str, language: str, bits: int = BITS) -> Da
         yield from out()
 
     rows = df.select(F.col(language).alias("language"), F.col(text).alias("text")).dropna()
-    parts = rows.mapInArrow(count, "language string, gram int, n bigint")
+    parts = rows.mapInArrow(lean(count), "language string, gram int, n bigint")
     return parts.groupBy("language", "gram").agg(F.sum("n").alias("n"))
 
 
@@ -154,7 +154,6 @@ def predict(df: DataFrame, key: list[str], text: str, model: MixtureModel) -> Da
     kinds = [source.schema[k] for k in key]
 
     def run(batches):
-        release()
         for batch in batches:
             for part in slices(batch, text):
                 found = [model.mixture(t) if t else {} for t in part.column(text).to_pylist()]
@@ -170,7 +169,7 @@ def predict(df: DataFrame, key: list[str], text: str, model: MixtureModel) -> Da
                 )
 
     schema = ", ".join(f"`{k.name}` {k.dataType.simpleString()}" for k in kinds)
-    return source.mapInArrow(run, f"{schema}, lang_pred string, score double, mixture map<string, double>")
+    return source.mapInArrow(lean(run), f"{schema}, lang_pred string, score double, mixture map<string, double>")
 
 
 def learnable(docs: DataFrame) -> DataFrame:

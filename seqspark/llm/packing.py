@@ -19,13 +19,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from seqspark.llm.common import kept, slices, stored, table
+from seqspark.llm.common import kept, slices, stored, table, trim
 from seqspark.operators.ordering import running
 
 CAPACITY = 4096
 END_ID = 1
-CHUNK = 1 << 20
-CACHE = 1_000_000
+CHUNK = 1 << 18
+#: Words remembered at once, about 200 bytes each.
+CACHE = 1 << 18
+#: A word is remembered when it is new to a second group of texts, as most words never are. So many
+#: places, dealt by hash, tell whether it was; words that share one are remembered sooner.
+PLACES = 1 << 22
 #: Words longer than this are encoded each time.
 CACHED_WORD = 64
 
@@ -43,6 +47,7 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {"": b""}
+        self.once = bytearray(PLACES)
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -78,11 +83,13 @@ class WordEncoder:
                 self.known = {"": b""}
             fresh = set().union(*words).difference(self.known)
             self._learn(fresh)
-            known = self.known
+            known, once = self.known, self.once
             for (i, _), w in zip(part, words):
                 out[i].append(b"".join(map(known.__getitem__, w)))
             for w in fresh:
-                if len(w) > CACHED_WORD:
+                at = hash(w) % PLACES
+                if len(w) > CACHED_WORD or not once[at]:
+                    once[at] = 1
                     del known[w]
         return [b"".join(o) for o in out]
 
@@ -111,12 +118,12 @@ def encoder(path: str) -> WordEncoder:
 
 
 def _parts(texts: list[str]) -> Iterator[list[tuple[int, str]]]:
-    """Texts in groups of about a million characters; longer ones are cut at blanks."""
+    """Texts in groups of about ``CHUNK`` characters; longer ones are cut at blanks."""
     group, size = [], 0
     for i, text in enumerate(texts):
         at = 0
         while at < len(text):
-            end = at + CHUNK
+            end = min(at + CHUNK, len(text))
             if end < len(text):
                 blank = text.find(" ", end)
                 end = len(text) if blank < 0 else blank
@@ -155,6 +162,7 @@ def token_pieces(df: DataFrame, key: str, text: str, tokenizer: str, capacity: i
                             c.append(v)
                 arrays = [keys.take(pa.array(rows, pa.int64())), pa.array(cols[0], pa.int32()), *[pa.array(c, pa.int64()) for c in cols[1:4]]]
                 yield pa.RecordBatch.from_arrays([*arrays, *([pa.array(cols[4], pa.list_(pa.int32()))] if ids else [])], names=names)
+            trim()
 
     names = [key, "piece", "start", "length", "ids_crc32", *(["ids"] if ids else [])]
     return source.mapInArrow(run, f"`{key}` {kind}, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<int>" * ids)

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from seqspark.llm.common import release, sampled, slices, table
+from seqspark.llm.common import lean, sampled, slices, table
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -312,7 +312,6 @@ def detect(df: DataFrame, keep: list[str], text: str, model: SkipChain, masked:
     names = schema.names
 
     def run(batches):
-        release()
         for batch in batches:
             for part in slices(batch, text):
                 texts = part.column(text).to_pylist()
@@ -326,7 +325,7 @@ def detect(df: DataFrame, keep: list[str], text: str, model: SkipChain, masked:
                     cols.append(pa.array([None if t is None else mask(t, s) for t, s in zip(texts, every)], pa.string()))
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(lean(run), schema)
 
 
 def mask(text: str, spans: list[tuple[str, int, int]]) -> str:

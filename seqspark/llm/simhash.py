@@ -22,7 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from seqspark.llm.common import release, slices, stored, table
+from seqspark.llm.common import lean, slices, stored, table
 from seqspark.llm.components import components
 from seqspark.operators.ordering import parallelism
 
@@ -296,7 +296,6 @@ def similar_groups(df: DataFrame, key: str, text: str, k: int = 5, similarity: f
     kind = source.schema["_key"].dataType.simpleString()
 
     def prints(batches):
-        release()
         for batch in batches:
             for part in slices(batch, "_text"):
                 texts = part.column("_text").to_pylist()
@@ -311,7 +310,7 @@ def similar_groups(df: DataFrame, key: str, text: str, k: int = 5, similarity: f
                     names=["key", "same", "node", "prints"],
                 )
 
-    docs = stored(source.mapInArrow(prints, f"key {kind}, same binary, node bigint, prints array<bigint>"), "word_prints")
+    docs = stored(source.mapInArrow(lean(prints), f"key {kind}, same binary, node bigint, prints array<bigint>"), "word_prints")
     nodes = stored(docs.groupBy("same").agg(F.min("key").alias("id"), F.first("node").alias("node"), F.first("prints").alias("prints")), "nodes")
     edges = stored(candidates(nodes.select(F.col("node").alias("id"), "prints"), "bigint", distance, blocks, r, tile), "candidate_links")
     first = stored(similar(source, nodes, edges, k, similarity), "similar")
@@ -357,7 +356,6 @@ def likely(source: DataFrame, nodes: DataFrame, edges: DataFrame, k: int, simila
     the sets of few texts are needed."""
 
     def marks(batches):
-        release()
         for batch in batches:
             for part in slices(batch, "_text"):
                 texts = part.column("_text").to_pylist()
@@ -365,7 +363,7 @@ def likely(source: DataFrame, nodes: DataFrame, edges: DataFrame, k: int, simila
                 cols = [pa.array([_node(_same(t)) for t in texts], pa.int64()), pa.array(list(map(len, found)), pa.int64()), pa.array([parities(x) for x in found], pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(cols, names=["node", "size", "mark"])
 
-    marked = stored(chosen(source, nodes, edges).mapInArrow(marks, "node bigint, size bigint, mark array<bigint>").dropDuplicates(["node"]), "parities")
+    marked = stored(chosen(source, nodes, edges).mapInArrow(lean(marks), "node bigint, size bigint, mark array<bigint>").dropDuplicates(["node"]), "parities")
     left, right = (marked.select(F.col("node").alias(e), F.col("size").alias(f"_n{e}"), F.col("mark").alias(f"_{e}")) for e in "ab")
     words = F.least(F.size("_a"), F.size("_b"))
     apart = F.aggregate(F.zip_with(folded("_a", words), folded("_b", words), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
@@ -377,7 +375,6 @@ def similar(source: DataFrame, nodes: DataFrame, edges: DataFrame, k: int, simil
     """Those of ``edges`` whose shingle sets have the similarity."""
 
     def sets(batches):
-        release()
         for batch in batches:
             for part in slices(batch, "_text"):
                 texts = part.column("_text").to_pylist()
@@ -385,7 +382,7 @@ def similar(source: DataFrame, nodes: DataFrame, edges: DataFrame, k: int, simil
                     [pa.array([_node(_same(t)) for t in texts], pa.int64()), pa.array([shingle_set(t, k) for t in texts], pa.list_(pa.int64()))], names=["node", "set"]
                 )
 
-    shingled = stored(chosen(source, nodes, edges).mapInArrow(sets, "node bigint, set array<bigint>").groupBy("node").agg(F.first("set").alias("set")), "shingle_sets")
+    shingled = stored(chosen(source, nodes, edges).mapInArrow(lean(sets), "node bigint, set array<bigint>").groupBy("node").agg(F.first("set").alias("set")), "shingle_sets")
     left, right = (shingled.select(F.col("node").alias(e), F.col("set").alias(f"_{e}")) for e in "ab")
     both = edges.join(left, "a").join(right, "b").withColumn("_n", F.size(F.array_intersect("_a", "_b")))
     return both.filter(F.col("_n") >= F.lit(similarity) * (F.size("_a") + F.size("_b") - F.col("_n")) - 1e-9).select("a", "b")
@@ -397,7 +394,6 @@ def frequent(source: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
     (any order is right) and say which shingles are dealt at once (any choice is right)."""
 
     def run(batches):
-        release()
         found, seen, waiting = [], set(), 0
         for batch in batches:
             for part in slices(batch, "_text"):
@@ -417,7 +413,7 @@ def frequent(source: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
         often = count > 1
         return pa.RecordBatch.from_arrays([pa.array(shingle[often]), pa.array(count[often].astype(np.int64))], names=["shingle", "n"])
 
-    rows = source.select("_text").mapInArrow(run, "shingle bigint, n bigint")
+    rows = source.select("_text").mapInArrow(lean(run), "shingle bigint, n bigint")
     counts = rows.groupBy("shingle").agg(F.sum("n").alias("n")).filter(F.col("n") >= OFTEN)
     top = counts.orderBy(F.desc("n"), "shingle").limit(FREQUENT).toArrow()
     shingle, n = (top.column(i).to_numpy() for i in range(2))
@@ -437,7 +433,6 @@ def prefixes(source: DataFrame, k: int, similarity: float, light: int) -> DataFr
     known, counts = frequent(source, k)
 
     def run(batches):
-        release()
         seen = set()
         for batch in batches:
             for part in slices(batch, "_text"):
@@ -466,7 +461,7 @@ def prefixes(source: DataFrame, k: int, similarity: float, light: int) -> DataFr
                     cols = [np.concatenate(anchor), np.repeat(np.array(node, np.int64), length), np.repeat(np.array(size, np.int32), length), at.astype(np.int32), np.concatenate(often)]
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["anchor", "node", "size", "at", "often"])
 
-    return source.select("_text").mapInArrow(run, "anchor bigint, node bigint, size int, at int, often boolean")
+    return source.select("_text").mapInArrow(lean(run), "anchor bigint, node bigint, size int, at int, often boolean")
 
 
 def _pairs(group: np.ndarray, node: np.ndarray, size: np.ndarray, at: np.ndarray, root: np.ndarray, similarity: float):
@@ -543,10 +538,10 @@ def prefix_pairs(rows: DataFrame, roots: DataFrame, similarity: float, tile: int
     names = ["anchor", "a", "b", "size", "at"]
     salt = F.when(F.col("often"), F.col("node"))
     rows = rows.repartition(parallelism(rows), "anchor", salt).sortWithinPartitions("anchor", "node")
-    met = stored(rows.mapInArrow(meet, "anchor bigint, a bigint, b bigint, size int, at int"), "prefix_rows")
+    met = stored(rows.mapInArrow(lean(meet), "anchor bigint, a bigint, b bigint, size int, at int"), "prefix_rows")
     crowd = met.filter("anchor is not null").select("anchor", F.col("a").alias("node"), "size", "at").dropDuplicates(["anchor", "node"])
     crowd = crowd.join(roots, "node", "left").select("anchor", "node", "size", "at", F.coalesce("root", "node").alias("root"))
-    found = met.filter("anchor is null").select("a", "b").union(tiled(stored(crowd, "crowd"), tile).mapInArrow(tiles, "a bigint, b bigint"))
+    found = met.filter("anchor is null").select("a", "b").union(tiled(stored(crowd, "crowd"), tile).mapInArrow(lean(tiles), "a bigint, b bigint"))
     return found.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -582,7 +577,7 @@ def candidates(nodes: DataFrame, kind: str, distance: int, blocks: int, r: int,
                             [pa.array(at.ravel().view(np.int64)), pa.array(fp[rows].view(np.int64)), batch.column("id").take(pa.array(rows))], names=["anchor", "fp", "id"]
                         )
 
-    rows = nodes.select("id", "prints").mapInArrow(spread, f"anchor bigint, fp bigint, id {kind}")
+    rows = nodes.select("id", "prints").mapInArrow(lean(spread), f"anchor bigint, fp bigint, id {kind}")
     rows = tiled(rows, tile)
 
     def close(batches):
@@ -592,7 +587,7 @@ def candidates(nodes: DataFrame, kind: str, distance: int, blocks: int, r: int,
             if len(a):
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(a)), ids.take(pa.array(b))], names=["a", "b"])
 
-    found = rows.mapInArrow(close, f"a {kind}, b {kind}").filter("a <> b")
+    found = rows.mapInArrow(lean(close), f"a {kind}, b {kind}").filter("a <> b")
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 

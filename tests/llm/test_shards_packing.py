@@ -90,3 +90,28 @@ def test_packing_places_every_piece_once(spark):
     assert pk.pack_documents(empty(spark), TOKENIZER).count() == 0
     with pytest.raises(ValueError):
         pk.pack(spark.createDataFrame([(1, 300)], "doc_id bigint, length bigint"), ["doc_id"], 256)
+
+
+def test_words_met_once_are_not_kept():
+    """What a worker remembers is for words that come again: short texts form groups, and a word
+    stays from its second group on."""
+    short = ["ab cd", "ef", ""] * 50
+    assert [[t for _, t in g] for g in pk._parts(short)] == [[t for t in short if t]]
+    words = pk.WordEncoder(TOKENIZER)
+    plain = words.tokenizer
+    for n in range(40):
+        texts = [f"the house {'xyzzy' * (i % 7)}q{n}w{i} of" for i in range(200)]
+        ids = [np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+        assert words.encode(texts) == ids
+        assert len(words.known) < 200  # of up to 8000 words; a few share a place
+    assert {"the", "house", "of"} <= words.known.keys()
+
+
+def test_forgotten_words_keep_their_ids(monkeypatch):
+    monkeypatch.setattr(pk, "CACHE", 20)
+    monkeypatch.setattr(pk, "CHUNK", 64)
+    words = pk.WordEncoder(TOKENIZER)
+    plain = words.tokenizer
+    texts = [" ".join(f"ka{i % 9}lo{j}" for j in range(i % 30)) + ("\tÜber-All. " if i % 2 else " éa x") for i in range(300)]
+    ids = [np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert words.encode(texts) == ids and words.encode(texts[::-1]) == ids[::-1]

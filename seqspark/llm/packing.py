@@ -94,8 +94,9 @@ class WordEncoder:
         return [b"".join(o) for o in out]
 
 
-#: Signs after a letter and before a blank: they are cut off there in any case.
-TAIL = re.compile(r"(?<=[^\W\d_])[^\w\s']+(?=[ \n\t\r]|\Z)")
+#: Signs after a letter and before a blank: they are cut off there in any case. The pattern begins
+#: with a sign, which is found faster than a place after a letter.
+TAIL = re.compile(r"[^\w\s'](?<=[^\W\d_][^\w\s'])[^\w\s']*(?=[ \n\t\r]|\Z)")
 
 
 def _words(text: str) -> list[str]:

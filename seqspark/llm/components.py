@@ -3,7 +3,8 @@
 Alternating star contraction: every node's larger neighbours move to its smallest one, then
 its smaller neighbours do. Minima are map-side aggregates and links a join on the node, so
 a hub with any number of links is an ordinary skewed join key, which adaptive execution
-splits. Each round is written to the shared folder.
+splits. Each round is written to the shared folder. The first half of a round may repeat
+links; they are made distinct once, at its end.
 """
 
 from __future__ import annotations
@@ -32,9 +33,11 @@ def components(edges: DataFrame) -> DataFrame:
         both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.first("a"), F.min("b")).alias("m"))
         large = pairs.select(F.col("b").alias("u"), F.col("a").alias("v")).join(least.withColumnRenamed("a", "u"), "u")
-        large = large.select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
-        large = stored(large.filter("a <> b"), "large")
+        large = stored(large.select(F.col("v").alias("a"), F.col("m").alias("b")).filter("a <> b"), "large")
         down = large.groupBy("a").agg(F.min("b").alias("m"))
+        # All links are kept and each node has one: these are stars, and another round changes nothing.
+        if _state(large) == state and down.count() == state[0]:
+            break
         small = large.join(down, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         pairs = stored(small.union(down.select("a", F.col("m").alias("b"))).distinct(), "links")
         now = _state(pairs)

@@ -11,6 +11,8 @@ either side cannot reach the similarity any more. Links are exact up to equal 64
 Blocks of more than ``CELL`` shingles are cut into chunks. Each chunk has a tree of its own;
 then one set per linked group of a chunk is compared across chunks; what is then not in the
 largest group of its block is walked through the trees of all chunks whose sizes allow a link.
+In the first two steps a set has one place, so the task that links a group also names it; only
+blocks and the links of the third step need rounds over a table of links.
 """
 
 from __future__ import annotations
@@ -183,7 +185,7 @@ def block_links(source: DataFrame, k: int, percent: int, order: tuple) -> DataFr
 
     A task merges its rows of one shingle before they are shuffled, so a shingle of any number
     of sets arrives as a few rows per task. Its own links go the same way, as pairs of rows
-    under a number of their own.
+    under a number of their own. A link may come from several tasks.
     """
 
     def run(batches):
@@ -237,7 +239,7 @@ def block_links(source: DataFrame, k: int, percent: int, order: tuple) -> DataFr
 
     dealt = source.select("_text").mapInArrow(run, "anchor bigint, span bigint, node bigint")
     dealt = dealt.repartition(parallelism(source), "anchor").sortWithinPartitions("anchor", "span")
-    return dealt.mapInArrow(meet, "a bigint, b bigint").filter("a <> b").distinct()
+    return dealt.mapInArrow(meet, "a bigint, b bigint").filter("a <> b")
 
 
 # ---------------------------------------------------------------- prefix tree
@@ -348,8 +350,8 @@ def _spread(first: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarr
 STAY, WALK, BOTH = 0, 1, 2
 
 
-def cell_links(role: list[int], node: list[int], label: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Links between the sets of a cell, none of them superfluous; equal labels are linked."""
+def cell_links(role: list[int], label: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links between the labels of the sets of a cell, none of them superfluous."""
     parent, links = {}, []
 
     def find(x):
@@ -372,12 +374,13 @@ def cell_links(role: list[int], node: list[int], label: list[int], sets: list[np
                 a, b = find(label[m]), find(label[n])
                 if a != b:
                     parent[a] = b
-                    links.append((node[m], node[n]))
+                    links.append((label[m], label[n]))
     return links
 
 
 def tree_links(rows: DataFrame, percent: int) -> DataFrame:
-    """``(a, b)``: links of the sets of each cell ``(block, i, j)``."""
+    """``(a, b)``: labels that are linked in a cell ``(block, i, j)``, and the smallest label that
+    they reach there."""
 
     def run(batches):
         cell, held, seen = None, [], set()
@@ -396,9 +399,11 @@ def tree_links(rows: DataFrame, percent: int) -> DataFrame:
 
     def pairs(held):
         if len(held) > 1:
-            links = cell_links(*map(list, zip(*held)), percent)
+            role, _, label, sets = map(list, zip(*held))
+            links = cell_links(role, label, sets, percent)
             if links:
-                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in range(2)], names=["a", "b"])
+                a, b = forest(*np.array(links, np.int64).T)
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     rows = rows.repartition(parallelism(rows), "block", "i", "j").sortWithinPartitions("block", "i", "j", "role", "node")
     return rows.select("block", "i", "j", "role", "node", "label", "own").mapInArrow(run, "a bigint, b bigint")
@@ -456,35 +461,40 @@ def similar_sets(df: DataFrame, key: str, text: str, k: int = WORDS, percent: in
     def linked(cells, name):
         return stored(tree_links(fetched(source, cells, k, order), percent), name)
 
-    def cells(rows, role, i="i", j=zero, label=one):
-        return rows.select("id", "node", "block", F.col(i).alias("i"), j.alias("j"), F.lit(role).alias("role"), label)
+    def cells(rows, role, j=zero, label=one):
+        return rows.select("id", "node", "block", "i", j.alias("j"), F.lit(role).alias("role"), label)
 
-    links = linked(cells(members, BOTH), "tree_links")
-    large = stored(members.join(members.filter("i > 0").select("block").distinct(), "block", "left_semi"), "large")
-    if large.count():
-        links = links.union(_across(large, links, linked, cells, cell, percent))
-    roots = components(links)
+    roots = linked(cells(members, BOTH), "tree_links").toDF("node", "root")
+    if members.filter("i > 0").limit(1).count():
+        roots = _across(members, roots, linked, cells, cell, percent)
     rooted = docs.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rooted.filter("root is not null").groupBy("root").agg(F.min("key").alias("component_id"))
     out = rooted.join(least, "root", "left")
     return out.select(F.col("key").alias(key), F.col("size").alias("n_shingles"), F.when(F.col("root").isNull(), F.col("key")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def _across(large: DataFrame, links: DataFrame, linked, cells, cell: int, percent: int) -> DataFrame:
-    """Links between chunks of the blocks ``large(block, i, node, id, size)``."""
+def _across(members: DataFrame, roots: DataFrame, linked, cells, cell: int, percent: int) -> DataFrame:
+    """``(node, root)`` of ``members(block, i, node, id, size)``, with the links between the chunks
+    of a block; ``roots`` has those inside of chunks.
 
-    def labelled(links):
-        return large.join(components(links), "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
+    A group goes by its smallest set, which stands for it. Its name changes at most twice: once
+    where its chunk's groups are compared, once by what is reached through ``components``.
+    """
+
+    def renamed(rows, names):
+        return rows.join(names.toDF("label", "_new"), "label", "left").withColumn("label", F.coalesce("_new", "label")).drop("_new")
 
-    first = labelled(links).groupBy("block", "i", "label").agg(F.min_by(F.struct("node", "id", "size"), "node").alias("x"))
-    first = chunked(first.select("block", "label", "x.*"), ["label", "node"], cell, "i")
-    found = linked(cells(first, BOTH, label=F.col("label")), "chunk_links")
-    now = stored(labelled(links.union(found)), "labels")
+    inside = stored(renamed(members.withColumn("label", F.col("node")), roots), "inside")
+    many = inside.filter("i > 0").select("block").distinct()
+    large = inside.join(many, "block", "left_semi")
+    first = chunked(large.filter("node = label").drop("i", "label"), ["node"], cell, "i")
+    now = stored(renamed(large, linked(cells(first, BOTH), "chunk_links")), "labels")
+    rest = inside.join(many, "block", "left_anti").select("node", F.col("label").alias("root"))
     weight = now.groupBy("block", "label").agg(F.sum("size").alias("n"))
     largest = weight.groupBy("block").agg(F.max_by("label", F.struct("n", "label")).alias("largest"))
     apart = stored(chunked(now.join(largest, "block").filter("label <> largest").drop("largest", "i"), ["size", "node"], cell, "j"), "apart")
     if not apart.count():
-        return found
+        return rest.union(now.select("node", F.col("label").alias("root")))
 
     def bounds(rows, at):
         return rows.groupBy("block", at).agg(F.min("size").alias(f"low_{at}"), F.max("size").alias(f"high_{at}"))
@@ -493,7 +503,8 @@ def _across(large: DataFrame, links: DataFrame, linked, cells, cell: int, percen
     pairs = stored(bounds(now, "i").join(bounds(apart, "j"), "block").filter(near).select("block", "i", "j"), "chunk_pairs")
     stay = cells(now.join(pairs, ["block", "i"]), STAY, j=F.col("j"), label=F.col("label"))
     walk = cells(apart.join(pairs, ["block", "j"]), WALK, j=F.col("j"), label=F.col("label"))
-    return found.union(linked(stay.union(walk), "apart_links"))
+    last = renamed(now, components(linked(stay.union(walk), "apart_links")))
+    return rest.union(last.select("node", F.col("label").alias("root")))
 
 
 def op12_prefix_tree_join(spark, sf_dir) -> DataFrame:

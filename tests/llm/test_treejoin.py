@@ -82,6 +82,20 @@ def test_components_equal_brute_force_also_in_small_cells(spark):
     assert got(tj.similar_sets(frame(spark, rows, 7), "doc_id", "text", cell=1500)) == want
 
 
+def test_rounds_are_for_blocks_and_for_links_across_chunks_only(spark, monkeypatch):
+    """What a task has linked it names itself: a table of links is gone over in rounds once for
+    the blocks, and once more only where sets of large blocks are apart from the largest group."""
+    rng = random.Random(5)
+    rows = family(rng, 40, 100) + family(rng, 25, 200, 200) + awkward(3)
+    seen, before = [], tj.components
+    monkeypatch.setattr(tj, "components", lambda links: seen.append(links.count()) or before(links))
+    want = brute(rows)
+    assert got(tj.similar_sets(frame(spark, rows), "doc_id", "text")) == want
+    assert len(seen) == 1
+    assert got(tj.similar_sets(frame(spark, rows, 5), "doc_id", "text", cell=1500)) == want
+    assert len(seen) == 3 and seen[2] < seen[1]
+
+
 def test_another_similarity_and_empty_tables(spark):
     rng = random.Random(4)
     rows = family(rng, 30, 0, 80) + awkward(2)

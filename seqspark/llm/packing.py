@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -34,6 +35,30 @@ PLACES = 1 << 22
 CACHED_WORD = 64
 
 
+class Known(dict):
+    """Ids of words; a word that is looked up and not there is encoded and noted as ``fresh``."""
+
+    def __init__(self, tokenizer):
+        super().__init__({"": b""})
+        self.tokenizer, self.model, self.fresh = tokenizer, tokenizer.model, []
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self[word] = self._ids(word)
+        self.fresh.append(word)
+        return ids
+
+    def _ids(self, word: str) -> bytes:
+        """Ids of a word. No step before the merges changes or parts lower-case Latin-1 letters, but
+        that each of their bytes is written as a character."""
+        if len(word) > CACHED_WORD or not LOWER(word):
+            found = self.tokenizer.encode_batch_fast([word], add_special_tokens=False)[0].ids
+        else:
+            if not word.isascii():
+                word = word.encode().decode("latin-1").translate(BYTES)
+            found = [t.id for t in self.model.tokenize(word)]
+        return struct.pack(f"<{len(found)}I", *found)
+
+
 class WordEncoder:
     """Ids of whole texts, with the ids of frequent words remembered.
 
@@ -46,57 +71,40 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {"": b""}
+        self.known = Known(self.tokenizer)
         self.once = bytearray(PLACES)
-        vocabulary = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-
-    def _ids(self, words: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
-
-    def _letters(self, words: list[str]) -> list[bytes]:
-        """Words of letters only, as one text: each ends with the only end-of-word id it has."""
-        if not words:
-            return []
-        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
-        ends = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
-        if len(ends) != len(words):
-            return self._ids(words)
-        data = ids.tobytes()
-        return [data[s:e] for s, e in zip([0, *ends], ends)]
-
-    def _learn(self, fresh: set[str]) -> None:
-        """Ids of new words; those of Latin letters are encoded together."""
-        plain = [w for w in fresh if len(w) <= CACHED_WORD and w.lower().isalpha() and max(w) < "\u0250"]
-        odd = list(fresh.difference(plain))
-        self.known.update(zip(plain, self._letters(plain)))
-        self.known.update(zip(odd, self._ids(odd)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         out = [[] for _ in texts]
         for part in _parts(texts):
-            words = [_words(t) for _, t in part]
             if len(self.known) > CACHE:
-                self.known = {"": b""}
-            fresh = set().union(*words).difference(self.known)
-            self._learn(fresh)
+                self.known = Known(self.tokenizer)
             known, once = self.known, self.once
-            for (i, _), w in zip(part, words):
-                out[i].append(b"".join(map(known.__getitem__, w)))
-            for w in fresh:
+            for i, text in part:
+                out[i].append(b"".join(map(known.__getitem__, _words(text))))
+            for w in known.fresh:
                 at = hash(w) % PLACES
                 if len(w) > CACHED_WORD or not once[at]:
                     once[at] = 1
                     del known[w]
+            known.fresh.clear()
         return [b"".join(o) for o in out]
 
 
+def _class(pattern: str) -> str:
+    """The Latin-1 characters of a pattern one by one, which are searched for much faster."""
+    return "[" + "".join(re.escape(c) for c in map(chr, range(256)) if re.match(pattern, c)) + "]"
+
+
+SIGN, LETTER = _class(r"[^\w\s']"), _class(r"[^\W\d_]")
 #: Signs after a letter and before a blank: they are cut off there in any case. The pattern begins
 #: with a sign, which is found faster than a place after a letter.
-TAIL = re.compile(r"[^\w\s'](?<=[^\W\d_][^\w\s'])[^\w\s']*(?=[ \n\t\r]|\Z)")
+TAIL = re.compile(rf"{SIGN}(?<={LETTER}{SIGN}){SIGN}*(?=[ \n\t\r]|\Z)")
+#: Words of lower-case Latin-1 letters, none of which changes when it is lower-cased.
+LOWER = re.compile("[" + "".join(c for c in map(chr, range(256)) if c.isalpha() and c.lower() == c) + "]+").fullmatch
+#: How the vocabulary writes bytes that are no visible Latin-1 character.
+BYTES = {b: 256 + n for n, b in enumerate([*range(33), *range(127, 161), 173])}
 
 
 def _words(text: str) -> list[str]:

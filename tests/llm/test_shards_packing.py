@@ -1,4 +1,5 @@
 import random
+import re
 import zlib
 
 import numpy as np
@@ -115,3 +116,28 @@ def test_forgotten_words_keep_their_ids(monkeypatch):
     texts = [" ".join(f"ka{i % 9}lo{j}" for j in range(i % 30)) + ("\tÜber-All. " if i % 2 else " éa x") for i in range(300)]
     ids = [np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
     assert words.encode(texts) == ids and words.encode(texts[::-1]) == ids[::-1]
+
+
+def test_plain_words_need_the_merges_only(monkeypatch):
+    """Lower-case Latin-1 words, most of what is new, skip the steps before the merges, with the
+    same ids; signs are cut off at the same places as by the general pattern."""
+    words = pk.WordEncoder(TOKENIZER)
+    plain, whole = words.tokenizer, []
+
+    class Counted:
+        def encode_batch_fast(self, texts, **kw):
+            whole.extend(texts)
+            return plain.encode_batch_fast(texts, **kw)
+
+    monkeypatch.setattr(words.known, "tokenizer", Counted())
+    rng = random.Random(6)
+    letters = [c for c in map(chr, range(256)) if c.isalpha() and c == c.lower()]
+    low = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 64))) for _ in range(2000)] + letters + ["house", "\xb5\xaa\xba\xff\xdf"]
+    texts = [" ".join(low), "House, \xc9T\xc9. " + " ".join(low[:50])]
+    ids = [np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert words.encode(texts) == ids
+    assert set(whole) <= {",", "."}
+    general = re.compile(r"[^\w\s'](?<=[^\W\d_][^\w\s'])[^\w\s']*(?=[ \n\t\r]|\Z)")
+    for _ in range(3000):
+        t = "".join(rng.choice("aB\xe91_'.,;-\xa0\xad\xb2\x85\n\t (\xbf\xd7") if rng.random() < 0.8 else chr(rng.randrange(256)) for _ in range(rng.randint(0, 20))).lower()
+        assert pk.TAIL.sub(r" \g<0>", t) == general.sub(r" \g<0>", t)

@@ -1,9 +1,10 @@
 """Word-n-gram Jaccard join over prefix trees.
 
-Every text becomes the set of its shingles in one global order. Two sets of the wanted
-similarity share one of the first few of their shingles (rare ones first), so sets that share
-none can never meet: what hangs together by such shingles is a block, and each block's sets
-are sent to one place once. There they are stored in a prefix tree in the reverse order, so
+Every text becomes the set of its shingles in one global order, that of their counts in all
+texts; shingles are counted where they meet, and no list of them is gathered. Two sets of the
+wanted similarity share one of the first few of their shingles (rare ones first), so sets that
+share none can never meet: what hangs together by such shingles is a block, and each block's sets
+are sent to one place once. There they are stored in a prefix tree, those of many sets first, so
 that common beginnings are stored and compared once. Each set walks the tree with its overlap so
 far; a subtree is left when its sizes are out of range or when the overlap and what remains of
 either side cannot reach the similarity any more. Links are exact up to equal 64-bit hashes.
@@ -20,9 +21,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from seqspark.llm.common import slices, stored, table
+from seqspark.llm.common import lean, slices, stored, table
 from seqspark.llm.components import components
 from seqspark.llm.simhash import forest
 from seqspark.operators.ordering import parallelism, running
@@ -30,9 +32,9 @@ from seqspark.operators.ordering import parallelism, running
 WORDS, PERCENT = 5, 80
 #: Shingles of one prefix tree (and one set), and rows that a task works on at once.
 CELL, BUFFER = 1 << 18, 1 << 20
-#: Shingles with a level of their own in the global order, and the count from which one has it.
+#: The count from which a shingle has a level in the global order, and sets numbered in one batch.
 #: Any order common to all sets gives the same links; this one keeps blocks small.
-LISTED, OFTEN = 1 << 21, 2
+OFTEN, TEXTS = 2, 1 << 16
 #: Ids of sets that are fetched again are broadcast up to this many (16 bytes each), else joined.
 BROADCAST_ROWS = 500_000
 #: Forks of a prefix tree that are walked together.
@@ -76,7 +78,7 @@ def named(source: DataFrame, k: int) -> DataFrame:
                 cols = [part.column("_key"), pa.array([_name(x) if len(x) else None for x in found], pa.int64()), pa.array(list(map(len, found)), pa.int64())]
                 yield pa.RecordBatch.from_arrays(cols, names=["key", "node", "size"])
 
-    return source.mapInArrow(run, f"key {kind}, node bigint, size bigint")
+    return source.mapInArrow(lean(run), f"key {kind}, node bigint, size bigint")
 
 
 # ---------------------------------------------------------------- global order
@@ -88,82 +90,104 @@ def _places(own: np.ndarray, parts: int) -> np.ndarray:
     return part << np.uint64(32) | own & np.uint64(0xFFFFFFFF)
 
 
-def levels(source: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """The most frequent shingles of all texts: sorted places, their levels, parts.
+def _steps(numbers: np.ndarray) -> bytes:
+    """Numbers under ``TEXTS`` that never fall, two bytes each: the low ones of all steps, then the high ones."""
+    return np.diff(numbers, prepend=0).astype("<u2").view(np.uint8).reshape(-1, 2).T.tobytes()
 
-    A level is a fourth of a power of two of the count. A task sends the shingles it has seen
-    once as packed numbers, four bytes each, and those seen more often with their counts.
+
+def _numbers(steps: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(steps, np.uint8).reshape(2, -1).T.copy().view("<u2")[:, 0], dtype=np.int64)
+
+
+def levels(source: DataFrame, k: int) -> DataFrame:
+    """The shingles that occur more than once, with their levels, for every set of every batch.
+
+    A level is a fourth of a power of two of the count in all texts. A task numbers the sets of
+    a batch and sends each shingle with its set's number to the shingle's part, four bytes and
+    two; the part knows all counts and answers with the shingles that are not alone. Rows are
+    ``(batch, kind, part, low, text, level)``: of kind 1 the low bits, set numbers and levels of
+    one part, of kind 0 the names and sizes of the sets of the batch.
     """
     parts = parallelism(source)
+    kinds = {"batch": pa.int64(), "kind": pa.int32(), "part": pa.int32(), "low": pa.binary(), "text": pa.binary(), "level": pa.binary()}
+
+    def table_of(rows):
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], t) for i, t in enumerate(kinds.values())], names=list(kinds))
 
     def split(batches):
-        held, waiting = [], 0
+        number, held, waiting = TaskContext.get().partitionId() << 32, {}, 0
         for batch in batches:
             for part in slices(batch, "_text"):
                 for t in part.column("_text").to_pylist():
-                    held.append(shingle_set(t, k))
-                    waiting += len(held[-1])
-                    if waiting >= 4 * BUFFER:
-                        yield packed(held)
-                        held, waiting = [], 0
-        if waiting:
-            yield packed(held)
-
-    def packed(held):
-        place, count = np.unique(_places(np.concatenate(held), parts), return_counts=True)
-        out = []
-        for some, amounts in ((place[count == 1], None), (place[count > 1], count[count > 1].astype(np.uint32))):
-            edges = np.searchsorted(some, np.arange(parts + 1).astype(np.uint64) << np.uint64(32))
-            low = (some & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-            out += [(p, low[a:b].tobytes(), None if amounts is None else amounts[a:b].tobytes()) for p, (a, b) in enumerate(zip(edges, edges[1:])) if b > a]
-        kinds = (pa.int32(), pa.binary(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(kinds)], names=["part", "low", "counts"])
-
-    def sums(batches):
-        now, low, counts = None, [], []
+                    own = shingle_set(t, k)
+                    if len(own) and (name := _name(own)) not in held:
+                        held[name] = own
+                        waiting += len(own)
+                        if waiting >= 2 * BUFFER or len(held) == TEXTS:
+                            yield packed(number, held)
+                            number, held, waiting = number + 1, {}, 0
+        if held:
+            yield packed(number, held)
+
+    def packed(number, held):
+        size = np.array(list(map(len, held.values())), np.int64)
+        place = _places(np.concatenate(list(held.values())), parts)
+        part = (place >> np.uint64(32)).astype(np.uint16 if parts <= 1 << 16 else np.int64)
+        order = np.argsort(part, kind="stable")
+        low, text = place[order].astype(np.uint32), np.repeat(np.arange(len(size)), size)[order]
+        edges = np.concatenate([[0], np.cumsum(np.bincount(part, minlength=parts))])
+        rows = [(number, 1, p, low[a:b].tobytes(), _steps(text[a:b]), None) for p, (a, b) in enumerate(zip(edges, edges[1:])) if b > a]
+        return table_of([(number, 0, number % parts, np.array(list(held), np.int64).tobytes(), size.tobytes(), None), *rows])
+
+    def answers(batches):
+        now, held = None, []
         for batch in batches:
-            for part, a, b in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                if part != now and low:
-                    yield summed(now, low, counts)
-                    low, counts = [], []
-                now = part
-                low.append(np.frombuffer(a, np.uint32))
-                counts.append(np.ones(len(low[-1]), np.uint32) if b is None else np.frombuffer(b, np.uint32))
-        if low:
-            yield summed(now, low, counts)
-
-    def summed(part, low, counts):
-        low, counts = np.concatenate(low), np.concatenate(counts)
-        order = np.argsort(low, kind="stable")
-        low, counts = low[order], counts[order]
-        first = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
-        total = np.add.reduceat(counts, first, dtype=np.int64)
-        often = total >= OFTEN
-        level = np.minimum(4 * np.log2(total[often]), 255).astype(np.int32)
-        return pa.RecordBatch.from_arrays([pa.array((part << 32 | low[first][often].astype(np.int64))), pa.array(level)], names=["place", "level"])
-
-    rows = source.select("_text").mapInArrow(split, "part int, low binary, counts binary").repartition(parts, "part").sortWithinPartitions("part")
-    found = stored(rows.mapInArrow(sums, "place bigint, level int"), "levels")
-    least, total = 256, 0
-    for level, n in sorted(found.groupBy("level").count().collect(), reverse=True):  # at most 256 rows
-        total += n
-        if total > LISTED:
-            break
-        least = level
-    listed = found.filter(F.col("level") >= least).toArrow()
-    place, level = listed.column("place").to_numpy().astype(np.uint64), listed.column("level").to_numpy().astype(np.uint8)
-    order = np.argsort(place)
-    return place[order], level[order], parts
-
-
-def ordered(own: np.ndarray, order: tuple[np.ndarray, np.ndarray, int]) -> np.ndarray:
-    """A set in the global order: rare shingles first, equal levels by hash."""
-    place, level, parts = order
-    if not len(place):
-        return own
-    at = _places(own, parts)
-    found = np.minimum(np.searchsorted(place, at), len(place) - 1)
-    return own[np.argsort(np.where(place[found] == at, level[found], 0), kind="stable")]
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if row[1] == 0:
+                    yield table_of([row])
+                    continue
+                if row[2] != now and held:
+                    yield from counted(held)
+                    held = []
+                now = row[2]
+                held.append(row)
+        if held:
+            yield from counted(held)
+
+    def counted(held):
+        low = np.concatenate([np.frombuffer(x[3], np.uint32) for x in held])
+        at = np.sort(low.astype(np.uint64) << np.uint64(32) | np.arange(len(low), dtype=np.uint64))
+        first = np.flatnonzero(np.concatenate([[True], at[1:] >> np.uint64(32) != at[:-1] >> np.uint64(32)]))
+        count = np.diff(np.append(first, len(at)))
+        often = np.repeat(count >= OFTEN, count)
+        at = (at[often] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        level = np.repeat(np.minimum(4 * np.log2(count), 255).astype(np.uint8), count)[often]
+        order = np.argsort(at)
+        at, level = at[order], level[order]
+        edges = np.concatenate([[0], np.cumsum([len(x[3]) // 4 for x in held])])
+        cuts = np.searchsorted(at, edges)
+        rows = []
+        for x, edge, a, b in zip(held, edges, cuts, cuts[1:]):
+            if b > a:
+                rows.append((*x[:3], low[at[a:b]].tobytes(), _steps(_numbers(x[4])[at[a:b] - edge]), level[a:b].tobytes()))
+        if rows:
+            yield table_of(rows)
+
+    schema = "batch bigint, kind int, part int, low binary, text binary, level binary"
+    asked = source.select("_text").mapInArrow(lean(split), schema).repartition(parts, "part").sortWithinPartitions("part")
+    return asked.mapInArrow(lean(answers), schema)
+
+
+def first_shingles(size: np.ndarray, text: np.ndarray, place: np.ndarray, level: np.ndarray, percent: int) -> np.ndarray:
+    """Of the shingles that sets ``text`` of ``size`` shingles share with others, those among the
+    first ones by which similar sets meet. Rare shingles come first, equal levels by place; what
+    a set has alone comes before all these and meets nothing.
+    """
+    want = np.bincount(text, minlength=len(size)) + 1 + -percent * size // 100
+    kept = np.flatnonzero(want[text] > 0)
+    kept = kept[np.lexsort((place[kept], level[kept], text[kept]))]
+    owner = text[kept]
+    return kept[np.arange(len(owner)) - np.searchsorted(owner, owner) < want[owner]]
 
 
 # ---------------------------------------------------------------- blocks
@@ -180,38 +204,37 @@ def _runs(anchor, size, node, percent):
     return anchor[first], size[first], size[last], node[first], forest(node[at], node[at + 1])
 
 
-def block_links(source: DataFrame, k: int, percent: int, order: tuple) -> DataFrame:
+def block_links(source: DataFrame, k: int, percent: int) -> DataFrame:
     """``(a, b)``: sets that share a first shingle and may be similar are connected by these.
 
-    A task merges its rows of one shingle before they are shuffled, so a shingle of any number
-    of sets arrives as a few rows per task. Its own links go the same way, as pairs of rows
-    under a number of their own. A link may come from several tasks.
+    A batch merges its rows of one shingle before they are shuffled, so a shingle of any number
+    of sets arrives as a few rows per batch. Its own links go the same way, as pairs of rows
+    under a number of their own. A link may come from several batches.
     """
 
     def run(batches):
-        held, waiting = [], 0
+        now, held = None, []
         for batch in batches:
-            for part in slices(batch, "_text"):
-                for t in part.column("_text").to_pylist():
-                    own = shingle_set(t, k)
-                    if len(own):
-                        first = ordered(own, order)[: len(own) - -(-percent * len(own) // 100) + 1]
-                        held.append((first.view(np.int64), len(own), _name(own)))
-                        waiting += len(first)
-                        if waiting >= 2 * BUFFER:
-                            yield rows(held)
-                            held, waiting = [], 0
-        if held:
-            yield rows(held)
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if row[0] != now and len(held) > 1:
+                    yield from rows(held)
+                if row[0] != now:
+                    now, held = row[0], []
+                held.append(row)
+        if len(held) > 1:
+            yield from rows(held)
 
     def rows(held):
-        length = [len(x[0]) for x in held]
-        anchor = np.concatenate([x[0] for x in held])
-        size, node = (np.repeat(np.array([x[i] for x in held], np.int64), length) for i in (1, 2))
-        anchor, low, high, node, (a, b) = _runs(anchor, size, node, percent)
-        link = (a ^ (b * 3)) * np.int64(-7046029254386353131)
-        span = np.concatenate([low << 32 | high, np.zeros(2 * len(a), np.int64)])
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([anchor, link, link])), pa.array(span), pa.array(np.concatenate([node, a, b]))], names=["anchor", "span", "node"])
+        name, size = (np.frombuffer(x, np.int64) for x in held[0][3:5])
+        text = np.concatenate([_numbers(x[4]) for x in held[1:]])
+        place = np.concatenate([np.int64(x[2]) << 32 | np.frombuffer(x[3], np.uint32).astype(np.int64) for x in held[1:]])
+        level = np.concatenate([np.frombuffer(x[5], np.uint8) for x in held[1:]])
+        first = first_shingles(size, text, place, level, percent)
+        if len(first):
+            anchor, low, high, node, (a, b) = _runs(place[first], size[text[first]], name[text[first]], percent)
+            link = (a ^ (b * 3)) * np.int64(-7046029254386353131)
+            span = np.concatenate([low << 32 | high, np.zeros(2 * len(a), np.int64)])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([anchor, link, link])), pa.array(span), pa.array(np.concatenate([node, a, b]))], names=["anchor", "span", "node"])
 
     def meet(batches):
         last, found, waiting = [np.zeros(0, np.int64)] * 3, [], 0
@@ -237,9 +260,10 @@ def block_links(source: DataFrame, k: int, percent: int, order: tuple) -> DataFr
     def pairs(x):
         return pa.RecordBatch.from_arrays([pa.array(x[0]), pa.array(x[1])], names=["a", "b"])
 
-    dealt = source.select("_text").mapInArrow(run, "anchor bigint, span bigint, node bigint")
+    found = levels(source, k).repartition(parallelism(source), "batch").sortWithinPartitions("batch", "kind")
+    dealt = found.mapInArrow(lean(run), "anchor bigint, span bigint, node bigint")
     dealt = dealt.repartition(parallelism(source), "anchor").sortWithinPartitions("anchor", "span")
-    return dealt.mapInArrow(meet, "a bigint, b bigint").filter("a <> b")
+    return dealt.mapInArrow(lean(meet), "a bigint, b bigint").filter("a <> b")
 
 
 # ---------------------------------------------------------------- prefix tree
@@ -346,6 +370,16 @@ def _spread(first: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.arange(len(which)) + np.repeat(first - (np.cumsum(length) - length), length), which
 
 
+def ordered(sets: list[np.ndarray]) -> list[np.ndarray]:
+    """The sets with numbers for their shingles, in one order: those of many of the sets first."""
+    known, at, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    number = np.empty(len(known), np.int64)
+    number[np.argsort(-count, kind="stable")] = np.arange(len(known))
+    size = np.array(list(map(len, sets)), np.int64)
+    at = np.sort(np.repeat(np.arange(len(sets)), size) << 32 | number[at]) & 0xFFFFFFFF
+    return np.split(at, np.cumsum(size)[:-1])
+
+
 #: What a row does in its cell: be in the tree, walk it, both.
 STAY, WALK, BOTH = 0, 1, 2
 
@@ -363,6 +397,7 @@ def cell_links(role: list[int], label: list[int], sets: list[np.ndarray], percen
     staying = [n for n, r in enumerate(role) if r != WALK]
     if not staying:
         return links
+    sets = ordered(sets)
     tree = PrefixTree([sets[n] for n in staying])
     for n, r in enumerate(role):
         if r != STAY:
@@ -406,11 +441,11 @@ def tree_links(rows: DataFrame, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     rows = rows.repartition(parallelism(rows), "block", "i", "j").sortWithinPartitions("block", "i", "j", "role", "node")
-    return rows.select("block", "i", "j", "role", "node", "label", "own").mapInArrow(run, "a bigint, b bigint")
+    return rows.select("block", "i", "j", "role", "node", "label", "own").mapInArrow(lean(run), "a bigint, b bigint")
 
 
-def fetched(source: DataFrame, cells: DataFrame, k: int, order: tuple) -> DataFrame:
-    """``cells(id, node, block, i, j, role, label)`` with the sets, frequent shingles first.
+def fetched(source: DataFrame, cells: DataFrame, k: int) -> DataFrame:
+    """``cells(id, node, block, i, j, role, label)`` with the sets.
 
     A set is made from the text of one row with its key and goes to all its cells.
     """
@@ -428,11 +463,11 @@ def fetched(source: DataFrame, cells: DataFrame, k: int, order: tuple) -> DataFr
                     found = shingle_set(t, k)
                     if len(found) and _name(found) == node[n]:  # rows may share a key
                         kept.append(n)
-                        own.append(ordered(found, order)[::-1].view(np.int64))
+                        own.append(found.view(np.int64))
                 rows = part.take(pa.array(kept, pa.int64()))
                 yield pa.RecordBatch.from_arrays([rows.column("node"), rows.column("cells"), pa.array(own, pa.list_(pa.int64()))], names=["node", "cells", "own"])
 
-    rows = texts.mapInArrow(run, f"node bigint, cells {kind}, own array<bigint>")
+    rows = texts.mapInArrow(lean(run), f"node bigint, cells {kind}, own array<bigint>")
     return rows.select("node", "own", F.inline("cells"))
 
 
@@ -452,14 +487,13 @@ def similar_sets(df: DataFrame, key: str, text: str, k: int = WORDS, percent: in
     """
     source = df.select(F.col(key).alias("_key"), F.col(text).cast("binary").alias("_text"))
     docs = stored(named(source, k), "sets")
-    order = levels(source, k)
-    blocks = components(stored(block_links(source, k, percent, order), "block_links")).select("node", F.col("root").alias("block"))
+    blocks = components(stored(block_links(source, k, percent), "block_links")).select("node", F.col("root").alias("block"))
     nodes = docs.filter("node is not null").groupBy("node").agg(F.min("key").alias("id"), F.first("size").alias("size"))
     members = stored(chunked(nodes.join(blocks, "node"), ["size", "node"], cell, "i"), "members")
     zero, one = F.lit(0).cast("bigint"), F.col("node").alias("label")
 
     def linked(cells, name):
-        return stored(tree_links(fetched(source, cells, k, order), percent), name)
+        return stored(tree_links(fetched(source, cells, k), percent), name)
 
     def cells(rows, role, j=zero, label=one):
         return rows.select("id", "node", "block", "i", j.alias("j"), F.lit(role).alias("role"), label)

@@ -103,3 +103,39 @@ def test_another_similarity_and_empty_tables(spark):
     assert got(tj.similar_sets(empty(spark), "doc_id", "text")) == []
     blank = [(1, None), (2, ""), (3, " \n"), (None, "")]
     assert got(tj.similar_sets(frame(spark, blank), "doc_id", "text")) == brute(blank)
+
+
+def test_blocks_do_not_grow_with_the_number_of_shared_shingles(spark, monkeypatch):
+    """However many shingles are shared, texts that have most of theirs alone are in no block. A
+    list of the most frequent shingles that holds a part only had them linked by the others."""
+    monkeypatch.setattr(tj, "LISTED", 8, raising=False)
+    rng = random.Random(6)
+    passages = [" ".join(f"p{i}x{n}" for n in range(12)) for i in range(40)]
+    rows = [(i, " ".join(f"{passages[p]} " + " ".join(f"own{i}x{p}x{n}" for n in range(20)) for p in rng.sample(range(40), 8))) for i in range(60)]
+    seen, before = [], tj.components
+    monkeypatch.setattr(tj, "components", lambda links: seen.append(links.count()) or before(links))
+    assert got(tj.similar_sets(frame(spark, rows, 6), "doc_id", "text")) == brute(rows)
+    assert seen == [0]
+    near = [(100 + i, edited(rng, rows[i][1].split(" "), 3)) for i in range(5)]
+    assert got(tj.similar_sets(frame(spark, rows + near + near[:2], 6), "doc_id", "text")) == brute(rows + near + near[:2])
+    assert 0 < seen[1] <= 20
+
+
+def test_first_shingles_are_those_of_the_whole_order():
+    rng = np.random.default_rng(7)
+    for percent in (0, 50, 80, 100):
+        sets = [rng.choice(60, rng.integers(1, 40)) for _ in range(30)]  # places may repeat in a set
+        count = np.bincount(np.concatenate(sets), minlength=60)
+        size, text, place = np.array(list(map(len, sets))), np.repeat(np.arange(30), list(map(len, sets))), np.concatenate(sets)
+        shared = np.flatnonzero(count[place] > 1)
+        found = shared[tj.first_shingles(size, text[shared], place[shared], count[place[shared]], percent)]
+        want = []
+        for n, x in enumerate(sets):
+            first = sorted(x.tolist(), key=lambda p: (count[p], p))[: len(x) - -(-percent * len(x) // 100) + 1]
+            want += [(n, p) for p in first if count[p] > 1]
+        assert sorted(zip(text[found].tolist(), place[found].tolist())) == sorted(want)
+
+
+def test_set_numbers_come_back_as_they_were():
+    for x in ([0], [5, 5, 700, 65535], [0, 65535, 65535], sorted(random.Random(8).choices(range(1 << 16), k=999))):
+        assert tj._numbers(tj._steps(np.array(x))).tolist() == x

@@ -13,11 +13,15 @@ Blocks of more than ``CELL`` shingles are cut into chunks. Each chunk has a tree
 then one set per linked group of a chunk is compared across chunks; what is then not in the
 largest group of its block is walked through the trees of all chunks whose sizes allow a link.
 In the first two steps a set has one place, so the task that links a group also names it; only
-blocks and the links of the third step need rounds over a table of links.
+blocks and the links of the third step need rounds over a table of links. The third step sends
+a part of its pairs of chunks at a time, so its disk does not grow with the square of a block.
 """
 
 from __future__ import annotations
 
+import gc
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -37,6 +41,8 @@ CELL, BUFFER = 1 << 18, 1 << 20
 OFTEN, TEXTS = 2, 1 << 16
 #: Ids of sets that are fetched again are broadcast up to this many (16 bytes each), else joined.
 BROADCAST_ROWS = 500_000
+#: Pairs of chunks are compared in rounds, which send a half of the shingles of all rows at most.
+SHARE = 2
 #: Forks of a prefix tree that are walked together.
 LEVELS = 6
 
@@ -471,9 +477,9 @@ def fetched(source: DataFrame, cells: DataFrame, k: int) -> DataFrame:
     return rows.select("node", "own", F.inline("cells"))
 
 
-def chunked(rows: DataFrame, order: list[str], cell: int, out: str) -> DataFrame:
+def chunked(rows: DataFrame, order: list[str], cell: int, out: str, group: tuple[str, ...] = ("block",)) -> DataFrame:
     """Numbers, per block, runs of about ``cell`` shingles in the order."""
-    upto = running(rows, order, {"_upto": F.col("size")}, group=["block"])
+    upto = running(rows, order, {"_upto": F.col("size")}, group=list(group))
     return upto.withColumn(out, F.floor((F.col("_upto") - F.col("size")) / cell)).drop("_upto")
 
 
@@ -500,19 +506,22 @@ def similar_sets(df: DataFrame, key: str, text: str, k: int = WORDS, percent: in
 
     roots = linked(cells(members, BOTH), "tree_links").toDF("node", "root")
     if members.filter("i > 0").limit(1).count():
-        roots = _across(members, roots, linked, cells, cell, percent)
+        room = docs.agg(F.sum("size")).first()[0] // SHARE + 1
+        roots = _across(members, roots, linked, cells, cell, percent, room)
     rooted = docs.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rooted.filter("root is not null").groupBy("root").agg(F.min("key").alias("component_id"))
     out = rooted.join(least, "root", "left")
     return out.select(F.col("key").alias(key), F.col("size").alias("n_shingles"), F.when(F.col("root").isNull(), F.col("key")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def _across(members: DataFrame, roots: DataFrame, linked, cells, cell: int, percent: int) -> DataFrame:
+def _across(members: DataFrame, roots: DataFrame, linked, cells, cell: int, percent: int, room: int) -> DataFrame:
     """``(node, root)`` of ``members(block, i, node, id, size)``, with the links between the chunks
     of a block; ``roots`` has those inside of chunks.
 
     A group goes by its smallest set, which stands for it. Its name changes at most twice: once
-    where its chunk's groups are compared, once by what is reached through ``components``.
+    where its chunk's groups are compared, once by what is reached through ``components``. Where
+    pairs of chunks have more than ``room`` shingles, they are compared one part after the other,
+    so that what is shuffled at once never outgrows the texts.
     """
 
     def renamed(rows, names):
@@ -531,13 +540,23 @@ def _across(members: DataFrame, roots: DataFrame, linked, cells, cell: int, perc
         return rest.union(now.select("node", F.col("label").alias("root")))
 
     def bounds(rows, at):
-        return rows.groupBy("block", at).agg(F.min("size").alias(f"low_{at}"), F.max("size").alias(f"high_{at}"))
+        return rows.groupBy("block", at).agg(F.min("size").alias(f"low_{at}"), F.max("size").alias(f"high_{at}"), F.sum("size").alias(f"n_{at}"))
 
     near = (100 * F.col("high_i") >= percent * F.col("low_j")) & (100 * F.col("high_j") >= percent * F.col("low_i"))
-    pairs = stored(bounds(now, "i").join(bounds(apart, "j"), "block").filter(near).select("block", "i", "j"), "chunk_pairs")
-    stay = cells(now.join(pairs, ["block", "i"]), STAY, j=F.col("j"), label=F.col("label"))
-    walk = cells(apart.join(pairs, ["block", "j"]), WALK, j=F.col("j"), label=F.col("label"))
-    last = renamed(now, components(linked(stay.union(walk), "apart_links")))
+    pairs = bounds(now, "i").join(bounds(apart, "j"), "block").filter(near).select("block", "i", "j", (F.col("n_i") + F.col("n_j")).alias("size"))
+    pairs = stored(pairs, "chunk_pairs")
+    rounds, found = 1 + (pairs.agg(F.sum("size")).first()[0] or 0) // room, []
+    if rounds > 1:
+        pairs = stored(chunked(pairs, ["block", "i", "j"], room, "round", ()), "chunk_rounds")
+    for n in range(rounds):
+        some = (pairs.filter(F.col("round") == n) if rounds > 1 else pairs).select("block", "i", "j")
+        stay = cells(now.join(some, ["block", "i"]), STAY, j=F.col("j"), label=F.col("label"))
+        walk = cells(apart.join(some, ["block", "j"]), WALK, j=F.col("j"), label=F.col("label"))
+        found.append(linked(stay.union(walk), "apart_links"))
+        if rounds > 1:  # shuffle files go when the driver's garbage does
+            gc.collect()
+            now.sparkSession.sparkContext._jvm.System.gc()
+    last = renamed(now, components(reduce(DataFrame.union, found)))
     return rest.union(last.select("node", F.col("label").alias("root")))
 
 

@@ -121,6 +121,22 @@ def test_blocks_do_not_grow_with_the_number_of_shared_shingles(spark, monkeypatc
     assert 0 < seen[1] <= 20
 
 
+def test_pairs_of_chunks_are_sent_in_parts_of_bounded_size(spark, monkeypatch):
+    """Forms that agree in most of their text, but not enough: one block, whose sets all meet all
+    chunks. What is sent at once stays under a share of all shingles and one more pair."""
+    monkeypatch.setattr(tj, "SHARE", 1, raising=False)
+    rng = random.Random(9)
+    form = words(rng, 100).split(" ")
+    rows = [(i, " ".join(form + [f"own{i}x{n}" for n in range(rng.randint(16, 24))])) for i in range(30)]
+    rows += [(200 + i, edited(rng, rows[10 * i][1].split(" "), 1)) for i in range(3)]
+    sent, before = [], tj.tree_links
+    monkeypatch.setattr(tj, "tree_links", lambda df, percent: sent.append(df.selectExpr("sum(size(own))").first()[0]) or before(df, percent))
+    assert got(tj.similar_sets(frame(spark, rows, 5), "doc_id", "text", cell=800)) == brute(rows)
+    total = sum(len(x) for x in sets_of(rows))
+    assert len(sent) > 4 and sum(sent[2:]) > 2 * total
+    assert max(sent[2:]) <= total + 4 * 800
+
+
 def test_first_shingles_are_those_of_the_whole_order():
     rng = np.random.default_rng(7)
     for percent in (0, 50, 80, 100):
